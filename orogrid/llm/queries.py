@@ -9,11 +9,19 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .dedup_exact import exact_groups
+from .packing import packed
 from .sharding import write_shards
 
 N_SHARDS = 8
 
 
+def tokenizer_path(name: str) -> str:
+    """A public tokenizer file, which every machine has."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact dedup of all documents; see ``exact_groups``."""
     return exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -28,7 +36,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_exact_dedup": op7_exact_dedup, "op8_sharding": op8_sharding}
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens."""
+    return packed(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 2048, 0)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_exact_dedup": op7_exact_dedup, "op8_sharding": op8_sharding, "op10_best_fit_packing": op10_best_fit_packing}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
