@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .dedup_exact import exact_groups
+from .embedding import linked
 from .packing import packed
 from .sharding import write_shards
 
@@ -22,6 +23,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings at cosine 0.98."""
+    return linked(table(spark, sf_dir, "embeddings"), 0.98)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact dedup of all documents; see ``exact_groups``."""
     return exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -41,7 +47,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 2048, 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_exact_dedup": op7_exact_dedup, "op8_sharding": op8_sharding, "op10_best_fit_packing": op10_best_fit_packing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_embedding_near_dedup": op3_embedding_near_dedup, "op7_exact_dedup": op7_exact_dedup, "op8_sharding": op8_sharding, "op10_best_fit_packing": op10_best_fit_packing}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
