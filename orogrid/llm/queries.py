@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import table
 from .dedup_exact import exact_groups
 from .embedding import linked
+from .minhash import near_classes
 from .packing import packed
 from .sharding import write_shards
 
@@ -23,6 +24,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents: five-word shingles, similarity 0.8."""
+    return near_classes(table(spark, sf_dir, "documents"), 0.8)
+
+
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings at cosine 0.98."""
     return linked(table(spark, sf_dir, "embeddings"), 0.98)
@@ -47,7 +53,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 2048, 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_embedding_near_dedup": op3_embedding_near_dedup, "op7_exact_dedup": op7_exact_dedup, "op8_sharding": op8_sharding, "op10_best_fit_packing": op10_best_fit_packing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_embedding_near_dedup": op3_embedding_near_dedup, "op7_exact_dedup": op7_exact_dedup, "op8_sharding": op8_sharding, "op10_best_fit_packing": op10_best_fit_packing}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
