@@ -11,6 +11,7 @@ from .common import table
 from .dedup_exact import exact_groups
 from .embedding import linked
 from .minhash import near_classes
+from .mixing import mixed
 from .packing import packed
 from .sharding import write_shards
 from .toxicity import fit, held_out, scored, training_rows
@@ -35,6 +36,11 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(table(spark, sf_dir, "embeddings"), 0.98)
 
 
+def op6_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents interleaved by source, to the tempered natural weights."""
+    return mixed(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact dedup of all documents; see ``exact_groups``."""
     return exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -65,7 +71,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 2048, 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_embedding_near_dedup": op3_embedding_near_dedup, "op7_exact_dedup": op7_exact_dedup, "op8_sharding": op8_sharding, "op9_toxicity": op9_toxicity, "op10_best_fit_packing": op10_best_fit_packing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_embedding_near_dedup": op3_embedding_near_dedup, "op6_pfair_mixing": op6_pfair_mixing, "op7_exact_dedup": op7_exact_dedup, "op8_sharding": op8_sharding, "op9_toxicity": op9_toxicity, "op10_best_fit_packing": op10_best_fit_packing}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
