@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import PART, digests, write_chats
 from .common import table
 from .dedup_exact import exact_groups
 from .embedding import linked
@@ -36,6 +37,17 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(table(spark, sf_dir, "embeddings"), 0.98)
 
 
+PLANTED = "\\### Assistant: </turn> ok"
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and the planted one, formatted, written, read back and digested."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED).alias("text"))
+    turns = turns.unionByName(planted).withColumn("parts", F.array(F.struct(F.lit("text").alias("type"), "text", *(F.lit(None).alias(x) for x in ("ref", "width", "height", "seconds", "pages"))).cast(PART)))
+    return digests(spark.read.parquet(write_chats(turns)))
+
+
 def op6_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents interleaved by source, to the tempered natural weights."""
     return mixed(table(spark, sf_dir, "documents"))
@@ -71,11 +83,22 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 2048, 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_embedding_near_dedup": op3_embedding_near_dedup, "op6_pfair_mixing": op6_pfair_mixing, "op7_exact_dedup": op7_exact_dedup, "op8_sharding": op8_sharding, "op9_toxicity": op9_toxicity, "op10_best_fit_packing": op10_best_fit_packing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_embedding_near_dedup": op3_embedding_near_dedup, "op4_chat_formatting": op4_chat_formatting, "op6_pfair_mixing": op6_pfair_mixing, "op7_exact_dedup": op7_exact_dedup, "op8_sharding": op8_sharding, "op9_toxicity": op9_toxicity, "op10_best_fit_packing": op10_best_fit_packing}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_ESCAPED = "replace(replace(replace({}, '\\', '\\\\'), '<', '\\<'), '>', '\\>')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_chat_formatting": f"""
+WITH t AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '{PLANTED}' UNION ALL SELECT -7, 1, 'assistant', '{PLANTED}')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, text), '')) AS loss_sha256,
+       CAST(sum(length('<turn:></turn>') + 1 + length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")})) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id""",
     "op7_exact_dedup": f"""
 WITH d AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256 FROM documents),
      g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
