@@ -11,6 +11,7 @@ from .chat import PART, digests, write_chats
 from .common import table
 from .dedup_exact import exact_groups
 from .embedding import linked
+from .licenses import scanned
 from .minhash import near_classes
 from .mixing import mixed
 from .packing import packed
@@ -48,6 +49,11 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(spark.read.parquet(write_chats(turns)))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and labels of all documents."""
+    return scanned(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents interleaved by source, to the tempered natural weights."""
     return mixed(table(spark, sf_dir, "documents"))
@@ -83,7 +89,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 2048, 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_embedding_near_dedup": op3_embedding_near_dedup, "op4_chat_formatting": op4_chat_formatting, "op6_pfair_mixing": op6_pfair_mixing, "op7_exact_dedup": op7_exact_dedup, "op8_sharding": op8_sharding, "op9_toxicity": op9_toxicity, "op10_best_fit_packing": op10_best_fit_packing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_embedding_near_dedup": op3_embedding_near_dedup, "op4_chat_formatting": op4_chat_formatting, "op5_license_scan": op5_license_scan, "op6_pfair_mixing": op6_pfair_mixing, "op7_exact_dedup": op7_exact_dedup, "op8_sharding": op8_sharding, "op9_toxicity": op9_toxicity, "op10_best_fit_packing": op10_best_fit_packing}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
