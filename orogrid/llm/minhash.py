@@ -5,8 +5,9 @@ Each shingle is a Poisson process whose rate is its weight: arrivals have expone
 registers; a register keeps its earliest arrival's shingle. A shingle stops as soon as its next arrival is later than
 the latest register, which is early for all but few. Two texts agree in a register with the probability of
 their probability Jaccard, sum over common shingles i of 1 / sum_j max(a_j/a_i, b_j/b_i), which is the Jaccard
-index where weights are equal. Registers are banded (26 bands of 5: a pair at 0.8 is missed with probability 3e-5),
-and candidates are verified by the exact similarity of their whole texts.
+index where weights are equal. Registers are banded (26 bands of 5: a pair at 0.8 is missed with probability 3e-5).
+Candidates whose registers agree in less than 55 % (7 standard deviations below 0.8) fall away; the rest are
+verified by the exact similarity of their whole texts.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from .common import bounded_batches, checked, connected_components, saved
 from .words import U64, Words, mix, text_slices
 
 BANDS, ROWS, SHINGLE = 26, 5, 5
+#: Share of agreeing registers from which a candidate is verified, and members of a bucket that one comparison holds.
+AGREE, BLOCK_ROWS = 0.55, 512
 _STEP = U64(0xA24BAED4963EE407)
 
 
@@ -92,7 +95,8 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id"
     The class id is the smallest doc_id of the class, and that document is the one kept. Texts with the same words in
     the same order are one member while hashing. A text without words (null, empty, punctuation) is a class of its
     own. Rows repeated with one doc_id share its class. A null doc_id gets a null class and is kept. In a bucket every
-    member is first verified against its smallest member; then only pairs whose components still differ are.
+    member is first compared with its smallest member; then only members whose components still differ are, in block
+    pairs, so that no task holds a whole large bucket and pairs that do not agree are never rows.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -104,28 +108,29 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id"
                 words = Words(data, offsets)
                 sign = signatures(*shingles(words), hi - lo)
                 bands = pa.array(band_hashes(sign).view(np.int64).ravel())
+                short = pa.array([x.tobytes() for x in sign.astype("<u4")], pa.binary())
                 step = pa.array(np.arange(0, (hi - lo + 1) * BANDS, BANDS, dtype=np.int32))
-                columns = [batch.column(0).slice(lo, hi - lo), pa.array(words.count.astype(np.int64)), *(pa.array(words.whole(s).view(np.int64)) for s in (1, 2)), pa.ListArray.from_arrays(step, bands)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "k1", "k2", "bands"])
+                columns = [batch.column(0).slice(lo, hi - lo), pa.array(words.count.astype(np.int64)), *(pa.array(words.whole(s).view(np.int64)) for s in (1, 2)), pa.ListArray.from_arrays(step, bands), short]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "k1", "k2", "bands", "sign"])
 
-    rows = saved(docs.mapInArrow(sketch, "doc_id long, n_words long, k1 long, k2 long, bands array<long>"), "sketches")
+    rows = saved(docs.mapInArrow(sketch, "doc_id long, n_words long, k1 long, k2 long, bands array<long>, sign binary"), "sketches")
     fit = rows.where("n_words > 0 and doc_id is not null")
-    members = saved(fit.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "members")
+    members = saved(fit.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "bands", "sign")).alias("x")).select("k1", "k2", F.col("x.doc_id").alias("rep"), F.col("x.bands").alias("bands"), F.col("x.sign").alias("sign")), "members")
     entries = members.select("rep", F.posexplode("bands").alias("band", "hash"))
     buckets = saved(entries.groupBy("band", "hash").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1"), "buckets")
     inside = saved(entries.join(checked(buckets.select("band", "hash", "leader")), ["band", "hash"]), "inside")
     star = saved(inside.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    links = verified(docs, star, threshold)
+    links = verified(docs, agreeing(star, members), threshold)
     comp = connected_components(links)
     now = inside.join(checked(comp.withColumnRenamed("id", "rep")), "rep", "left").select("band", "hash", "rep", F.coalesce("component", "rep").alias("c"))
     now = saved(now, "split")
     parts = now.groupBy("band", "hash").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("band", "hash")
     open_ = now.join(checked(saved(parts, "open")), ["band", "hash"], "left_semi")
-    heads = open_.select("band", "hash", "c").distinct()
-    heads2 = heads.withColumnRenamed("c", "d")
-    facing = heads.join(heads2, ["band", "hash"]).where("c < d")
-    rest = facing.join(open_.withColumnRenamed("rep", "x"), ["band", "hash", "c"]).join(open_.select("band", "hash", F.col("c").alias("d"), F.col("rep").alias("y")), ["band", "hash", "d"])
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    sizes = checked(saved(open_.groupBy("band", "hash").agg(F.count("*").alias("n")), "sizes"))
+    blocks = open_.join(sizes, ["band", "hash"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
+    blocks = blocks.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = blocks.select("band", "hash", "rep", "c", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
+    rest = facing(blocks.join(members.select("rep", "sign"), "rep")).distinct()
     rest = saved(rest.join(star, ["a", "b"], "left_anti"), "pairs")
     more = verified(docs, rest, threshold)
     comp = connected_components(links.unionByName(more))
@@ -136,6 +141,62 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id"
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 
+def agreeing(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose registers agree in a share of at least ``AGREE``."""
+
+    def compare(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(batch.num_rows, -1) for c in ("sa", "sb"))
+            yield batch.select(["a", "b"]).filter(pa.array((x == y).mean(axis=1) >= AGREE if len(x) else [], pa.bool_()))
+
+    left, right = (members.select(F.col("rep").alias(s), F.col("sign").alias(f"s{s}")) for s in "ab")
+    return saved(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long"), "agreeing")
+
+
+def facing(blocks: DataFrame) -> DataFrame:
+    """(a, b) of the agreeing pairs of different components within each block pair."""
+    keys = ["band", "hash", "lo", "hi"]
+
+    def pairs_of(run: pa.Table, out: list) -> None:
+        ids, c, mine = (run.column(x).to_numpy() for x in ("rep", "c", "mine"))
+        sign = np.frombuffer(b"".join(run.column("sign").to_pylist()), "<u4").reshape(len(ids), -1)
+        left, right = np.flatnonzero(mine == run.column("lo")[0].as_py()), np.flatnonzero(mine == run.column("hi")[0].as_py())
+        same = np.zeros((len(left), len(right)), np.int16)
+        for r in range(sign.shape[1]):
+            same += sign[left, r][:, None] == sign[right, r][None, :]
+        x, y = np.nonzero((same >= AGREE * sign.shape[1]) & (c[left][:, None] != c[right][None, :]))
+        out.append((np.minimum(ids[left[x]], ids[right[y]]), np.maximum(ids[left[x]], ids[right[y]])))
+
+    def run(batches):
+        kept: pa.Table | None = None
+        for batch in batches:
+            kept = pa.table(batch) if kept is None else pa.concat_tables([kept, pa.table(batch)])
+            kept, found = _runs(kept, keys, False, pairs_of)
+            yield from found
+        if kept is not None and kept.num_rows:
+            yield from _runs(kept, keys, True, pairs_of)[1]
+
+    n = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = [*keys, "rep", "c", "mine", "sign"]
+    return blocks.select(columns).repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+
+
+def _runs(table: pa.Table, keys: list[str], all_: bool, work) -> tuple[pa.Table, list[pa.RecordBatch]]:
+    """Do ``work`` on every complete run of equal keys (the last one too if ``all_``); the rows left over and the batches."""
+    table = table.combine_chunks()
+    change = np.zeros(max(0, table.num_rows - 1), bool)
+    for k in keys:
+        x = table.column(k).to_numpy()
+        change |= x[1:] != x[:-1]
+    edge = [0, *(np.flatnonzero(change) + 1).tolist(), *([table.num_rows] if all_ and table.num_rows else [])]
+    out: list = []
+    for lo, hi in zip(edge, edge[1:], strict=False):
+        if hi - lo > 1:
+            work(table.slice(lo, hi - lo), out)
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["a", "b"])] if out else []
+    return table.slice(edge[-1]), batches
+
+
 def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose whole texts have at least the similarity; ``pairs`` is a saved table."""
     wanted = checked(saved(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "wanted"))
