@@ -27,6 +27,8 @@ PREFIXES = (4, 6, 7, 8)
 PRIOR = 2.0
 DRIFT = 1.0
 BINS = 512
+#: Labelled documents that the model is fitted on at most.
+TRAIN_ROWS = 100_000
 
 
 def token_features(words: Words, bits: int = TABLE_BITS) -> np.ndarray:
@@ -257,13 +259,35 @@ def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
     return rows.mapInArrow(score, "doc_id long, score double, n_words long, segments array<struct<start:int,end:int,score:double,p_value:double>>")
 
 
+def without_toxic(docs: DataFrame, model: Model, limit: float = 0.7, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below ``limit``, all columns and repeated rows kept."""
+    bounded_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    column = docs.columns.index(text)
+
+    def keep(batches):
+        m = shared.value
+        for batch in batches:
+            fine = [m.probability(m.evidence(token_scores(features, m.toxic, m.seen, m.base))[0]) < limit for _, features in _documents(batch, column)]
+            yield batch.filter(pa.array(fine, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def held_out(doc_id) -> F.Column:
     """Whether a row is kept from training: crc32 of its doc_id as text is 1 modulo 3."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of the labelled documents that training may see; a doc_id labelled twice counts as toxic if once."""
+def training_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> DataFrame:
+    """(text, toxic) of the labelled documents that training may see; a doc_id labelled twice counts as toxic if once.
+
+    Beyond about ``bound`` labelled documents a hash of the doc_id picks that many, so the side that the join
+    broadcasts has a fixed size and no text is shuffled.
+    """
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id"))).where("toxic is not null and doc_id is not null")
-    labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(labels, "doc_id").select("text", "toxic")
+    labels = saved(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "labels")
+    n = labels.count()
+    if n > bound:
+        labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * bound / n)))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(labels), "doc_id").select("text", "toxic")
