@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import partitions, saved
 
 PERIOD = 1000
 BLOCK_ROWS = 8
@@ -99,3 +99,18 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_rows:
     x = x.withColumn("i", F.col("base") + F.col("rn") - 1).withColumn("epoch", F.explode(F.expr("sequence(0L, (quota - 1 - i) div n)"))).withColumn("g", F.col("epoch") * F.col("n") + F.col("i"))
     x = x.withColumn("j", F.expr(f"g div {block_rows}")).withColumn("slot", F.expr("j div share") * period + F.col("slots")[F.expr("cast(j % share as int)")])
     return x.select("doc_id", "source", F.col("epoch").cast("int").alias("epoch"), F.col("slot").cast("long").alias("slot"), (F.col("slot") * block_rows + F.expr(f"g % {block_rows}")).cast("long").alias("position"))
+
+
+def mixed_documents(docs: DataFrame, weights: dict[str, float] | None = None, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` as often as the mixture places them, in the order of the mixture, with the same columns.
+
+    Rows that share doc_id and source take turns at their placements, so each is placed at least once.
+    """
+    place = mixed(docs, weights, doc_id=doc_id, source=source, **options).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "position")
+    turn = Window.partitionBy("_id", "_source")
+    place = place.withColumn("_turn", F.row_number().over(turn.orderBy("position")))
+    rows = docs.withColumn("_id", F.col(doc_id).cast("long")).withColumn("_source", F.col(source).cast("string"))
+    rows = rows.withColumn("_row", F.row_number().over(turn.orderBy(F.xxhash64(text)))).withColumn("_rows", F.count("*").over(turn))
+    same = rows["_id"].eqNullSafe(place["_id"]) & rows["_source"].eqNullSafe(place["_source"]) & ((place["_turn"] - rows["_row"]) % rows["_rows"] == 0)
+    out = rows.join(place, same).select(*[rows[c] for c in docs.columns], place["position"].alias("_position"))
+    return out.repartitionByRange(partitions(docs.sparkSession), "_position").sortWithinPartitions("_position").drop("_position")
