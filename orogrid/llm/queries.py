@@ -16,6 +16,7 @@ from .minhash import near_classes
 from .mixing import mixed
 from .packing import packed
 from .sharding import write_shards
+from .tokenfile import read_tokens, write_tokens
 from .toxicity import fit, held_out, scored, training_rows
 
 N_SHARDS = 8
@@ -28,6 +29,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token ids, written in coded blocks and read back."""
+    return read_tokens(spark, write_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), 1))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents: five-word shingles, similarity 0.8."""
     return near_classes(table(spark, sf_dir, "documents"), 0.8)
@@ -89,7 +95,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 2048, 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_embedding_near_dedup": op3_embedding_near_dedup, "op4_chat_formatting": op4_chat_formatting, "op5_license_scan": op5_license_scan, "op6_pfair_mixing": op6_pfair_mixing, "op7_exact_dedup": op7_exact_dedup, "op8_sharding": op8_sharding, "op9_toxicity": op9_toxicity, "op10_best_fit_packing": op10_best_fit_packing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_token_blocks": op1_token_blocks, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_embedding_near_dedup": op3_embedding_near_dedup, "op4_chat_formatting": op4_chat_formatting, "op5_license_scan": op5_license_scan, "op6_pfair_mixing": op6_pfair_mixing, "op7_exact_dedup": op7_exact_dedup, "op8_sharding": op8_sharding, "op9_toxicity": op9_toxicity, "op10_best_fit_packing": op10_best_fit_packing}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
