@@ -19,7 +19,7 @@ def packed_spectra(modes: DataFrame, n_modes: int, keys: tuple[str, ...] = ("cel
     """Fixed-length vectors of each cell's positive modes in (l, k) order, padded with zeros; more than ``n_modes`` raises an error."""
     rows = modes.where("ampl > 0").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("l_idx", "k_idx", *values))).alias("m"))
     fits = F.when(F.size("m") > n_modes, F.raise_error(F.lit("more positive modes than the vector holds"))).otherwise(F.lit(n_modes) - F.size("m"))
-    return rows.select(*keys, *[F.concat(F.transform("m", lambda x, v=v: x[v]), F.array_repeat(F.lit(0.0), fits.cast("int"))).alias(v) for v in values])
+    return rows.select(*keys, *[F.concat(F.col("m")[v], F.array_repeat(F.lit(0.0), fits.cast("int"))).alias(v) for v in values])
 
 
 def append_missing(records: DataFrame, path: str, key: str = "cell_id") -> DataFrame:
