@@ -6,7 +6,7 @@ registers; a register keeps its earliest arrival's shingle. A shingle stops as s
 the latest register, which is early for all but few. Two texts agree in a register with the probability of
 their probability Jaccard, sum over common shingles i of 1 / sum_j max(a_j/a_i, b_j/b_i), which is the Jaccard
 index where weights are equal. Registers are banded (26 bands of 5: a pair at 0.8 is missed with probability 3e-5).
-Candidates whose registers agree in less than 55 % (7 standard deviations below 0.8) fall away; the rest are
+Candidates whose registers agree in less than 64 % (4.5 standard deviations below 0.8) fall away; the rest are
 verified by the exact similarity of their whole texts.
 """
 
@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checked, connected_components, saved
+from .common import bounded_batches, checked, connected_components, partitions, saved
 from .words import U64, Words, mix, text_slices
 
 BANDS, ROWS, SHINGLE = 26, 5, 5
 #: Share of agreeing registers from which a candidate is verified, and members of a bucket that one comparison holds.
-AGREE, BLOCK_ROWS = 0.55, 512
+AGREE, BLOCK_ROWS = 0.64, 512
 _STEP = U64(0xA24BAED4963EE407)
 
 
@@ -96,7 +96,7 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id"
     the same order are one member while hashing. A text without words (null, empty, punctuation) is a class of its
     own. Rows repeated with one doc_id share its class. A null doc_id gets a null class and is kept. In a bucket every
     member is first compared with its smallest member; then only members whose components still differ are, in block
-    pairs, so that no task holds a whole large bucket and pairs that do not agree are never rows.
+    pairs that verify where they stand, so that no task holds a whole large bucket and pairs are never rows.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -130,9 +130,9 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id"
     blocks = open_.join(sizes, ["band", "hash"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
     blocks = blocks.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     blocks = blocks.select("band", "hash", "rep", "c", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
-    rest = facing(blocks.join(members.select("rep", "sign"), "rep")).distinct()
-    rest = saved(rest.join(star, ["a", "b"], "left_anti"), "pairs")
-    more = verified(docs, rest, threshold)
+    rest = saved(facing(blocks.join(members.select("rep", "sign"), "rep")), "facing")
+    grams = weights(docs, saved(rest.select(F.col("rep").alias("doc_id")).distinct(), "wanted"))
+    more = saved(verified_blocks(rest.join(members.select("rep", "sign"), "rep").join(grams.withColumnRenamed("doc_id", "rep"), "rep"), threshold), "links")
     comp = connected_components(links.unionByName(more))
     named = fit.select("doc_id", "k1", "k2").join(members.select("k1", "k2", "rep"), ["k1", "k2"])
     named = named.join(checked(comp.withColumnRenamed("id", "rep")), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
@@ -153,32 +153,78 @@ def agreeing(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return saved(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long"), "agreeing")
 
 
-def facing(blocks: DataFrame) -> DataFrame:
-    """(a, b) of the agreeing pairs of different components within each block pair."""
-    keys = ["band", "hash", "lo", "hi"]
-
-    def pairs_of(run: pa.Table, out: list) -> None:
-        ids, c, mine = (run.column(x).to_numpy() for x in ("rep", "c", "mine"))
-        sign = np.frombuffer(b"".join(run.column("sign").to_pylist()), "<u4").reshape(len(ids), -1)
-        left, right = np.flatnonzero(mine == run.column("lo")[0].as_py()), np.flatnonzero(mine == run.column("hi")[0].as_py())
-        same = np.zeros((len(left), len(right)), np.int16)
-        for r in range(sign.shape[1]):
-            same += sign[left, r][:, None] == sign[right, r][None, :]
-        x, y = np.nonzero((same >= AGREE * sign.shape[1]) & (c[left][:, None] != c[right][None, :]))
-        out.append((np.minimum(ids[left[x]], ids[right[y]]), np.maximum(ids[left[x]], ids[right[y]])))
-
-    def run(batches):
+_KEYS = ["band", "hash", "lo", "hi"]
+
+
+def _candidates(run: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (left, right) of a block pair that agree, lie in different components and meet in no earlier band."""
+    c, mine = run.column("c").to_numpy(), run.column("mine").to_numpy()
+    sign = np.frombuffer(b"".join(run.column("sign").to_pylist()), "<u4").reshape(run.num_rows, -1)
+    left, right = np.flatnonzero(mine == run.column("lo")[0].as_py()), np.flatnonzero(mine == run.column("hi")[0].as_py())
+    here = run.column("band")[0].as_py()
+    agree, earlier = np.zeros((len(left), len(right)), np.int16), np.zeros((len(left), len(right)), bool)
+    for band in range(sign.shape[1] // ROWS):
+        whole = np.ones_like(earlier)
+        for r in range(band * ROWS, (band + 1) * ROWS):
+            same = sign[left, r][:, None] == sign[right, r][None, :]
+            agree += same
+            whole &= same
+        if band < here:
+            earlier |= whole
+    x, y = np.nonzero((agree >= AGREE * sign.shape[1]) & ~earlier & (c[left][:, None] != c[right][None, :]))
+    return left[x], right[y]
+
+
+def _on_runs(rows: DataFrame, work, columns: list[str], schema: str) -> DataFrame:
+    """``work`` on every run of one block pair's rows; runs stream through sorted partitions and have 2 * BLOCK_ROWS rows or so."""
+
+    def stream(batches):
         kept: pa.Table | None = None
         for batch in batches:
             kept = pa.table(batch) if kept is None else pa.concat_tables([kept, pa.table(batch)])
-            kept, found = _runs(kept, keys, False, pairs_of)
+            kept, found = _runs(kept, _KEYS, False, work)
             yield from found
         if kept is not None and kept.num_rows:
-            yield from _runs(kept, keys, True, pairs_of)[1]
+            yield from _runs(kept, _KEYS, True, work)[1]
+
+    return rows.select(columns).repartition(partitions(rows.sparkSession), *_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(stream, schema)
+
+
+def facing(blocks: DataFrame) -> DataFrame:
+    """The rows of each block pair that have a candidate partner there."""
+    columns = [*_KEYS, "rep", "c", "mine"]
+
+    def work(run: pa.Table) -> pa.Table:
+        return run.take(pa.array(np.unique(np.concatenate(_candidates(run))))).select(columns)
+
+    return _on_runs(blocks, work, [*columns, "sign"], "band int, hash long, lo int, hi int, rep long, c long, mine int")
 
-    n = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    columns = [*keys, "rep", "c", "mine", "sign"]
-    return blocks.select(columns).repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+
+def verified_blocks(blocks: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links of at least the threshold that join the candidates of every block pair, a tree of each group they form."""
+
+    def work(run: pa.Table) -> pa.Table:
+        ids, root = run.column("rep").to_numpy(), np.arange(run.num_rows)
+        gram, count = ([x.values.to_numpy() for x in run.column(n).combine_chunks()] for n in ("gram", "count"))
+        once = [int(x.max(initial=1)) == 1 for x in count]
+
+        def top(k: int) -> int:
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
+        out = []
+        for x, y in zip(*(k.tolist() for k in _candidates(run)), strict=True):
+            a, b = top(x), top(y)
+            if a == b or once[x] and once[y] and min(len(gram[x]), len(gram[y])) < threshold * max(len(gram[x]), len(gram[y])):
+                continue
+            if probability_jaccard(gram[x].view(U64), count[x], gram[y].view(U64), count[y]) >= threshold:
+                root[max(a, b)] = min(a, b)
+                out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return _on_runs(blocks, work, [*_KEYS, "rep", "c", "mine", "sign", "gram", "count"], "a long, b long")
 
 
 def _runs(table: pa.Table, keys: list[str], all_: bool, work) -> tuple[pa.Table, list[pa.RecordBatch]]:
@@ -189,17 +235,13 @@ def _runs(table: pa.Table, keys: list[str], all_: bool, work) -> tuple[pa.Table,
         x = table.column(k).to_numpy()
         change |= x[1:] != x[:-1]
     edge = [0, *(np.flatnonzero(change) + 1).tolist(), *([table.num_rows] if all_ and table.num_rows else [])]
-    out: list = []
-    for lo, hi in zip(edge, edge[1:], strict=False):
-        if hi - lo > 1:
-            work(table.slice(lo, hi - lo), out)
-    batches = [pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["a", "b"])] if out else []
+    out = [work(table.slice(lo, hi - lo)) for lo, hi in zip(edge, edge[1:], strict=False) if hi - lo > 1]
+    batches = pa.concat_tables(out).combine_chunks().to_batches() if out else []
     return table.slice(edge[-1]), batches
 
 
-def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose whole texts have at least the similarity; ``pairs`` is a saved table."""
-    wanted = checked(saved(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "wanted"))
+def weights(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, gram, count): the sorted shingles of the wanted documents (a saved table of doc_ids), as a saved table."""
 
     def weigh(batches):
         for batch in batches:
@@ -209,8 +251,14 @@ def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x)) for x in (gram.view(np.int64), count.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *lists], ["doc_id", "gram", "count"])
 
-    texts = docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(weigh, "doc_id long, gram array<long>, count array<int>")
-    texts = saved(texts.dropDuplicates(["doc_id"]), "weights")
+    texts = docs.join(checked(wanted), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(weigh, "doc_id long, gram array<long>, count array<int>")
+    return saved(texts.dropDuplicates(["doc_id"]), "weights")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose whole texts have at least the similarity; ``pairs`` is a saved table."""
+    wanted = saved(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "wanted")
+    texts = weights(docs, wanted)
 
     def compare(batches):
         for batch in batches:
