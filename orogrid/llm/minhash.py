@@ -22,7 +22,7 @@ from .words import U64, Words, mix, text_slices
 
 BANDS, ROWS, SHINGLE = 26, 5, 5
 #: Share of agreeing registers from which a candidate is verified, and members of a bucket that one comparison holds.
-AGREE, BLOCK_ROWS = 0.64, 512
+AGREE, BLOCK_ROWS = 0.64, 2048
 _STEP = U64(0xA24BAED4963EE407)
 
 
