@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import great_circle
+from ..session import saved
 
 
 def _binned(points: DataFrame, axes: list[str], radius: float, around: bool) -> DataFrame:
@@ -38,9 +39,9 @@ def nearest(points: DataFrame, cells: DataFrame, axes: list[str], point_id: str,
         both = both.where(reduce(lambda x, y: x & y, [g <= radius for g in gaps]))
         d = reduce(lambda x, y: x + y, gaps) if metric == "l1" else F.sqrt(reduce(lambda x, y: x + y, [g * g for g in gaps]))
         best = both.groupBy(point_id).agg(F.min(F.struct(d.alias("distance"), F.col(cell_id).alias(cell_id))).alias("m")).select(point_id, F.col(f"m.{cell_id}").alias(cell_id), F.col("m.distance").alias("distance"))
-        found = (best.where(F.col("distance") <= radius) if exact else best).persist()
+        found = saved(best.where(F.col("distance") <= radius) if exact else best, "nearest")
         done.append(found)
-        left = left.join(found.select(point_id), point_id, "left_anti").persist()
+        left = saved(left.join(found.select(point_id), point_id, "left_anti"), "left")
         if not left.limit(1).count():
             break
         radius *= 2

@@ -31,13 +31,17 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+#: Added before rounding, so that means of whole cents, which often lie half way between two roundings, don't.
+OFF = 1.7e-8
+
+
 def rounded(df: DataFrame, places: int = 6, **own: int) -> DataFrame:
     """Doubles rounded, so that the last digits of sums taken in another order don't count; no negative zero."""
     def r(c: str, kind: str) -> Column:
-        return (F.round(c, own.get(c, places)) + F.lit(0.0)).alias(c) if kind == "double" else F.col(c)
+        return (F.round(F.col(c) + OFF, own.get(c, places)) + F.lit(0.0)).alias(c) if kind == "double" else F.col(c)
 
     return df.select(*[r(c, k) for c, k in df.dtypes])
 
 
 def rnd(x: str, places: int = 6) -> str:
-    return f"(round({x}, {places}) + 0.0)"
+    return f"(round({x} + {OFF!r}, {places}) + 0.0)"

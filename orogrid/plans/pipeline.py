@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.spectral import flux
 from ..operators import fits, lsff, modes, sinks
 from ..operators import raster as R
+from ..session import saved
 from .spectral_queries import wave
 
 
@@ -82,28 +83,20 @@ def refined(points: DataFrame, inside, s: Settings, ni: int, nj: int, tolerance:
     """Repeated fits of what is left: while a cell's flux differs from the reference by more than ``tolerance``, its residual is fitted
     again and the amplitudes add up, keeping the strongest. At most ``cap`` rounds; the cells still open are the only ones refitted.
     """
-    from ..session import shared_path
-
-    spark = points.sparkSession
     z = R.demeaned(points)
     reference = wave(first_fit(z, s, ni, nj)).withColumn("uw", flux("ampl", "kk", "ll", s.u, s.v)).groupBy("cell_id").agg(F.sum("uw").alias("ref"))
 
-    def stored(df: DataFrame, name: str) -> DataFrame:
-        path = shared_path(spark, name)
-        df.write.parquet(path)
-        return spark.read.parquet(path)
-
-    reference = stored(reference, "reference")
-    total = stored(approximated(points, inside, s, ni, nj).select("cell_id", "k_idx", "l_idx", "m_i", "m_j", "a_cos", "a_sin", F.lit(0).alias("round")), "round")
+    reference = saved(reference, "reference")
+    total = saved(approximated(points, inside, s, ni, nj).select("cell_id", "k_idx", "l_idx", "m_i", "m_j", "a_cos", "a_sin", F.lit(0).alias("round")), "round")
     for step in range(1, cap + 1):
         now = wave(total.withColumn("ampl", F.hypot("a_cos", "a_sin"))).withColumn("uw", flux("ampl", "kk", "ll", s.u, s.v)).groupBy("cell_id").agg(F.sum("uw").alias("uw"))
         open_ = now.join(reference, "cell_id").where(F.abs(F.col("uw") / F.col("ref") - 1) > tolerance).select("cell_id")
-        open_ = stored(open_, "open")
+        open_ = saved(open_, "open")
         if not open_.limit(1).count():
             break
         left = lsff.reconstruction(z.join(open_, "cell_id"), total, ni, nj, ("cell_id",)).select("cell_id", "i", "j", (F.col("z") - F.col("recon")).alias("z"))
         more = approximated(left, inside, s, ni, nj).select("cell_id", "k_idx", "l_idx", "m_i", "m_j", "a_cos", "a_sin")
         both = total.drop("round").unionByName(more).groupBy("cell_id", "k_idx", "l_idx", "m_i", "m_j").agg(F.sum("a_cos").alias("a_cos"), F.sum("a_sin").alias("a_sin"))
         kept = modes.top_modes(both.withColumn("ampl", F.hypot("a_cos", "a_sin")), s.n_modes).drop("ampl", "rank")
-        total = stored(kept.withColumn("round", F.lit(step)), "round")
+        total = saved(kept.withColumn("round", F.lit(step)), "round")
     return total

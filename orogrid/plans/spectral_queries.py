@@ -228,7 +228,7 @@ WITH {DEMEANED}, {MODES}, sums AS (SELECT cell_id, m_i, m_j, sum(z * cos{_P}) AS
      r AS (SELECT cell_id, n, zz, cs AS rhs, CASE WHEN m_i = 0 AND m_j = 0 THEN n ELSE n / 2.0 END AS dg FROM sums WHERE NOT (m_i = 0 AND m_j < 0) UNION ALL SELECT cell_id, n, zz, sn, n / 2.0 FROM sums WHERE NOT (m_i = 0 AND m_j <= 0)),
      g AS (SELECT CAST(s AS INT) AS step, pow(10.0, -6 + s * 0.25) AS lam FROM range(41) t(s)),
      x AS (SELECT cell_id, step, n, zz, dg / (dg + lam * {SHARE!r} * n) AS s, rhs, dg FROM r, g)
-SELECT cell_id, step, {rnd('(max(zz) - sum((2 * s - s * s) * rhs * rhs / dg)) / pow(max(n) - sum(s), 2)', 5)} AS gcv FROM x GROUP BY 1, 2""")
+SELECT cell_id, step, {rnd('(max(zz) - sum((2 * s - s * s) * rhs * rhs / dg)) / pow(max(n) - sum(s), 2)', 3)} AS gcv FROM x GROUP BY 1, 2""")
 def gcv_lambda_rect(spark, d):
     """The GCV score of every regularisation step; the diagonal Gram gives shrinkage, residual and trace in closed form."""
     z = demeaned(spark, d)
@@ -237,7 +237,7 @@ def gcv_lambda_rect(spark, d):
     grid = spark.range(41).select(F.col("id").cast("int").alias("step"), F.pow(F.lit(10.0), -6 + F.col("id") * 0.25).alias("lam"))
     x = rhs.crossJoin(F.broadcast(grid)).withColumn("s", F.col("dg") / (F.col("dg") + F.col("lam") * SHARE * F.col("n")))
     left = F.max("zz") - F.sum((2 * F.col("s") - F.col("s") * F.col("s")) * F.col("rhs") * F.col("rhs") / F.col("dg"))
-    return rounded(x.groupBy("cell_id", "step").agg((left / F.pow(F.max("n") - F.sum("s"), 2)).alias("gcv")), 5)
+    return rounded(x.groupBy("cell_id", "step").agg((left / F.pow(F.max("n") - F.sum("s"), 2)).alias("gcv")), 3)
 
 
 FOLDS_I, FOLDS_J, BUFFER = 4, 2, 2

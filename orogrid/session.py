@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "orogrid", master: str | None = None, **conf: str) -> SparkSession:
@@ -22,3 +22,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder name that driver and executors share: below spark.checkpoint.dir, or temporary where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="orogrid-")
     return f"{base.rstrip('/')}/orogrid/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: a loop's plan stays flat, and lost executors lose nothing."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -21,11 +21,16 @@ def multi_record_scan(records: DataFrame, lat: tuple[float, float], lon: tuple[f
     rows = records.withColumns({"_dy": spacing("lat"), "_dx": spacing("lon"), "_n": F.size("lon")}).select("record", "lat", "lon", "_dy", "_dx", "_n", F.posexplode("z").alias("p", "z"))
     rows = rows.select("record", F.expr("lat[p div _n]").alias("lat"), F.expr("lon[cast(p % _n as int)]").alias("lon"), "z", "_dy", "_dx")
     inside = F.col("lat").between(F.lit(lat[0]) - pad * F.col("_dy"), F.lit(lat[1]) + pad * F.col("_dy")) & F.col("lon").between(F.lit(lon[0]) - pad * F.col("_dx"), F.lit(lon[1]) + pad * F.col("_dx"))
-    return rows.where(inside).groupBy("lat", "lon").agg(F.min_by("z", "record").alias("z"))
+    return rows.where(inside & F.col("z").isNotNull()).groupBy("lat", "lon").agg(F.min_by("z", "record").alias("z"))
 
 
 def packed(points: DataFrame, keys: tuple[str, ...] = ("record",)) -> DataFrame:
-    """Long nodes (i, j, lat, lon, z) as one row a record with ascending axes and row-major values; a record is one tile."""
+    """Long nodes (i, j, lat, lon, z) as one row a record with ascending axes and row-major values; a record is one tile.
+
+    Nodes that a record lacks are null.
+    """
+    rows_, columns_ = points.select(*keys, "i", "lat").distinct(), points.select(*keys, "j", "lon").distinct()
+    points = rows_.join(columns_, list(keys)).join(points.select(*keys, "i", "j", "z"), [*keys, "i", "j"], "left")
     rows = F.array_sort(F.collect_list(F.struct("i", "j", "z")))
     axis = lambda c: F.array_sort(F.collect_set(c))
     return points.groupBy(*keys).agg(axis("lat").alias("lat"), axis("lon").alias("lon"), rows.alias("m")).select(*keys, "lat", "lon", F.col("m")["z"].alias("z"))
