@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orogrid.llm.common import saved, table
+from orogrid.llm.common import released, saved, table
 from orogrid.llm.dedup_exact import deduplicated
 from orogrid.llm.minhash import near_deduplicated
 from orogrid.llm.mixing import mixed_documents
@@ -15,7 +15,9 @@ from orogrid.llm.toxicity import fit, training_rows, without_toxic
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored toxic go; the model learns from the labelled documents that are not held out."""
-    return without_toxic(docs, fit(training_rows(docs, table(spark, sf_dir, "labels"))), TOXIC_FROM)
+    with released(spark):
+        model = fit(training_rows(docs, table(spark, sf_dir, "labels")))
+    return without_toxic(docs, model, TOXIC_FROM)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

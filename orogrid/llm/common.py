@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,13 +28,33 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/orogrid/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage is cut and lost executors lose nothing."""
+_scratch: list[list[str]] = []
+
+
+def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: lineage is cut and lost executors lose nothing.
+
+    Inside ``released`` the table goes when the block ends, unless it is to be kept.
+    """
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    if _scratch and not keep:
+        _scratch[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables that ``saved`` writes in this block once it ends: nothing that outlives the block may read them."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for name in _scratch.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Arrow batches of at most ``rows`` rows in this session, so that batches of whole texts stay small in Python."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checked, saved
+from .common import bounded_batches, checked, released, saved
 from .words import LOWER_ASCII
 
 #: Quotients per slice and texts per partition-level filter; both only size the pieces, results don't depend on them.
@@ -143,9 +143,10 @@ def _by_sha():
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns kept; rows repeated with one doc_id and equal text stay once."""
-    found = saved(exact_groups(docs, doc_id, text), "exact")
-    gone = checked(saved(found.where("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha")).distinct(), "gone"))
-    twice = found.where("kept and n_same > 1").limit(1).count() > 0
+    with released(docs.sparkSession):
+        found = saved(exact_groups(docs, doc_id, text), "exact")
+        gone = checked(saved(found.where("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha")).distinct(), "gone", keep=True))
+        twice = found.where("kept and n_same > 1").limit(1).count() > 0
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     sha = F.sha2(F.translate(F.coalesce(F.col(text), F.lit("")), upper, upper.lower()), 256)
     # two inequalities, not one equality: the digest is then made only for rows whose doc_id matches

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checked, connected_components, partitions, saved
+from .common import bounded_batches, checked, connected_components, partitions, released, saved
 from .words import U64, Words, mix, text_slices
 
 BANDS, ROWS, SHINGLE = 26, 5, 5
@@ -274,5 +274,6 @@ def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
 
 def near_deduplicated(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each class the document with the smallest doc_id."""
-    gone = saved(near_classes(docs, threshold, doc_id, text).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    with released(docs.sparkSession):
+        gone = saved(near_classes(docs, threshold, doc_id, text).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone", keep=True)
     return docs.join(checked(gone), F.col(doc_id) == F.col("_gone"), "left_anti")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import PART, digests, write_chats
-from .common import table
+from .common import released, table
 from .dedup_exact import exact_groups
 from .embedding import linked
 from .licenses import scanned
@@ -85,7 +85,8 @@ TOXIC_FROM = 0.7
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of all documents; labels of held-out rows are never read into the model."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit(training_rows(docs, table(spark, sf_dir, "labels")))
+    with released(spark):
+        model = fit(training_rows(docs, table(spark, sf_dir, "labels")))
     rows = scored(docs, model).select("doc_id", "score", "n_words", F.size("segments").alias("n_segments"))
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"), "n_words", "n_segments")
 
