@@ -3,8 +3,9 @@
 Ids are below 2**16. Each block starts from a fresh model. For every id the model predicts with order 2 (the id that last
 followed the two ids before) and order 1 (the one before), each with a confidence; the probabilities of
 both predictions are mixed with adaptive weights into one three-way choice (order-2 id, order-1 id, neither). If
-neither holds, the id is coded by order 0: four nibbles, each with an adaptive distribution for the nibbles before
-it. A 32-bit range coder with carries turns the choices into bytes. Everything is integer arithmetic, so any
+neither holds, the id is coded by order 0: its low byte as two nibbles with adaptive distributions, then whether it is
+the id that last had this low byte, with the adaptive probability of that prediction's confidence, or else its
+high byte. The order-0 tables are small enough to stay in cache. A 32-bit range coder with carries turns the choices into bytes. Everything is integer arithmetic, so any
 machine decodes what any other wrote. Blocks are coded in lockstep: one NumPy step codes one id of every block.
 
 A block is self-contained: magic, sizes, CRC-32 of its ids, the table of its documents and the coded ids.
@@ -21,9 +22,7 @@ BLOCK_IDS, LANES = 4096, 1024
 MAGIC = b"OTB1"
 _HEAD = struct.Struct("<4sIIIIBB2x")  # magic, ids, documents, coded bytes, crc32 of the ids, first continues, last continues
 NO_ID = -(1 << 63)
-_SLOTS, _LAST = 1 << 12, 1 << 11
-_LEVELS = (0, 1, 17, 273)  # where each nibble's contexts start
-_CONTEXTS = 273 + _LAST
+_SLOTS, _CONTEXTS = 1 << 12, 17
 _TOP, _MASK = np.int64(1 << 24), np.int64((1 << 32) - 1)
 #: by nibble: the cumulative distribution that is all but certain of it, every other nibble keeping 1 in 65536
 _SURE = np.array([[i if i <= k else 65536 - 16 + i for i in range(16)] for k in range(16)], np.int32)
@@ -81,6 +80,8 @@ def _lockstep(ids: np.ndarray, lengths: np.ndarray, coder: _Coder) -> None:
     known = np.zeros((2, n * _SLOTS), np.int32)  # by order and context: predicted id * 8 + confidence
     hit = np.full((3, n * 8), 32768, np.int32)  # order 2, order 1, order 1 once order 2 has failed
     weight = np.full((2, n), 128, np.int32)
+    recent = np.zeros(n * 256, np.int32)  # by low byte: the last id * 8 + confidence
+    again = np.full(n * 8, 32768, np.int32)
     cdf = np.tile((np.arange(16) * 4096).astype(np.uint16), (n * _CONTEXTS, 1))
     before1, before2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
     lane_all = np.arange(n)
@@ -112,16 +113,14 @@ def _lockstep(ids: np.ndarray, lengths: np.ndarray, coder: _Coder) -> None:
         coder.step(slice(0, m), start.astype(np.int64), np.where(kind == 2, f2, np.where(kind == 1, f1, rest - f1)).astype(np.int64))
         e = np.flatnonzero(kind == 0)
         if len(e):
-            base, prefix = e * _CONTEXTS, np.zeros(len(e), np.int64)
-            wanted = x[e].astype(np.int64)
-            for level in range(4):
-                context = base + _LEVELS[level] + (prefix if level < 3 else (prefix * 40503 >> 3) & (_LAST - 1))
+            base, context = e * _CONTEXTS, e * _CONTEXTS
+            wanted, pick, low_byte = x[e], np.arange(len(e)), 0
+            for level in range(2):
                 row = cdf[context].astype(np.int32)
                 if coder.encoding:
-                    nibble = wanted >> (12 - 4 * level) & 15
+                    nibble = wanted >> (4 - 4 * level) & 15
                 else:
                     nibble = (row <= coder.target(e)[:, None]).sum(axis=1) - 1
-                pick = np.arange(len(e))
                 low = row[pick, nibble]
                 high = np.where(nibble < 15, row[pick, np.minimum(nibble + 1, 15)], 65536)
                 coder.step(e, low.astype(np.int64), (high - low).astype(np.int64))
@@ -130,9 +129,27 @@ def _lockstep(ids: np.ndarray, lengths: np.ndarray, coder: _Coder) -> None:
                 sure >>= _RATE
                 sure += row
                 cdf[context] = sure
-                prefix = prefix << 4 | nibble
+                low_byte = low_byte * 16 + nibble
+                context = base + 1 + nibble
+            place = e * 256 + low_byte
+            known0 = recent[place]
+            p0, c0 = known0 >> 3, known0 & 7
+            at0 = e * 8 + c0
+            f0 = np.clip(again[at0], 256, 65536 - 512)
+            unit = (65536 - f0) >> 8  # an equal share for each high byte
+            if coder.encoding:
+                held = wanted == p0
+                byte = wanted >> 8
+            else:
+                v = coder.target(e)
+                held = v < f0
+                byte = np.minimum((v - f0) // unit, 255)
+            coder.step(e, np.where(held, 0, f0 + byte * unit).astype(np.int64), np.where(held, f0, unit).astype(np.int64))
+            value = np.where(held, p0, byte * 256 + low_byte).astype(np.int32)
+            again[at0] += (held * 65535 - again[at0]) >> 5
+            recent[place] = np.where(held, known0 + (c0 < 7), np.where(c0 > 1, known0 - 2, value << 3))
             if not coder.encoding:
-                x[e] = prefix
+                x[e] = value
         if not coder.encoding:
             ids[:m, t] = x
         good2, good1 = x == p2, x == p1
