@@ -1,11 +1,11 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame functions only.
 
-Sources are cut into blocks of ``block_rows`` documents. Weights are whole shares of a period of ``PERIOD`` block
-slots. Block j of a source with share w may not come before its release floor(j * PERIOD / w) and is due at
-ceil((j + 1) * PERIOD / w); in every slot the released block with the earliest deadline runs. The windows of all
-sources fill a period exactly, so every deadline is met and no source is ever a whole block ahead of or behind its
-share. A source with w slots a period repeats its windows each period, so one period is scheduled once, by a
-fold over the slots, and every block of however large a table finds its slot by arithmetic.
+Sources are cut into blocks of ``block_rows`` documents. Block j of a source with weight w of W in all may not come
+before its release floor(j * W / w) and is due at ceil((j + 1) * W / w); in every slot the released block with the
+earliest deadline runs. Every deadline is met so, and no source is ever a whole block ahead of or behind its target
+weight, however long the schedule is. Weights are whole numbers (``whole_weights``), releases and deadlines are carried
+on in whole numbers with their remainders, and the schedule is one fold over all slots of the table, which holds the next
+block of each source. It is sequential: one task, whose time grows with slots times sources.
 
 Every document is placed at least once: the schedule runs until the last source has been through its documents,
 and sources that end earlier start over (another epoch). Documents are numbered within their source in two
@@ -14,91 +14,121 @@ levels, (source, salt) and within, so a source with a third of all rows is not n
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, saved
+from .common import checked, partitions, saved
 
 PERIOD = 1000
 BLOCK_ROWS = 8
 #: Exponent that flattens the natural shares where no weights are given.
 TEMPER = 0.7
+#: Slots of one inner fold: appending to an array copies it.
+FOLD = 1000
+
+
+def target_weights(counts: list[tuple[str | None, int]], weights: dict[str, float] | None = None, temper: float = TEMPER) -> list[Fraction]:
+    """The weight of each (source, n): as given, decimals as they are written, or else n ** temper."""
+    given = weights or {}
+    if any(not (math.isfinite(w) and w > 0) for w in given.values()):
+        raise ValueError("weights must be positive")
+    return [Fraction(repr(float(given[s]))) if s in given else Fraction(float(n) ** temper) for s, n in counts]
+
+
+def whole_weights(exact: list[Fraction]) -> list[int]:
+    """Whole numbers in the ratio of the weights; where those exceed 2^60 in all, the nearest at that size, which is as exact as a double."""
+    scale = math.lcm(*(w.denominator for w in exact)) if exact else 1
+    whole = [int(w * scale) for w in exact]
+    common = math.gcd(*whole) or 1
+    if sum(whole) // common < 1 << 60:
+        return [w // common for w in whole]
+    return [max(1, round(w * ((1 << 60) - len(exact)) / sum(exact))) for w in exact]
+
+
+def whole_shares(exact: list[Fraction], period: int) -> list[int]:
+    """Whole slots of a period, at least one each, ``period`` in all: largest remainders; what the ones take comes from the largest shares."""
+    if len(exact) > period:
+        raise ValueError(f"{len(exact)} sources do not fit a period of {period} slots")
+    part = [w * period / sum(exact) for w in exact]
+    out = [max(1, math.floor(x)) for x in part]
+    spare = period - sum(out) if out else 0
+    for k in sorted(range(len(out)), key=lambda k: out[k] - part[k])[: max(0, spare)]:
+        out[k] += 1
+    for _ in range(-spare):
+        out[max(range(len(out)), key=lambda k: (out[k] > 1, out[k] - part[k]))] -= 1
+    return out
+
+
+def _counts(sizes: DataFrame) -> list[tuple[str | None, int]]:
+    return sorted(((r["source"], r["n"]) for r in sizes.collect()), key=lambda x: (x[0] is not None, x[0] or ""))
 
 
 def shares(sizes: DataFrame, weights: dict[str, float] | None = None, period: int = PERIOD, temper: float = TEMPER) -> DataFrame:
-    """(source, n, share): whole slots a period, at least one each, ``period`` in all (largest remainders).
+    """(source, n, share): the weights as whole slots of a stated period; see ``whole_shares``. ``mixed`` rounds to them only if it is given a period."""
+    counts = _counts(sizes)
+    rows = [(*c, w) for c, w in zip(counts, whole_shares(target_weights(counts, weights, temper), period), strict=True)]
+    return sizes.sparkSession.createDataFrame(rows, "source string, n long, share int")
 
-    ``weights`` maps source names to positive weights; a source without one gets its natural weight n ** temper
-    scaled by the same measure as if all were absent. There can be at most ``period`` sources.
-    """
-    w = F.pow(F.col("n").cast("double"), F.lit(temper))
-    if weights:
-        given = F.create_map(*[F.lit(x) for kv in weights.items() for x in (kv[0], float(kv[1]))])
-        w = F.coalesce(given[F.col("source")], w)
-    k = sizes.count()
-    if k > period:
-        raise ValueError(f"{k} sources do not fit a period of {period} slots")
-    everything = Window.partitionBy(F.lit(0))  # one row a source: at most ``period`` rows
-    part = sizes.withColumn("w", w).withColumn("exact", F.col("w") / F.sum("w").over(everything) * (period - k)).withColumn("whole", F.floor("exact").cast("int") + 1)
-    spare = F.lit(period) - F.sum("whole").over(everything)
-    rank = F.row_number().over(everything.orderBy(F.desc(F.col("exact") - F.floor("exact")), F.asc_nulls_first("source")))
-    return part.withColumn("spare", spare).withColumn("rank", rank).select("source", "n", (F.col("whole") + (F.col("rank") <= F.col("spare")).cast("int")).cast("int").alias("share"))
-
-
-def schedule(parts: DataFrame, period: int = PERIOD) -> DataFrame:
-    """(source, n, share, slots): the slots of one period in which each source's blocks run, ascending.
-
-    A fold over the slots: its state holds the blocks each source has run; the next slot goes to the source whose next
-    block is released and due first (ties: the first in name order).
+
+_BLOCK = "struct<i:int,j:bigint>"
+_STATE = "struct<due:bigint,i:int,rel:bigint,j:bigint,q:bigint,r:bigint,w:bigint,a:bigint,b:bigint>"
+
+
+def schedule(spark, whole: list[int], slots: int) -> DataFrame:
+    """(slot, i, j): block j of source i runs in the slot; at least the first ``slots`` slots, by whole weights.
+
+    The state of a source is its next block j: its release, (j + 1) * W as quotient q and remainder r of its weight w, and
+    its deadline. The next slot goes to the released block that is due first (ties: the first source).
     """
-    one = parts.groupBy().agg(F.array_sort(F.collect_list(F.struct(F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("none"), "source", "n", "share"))).alias("s"))
-    share = lambda i: F.col("s")[i]["share"]
-
-    def run(state, t):
-        index = F.sequence(F.lit(0), F.size("s") - 1)
-        waiting = F.filter(
-            F.transform(index, lambda i: F.struct(F.expr("0").alias("due"), i.alias("i"), state["done"][i].alias("j"), share(i).alias("w"))),
-            lambda x: (x["j"] < x["w"]) & (F.floor(x["j"] * F.lit(period) / x["w"]) <= t),
-        )
-        due = F.transform(waiting, lambda x: F.struct(F.ceil((x["j"] + 1) * F.lit(period) / x["w"]).alias("due"), x["i"].alias("i")))
-        chosen = F.array_min(due)["i"]
-        done = F.transform(state["done"], lambda d, i: d + F.when(i == chosen, 1).otherwise(0))
-        return F.struct(done.alias("done"), F.concat(state["order"], F.array(chosen.cast("int"))).alias("order"))
-
-    start = F.struct(F.transform("s", lambda x: F.lit(0)).alias("done"), F.expr("cast(array() as array<int>)").alias("order"))
-    order = F.aggregate(F.sequence(F.lit(0), F.lit(period - 1)), start, run, lambda state: state["order"])
-    slot = one.select("s", order.alias("order")).select(F.posexplode("s").alias("i", "x"), "order")
-    mine = F.filter(F.transform("order", lambda o, t: F.when(o == F.col("i"), t).otherwise(F.lit(-1))), lambda t: t >= 0)
-    return slot.select(F.col("x.source").alias("source"), F.col("x.n").alias("n"), F.col("x.share").alias("share"), mine.alias("slots"))
-
-
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD, temper: float = TEMPER, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
+    total = sum(whole)
+    first = [(total // w + (total % w > 0), i, 0, 0, total // w, total % w, w, total // w, total % w) for i, w in enumerate(whole)]
+    one = spark.createDataFrame([(first,)], f"s array<{_STATE}>") if first else spark.createDataFrame([], f"s array<{_STATE}>")
+    carried = "named_struct('rel', x.q, 'q', x.q + x.a + if(x.r >= x.w - x.b, 1L, 0L), 'r', if(x.r >= x.w - x.b, x.r - (x.w - x.b), x.r + x.b))"
+    after = f"transform(array({carried}), y -> named_struct('due', y.q + if(y.r > 0, 1L, 0L), 'i', x.i, 'rel', y.rel, 'j', x.j + 1L, 'q', y.q, 'r', y.r, 'w', x.w, 'a', x.a, 'b', x.b))[0]"
+    chosen = "array_min(filter(u.s, x -> x.rel <= t))"
+    step = f"transform(array({chosen}), c -> named_struct('s', transform(u.s, x -> if(x.i = c.i, {after}, x)), 'run', concat(u.run, array(named_struct('i', c.i, 'j', c.j)))))[0]"
+    inner = f"aggregate(sequence(k * {FOLD}L, k * {FOLD}L + {FOLD - 1}L), named_struct('s', v.s, 'run', cast(array() as array<{_BLOCK}>)), (u, t) -> {step})"
+    outer = f"transform(array({inner}), z -> named_struct('s', z.s, 'runs', concat(v.runs, array(z.run))))[0]"
+    runs = f"aggregate(sequence(0L, {max(0, slots - 1) // FOLD}L), named_struct('s', s, 'runs', cast(array() as array<array<{_BLOCK}>>)), (v, k) -> {outer}, v -> v.runs)"
+    run = one.select(F.posexplode(F.expr(runs)).alias("k", "run")).select("k", F.posexplode("run").alias("p", "x"))
+    return run.select((F.col("k").cast("long") * FOLD + F.col("p")).alias("slot"), F.col("x.i").alias("i"), F.col("x.j").alias("j"))
+
+
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, period: int | None = None, temper: float = TEMPER, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
     """doc_id, source, epoch, slot, position for every placement; positions ascend in training order.
 
     ``position`` is slot * block_rows + place in the block. A null source is a source of its own, null or repeated
     doc_ids are rows like others (equal rows are placed next to each other), an empty table gives no rows,
-    other columns are ignored. Only the number of sources comes to the driver.
+    other columns are ignored. Weights are kept exactly unless a ``period`` is given, which rounds them to whole shares of it.
+    To the driver come the sources with their numbers of documents and of blocks.
     """
     rows = saved(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source")), "ids")
     cells = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(max(64, rows.count() // 20_000_000))).cast("int"))
     counts = saved(cells.groupBy("source", "salt").agg(F.count("*").alias("m")), "cells")
     before = Window.partitionBy("source").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("base", F.coalesce(F.sum("m").over(before), F.lit(0)))
-    sizes = counts.groupBy("source").agg(F.sum("m").alias("n"))
-    plan = saved(schedule(shares(sizes, weights, period, temper), period), "plan")
-    last = F.expr(f"(n - 1) div {block_rows}")  # the last block of the first epoch
-    end = F.floor(last / F.col("share")) * period + F.col("slots")[(last % F.col("share")).cast("int")] + 1
-    plan = plan.withColumn("end", F.max(end).over(Window.partitionBy(F.lit(0))))
-    quota = (F.expr(f"end div {period}") * F.col("share") + F.size(F.filter("slots", lambda t: t < F.expr(f"end % {period}")))) * block_rows
-    plan = saved(plan.withColumn("quota", quota), "quota")
+    found = _counts(counts.groupBy("source").agg(F.sum("m").alias("n")))
+    exact = target_weights(found, weights, temper)
+    whole = whole_weights(exact) if period is None else whole_shares(exact, period)
+    last = [(n - 1) // block_rows for _, n in found]  # the last block of the first epoch
+    slots = max((-(-(k + 1) * sum(whole) // w) for k, w in zip(last, whole, strict=True)), default=0)
+    spark = docs.sparkSession
+    plan = saved(schedule(spark, whole, slots), "plan")
+    names = spark.createDataFrame([(i, s, n, k) for i, ((s, n), k) in enumerate(zip(found, last, strict=True))], "i int, s2 string, n long, last long")
+    end = plan.join(F.broadcast(names), "i").where("j = last").agg(F.max("slot")).head()[0]
+    plan = saved(plan.where(F.col("slot") <= F.lit(-1 if end is None else end)), "plan")
+    quota = {r["i"]: r["blocks"] * block_rows for r in plan.groupBy("i").agg(F.count("*").alias("blocks")).collect()}
+    names = spark.createDataFrame([(i, s, n, quota[i]) for i, (s, n) in enumerate(found)], "k int, s2 string, n long, quota long")
     numbered = cells.withColumn("rn", F.row_number().over(Window.partitionBy("source", "salt").orderBy("doc_id")))
     same = lambda a, b: a.eqNullSafe(b)
     base = counts.select(F.col("source").alias("s1"), F.col("salt").alias("t1"), "base")
-    plan = plan.select(F.col("source").alias("s2"), "n", "share", "slots", "quota")
-    x = numbered.join(F.broadcast(base), same(F.col("source"), F.col("s1")) & (F.col("salt") == F.col("t1"))).join(F.broadcast(plan), same(F.col("source"), F.col("s2")))
-    x = x.withColumn("i", F.col("base") + F.col("rn") - 1).withColumn("epoch", F.explode(F.expr("sequence(0L, (quota - 1 - i) div n)"))).withColumn("g", F.col("epoch") * F.col("n") + F.col("i"))
-    x = x.withColumn("j", F.expr(f"g div {block_rows}")).withColumn("slot", F.expr("j div share") * period + F.col("slots")[F.expr("cast(j % share as int)")])
-    return x.select("doc_id", "source", F.col("epoch").cast("int").alias("epoch"), F.col("slot").cast("long").alias("slot"), (F.col("slot") * block_rows + F.expr(f"g % {block_rows}")).cast("long").alias("position"))
+    x = numbered.join(F.broadcast(base), same(F.col("source"), F.col("s1")) & (F.col("salt") == F.col("t1"))).join(F.broadcast(names), same(F.col("source"), F.col("s2")))
+    x = x.withColumn("at", F.col("base") + F.col("rn") - 1).withColumn("epoch", F.explode(F.expr("sequence(0L, (quota - 1 - at) div n)"))).withColumn("g", F.col("epoch") * F.col("n") + F.col("at"))
+    x = x.withColumn("block", F.expr(f"g div {block_rows}")).join(checked(plan), (F.col("k") == F.col("i")) & (F.col("block") == F.col("j")))
+    return x.select("doc_id", "source", F.col("epoch").cast("int").alias("epoch"), "slot", (F.col("slot") * block_rows + F.expr(f"g % {block_rows}")).cast("long").alias("position"))
 
 
 def mixed_documents(docs: DataFrame, weights: dict[str, float] | None = None, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:

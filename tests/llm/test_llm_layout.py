@@ -197,6 +197,32 @@ def test_mixing_stays_within_a_block(spark, weights):
     assert mixing.mixed(docs.limit(0)).count() == 0
 
 
+def lag(slots, target):
+    """By source the largest distance, in blocks, from its target weight."""
+    total = sum(target.values())
+    return {s: max(abs(np.cumsum([x == s for x in slots]) - np.arange(1, len(slots) + 1) * (w / total))) for s, w in target.items()}
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.4, "b": 0.3, "c": 0.2, "d": 0.1}, None])
+def test_mixing_follows_the_unrounded_weights(spark, weights):
+    n = {"a": 2500, "b": 1700, "c": 1100, "d": 700} if weights else {"hot": 1500, **{f"s{k}": 150 + k for k in range(19)}, "one": 1}
+    docs = spark.createDataFrame([(k, s) for s, m in n.items() for k in range(m)], "doc_id long, source string")
+    got = mixing.mixed(docs, weights, block_rows=1).collect()
+    order = {r.slot: r.source for r in got}
+    assert len(order) == len(got) > 2000
+    assert {(r.doc_id, r.source) for r in got} == {(k, s) for s, m in n.items() for k in range(m)}
+    assert max(lag([order[k] for k in range(len(order))], weights or {s: m**0.7 for s, m in n.items()}).values()) < 1 + 1e-9
+
+
+def test_mixing_takes_more_sources_than_a_period(spark):
+    docs = spark.createDataFrame([(k, f"s{k % 1100}") for k in range(1300)], "doc_id long, source string")
+    got = mixing.mixed(docs, block_rows=8).collect()
+    assert {(r.doc_id, r.source) for r in got} == {(k, f"s{k % 1100}") for k in range(1300)}
+    even = docs.groupBy("source").agg(F.count("*").alias("n")).where("n = 2").limit(4)
+    names = sorted(r.source for r in even.collect())
+    assert {r.source: r.share for r in mixing.shares(even, dict(zip(names, (0.4, 0.3, 0.2, 0.1), strict=True))).collect()} == dict(zip(names, (400, 300, 200, 100), strict=True))
+
+
 def brute_links(rows):
     fine = {}
     for k, (_, v, label) in enumerate(rows):
