@@ -1,19 +1,21 @@
 """Best-fit packing by bin completion over the histogram of lengths.
 
 Sequences hold ``capacity`` tokens, so pieces have at most ``capacity`` different lengths: whatever the number of
-documents, the problem is a table of (length, count) of bounded size, and it is solved once. Bin completion
-takes the largest length left and enumerates undominated fillings of the room beside it (branch and bound:
-larger lengths first, a filling is dominated if one of its members could be exchanged for a longer one that
-fits), prunes fillings that waste more than the waste still allowed by the lower bound ceil(total / capacity), and
-starts from the best-fit filling as incumbent. The chosen filling is used as often as the counts allow. The
-result is a list of patterns with multiplicities; documents then take their places by their rank within their
-length, which Spark counts in two levels so that no length, however common, meets in one task.
+documents, the problem is a table of (length, count) of bounded size, and it is solved once. The incumbent is the better
+of a whole best-fit-decreasing solution and a greedy bin completion. If it has more sequences than the lower bound, a
+branch and bound goes over the undominated fillings of the largest length left (a filling is dominated if one or two of
+its members could be exchanged for a longer piece that fits), rejects those that waste more than the incumbent still
+allows, and goes back when none is left. It proves its result unless it meets its limit of ``SEARCH_NODES``; then the incumbent
+stands. The result is a list of patterns with multiplicities; documents then take their places by their rank within
+their length, which Spark counts in two levels so that no length, however common, meets in one task.
 """
 
 from __future__ import annotations
 
 import bisect
+import itertools
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +25,12 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, saved
 from .tokens import encoder, text_groups
 
-#: Nodes that the search for one filling may visit; beyond it the incumbent stands.
-SEARCH_NODES = 400
+#: Nodes that the greedy search for one filling may visit, and those of the whole branch and bound (a state counts as a quarter of its
+#: number of lengths); beyond them the incumbent stands.
+FILLING_NODES, SEARCH_NODES = 400, 500_000
 
 
-def complete(room: int, lengths: list[int], left: dict[int, int], allowed: int, nodes: int = SEARCH_NODES) -> list[int]:
+def complete(room: int, lengths: list[int], left: dict[int, int], allowed: int, nodes: int = FILLING_NODES) -> list[int]:
     """The filling of ``room`` that wastes least: lengths with repeats, largest first. ``lengths`` ascends.
 
     Stops at the first filling without waste. A filling that wastes no more than ``allowed`` beats one that has fewer
@@ -72,11 +75,54 @@ def complete(room: int, lengths: list[int], left: dict[int, int], allowed: int,
     return best
 
 
-def pack_histogram(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
-    """(repeats, lengths of one sequence, largest first) that use every length as often as it counts."""
+def lower_bound(counts: dict[int, int], capacity: int) -> int:
+    """Sequences that any packing needs: by tokens, and by pieces over half a sequence with those that fit beside none of them."""
+    lengths = sorted(x for x, n in counts.items() if n > 0)
+    best = -(-sum(x * counts[x] for x in lengths) // capacity)
+    large = [x for x in lengths if 2 * x > capacity]
+    for k in {0, *(x for x in lengths if 2 * x <= capacity)}:
+        room = sum((capacity - x) * counts[x] for x in large if x <= capacity - k)
+        rest = sum(x * counts[x] for x in lengths if k <= x and 2 * x <= capacity)
+        best = max(best, sum(counts[x] for x in large) + max(0, -(-(rest - room) // capacity)))
+    return best
+
+
+def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
+    """Best fit decreasing on groups of equal sequences: each piece goes where it leaves least room."""
+    groups: dict[int, list[tuple[int, list[int]]]] = {}
+    rooms: list[int] = []
+
+    def add(room: int, n: int, filling: list[int]) -> None:
+        if n:
+            if room not in groups:
+                bisect.insort(rooms, room)
+            groups.setdefault(room, []).append((n, filling))
+
+    for x in sorted((x for x, n in counts.items() if n > 0), reverse=True):
+        n = counts[x]
+        while n:
+            at = bisect.bisect_left(rooms, x)
+            room, have, filling = capacity, n, []
+            if at < len(rooms):
+                room = rooms[at]
+                have, filling = groups[room].pop()
+                if not groups[room]:
+                    del groups[room], rooms[at]
+            each = room // x
+            full = min(have, n // each)
+            add(room - each * x, full, filling + [x] * each)
+            n, have = n - full * each, have - full
+            if n and have:
+                add(room - n * x, 1, filling + [x] * n)
+                n, have = 0, have - 1
+            if filling:
+                add(room, have, filling)
+    return [g for room in rooms for g in groups[room]]
+
+
+def greedy(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
+    """Bin completion without going back: every filling is used as often as the counts allow."""
     left = {x: n for x, n in counts.items() if n > 0}
-    if any(not 0 < x <= capacity for x in left):
-        raise ValueError("lengths must be from 1 to the capacity")
     lengths = sorted(left)
     total = sum(x * n for x, n in left.items())
     spare = -(-total // capacity) * capacity - total
@@ -103,6 +149,120 @@ def pack_histogram(counts: dict[int, int], capacity: int) -> list[tuple[int, lis
     return out
 
 
+def fillings(x: int, left: dict[int, int], capacity: int, allowed: int) -> Iterator[tuple[int, list[int]] | None]:
+    """(waste, filling) for each undominated filling around the length x that wastes at most ``allowed``; None for other nodes."""
+    lengths = sorted(y for y, n in left.items() if n > (y == x))
+    free = {y: left[y] - (y == x) for y in lengths}
+    below = list(itertools.accumulate((y * free[y] for y in lengths), initial=0))
+
+    def available(low: int, high: int) -> bool:
+        return any(free[z] for z in lengths[bisect.bisect_left(lengths, low) : bisect.bisect_right(lengths, high)])
+
+    def dominated(rest: int, chosen: list[int]) -> bool:
+        if available(1, rest):
+            return True
+        if any(available(y + 1, y + rest) for y in set(chosen) if rest):
+            return True
+        return len(chosen) <= 12 and any(available(y + z, y + z + rest) for y, z in set(itertools.combinations(chosen, 2)))
+
+    todo: list[tuple[int, int, tuple[int, ...]]] = [(capacity - x, len(lengths), ())]
+    while todo:  # larger lengths and more of them first
+        rest, top, taken = todo.pop()
+        top = min(top, bisect.bisect_right(lengths, rest))
+        if rest - below[top] > allowed:
+            yield None
+            continue
+        if top == 0:
+            chosen = [y for y, k in zip(taken[::2], taken[1::2], strict=True) for _ in range(k)]
+            for y in chosen:
+                free[y] -= 1
+            bad = rest > allowed or dominated(rest, chosen)
+            for y in chosen:
+                free[y] += 1
+            yield None if bad else (rest, [x, *chosen])
+            continue
+        yield None
+        y = lengths[top - 1]
+        todo.append((rest, top - 1, taken))
+        todo += [(rest - k * y, top - 1, (*taken, y, k)) for k in range(1, min(free[y], rest // y) + 1)]
+
+
+def improved(counts: dict[int, int], capacity: int, best: list[tuple[int, list[int]]], enough: int, nodes: int) -> list[tuple[int, list[int]]]:
+    """A packing of fewer sequences than ``best``, down to ``enough``, by branch and bound; ``best`` if there is none or the nodes run out."""
+    left = {x: n for x, n in counts.items() if n > 0}
+    total = sum(x * n for x, n in left.items())
+    bins = sum(n for n, _ in best)
+    failed: dict[tuple, int] = {}
+    seen, wasted = 0, 0
+    out: list[tuple[int, list[int]]] = []
+
+    def branches() -> Iterator[tuple[int, int, list[int]]]:
+        """(waste, repeats, filling): batches of nodes, the least waste first in each."""
+        nonlocal seen
+        x = max(left)
+        search = fillings(x, left.copy(), capacity, (bins - 1) * capacity - total - wasted)
+        while batch := list(itertools.islice(search, FILLING_NODES)):
+            seen += len(batch)
+            for waste, filling in sorted((f for f in batch if f), key=lambda f: f[0]):
+                need = {y: filling.count(y) for y in set(filling)}
+                for repeats in range(min(left[y] // n for y, n in need.items()), 0, -1):
+                    yield waste, repeats, filling
+
+    def use(repeats: int, filling: list[int]) -> None:
+        for y in filling:
+            left[y] = left.get(y, 0) - repeats
+            if not left[y]:
+                del left[y]
+
+    stack = [branches()] if left else []
+    while stack and seen < nodes and bins > enough:
+        step = next(stack[-1], None)
+        if step is None:
+            stack.pop()
+            if out:
+                repeats, filling = out.pop()
+                wasted -= repeats * (capacity - sum(filling))
+                use(-repeats, filling)
+            continue
+        waste, repeats, filling = step
+        seen += 1
+        if wasted + waste * repeats > (bins - 1) * capacity - total:
+            continue
+        use(repeats, filling)
+        wasted += waste * repeats
+        out.append((repeats, filling))
+        state = tuple(sorted(left.items()))
+        if not left:
+            best, bins = list(out), sum(n for n, _ in out)
+        if not left or failed.get(state, wasted + 1) <= wasted:
+            out.pop()
+            wasted -= waste * repeats
+            use(-repeats, filling)
+            continue
+        failed[state] = wasted
+        seen += len(left) // 4  # a state costs time by its lengths
+        stack.append(branches())
+    return best
+
+
+def pack_histogram(counts: dict[int, int], capacity: int, nodes: int = SEARCH_NODES) -> list[tuple[int, list[int]]]:
+    """(repeats, lengths of one sequence, largest first) that use every length as often as it counts.
+
+    The fewest sequences, unless the branch and bound needs more than ``nodes``.
+    """
+    if any(not 0 < x <= capacity for x, n in counts.items() if n > 0):
+        raise ValueError("lengths must be from 1 to the capacity")
+    enough = lower_bound(counts, capacity)
+    best: list[tuple[int, list[int]]] | None = None
+    for solve in (greedy, best_fit):
+        found = solve(counts, capacity)
+        if best is None or sum(n for n, _ in found) < sum(n for n, _ in best):
+            best = found
+        if sum(n for n, _ in best) == enough:
+            return best
+    return improved(counts, capacity, best, enough, nodes)
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece: only longer documents are cut, their first piece may be short."""
     bounded_batches(docs.sparkSession)

@@ -151,6 +151,17 @@ def test_packing_is_optimal_on_small_cases():
         packing.pack_histogram({21: 1}, 20)
 
 
+def test_packing_goes_back_when_waste_is_used_up():
+    assert sum(n for n, _ in packing.pack_histogram(dict(Counter([10, 9, 9, 8, 8, 6, 4, 4, 2])), 20)) == 3
+    rng = random.Random(3)
+    for _ in range(150):
+        items = sorted((rng.randint(2, 11) for _ in range(rng.randint(5, 10))), reverse=True)
+        found = packing.pack_histogram(dict(Counter(items)), 20)
+        assert Counter(x for n, f in found for x in f * n) == Counter(items)
+        assert all(sum(f) <= 20 and f == sorted(f, reverse=True) for _, f in found)
+        assert sum(n for n, _ in found) == best_bins(items, 20) >= packing.lower_bound(dict(Counter(items)), 20)
+
+
 def test_packed_pieces(spark):
     rows = HARD + [(30 + k, t) for k, t in enumerate(ODD)] + [(200 + k, "some words here " * k) for k in range(60)]
     got = packing.packed(frame(spark, rows), BYTE, 64, 0, salts=3).toPandas()
