@@ -12,6 +12,9 @@ verified by the exact similarity of their whole texts.
 
 from __future__ import annotations
 
+from collections import Counter
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -89,6 +92,28 @@ def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.nda
     return float(np.sum(1 / ((sum_x[-1] - sum_x[lower] + only_a) / x + (sum_y[lower] + only_b) / y)))
 
 
+def similar(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray, threshold: float) -> bool:
+    """Whether the probability Jaccard is at least the threshold, by exact numbers: the decimal that the threshold is written as.
+
+    Where all counts are one it is a quotient of whole numbers; else the sum of reciprocals is rational, and it is added up as such only
+    where the float sum is too near the threshold to tell.
+    """
+    t = Fraction(repr(float(threshold)))
+    if int(wa.max(initial=1)) == int(wb.max(initial=1)) == 1:
+        common = len(np.intersect1d(a, b, assume_unique=True))
+        return common * t.denominator >= t.numerator * (len(a) + len(b) - common) if common else t <= 0
+    near = probability_jaccard(a, wa, b, wb)
+    if abs(near - threshold) > 1e-9:
+        return near > threshold
+    _, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    pairs = Counter(zip(wa[ia].tolist(), wb[ib].tolist(), strict=True))
+    only_a, only_b = int(wa.sum()) - sum(x * n for (x, _), n in pairs.items()), int(wb.sum()) - sum(y * n for (_, y), n in pairs.items())
+    total = Fraction(0)
+    for (x, y), n in pairs.items():  # 1 / sum over j of max(a_j / x, b_j / y)
+        total += Fraction(n * x * y, only_a * y + only_b * x + sum(m * max(u * y, v * x) for (u, v), m in pairs.items()))
+    return total >= t
+
+
 def near_classes(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_words, class_id, kept for every row: classes are components of links of similarity >= threshold.
 
@@ -217,9 +242,9 @@ def verified_blocks(blocks: DataFrame, threshold: float) -> DataFrame:
         out = []
         for x, y in zip(*(k.tolist() for k in _candidates(run)), strict=True):
             a, b = top(x), top(y)
-            if a == b or once[x] and once[y] and min(len(gram[x]), len(gram[y])) < threshold * max(len(gram[x]), len(gram[y])):
+            if a == b or once[x] and once[y] and min(len(gram[x]), len(gram[y])) < (threshold - 1e-9) * max(len(gram[x]), len(gram[y])):
                 continue
-            if probability_jaccard(gram[x].view(U64), count[x], gram[y].view(U64), count[y]) >= threshold:
+            if similar(gram[x].view(U64), count[x], gram[y].view(U64), count[y], threshold):
                 root[max(a, b)] = min(a, b)
                 out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
@@ -265,7 +290,7 @@ def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
             keep = []
             for i in range(batch.num_rows):
                 x, wx, y, wy = (batch.column(c)[i].values.to_numpy() for c in ("gram_a", "count_a", "gram_b", "count_b"))
-                keep.append(probability_jaccard(x.view(U64), wx, y.view(U64), wy) >= threshold)
+                keep.append(similar(x.view(U64), wx, y.view(U64), wy, threshold))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left, right = (texts.select(F.col("doc_id").alias(s), F.col("gram").alias(f"gram_{s}"), F.col("count").alias(f"count_{s}")) for s in "ab")

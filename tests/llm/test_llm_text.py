@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -96,6 +97,34 @@ def test_probability_jaccard_is_exact():
         assert minhash.probability_jaccard(*pack(a), *pack(b)) == pytest.approx(naive_pj(a, b))
 
 
+def test_pairs_at_exactly_the_threshold_are_similar():
+    ones = lambda n: np.ones(n, np.int64)
+    for k in range(1, 400):
+        a, b = np.arange(4 * k, dtype=np.uint64), np.arange(5 * k, dtype=np.uint64)
+        assert minhash.similar(a, ones(4 * k), b, ones(5 * k), 0.8)
+        assert minhash.similar(a, 3 * ones(4 * k), b, 3 * ones(5 * k), 0.8)  # counts above one, in rationals
+        assert not minhash.similar(a[:-1], ones(4 * k - 1), b, ones(5 * k), 0.8)
+        assert not minhash.similar(a[:-1], 3 * ones(4 * k - 1), b, 3 * ones(5 * k), 0.8)
+    rng = random.Random(6)
+    for _ in range(200):
+        a, b = ({k: rng.randint(1, 3) for k in range(rng.randint(8, 12))} for _ in range(2))
+        want = sum(1 / sum(max(Fraction(a.get(j, 0), a[i]), Fraction(b.get(j, 0), b[i])) for j in a.keys() | b.keys()) for i in a.keys() & b.keys())
+        pack = lambda c: (np.array(sorted(c), np.uint64), np.array([c[k] for k in sorted(c)]))
+        for t in (0.5, 0.75, 0.8, float(want)):
+            assert minhash.similar(*pack(a), *pack(b), t) == (want >= Fraction(repr(t)))
+
+
+@pytest.mark.parametrize("block_rows", [2048, 2])
+def test_documents_at_exactly_the_threshold_share_a_class(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", block_rows)
+    rows = []
+    for k, n in enumerate((15, 60, 65, 75, 100)):  # n shingles of five words, and the first 4 n / 5 of them
+        w = [f"w{k}x{j}" for j in range(n + 4)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[: n * 4 // 5 + 4]))]
+    got = {r.doc_id: r.class_id for r in minhash.near_classes(frame(spark, rows)).collect()}
+    assert got == {i: i - i % 2 for i in range(10)}
+
+
 def test_registers_estimate_the_similarity():
     doc = np.repeat([0, 1], [200, 200])
     gram = np.concatenate((np.arange(200), np.arange(40, 240))).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
