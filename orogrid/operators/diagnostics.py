@@ -19,6 +19,27 @@ def relative_errors(pairs: DataFrame, value: str, ref: str) -> DataFrame:
     return pairs.crossJoin(F.broadcast(largest)).withColumn("rel_err", (F.col(value) / F.col(ref) - 1) * 100).withColumn("max_err", (F.col(value) - F.col(ref)) / F.col("_top") * 100).drop("_top")
 
 
+def flux_differences(variants: DataFrame, value: str, base: str, at: tuple[str, ...], variant: str = "variant", keys: tuple[str, ...] = ("cell_id",)) -> DataFrame:
+    """(variant, keys, rel_diff): the largest difference from the base variant over that one's largest magnitude (or 1 if it is 0).
+
+    ``at`` names the columns that match values of two variants; each variant has one row for each.
+    """
+    own = variants.where(F.col(variant) == base).select(*keys, *at, F.col(value).alias("_base"))
+    both = variants.where(F.col(variant) != base).join(own, [*keys, *at])
+    norm = F.max(F.abs("_base"))
+    return both.groupBy(variant, *keys).agg((F.max(F.abs(F.col(value) - F.col("_base"))) / F.when(norm == 0, 1.0).otherwise(norm)).alias("rel_diff"))
+
+
+def improvements(errors: DataFrame, value: str, base: str, variant: str = "variant", keys: tuple[str, ...] = ("cell_id",)) -> DataFrame:
+    """(variant, keys, improvement): by how many percent the error of each other variant is below the base variant's; null without a positive base.
+
+    With the isotropic variant as base, that of the selected one is the structure-only effect.
+    """
+    own = errors.where(F.col(variant) == base).select(*keys, F.col(value).alias("_base"))
+    both = errors.where(F.col(variant) != base).join(own, list(keys))
+    return both.select(variant, *keys, F.when(F.col("_base") > 0, (F.col("_base") - F.col(value)) / F.col("_base") * 100).alias("improvement"))
+
+
 def radial_slope(power: DataFrame, bins: int = 32, low: float = 0.02, high: float = 0.5, keys: tuple[str, ...] = ()) -> DataFrame:
     """(alpha, stderr, r2, n_bins): a line through the means of log power in equal bins of log wavenumber.
 

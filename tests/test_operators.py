@@ -163,6 +163,14 @@ def test_settings_reject_nonsense():
     assert Settings(tag="a").name("etopo", "") == "a_etopo"
 
 
+def test_variants_against_their_base(spark):
+    rows = [("base", 1, 0, -4.0), ("base", 1, 1, 2.0), ("iso", 1, 0, -3.0), ("iso", 1, 1, 0.0), ("base", 2, 0, 0.0), ("iso", 2, 0, 0.5)]
+    df = spark.createDataFrame(rows, "variant string, cell_id int, k int, uw double")
+    assert {tuple(r) for r in diagnostics.flux_differences(df, "uw", "base", ("k",)).collect()} == {("iso", 1, 0.5), ("iso", 2, 0.5)}
+    err = spark.createDataFrame([("base", 1, 8.0), ("iso", 1, 6.0), ("sel", 1, 10.0), ("base", 2, 0.0), ("iso", 2, 1.0)], "variant string, cell_id int, e double")
+    assert {tuple(r) for r in diagnostics.improvements(err, "e", "base").collect()} == {("iso", 1, 25.0), ("sel", 1, -25.0), ("iso", 2, None)}
+
+
 def test_stream_equals_batch(spark):
     source = shared_path(spark, "stream")
     events = spark.read.parquet(f"{SF}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "value")
