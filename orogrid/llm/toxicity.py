@@ -142,8 +142,7 @@ def count_table(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
         yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array(n[:1]), pa.array(n[1:])], ["cell", "seen", "toxic"])
 
     sums = labelled.select("text", "toxic").mapInArrow(count, "cell long, seen long, toxic long").groupBy("cell").agg(F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic"))
-    # one row in many says nothing: a cell seen once is its prior, within the prior's weight, so only repeats and toxic cells are sent
-    got = sums.where("seen > 1 or toxic > 0 or cell = -1").toArrow()
+    got = sums.toArrow()  # all cells: at most one narrow row each, whatever the number of documents
     cell, s, t = (got.column(c).to_numpy() for c in ("cell", "seen", "toxic"))
     seen, toxic = np.zeros(cells, np.int32), np.zeros(cells, np.int32)
     docs = cell >= 0

@@ -206,6 +206,14 @@ def test_licenses_equal_brute_force(spark):
     assert by[4].score == 0.0
 
 
+def test_cells_seen_once_are_counted(spark):
+    rows = spark.createDataFrame([("rare common", 0), ("common", 0), ("common bad", 1)], "text string, toxic int")
+    toxic, seen, _ = toxicity.count_table(rows)
+    assert ((seen == 1) & (toxic == 0)).any()
+    assert ((seen == 1) & (toxic == 1)).any()
+    assert ((seen == 3) & (toxic == 1)).any()
+
+
 def brute_segments(s):
     """Ruzzo and Tompa by definition: the best segment, then the same on what lies left and right of it."""
     out = []
