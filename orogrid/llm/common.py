@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,10 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder name below ``spark.checkpoint.dir``; a temporary folder where that is unset (tests)."""
+    """A new folder name below ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where it is unset, a session in one process (tests) gets a temporary folder; a cluster's session is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="orogrid-")
+        if not re.fullmatch(r"local(\[[^,]*(,[^,]*)?\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/orogrid/{name}-{uuid.uuid4().hex}"
 
@@ -55,10 +66,81 @@ def released(spark: SparkSession) -> Iterator[None]:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches of at most ``rows`` rows in this session, so that batches of whole texts stay small in Python."""
+def bounded_batches(spark: SparkSession, rows: int = 2000, size: int = 4 << 20) -> None:
+    """Arrow batches of at most ``rows`` rows and about ``size`` bytes in this session, so that batches of whole texts stay small in Python."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+def new_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` does not have, whatever the case of its own."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name += "_"
+        taken |= {name, f"{name}_"}
+        out.append(name)
+    return out
+
+
+def lean(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` on a task's batches; the worker, which lives on, then gives the memory that it no longer uses back to the system."""
+
+    @functools.wraps(work)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU library has it
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
+def on_runs(rows: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``work`` on the rows of each combination of keys (whole numbers) with two rows or more.
+
+    Rows are sorted by their keys in each partition and stream through; one run and one Arrow batch are held at a time.
+    """
+
+    @lean
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []  # rows of one run
+        for batch in batches:
+            change = np.zeros(max(0, batch.num_rows - 1), bool)
+            for k in keys:
+                x = batch.column(k).to_numpy()
+                change |= x[1:] != x[:-1]
+            edge = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(edge, edge[1:], strict=False):
+                part = batch.slice(lo, hi - lo)
+                if waiting and any(waiting[-1].column(k)[0] != part.column(k)[0] for k in keys):
+                    yield from done(waiting)
+                    waiting = []
+                waiting.append(part)
+        yield from done(waiting)
+
+    def done(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if sum(x.num_rows for x in parts) > 1:
+            yield from work(pa.Table.from_batches(parts).combine_chunks()).to_batches()
+
+    return rows.repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys).mapInArrow(stream, schema)
+
+
+_held: dict[str, Any] = {}
+
+
+def held(name: str, make: Callable[[], Any]) -> Any:
+    """In a worker: what ``make`` gave for ``name``, kept for later tasks until another name is asked for, so that one large object stays."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
 
 
 def checked(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

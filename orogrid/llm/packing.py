@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, saved
-from .tokens import encoder, text_groups
+from .common import bounded_batches, lean, saved
+from .tokens import encoder, with_end
 
 #: Nodes that the greedy search for one filling may visit, and those of the whole branch and bound (a state counts as a quarter of its
 #: number of lengths); beyond them the incumbent stands.
@@ -267,19 +267,22 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, doc_id:
     """doc_id, piece, start, length, ids_crc32 of every piece: only longer documents are cut, their first piece may be short."""
     bounded_batches(docs.sparkSession)
 
+    @lean
     def cut(batches):
+        tokens = encoder(tokenizer)
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            rows: list[tuple] = []
-            for at, run in text_groups(batch.column(1).to_pylist()):
-                for i, data in enumerate(encoder(tokenizer).encode(run)):
-                    data += end_id.to_bytes(4, "little")
-                    n, start, piece = len(data) // 4, 0, 0
-                    while start < n:
-                        size = (n - start - 1) % capacity + 1 if start == 0 else capacity
-                        rows.append((ids[at + i], piece, start, size, zlib.crc32(data[4 * start : 4 * (start + size)])))
-                        start, piece = start + size, piece + 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PIECE_TYPES, strict=True)], _PIECE_NAMES)
+            for lo, hi, ids, offsets in tokens.encode(batch.column(1)):
+                ids, offsets = with_end(ids.astype("<u4"), offsets, end_id)
+                n = np.diff(offsets)
+                count, first = -(-n // capacity), (n - 1) % capacity + 1
+                row = np.repeat(np.arange(hi - lo), count)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                start = np.where(piece == 0, 0, first[row] + (piece - 1) * capacity)
+                length = np.where(piece == 0, first[row], capacity)
+                data, at = memoryview(ids).cast("B"), 4 * (offsets[row] + start)
+                crc = [zlib.crc32(data[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+                columns = [batch.column(0).slice(lo, hi - lo).take(pa.array(row)), *(pa.array(c).cast(t) for c, t in zip((piece, start, length, np.array(crc, np.int64)), _PIECE_TYPES[1:], strict=True))]
+                yield pa.RecordBatch.from_arrays(columns, _PIECE_NAMES)
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -321,6 +324,7 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     shared = spark.sparkContext.broadcast((base, run_arrays))
     ranked = salted.withColumn("rn", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")))
 
+    @lean
     def place(batches):
         base, run_arrays = shared.value
         for batch in batches:

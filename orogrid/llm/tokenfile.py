@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, partitions, shared_path
+from .common import bounded_batches, lean, partitions, shared_path
 from .tokencoder import BLOCK_IDS, LANES, NO_ID, compress, pack_block, read_blocks
-from .tokens import encoder, text_groups
+from .tokens import encoder, with_end
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> str:
@@ -27,20 +27,21 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str | None
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    end = end_id.to_bytes(2, "little")
 
+    @lean
     def write(batches):
         from pyspark import TaskContext
 
-        shard, number = TaskContext.get().partitionId(), 0
-        ids, docs_of = [], []  # waiting ids; (doc_id, ids not yet in a block, whether some already are)
+        shard, number, tokens = TaskContext.get().partitionId(), 0, encoder(tokenizer)
+        waiting: list[np.ndarray] = []
+        docs_of: list[tuple] = []  # (doc_id, ids not yet in a block, whether some already are)
 
         def coded(all_: bool):
-            nonlocal ids, docs_of, number
-            joined = np.frombuffer(b"".join(ids), "<u2")
+            nonlocal waiting, docs_of, number
+            joined = np.concatenate(waiting) if waiting else np.zeros(0, "<u2")
             n = len(joined) if all_ else len(joined) // BLOCK_IDS * BLOCK_IDS
-            cuts = [joined[i : i + BLOCK_IDS] for i in range(0, n, BLOCK_IDS)]
-            ids, rows, k = [joined[n:].tobytes()], [], 0
+            cuts = [joined[i : min(n, i + BLOCK_IDS)] for i in range(0, n, BLOCK_IDS)]
+            waiting, rows, k = [joined[n:].copy()], [], 0
             for part, data in zip(cuts, compress(cuts), strict=True):
                 room, names, counts, continues = len(part), [], [], bool(docs_of[k][2])
                 while room:
@@ -59,17 +60,16 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str | None
                 columns = zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ["shard", "block", "n_ids", "data"])
 
-        waiting = 0
+        size = 0
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            for at, run in text_groups(batch.column(1).to_pylist()):
-                for i, data in enumerate(encoder(tokenizer, 2).encode(run)):
-                    ids.append(data + end)
-                    docs_of.append((names[at + i], len(data) // 2 + 1, False))
-                    waiting += len(data) // 2 + 1
-                if waiting >= LANES * BLOCK_IDS:
+            for lo, hi, ids, offsets in tokens.encode(batch.column(1)):
+                ids, offsets = with_end(ids.astype("<u2"), offsets, end_id)
+                waiting.append(ids)
+                docs_of += [(name, n, False) for name, n in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), np.diff(offsets).tolist(), strict=True)]
+                size += len(ids)
+                if size >= LANES * BLOCK_IDS:
                     yield from coded(False)
-                    waiting = len(ids[0]) // 2
+                    size = len(waiting[0])
         yield from coded(True)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -88,6 +88,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         bases[shard], total = total, total + totals[shard]
     shared = spark.sparkContext.broadcast(bases)
 
+    @lean
     def read(batches):
         bases, now, at, shard = shared.value, None, 0, None
         waiting: list[tuple[int, bytes]] = []
