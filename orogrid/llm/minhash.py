@@ -19,13 +19,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import bounded_batches, checked, connected_components, partitions, released, saved
+from .common import bounded_batches, checked, connected_components, lean, new_names, on_runs, released, saved
 from .words import U64, Words, mix, text_slices
 
 BANDS, ROWS, SHINGLE = 26, 5, 5
-#: Share of agreeing registers from which a candidate is verified, and members of a bucket that one comparison holds.
-AGREE, BLOCK_ROWS = 0.64, 2048
+#: Share of agreeing registers from which a candidate is verified.
+AGREE = 0.64
+#: Members of a bucket in one block, and bytes of their shingles: two blocks meet in a task, with a few matrices of BLOCK_ROWS ** 2 bytes.
+BLOCK_ROWS, BLOCK_BYTES = 2048, 16 << 20
 _STEP = U64(0xA24BAED4963EE407)
 
 
@@ -115,11 +118,12 @@ def similar(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray, thresh
 
 
 def near_classes(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_words, class_id, kept for every row: classes are components of links of similarity >= threshold.
+    """doc_id, n_words, class_id, kept, k1, k2 for every row: classes are components of links of similarity >= threshold.
 
     The class id is the smallest doc_id of the class, and that document is the one kept. Texts with the same words in
-    the same order are one member while hashing. A text without words (null, empty, punctuation) is a class of its
-    own. Rows repeated with one doc_id share its class. A null doc_id gets a null class and is kept. In a bucket every
+    the same order are one member, named by two 64-bit hashes of its words (k1, k2), whatever their doc_ids; rows that repeat a doc_id
+    with another text stand in that text's class. A text without words (null, empty, punctuation) is a class of its
+    own. A null doc_id gets a null class and is kept. An empty table gives no rows, other columns are ignored. In a bucket every
     member is first compared with its smallest member; then only members whose components still differ are, in block
     pairs that verify where they stand, so that no task holds a whole large bucket and pairs are never rows.
     """
@@ -127,6 +131,7 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id"
     bounded_batches(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
+    @lean
     def sketch(batches):
         for batch in batches:
             for lo, hi, data, offsets in text_slices(batch.column(1)):
@@ -140,35 +145,39 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id"
 
     rows = saved(docs.mapInArrow(sketch, "doc_id long, n_words long, k1 long, k2 long, bands array<long>, sign binary"), "sketches")
     fit = rows.where("n_words > 0 and doc_id is not null")
-    members = saved(fit.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "bands", "sign")).alias("x")).select("k1", "k2", F.col("x.doc_id").alias("rep"), F.col("x.bands").alias("bands"), F.col("x.sign").alias("sign")), "members")
+    members = fit.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n_words", "bands", "sign")).alias("x")).select("k1", "k2", "x.*")
+    members = saved(members.withColumn("rep", F.monotonically_increasing_id()), "members")  # a number that is read back from the table
     entries = members.select("rep", F.posexplode("bands").alias("band", "hash"))
     buckets = saved(entries.groupBy("band", "hash").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1"), "buckets")
     inside = saved(entries.join(checked(buckets.select("band", "hash", "leader")), ["band", "hash"]), "inside")
     star = saved(inside.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    links = verified(docs, agreeing(star, members), threshold)
+    links = verified(docs, agreeing(star, members), members, threshold)
     comp = connected_components(links)
     now = inside.join(checked(comp.withColumnRenamed("id", "rep")), "rep", "left").select("band", "hash", "rep", F.coalesce("component", "rep").alias("c"))
     now = saved(now, "split")
     parts = now.groupBy("band", "hash").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("band", "hash")
-    open_ = now.join(checked(saved(parts, "open")), ["band", "hash"], "left_semi")
-    sizes = checked(saved(open_.groupBy("band", "hash").agg(F.count("*").alias("n")), "sizes"))
-    blocks = open_.join(sizes, ["band", "hash"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
+    open_ = saved(now.join(checked(saved(parts, "open")), ["band", "hash"], "left_semi").join(members.select("rep", "n_words", "bands", "sign"), "rep"), "open")
+    large = F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n_words") * 12 / BLOCK_BYTES)
+    sizes = checked(saved(open_.groupBy("band", "hash").agg(F.ceil(large).cast("int").alias("blocks")), "sizes"))
+    blocks = open_.join(sizes, ["band", "hash"])
     blocks = blocks.withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    blocks = blocks.select("band", "hash", "rep", "c", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
-    rest = saved(facing(blocks.join(members.select("rep", "sign"), "rep")), "facing")
-    grams = weights(docs, saved(rest.select(F.col("rep").alias("doc_id")).distinct(), "wanted"))
-    more = saved(verified_blocks(rest.join(members.select("rep", "sign"), "rep").join(grams.withColumnRenamed("doc_id", "rep"), "rep"), threshold), "links")
-    comp = connected_components(links.unionByName(more))
-    named = fit.select("doc_id", "k1", "k2").join(members.select("k1", "k2", "rep"), ["k1", "k2"])
-    named = named.join(checked(comp.withColumnRenamed("id", "rep")), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
-    named = saved(named.distinct(), "named").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    out = rows.select("doc_id", "n_words").join(named, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    blocks = blocks.withColumn("lo", F.least("mine", "other")).withColumn("hi", F.greatest("mine", "other"))
+    rest = saved(facing(blocks), "facing")
+    grams = weights(docs, saved(rest.select("rep").distinct(), "wanted"), members)
+    more = saved(verified_blocks(rest.join(members.select("rep", "bands", "sign"), "rep").join(grams, "rep"), threshold), "links")
+    comp = connected_components(links.unionByName(more)).withColumnRenamed("id", "rep")
+    named = saved(members.select("rep", "k1", "k2", "doc_id").join(checked(comp), "rep", "left"), "named")
+    first = saved(named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("first")), "first")
+    classes = named.join(checked(first), "component", "left").select("k1", "k2", F.coalesce("first", "doc_id").alias("class_id"))
+    out = rows.select("doc_id", "n_words", "k1", "k2").join(classes, ["k1", "k2"], "left")
+    out = out.withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")))
+    return out.select("doc_id", "n_words", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"), "k1", "k2")
 
 
 def agreeing(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """The pairs (a, b) whose registers agree in a share of at least ``AGREE``."""
 
+    @lean
     def compare(batches):
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(batch.num_rows, -1) for c in ("sa", "sb"))
@@ -185,34 +194,17 @@ def _candidates(run: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (left, right) of a block pair that agree, lie in different components and meet in no earlier band."""
     c, mine = run.column("c").to_numpy(), run.column("mine").to_numpy()
     sign = np.frombuffer(b"".join(run.column("sign").to_pylist()), "<u4").reshape(run.num_rows, -1)
+    bands = run.column("bands").combine_chunks().flatten().to_numpy().reshape(run.num_rows, -1)
     left, right = np.flatnonzero(mine == run.column("lo")[0].as_py()), np.flatnonzero(mine == run.column("hi")[0].as_py())
-    here = run.column("band")[0].as_py()
-    agree, earlier = np.zeros((len(left), len(right)), np.int16), np.zeros((len(left), len(right)), bool)
-    for band in range(sign.shape[1] // ROWS):
-        whole = np.ones_like(earlier)
-        for r in range(band * ROWS, (band + 1) * ROWS):
-            same = sign[left, r][:, None] == sign[right, r][None, :]
-            agree += same
-            whole &= same
-        if band < here:
-            earlier |= whole
-    x, y = np.nonzero((agree >= AGREE * sign.shape[1]) & ~earlier & (c[left][:, None] != c[right][None, :]))
-    return left[x], right[y]
-
-
-def _on_runs(rows: DataFrame, work, columns: list[str], schema: str) -> DataFrame:
-    """``work`` on every run of one block pair's rows; runs stream through sorted partitions and have 2 * BLOCK_ROWS rows or so."""
-
-    def stream(batches):
-        kept: pa.Table | None = None
-        for batch in batches:
-            kept = pa.table(batch) if kept is None else pa.concat_tables([kept, pa.table(batch)])
-            kept, found = _runs(kept, _KEYS, False, work)
-            yield from found
-        if kept is not None and kept.num_rows:
-            yield from _runs(kept, _KEYS, True, work)[1]
-
-    return rows.select(columns).repartition(partitions(rows.sparkSession), *_KEYS).sortWithinPartitions(*_KEYS).mapInArrow(stream, schema)
+    agree = np.zeros((len(left), len(right)), np.int16)
+    for r in range(sign.shape[1]):
+        agree += sign[left, r][:, None] == sign[right, r][None, :]
+    x, y = np.nonzero((agree >= AGREE * sign.shape[1]) & (c[left][:, None] != c[right][None, :]))
+    x, y = left[x], right[y]
+    first = np.ones(len(x), bool)
+    for band in range(run.column("band")[0].as_py()):
+        first &= bands[x, band] != bands[y, band]
+    return x[first], y[first]
 
 
 def facing(blocks: DataFrame) -> DataFrame:
@@ -222,7 +214,7 @@ def facing(blocks: DataFrame) -> DataFrame:
     def work(run: pa.Table) -> pa.Table:
         return run.take(pa.array(np.unique(np.concatenate(_candidates(run))))).select(columns)
 
-    return _on_runs(blocks, work, [*columns, "sign"], "band int, hash long, lo int, hi int, rep long, c long, mine int")
+    return on_runs(blocks.select(*columns, "bands", "sign"), _KEYS, work, "band int, hash long, lo int, hi int, rep long, c long, mine int")
 
 
 def verified_blocks(blocks: DataFrame, threshold: float) -> DataFrame:
@@ -249,42 +241,34 @@ def verified_blocks(blocks: DataFrame, threshold: float) -> DataFrame:
                 out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    return _on_runs(blocks, work, [*_KEYS, "rep", "c", "mine", "sign", "gram", "count"], "a long, b long")
-
+    return on_runs(blocks.select(*_KEYS, "rep", "c", "mine", "bands", "sign", "gram", "count"), _KEYS, work, "a long, b long")
 
-def _runs(table: pa.Table, keys: list[str], all_: bool, work) -> tuple[pa.Table, list[pa.RecordBatch]]:
-    """Do ``work`` on every complete run of equal keys (the last one too if ``all_``); the rows left over and the batches."""
-    table = table.combine_chunks()
-    change = np.zeros(max(0, table.num_rows - 1), bool)
-    for k in keys:
-        x = table.column(k).to_numpy()
-        change |= x[1:] != x[:-1]
-    edge = [0, *(np.flatnonzero(change) + 1).tolist(), *([table.num_rows] if all_ and table.num_rows else [])]
-    out = [work(table.slice(lo, hi - lo)) for lo, hi in zip(edge, edge[1:], strict=False) if hi - lo > 1]
-    batches = pa.concat_tables(out).combine_chunks().to_batches() if out else []
-    return table.slice(edge[-1]), batches
 
+def weights(docs: DataFrame, wanted: DataFrame, members: DataFrame) -> DataFrame:
+    """(rep, gram, count): the sorted shingles of the wanted members (a saved table of reps), as a saved table."""
 
-def weights(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, gram, count): the sorted shingles of the wanted documents (a saved table of doc_ids), as a saved table."""
-
+    @lean
     def weigh(batches):
         for batch in batches:
             for lo, hi, data, offsets in text_slices(batch.column(1)):
-                doc, gram, count = shingles(Words(data, offsets))
+                words = Words(data, offsets)
+                doc, gram, count = shingles(words)
                 cut = np.searchsorted(doc, np.arange(hi - lo + 1)).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x)) for x in (gram.view(np.int64), count.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *lists], ["doc_id", "gram", "count"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(words.whole(s).view(np.int64)) for s in (1, 2)), *lists], ["k1", "k2", "gram", "count"])
 
-    texts = docs.join(checked(wanted), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(weigh, "doc_id long, gram array<long>, count array<int>")
-    return saved(texts.dropDuplicates(["doc_id"]), "weights")
+    named = saved(members.select("rep", "k1", "k2", "doc_id").join(checked(wanted), "rep", "left_semi"), "named")
+    texts = docs.join(checked(named.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(weigh, "k1 long, k2 long, gram array<long>, count array<int>")
+    found = texts.join(checked(named.select("rep", "k1", "k2")), ["k1", "k2"]).select("rep", "gram", "count")
+    return saved(found.dropDuplicates(["rep"]), "weights")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose whole texts have at least the similarity; ``pairs`` is a saved table."""
-    wanted = saved(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "wanted")
-    texts = weights(docs, wanted)
+def verified(docs: DataFrame, pairs: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of members whose whole texts have at least the similarity; ``pairs`` is a saved table."""
+    wanted = saved(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct(), "wanted")
+    texts = weights(docs, wanted, members)
 
+    @lean
     def compare(batches):
         for batch in batches:
             keep = []
@@ -293,12 +277,34 @@ def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
                 keep.append(similar(x.view(U64), wx, y.view(U64), wy, threshold))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left, right = (texts.select(F.col("doc_id").alias(s), F.col("gram").alias(f"gram_{s}"), F.col("count").alias(f"count_{s}")) for s in "ab")
+    left, right = (texts.select(F.col("rep").alias(s), F.col("gram").alias(f"gram_{s}"), F.col("count").alias(f"count_{s}")) for s in "ab")
     return saved(pairs.join(left, "a").join(right, "b").select("a", "b", "gram_a", "count_a", "gram_b", "count_b").mapInArrow(compare, "a long, b long"), "links")
 
 
 def near_deduplicated(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each class the document with the smallest doc_id."""
+    """The rows of ``docs`` that stay, all columns kept: of each class the rows of the document with the smallest doc_id.
+
+    Null and empty texts and null doc_ids stay. Where rows repeat a doc_id with texts of different classes, each goes or stays by its own
+    text. Rows repeated with one doc_id and text all stay. An empty table gives no rows.
+    """
+    own, k1, k2 = new_names(docs, "id", "k1", "k2")
     with released(docs.sparkSession):
-        gone = saved(near_classes(docs, threshold, doc_id, text).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone", keep=True)
-    return docs.join(checked(gone), F.col(doc_id) == F.col("_gone"), "left_anti")
+        found = saved(near_classes(docs, threshold, doc_id, text), "classes")
+        gone = saved(found.where("not kept").select(F.col("doc_id").alias(own), F.col("k1").alias(k1), F.col("k2").alias(k2)).distinct(), "gone", keep=True)
+        both = found.where("kept").join(checked(gone), F.col("doc_id") == F.col(own), "left_semi").limit(1).count()
+    same_id = F.col(doc_id).cast("long") == F.col(own)
+    if not both:  # no document that goes has another text that stays
+        return docs.join(checked(gone.select(own).distinct()), same_id, "left_anti")
+    at = docs.columns.index(text)
+
+    @lean
+    def name(batches):
+        for batch in batches:
+            for lo, hi, data, offsets in text_slices(batch.column(at)):
+                words = Words(data, offsets)
+                keys = [pa.array(words.whole(s).view(np.int64)) for s in (1, 2)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, *keys], [*batch.schema.names, f"{k1}_", f"{k2}_"])
+
+    schema = StructType([*docs.schema.fields, StructField(f"{k1}_", LongType()), StructField(f"{k2}_", LongType())])
+    rows = docs.mapInArrow(name, schema)
+    return rows.join(checked(gone), same_id & (F.col(f"{k1}_") == F.col(k1)) & (F.col(f"{k2}_") == F.col(k2)), "left_anti").select(*[rows[c] for c in docs.columns])

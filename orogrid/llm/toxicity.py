@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, saved
+from .common import bounded_batches, lean, saved
 from .words import _INVERSE, _RANDOM, U64, Words, _BASE, mix, powers, text_slices
 
 TABLE_BITS = 21
@@ -125,6 +125,7 @@ def count_table(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     """(toxic, seen, base rate) over (text, toxic) rows; partitions add up their own cells before they are summed."""
     cells = 1 << TABLE_BITS
 
+    @lean
     def count(batches):
         seen, toxic, n = np.zeros(cells, np.int64), np.zeros(cells, np.int64), np.zeros(2, np.int64)
         for batch in batches:
@@ -158,6 +159,7 @@ def fit(labelled: DataFrame) -> Model:
     spark = labelled.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
+    @lean
     def gauge(batches):
         scores, rows = np.zeros(BINS * 2, np.int64), []
         m = shared.value
@@ -183,6 +185,7 @@ def fit(labelled: DataFrame) -> Model:
     model.rate = lo
     shared2 = spark.sparkContext.broadcast(model)
 
+    @lean
     def tops(batches):
         m = shared2.value
         total, n = 0.0, 0
@@ -199,6 +202,7 @@ def fit(labelled: DataFrame) -> Model:
     model.k = got[1] / got[0] if got[0] else 0.1
     shared3 = spark.sparkContext.broadcast(model)
 
+    @lean
     def curve(batches):
         m = shared3.value
         bins = np.zeros((BINS, 2), np.int64)
@@ -244,6 +248,7 @@ def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
     shared = docs.sparkSession.sparkContext.broadcast(model)
     segment = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("p_value", pa.float64())]))
 
+    @lean
     def score(batches):
         m = shared.value
         for batch in batches:
@@ -264,6 +269,7 @@ def without_toxic(docs: DataFrame, model: Model, limit: float = 0.7, text: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
     column = docs.columns.index(text)
 
+    @lean
     def keep(batches):
         m = shared.value
         for batch in batches:

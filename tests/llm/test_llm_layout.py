@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_llm_text import HARD, frame
@@ -17,21 +18,33 @@ from orogrid.llm.common import connected_components
 from orogrid.llm.tokens import Encoder
 
 WORD, BYTE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
-ODD = ["", " ", "  a", "a  b", "a \n b", "x\n", "\n \n", "don't  we'll", "ΑΣ Σ ΟΔΟΣ.", "<|endoftext|> hi", "é é", "　w", "a\tb c d", "12 345", "İI ß"]
+ODD = ["", " ", "  a", "a  b", "a \n b", "x\n", "\n \n", "don't  we'll", "ΑΣ Σ ΟΔΟΣ.", "<|endoftext|> hi", "hi <|endoftext|> there", "<|ENDoftext|>", "é é", "　w", "a\tb c d", "12 345", "İI ß", "x\n\n", "\n\ny", "T̈"]
+SIGNS = [" ", " ", "  ", "\n", "\t", *"aB1.,!'-_<T\x00\x1c\x1f", "'s", "'LL", *"éÉΣςößİ×÷µª٣²½中🙂  　​̸́", "|endoftext|", "<|endoftext|>", "the", "don"]
 
 
 def library(path):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
+
+
+def encoded(encoder, texts, limit=1 << 20):
+    """ids of every text; null is empty."""
+    return [ids[a:b].tolist() for _, _, ids, at in encoder.encode(pa.array(texts, pa.string()), limit) for a, b in zip(at, at[1:], strict=False)]
 
 
 @pytest.mark.parametrize("path", [WORD, BYTE])
-def test_cached_ids_equal_the_library(path):
+@pytest.mark.parametrize(("limit", "cache"), [(1 << 20, 1 << 20), (50, 100)])
+def test_ids_equal_the_library(path, limit, cache):
+    """The plain library call, special tokens too; small slices and a cache that overflows give the same."""
     rng = random.Random(1)
-    texts = ODD + ["".join(rng.choice(" ab\n'.Σé\t1,") for _ in range(rng.randint(0, 30))) for _ in range(3000)] + ["word " * 3000]
-    want = [x.ids for x in library(path).encode_batch(texts, add_special_tokens=False)]
-    assert [np.frombuffer(x, "<u4").tolist() for x in Encoder(path).encode(texts)] == want
+    texts = [*ODD, None, *("".join(rng.choice(SIGNS) for _ in range(rng.randint(0, 25))) for _ in range(6000)), "word " * 3000, "中文" * 400]
+    want = [x.ids for x in library(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert encoded(Encoder(path, cache), texts, limit) == want
+
+
+def test_chunks_with_one_hash_go_to_the_library(monkeypatch):
+    monkeypatch.setattr(Encoder, "_hashes", lambda self, b, start, end: ((end - start).astype(np.uint64), b[start].astype(np.uint64)))
+    texts = ["one two", "two three", "four"]
+    assert encoded(Encoder(BYTE), texts) == [x.ids for x in library(BYTE).encode_batch(texts, add_special_tokens=False)]
 
 
 def test_coder_round_trips():
@@ -267,6 +280,8 @@ def test_embedding_links_equal_brute_force(spark, monkeypatch):
     n += 60
     rows += [(n + k, rows[0][1], 1) for k in range(5)] + [(n + 5, rows[0][1], None), (n + 6, None, 1), (n + 7, [0.0] * 20, 1), (n + 8, [float("nan")] * 20, 1), (n + 9, [None] + [1.0] * 19, 1), (n + 10, [float("inf")] * 20, 1), (n + 11, [1.0, 2.0], 1), (n + 12, [2.0, 4.0], 1), (n + 13, [], 1)]
     df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "vec_id long, embedding array<float>, label int, key string, codes string")
+    rows += [(2, rows[30][1], 2), (2, rows[30][1], 2), (3, rows[60][1], rows[60][2])]  # repeated vec_ids, in one label and in two
+    df = df.limit(0).unionByName(spark.createDataFrame([(*r, "clash", "clash") for r in rows], df.schema))
     got = embedding.linked(df).collect()
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == brute_links(rows)
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
@@ -282,10 +297,51 @@ def test_hadamard_keeps_lengths_and_recall_is_high():
     side -= (side * x).sum(axis=1)[:, None] * x
     side /= np.linalg.norm(side, axis=1)[:, None]
     y = 0.98 * x + np.sqrt(1 - 0.98**2) * side
-    met = embedding.meeting_place(embedding.codes(x), embedding.codes(y)).diagonal() >= 0
+    a, b = embedding.codes(x), embedding.codes(y)
+    met = np.any([embedding.meets(a[:, t], b[:, t]) for t in range(a.shape[1])], axis=0)
     assert met.mean() > 0.999
 
 
+def test_every_pair_that_meets_is_counted_once():
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 6, (2, 500, 3, 3))
+    places = [[(t, x) for t in range(3) for x in range(6) if x in p[t] and x in q[t] and x in (p[t][0], q[t][0])] for p, q in zip(a, b, strict=True)]
+    for t in range(3):
+        for x in range(6):
+            at = [k for k, p in enumerate(places) if (t, x) in p]
+            assert embedding.first_met(a[at], b[at], t, x).tolist() == [places[k][0] == (t, x) for k in at]
+    assert [bool(p) for p in places] == np.any([embedding.meets(a[:, t], b[:, t]) for t in range(3)], axis=0).tolist()
+
+
+def test_links_unite_components():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        root, n = np.arange(20), rng.integers(0, 20)
+        a, b = rng.integers(0, 20, (2, n))
+        for part in (slice(None, 5), slice(5, None)):
+            root = embedding.united(root, a[part], b[part])
+        want = list(range(20))
+        for _ in range(20):
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                want[x] = want[y] = min(want[x], want[y])
+        assert root.tolist() == want
+
+
+def test_recall_on_the_given_vectors(spark):
+    """Components and links of all embeddings of the table against brute force by label."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    table = df.toPandas()
+    got = embedding.linked(df).toPandas().set_index("vec_id")
+    links = 0
+    for _, part in table.groupby("label"):
+        x = np.array(part.embedding.tolist(), float)
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        n = (x @ x.T >= 0.98).sum(axis=1) - 1
+        links += n.sum()
+        assert (got.n_links[part.vec_id].to_numpy() <= n).all()
+    assert got.n_links.sum() >= 0.999 * links
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, 101), (103, 102), (102, 101), (7, 7)]
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

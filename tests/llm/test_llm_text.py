@@ -185,6 +185,21 @@ def test_near_classes_equal_brute_force(spark, monkeypatch):
     assert stays == {i for i, c in want.items() if i == c}
 
 
+def test_rows_that_repeat_a_doc_id_stand_by_their_texts(spark):
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choices([f"w{k}" for k in range(400)], k=n))
+    a, b, c = text(80), text(80), text(80)
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (5, c), (5, a + " again"), (4, c + " more"), (6, text(50))]
+    got = [(r.doc_id, r.class_id, r.kept) for r in minhash.near_classes(frame(spark, rows)).orderBy("doc_id", "n_words").collect()]
+    assert sorted(got) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (5, 1, False), (5, 4, False), (6, 6, True)]
+    rows.append((1, c + " more"))  # a third text of document 1: of its class, which holds 4 and 5, document 1 stays
+    left = minhash.near_deduplicated(frame(spark, rows))
+    assert left.columns == frame(spark, rows).columns
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == sorted([(1, a), (1, b), (1, c + " more"), rows[7]])
+    both = [(1, a), (2, a + " more"), (2, b)]  # document 2 goes by one of its texts and stays by the other
+    assert sorted((r.doc_id, r.text) for r in minhash.near_deduplicated(frame(spark, both)).collect()) == [(1, a), (2, b)]
+
+
 def test_licenses_equal_brute_force(spark):
     rng = random.Random(4)
     phrases = list(licenses.BASE)
