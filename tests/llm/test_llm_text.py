@@ -61,19 +61,45 @@ def test_exact_groups(spark, print_bits):
     assert kept.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def test_filters_merge_without_loss():
+@pytest.mark.parametrize("bits", [0, 3])
+def test_filters_merge_without_loss(bits):
     rng = random.Random(3)
-    prints = [rng.randrange(1 << 64) for _ in range(300)] * 2 + [7] * 50
-    parts = [np.array(prints[k::4], np.uint64) for k in range(4)]
-    counts = Counter()
+    prints = [rng.randrange(1 << 64) for _ in range(300)] * 2 + [7] * 70_000 + [(5 << 61) + 9] * 300 + [(1 << 64) - 1] * 3 + list(range(20))
+    parts = [Counter(prints[k::4]) for k in range(4)]
     by_slice = defaultdict(list)
     for p in parts:
-        for s, data in dedup_exact.QuotientFilter(p).slices(3):
+        keys = sorted(p)
+        for s, data in dedup_exact.slices(np.array(keys, np.uint64), np.array([p[k] for k in keys]), bits):
             by_slice[s].append(data)
+    found = {}
     for data in by_slice.values():
-        f = dedup_exact.QuotientFilter.merged(data)
-        counts.update(dict(zip(f.prints.tolist(), f.counts.tolist(), strict=True)))
-    assert counts == Counter(prints)
+        got, counts = dedup_exact.merged(data)
+        assert (got[1:] > got[:-1]).all()
+        found |= dict(zip(got.tolist(), counts.tolist(), strict=True))
+    assert found == Counter(prints)
+
+
+def test_filter_has_runs_of_sorted_remainders():
+    """Quotients 1, 1, 1, 2 and 7 of 8: the run of 2 is pushed on, each count above one takes a slot after its remainder."""
+    part = lambda q, r: (q << 61) + r
+    f = dedup_exact.QuotientFilter(np.array([part(1, 3), part(1, 5), part(1, 9), part(2, 4), part(7, 1)], np.uint64), np.array([1, 3, 1, 2, 300]))
+    assert (f.quotient_bits, f.width) == (3, 8)
+    assert np.flatnonzero(f.occupied).tolist() == [1, 2, 7]
+    assert np.flatnonzero(f.ends).tolist() == [4, 6, 8]
+    assert np.flatnonzero(f.counting).tolist() == [3, 6, 8]
+    assert f.slots[:, :2].astype(int).tolist() == [[0, 0], [3, 0], [5, 0], [2, 0], [9, 0], [4, 0], [1, 0], [1, 0], [43, 1]]
+    again = dedup_exact.QuotientFilter.unpack(f.pack())
+    assert [x.tolist() for x in again.items()] == [x.tolist() for x in f.items()]
+    assert f.items()[1].tolist() == [1, 3, 1, 2, 300]
+    assert [len(x) for x in dedup_exact.QuotientFilter(np.zeros(0, np.uint64), np.zeros(0, np.int64)).items()] == [0, 0]
+
+
+def test_spellings_of_one_document_stay_once(spark):
+    rows = [(7, "abc"), (7, "Abc"), (7, "Abc"), (3, "ABC"), (9, None), (9, ""), (None, ""), (None, "Solo"), (None, "solo"), (1, "other")]
+    clash = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], "doc_id long, text string, _gone string, _sha string, _rank string")
+    got = dedup_exact.deduplicated(clash)
+    assert got.columns == clash.columns
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(repr, [(7, "Abc"), (9, None), (None, "Solo"), (1, "other")]))
 
 
 def test_empty_tables(spark):
