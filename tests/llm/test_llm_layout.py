@@ -112,7 +112,7 @@ def test_typed_parts_become_ordered_placeholders():
 def test_shards_hold_every_row_at_gapless_slots(spark):
     rows = HARD + [(1000 + k, f"t{k} " * (k % 50)) for k in range(500)]
     docs = frame(spark, rows)
-    read = lambda **o: spark.read.parquet(sharding.write_shards(docs, 8, bucket_bytes=20_000, cells=256, **o))
+    read = lambda **o: spark.read.parquet(sharding.write_shards(docs, 8, bucket_bytes=20_000, **o))
     out = read().select("doc_id", "text", "shard", "slot").collect()
     assert Counter((r.doc_id, r.text) for r in out) == Counter(rows)
     sizes = Counter(r.shard for r in out)
@@ -124,6 +124,21 @@ def test_shards_hold_every_row_at_gapless_slots(spark):
     assert spark.read.parquet(sharding.write_shards(frame(spark, []), 8)).count() == 0
 
 
+def test_repeated_rows_spread_over_buckets(spark):
+    """Rows that repeat would all meet in one bucket; a user's own columns named like ours are kept."""
+    rows = [(1, "copy " * 20, "b")] * 600 + [(None, None, "c")] * 300 + [(k, f"t{k}", "d") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _bucket string").withColumn("_at", F.lit(5)).withColumn("_copies", F.lit("e"))
+    placed, counts = sharding.scattered(docs, 16, 8000, 3, "doc_id", "text", "_own")
+    sizes = {r["_own"]: r["count"] for r in placed.groupBy("_own").count().collect()}
+    assert [sizes.get(k, 0) for k in range(16)] == counts.tolist()
+    assert max(sizes.values()) < 400  # 600 copies in one would be too many bytes
+    out = spark.read.parquet(sharding.write_shards(docs, 8, bucket_bytes=8000))
+    assert out.columns == [*docs.columns, "shard", "slot"]
+    got = out.collect()
+    assert Counter((r.doc_id, r.text, r["_bucket"]) for r in got) == Counter(rows)
+    assert sorted((r.shard, r.slot) for r in got) == [(k, n) for k in range(8) for n in range(150)]
+
+
 def test_fisher_yates_is_uniform():
     seen = Counter(tuple(sharding.fisher_yates(3, np.random.default_rng(k)).tolist()) for k in range(3000))
     assert len(seen) == 6
