@@ -17,10 +17,10 @@ from __future__ import annotations
 import math
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checked, partitions, saved
+from .common import checked, new_names, partitions, saved
 
 PERIOD = 1000
 BLOCK_ROWS = 8
@@ -97,50 +97,68 @@ def schedule(spark, whole: list[int], slots: int) -> DataFrame:
     return run.select((F.col("k").cast("long") * FOLD + F.col("p")).alias("slot"), F.col("x.i").alias("i"), F.col("x.j").alias("j"))
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, period: int | None = None, temper: float = TEMPER, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """doc_id, source, epoch, slot, position for every placement; positions ascend in training order.
+def _placed(docs: DataFrame, weights: dict[str, float] | None, block_rows: int, period: int | None, temper: float, keys: list[Column]) -> DataFrame:
+    """source, epoch, slot, position and ``keys`` of every placement; ``keys`` come with the source of every row.
 
-    ``position`` is slot * block_rows + place in the block. A null source is a source of its own, null or repeated
-    doc_ids are rows like others (equal rows are placed next to each other), an empty table gives no rows,
-    other columns are ignored. Weights are kept exactly unless a ``period`` is given, which rounds them to whole shares of it.
-    To the driver come the sources with their numbers of documents and of blocks.
+    Rows are numbered within (source, salt); the salt comes from a row number that is read back from a written table, so that
+    no value of a column decides how many rows a window holds.
     """
-    rows = saved(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source")), "ids")
-    cells = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(max(64, rows.count() // 20_000_000))).cast("int"))
+    spark = docs.sparkSession
+    names = [f"key{i}" for i in range(len(keys))]
+    rows = docs.select(*[k.alias(n) for k, n in zip(keys, names, strict=True)], F.col("source").cast("string").alias("source")).withColumn("row", F.monotonically_increasing_id())
+    rows = saved(rows, "ids")
+    cells = rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(max(64, rows.count() // 20_000_000))).cast("int"))
     counts = saved(cells.groupBy("source", "salt").agg(F.count("*").alias("m")), "cells")
     before = Window.partitionBy("source").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("base", F.coalesce(F.sum("m").over(before), F.lit(0)))
+    counts = saved(counts.withColumn("base", F.coalesce(F.sum("m").over(before), F.lit(0))), "bases")
     found = _counts(counts.groupBy("source").agg(F.sum("m").alias("n")))
     exact = target_weights(found, weights, temper)
     whole = whole_weights(exact) if period is None else whole_shares(exact, period)
     last = [(n - 1) // block_rows for _, n in found]  # the last block of the first epoch
     slots = max((-(-(k + 1) * sum(whole) // w) for k, w in zip(last, whole, strict=True)), default=0)
-    spark = docs.sparkSession
     plan = saved(schedule(spark, whole, slots), "plan")
-    names = spark.createDataFrame([(i, s, n, k) for i, ((s, n), k) in enumerate(zip(found, last, strict=True))], "i int, s2 string, n long, last long")
-    end = plan.join(F.broadcast(names), "i").where("j = last").agg(F.max("slot")).head()[0]
+    ends = saved(spark.createDataFrame([(i, s, n, k) for i, ((s, n), k) in enumerate(zip(found, last, strict=True))], "i int, s2 string, n long, last long"), "ends")
+    end = plan.join(checked(ends), "i").where("j = last").agg(F.max("slot")).head()[0]
     plan = saved(plan.where(F.col("slot") <= F.lit(-1 if end is None else end)), "plan")
     quota = {r["i"]: r["blocks"] * block_rows for r in plan.groupBy("i").agg(F.count("*").alias("blocks")).collect()}
-    names = spark.createDataFrame([(i, s, n, quota[i]) for i, (s, n) in enumerate(found)], "k int, s2 string, n long, quota long")
-    numbered = cells.withColumn("rn", F.row_number().over(Window.partitionBy("source", "salt").orderBy("doc_id")))
-    same = lambda a, b: a.eqNullSafe(b)
+    quotas = saved(spark.createDataFrame([(i, s, n, quota[i]) for i, (s, n) in enumerate(found)], "k int, s2 string, n long, quota long"), "quotas")
+    numbered = cells.withColumn("rn", F.row_number().over(Window.partitionBy("source", "salt").orderBy(*names, "row")))
     base = counts.select(F.col("source").alias("s1"), F.col("salt").alias("t1"), "base")
-    x = numbered.join(F.broadcast(base), same(F.col("source"), F.col("s1")) & (F.col("salt") == F.col("t1"))).join(F.broadcast(names), same(F.col("source"), F.col("s2")))
+    x = numbered.join(checked(base), F.col("source").eqNullSafe(F.col("s1")) & (F.col("salt") == F.col("t1"))).join(checked(quotas), F.col("source").eqNullSafe(F.col("s2")))
     x = x.withColumn("at", F.col("base") + F.col("rn") - 1).withColumn("epoch", F.explode(F.expr("sequence(0L, (quota - 1 - at) div n)"))).withColumn("g", F.col("epoch") * F.col("n") + F.col("at"))
     x = x.withColumn("block", F.expr(f"g div {block_rows}")).join(checked(plan), (F.col("k") == F.col("i")) & (F.col("block") == F.col("j")))
-    return x.select("doc_id", "source", F.col("epoch").cast("int").alias("epoch"), "slot", (F.col("slot") * block_rows + F.expr(f"g % {block_rows}")).cast("long").alias("position"))
+    position = (F.col("slot") * block_rows + F.expr(f"g % {block_rows}")).cast("long")
+    return x.select(*names, "source", F.col("epoch").cast("int").alias("epoch"), "slot", position.alias("position"))
+
+
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: int = BLOCK_ROWS, period: int | None = None, temper: float = TEMPER, doc_id: str = "doc_id", source: str = "source") -> DataFrame:
+    """doc_id, source, epoch, slot, position for every placement; positions ascend in training order.
+
+    ``position`` is slot * block_rows + place in the block. A null source is a source of its own, null or repeated
+    doc_ids are rows like others, an empty table gives no rows,
+    other columns are ignored. Weights are kept exactly unless a ``period`` is given, which rounds them to whole shares of it.
+    To the driver come the sources with their numbers of documents and of blocks.
+    """
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"))
+    return _placed(rows, weights, block_rows, period, temper, [F.col("doc_id")]).withColumnRenamed("key0", "doc_id")
 
 
-def mixed_documents(docs: DataFrame, weights: dict[str, float] | None = None, doc_id: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: dict[str, float] | None = None, doc_id: str = "doc_id", source: str = "source", text: str = "text", block_rows: int = BLOCK_ROWS, period: int | None = None, temper: float = TEMPER) -> DataFrame:
     """The rows of ``docs`` as often as the mixture places them, in the order of the mixture, with the same columns.
 
-    Rows that share doc_id and source take turns at their placements, so each is placed at least once.
+    A row is named by doc_id, source and a hash of all its columns that can be hashed; rows equal in them are interchangeable, and one of them stands in
+    all their places. Nulls are values like others, an empty table gives no rows.
     """
-    place = mixed(docs, weights, doc_id=doc_id, source=source, **options).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "position")
-    turn = Window.partitionBy("_id", "_source")
-    place = place.withColumn("_turn", F.row_number().over(turn.orderBy("position")))
-    rows = docs.withColumn("_id", F.col(doc_id).cast("long")).withColumn("_source", F.col(source).cast("string"))
-    rows = rows.withColumn("_row", F.row_number().over(turn.orderBy(F.xxhash64(text)))).withColumn("_rows", F.count("*").over(turn))
-    same = rows["_id"].eqNullSafe(place["_id"]) & rows["_source"].eqNullSafe(place["_source"]) & ((place["_turn"] - rows["_row"]) % rows["_rows"] == 0)
-    out = rows.join(place, same).select(*[rows[c] for c in docs.columns], place["position"].alias("_position"))
-    return out.repartitionByRange(partitions(docs.sparkSession), "_position").sortWithinPartitions("_position").drop("_position")
+    own, from_, hash_, place_ = new_names(docs, "id", "source", "hash", "position")
+    every = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
+    ids = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(source).alias("source"), every.alias("hash"))
+    placed = _placed(ids, weights, block_rows, period, temper, [F.col("id"), F.col("hash")])
+    place = saved(placed.select(F.col("key0").alias(own), F.col("source").alias(from_), F.col("key1").alias(hash_), F.col("position").alias(place_)), "places")
+    key = [F.col(doc_id).cast("long"), F.col(source).cast("string"), every]
+    copies = ids.groupBy("id", "source", "hash").count().where("count > 1").limit(1).count()
+    rows = docs.withColumns({f"{own}_": key[0], f"{from_}_": key[1], f"{hash_}_": key[2]})
+    if copies:
+        rows = rows.dropDuplicates([f"{own}_", f"{from_}_", f"{hash_}_"])
+    same = F.col(f"{own}_").eqNullSafe(F.col(own)) & F.col(f"{from_}_").eqNullSafe(F.col(from_)) & (F.col(f"{hash_}_") == F.col(hash_))
+    out = rows.join(checked(place), same).select(*[rows[c] for c in docs.columns], place_)
+    return out.repartitionByRange(partitions(docs.sparkSession), place_).sortWithinPartitions(place_).drop(place_)

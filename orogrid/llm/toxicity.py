@@ -105,7 +105,7 @@ class Model:
                 total += self.rate * s - np.log(self.k * m)
         if not found and len(score):
             best = max((s for _, _, s in maximal_segments(score)), default=0.0)
-            total = min(self.rate * best - np.log(self.k * m), 3.0) if best > 0 else -np.log(1 + self.k * m)
+            total = self.rate * best - np.log(self.k * m) if best > 0 else -np.log(1 + self.k * m)
         return total, found
 
     def probability(self, evidence: float) -> float:
@@ -264,7 +264,10 @@ def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
 
 
 def without_toxic(docs: DataFrame, model: Model, limit: float = 0.7, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score below ``limit``, all columns and repeated rows kept."""
+    """The rows of ``docs`` that score below ``limit``, all columns and repeated rows kept.
+
+    Null and empty texts have the score of no evidence, ids are not read, an empty table gives no rows.
+    """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     column = docs.columns.index(text)

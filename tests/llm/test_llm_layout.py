@@ -1,6 +1,7 @@
 """Token files, chats, shards, packing, mixing and embeddings against brute force, with hard inputs."""
 
 import hashlib
+import heapq
 import random
 import zlib
 from collections import Counter
@@ -109,6 +110,22 @@ def test_typed_parts_become_ordered_placeholders():
         chat.format_turn("user", [{"type": "video"}])
 
 
+def test_typed_parts_come_back(spark):
+    """Numbers go on through a conversation, texts that look like placeholders stay texts, references and tokens are read back."""
+    image, audio, page = ({"type": "image", "ref": "a.png", "width": 100, "height": 57}, {"type": "audio", "ref": None, "seconds": 1.5}, {"type": "document", "ref": "c.pdf", "pages": 2})
+    text = lambda x: {"type": "text", "text": x}
+    turns = [(1, 0, "user", [text("<image:0> \\<"), image, text("and"), text(" more")]), (1, 1, "assistant", [audio, page]), (1, 2, "user", []), (2, 0, None, [page, text(None), None, image]), (2, 1, "user", None), (None, 0, "user", [image])]
+    rows = [(*t[:3], t[3] and [x and tuple(x.get(k) for k in ("type", "text", "ref", "width", "height", "seconds", "pages")) for x in t[3]], "clash") for t in turns]
+    path = chat.write_chats(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat.PART}>, segment string"))
+    got = [(r.conv_id, r.turn, r.role, [(x.type, x.text or x.ref, x.number, x.tokens) for x in r.parts]) for r in chat.read_chats(spark.read.parquet(path)).collect()]
+    want = [
+        (1, 0, "user", [("text", "<image:0> \\<", None, None), ("image", "a.png", 0, 12), ("text", "and more", None, None)]), (1, 1, "assistant", [("audio", None, 1, 38), ("document", "c.pdf", 2, 1024)]),
+        (1, 2, "user", []), (2, 0, "", [("document", "c.pdf", 0, 1024), ("image", "a.png", 1, 12)]), (2, 1, "user", []), (None, 0, "user", [("image", "a.png", 0, 12)]),
+    ]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    assert chat.parse_parts(chat.format_turn("user", [text("<image:0>")])[0]) != chat.parse_parts(chat.format_turn("user", [image])[0])
+
+
 def test_shards_hold_every_row_at_gapless_slots(spark):
     rows = HARD + [(1000 + k, f"t{k} " * (k % 50)) for k in range(500)]
     docs = frame(spark, rows)
@@ -253,6 +270,44 @@ def test_mixing_follows_the_unrounded_weights(spark, weights):
     assert max(lag([order[k] for k in range(len(order))], weights or {s: m**0.7 for s, m in n.items()}).values()) < 1 + 1e-9
 
 
+def earliest_deadline_first(weights, slots):
+    """The source of every slot, by a heap of released blocks and one of blocks to come, in whole numbers."""
+    total = sum(weights)
+    future, ready, out = [(0, k, 0) for k in range(len(weights))], [], []
+    heapq.heapify(future)
+    for t in range(slots):
+        while future and future[0][0] <= t:
+            _, k, j = heapq.heappop(future)
+            heapq.heappush(ready, (-(-(j + 1) * total // weights[k]), k, j))
+        _, k, j = heapq.heappop(ready)
+        out.append(k)
+        heapq.heappush(future, ((j + 1) * total // weights[k], k, j + 1))
+    return out
+
+
+def test_schedule_equals_an_independent_one(spark):
+    for whole in ([4, 3, 2, 1], [7, 1], [1], [5, 5, 5], [101, 37, 11, 3, 1]):
+        got = mixing.schedule(spark, whole, 700).orderBy("slot").limit(700).collect()
+        assert [r.i for r in got] == earliest_deadline_first(whole, 700)
+        seen = Counter()
+        for r in got:
+            assert r.j == seen[r.i]
+            seen[r.i] += 1
+
+
+def test_mixing_of_repeated_and_null_ids(spark):
+    """A hot null doc_id with different texts, one row many times, and columns named like ours."""
+    rows = [(None, "a", f"t{k}", "p") for k in range(60)] + [(1, "a", "same", "p")] * 30 + [(2, None, "x", "p"), (2, None, "y", "p"), (3, "b", None, "p")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, _position string").withColumn("_id", F.lit(1)).withColumn("_hash", F.lit("h"))
+    out = mixing.mixed_documents(docs, block_rows=4)
+    assert out.columns == docs.columns
+    got = Counter((r.doc_id, r.source, r.text, r["_position"]) for r in out.collect())
+    assert got.keys() == set(rows)
+    assert all(got[k] >= n for k, n in Counter(rows).items())
+    assert sum(got.values()) == mixing.mixed(docs, block_rows=4).count()
+    assert mixing.mixed_documents(docs.limit(0)).count() == 0
+
+
 def test_mixing_takes_more_sources_than_a_period(spark):
     docs = spark.createDataFrame([(k, f"s{k % 1100}") for k in range(1300)], "doc_id long, source string")
     got = mixing.mixed(docs, block_rows=8).collect()
