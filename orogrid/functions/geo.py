@@ -79,6 +79,11 @@ def tile_name(lat, lon) -> Column:
     return F.concat(F.lit("ETOPO_2022_v1_15s_"), compass(lat, "lat", 2), compass(lon, "lon", 3), F.lit("_surface.nc"))
 
 
+def bounds_name(dataset, lat_max, lat_min, lon_min, lon_max) -> Column:
+    """The file name of a 30-degree tile: the dataset, then its upper, left, lower and right bounds."""
+    return F.concat(col(dataset), F.lit("_"), compass(lat_max, "lat", 2), F.lit("-"), compass(lat_min, "lat", 2), F.lit("_"), compass(lon_min, "lon", 3), F.lit("-"), compass(lon_max, "lon", 3), F.lit(".nc4"))
+
+
 def in_polygon(x, y, vertices: list[tuple[float, float]]) -> Column:
     """Whether a point is inside a polygon; edges and vertices count as inside.
 
@@ -97,6 +102,16 @@ def in_polygon(x, y, vertices: list[tuple[float, float]]) -> Column:
     return edge | (crossings % 2 == 1)
 
 
+def in_polygon_columns(x: Column, y: Column, vx: Column, vy: Column) -> Column:
+    """``in_polygon`` where each row has its own vertices, as two arrays."""
+    n = F.size(vx)
+    edges = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(vx[k].alias("x1"), vy[k].alias("y1"), vx[(k + 1) % n].alias("x2"), vy[(k + 1) % n].alias("y2")))
+    cross = lambda e: (x - e["x1"]) * (e["y2"] - e["y1"]) - (y - e["y1"]) * (e["x2"] - e["x1"])
+    on = lambda e: (cross(e) == 0) & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"])) & y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
+    flips = lambda e: ((e["y1"] > y) != (e["y2"] > y)) & (e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]) / F.when(e["y2"] != e["y1"], e["y2"] - e["y1"]) < x)
+    return F.exists(edges, on) | (F.size(F.filter(edges, flips)) % 2 == 1)
+
+
 def memory_gb(lat_deg) -> Column:
     """Working memory of one cell by latitude: flat to 60 degrees, growing to 85, then the cap."""
     a = F.abs(col(lat_deg))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: weight of the diagonal neighbours by name of the stencil
+STENCILS = {"OP": 0.5, "5pt": 0.0, "PK": 1 / 3}
+
 
 def low_pass(z: np.ndarray, dx: float, dy: float, scale: float = 5000.0) -> np.ndarray:
     """Gaussian low-pass with cut-off wavenumber 2 pi / scale, demeaned."""
@@ -13,14 +16,14 @@ def low_pass(z: np.ndarray, dx: float, dy: float, scale: float = 5000.0) -> np.n
     return out - out.mean()
 
 
-def taper(inside: np.ndarray, steps: int, gamma: float = 0.5, dt: float = 0.5) -> np.ndarray:
-    """A mask diffused outwards with a nine-point stencil, its inside held at one and its border at zero."""
-    p = inside.astype(float)
+def taper(inside: np.ndarray, steps: int, stencil: str = "OP", dt: float = 0.5, scale: float = 1.0) -> np.ndarray:
+    """A mask diffused outwards with a nine-point stencil, its inside held at one; zeros lie outside the field."""
+    gamma, p = STENCILS[stencil], inside.astype(float)
     for _ in range(steps):
         q = np.pad(p, 1)
         cross = q[:-2, 1:-1] + q[2:, 1:-1] + q[1:-1, :-2] + q[1:-1, 2:] - 4 * p
         diagonal = (q[:-2, :-2] + q[:-2, 2:] + q[2:, :-2] + q[2:, 2:] - 4 * p) / 2
-        p = p + dt * ((1 - gamma) * cross + gamma * diagonal) / 2
+        p = p + dt * scale * ((1 - gamma) * cross + gamma * diagonal)
         p[inside] = 1
     return p
 
@@ -39,3 +42,8 @@ def power_law(n: int, beta: float, seed: int) -> np.ndarray:
     k = np.hypot(np.fft.fftfreq(n)[:, None], np.fft.fftfreq(n)[None, :])
     k[0, 0] = np.inf
     return np.fft.ifft2(k ** (-beta / 2) * np.exp(2j * np.pi * rng.random((n, n)))).real
+
+
+def spectrum(z: np.ndarray) -> np.ndarray:
+    """Amplitudes of the real two-dimensional transform over half the number of nodes, rows in ascending wavenumber."""
+    return np.abs(np.fft.fftshift(np.fft.rfft2(z) / (z.size / 2), axes=0))

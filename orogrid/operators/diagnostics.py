@@ -48,7 +48,7 @@ def radial_slope(power: DataFrame, bins: int = 32, low: float = 0.02, high: floa
     band = power.where(F.col("kmag").between(low, high) & (F.col("power") > 0) & (F.col("power") < float("inf")))
     band = band.withColumn("lk", F.log("kmag")).withColumn("lp", F.log("power"))
     ends = band.groupBy(*keys).agg(F.min("lk").alias("_lo"), F.max("lk").alias("_hi"))
-    band = band.join(F.broadcast(ends), list(keys)) if keys else band.crossJoin(F.broadcast(ends))
+    band = band.join(ends, list(keys)) if keys else band.crossJoin(F.broadcast(ends))
     bin_ = F.least(F.floor((F.col("lk") - F.col("_lo")) / ((F.col("_hi") - F.col("_lo")) / bins)), F.lit(bins - 1))
     means = band.groupBy(*keys, bin_.alias("bin")).agg(F.avg("lk").alias("x"), F.avg("lp").alias("y"))
     fit = means.groupBy(*keys).agg(F.regr_slope("y", "x").alias("s"), F.regr_r2("y", "x").alias("r2"), F.regr_sxx("y", "x").alias("sxx"), F.regr_syy("y", "x").alias("syy"), F.count("*").alias("n_bins"))

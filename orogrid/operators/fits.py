@@ -1,8 +1,8 @@
 """Fits on arbitrary supports, and per-cell kernels on grouped Arrow batches.
 
-A refit's normal equations add up over points, so cells are dealt in blocks of points: each block yields its part of the Gram
-matrix and right-hand side as arrays, the parts add up by cell, and only the small system is solved per cell. No task
-ever holds the design matrix of a whole cell.
+A refit's normal equations add up over points, so cells are dealt in blocks of points, as many as their number asks for: each block yields
+its part of the Gram matrix and right-hand side as arrays, the parts add up by cell, and only the small system is solved per cell. No task
+ever holds the points of a whole cell, and the selectors of modes and penalties work on the same sums.
 """
 
 from __future__ import annotations
@@ -11,74 +11,203 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..kernels import linear
 
-BLOCK_POINTS = 4096
+#: Points of one block, and those whose design matrix is formed at a time.
+BLOCK_POINTS, PART_POINTS = 1 << 16, 4096
+#: (cell_id, gram, rhs, total, n, modes) -> rows
+Kernel = Callable[[linear.System, np.ndarray, np.ndarray], list[tuple]]
 
 
-def normal_equations(points: DataFrame, selected: DataFrame, ni: float, nj: float, blocks: int = 8) -> DataFrame:
-    """(cell_id, n, gram, rhs) of the selected modes (cell_id, k_idx, l_idx, m_i, m_j) over each cell's points; arrays are row-major."""
-    dealt = points.withColumn("block", F.pmod(F.xxhash64("i", "j"), F.lit(blocks)).cast("int"))
-    modes = selected.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+def normal_equations(points: DataFrame, selected: DataFrame, ni: float, nj: float, block_points: int = BLOCK_POINTS, more: tuple[str, ...] = ()) -> DataFrame:
+    """(cell_id, more, n, total, gram, rhs) of the selected modes (cell_id, k_idx, l_idx, m_i, m_j) over each cell's points; arrays are row-major.
+
+    ``more`` names whole-number columns of the points that split a cell into several systems. Cells without points or modes have no row.
+    """
+    keys = ["cell_id", *more]
+    points = points.select(F.col("cell_id").cast("long").alias("cell_id"), *[F.col(c).cast("long").alias(c) for c in more], "i", "j", "z")
+    sizes = points.groupBy(*keys).agg(F.ceil(F.count("*") / block_points).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("i", "j"), F.col("blocks")).cast("int")
+    dealt = points.join(sizes, keys).withColumn("block", block).drop("blocks")
+    modes = selected.select(F.col("cell_id").cast("long").alias("cell_id"), "k_idx", "l_idx", "m_i", "m_j").join(sizes, "cell_id")
+    own = [F.col(c).alias(c) for c in [*keys, "k_idx", "l_idx", "m_i", "m_j"]]  # columns apart from those of the points, which the sizes share
+    modes = modes.select(*own, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    names = [*keys, "n", "total", "gram", "rhs"]
+    schema = ", ".join(f"{c} long" for c in [*keys, "n"]) + ", total double, gram array<double>, rhs array<double>"
+    types = [pa.int64()] * (len(keys) + 1) + [pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
 
     def part(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return pa.table({"cell_id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "gram": pa.array([], pa.list_(pa.float64())), "rhs": pa.array([], pa.list_(pa.float64()))})
+            return pa.table([pa.array([], t) for t in types], names)
         right = right.sort_by([("l_idx", "ascending"), ("k_idx", "ascending")])
         i, j, z = (left.column(c).to_numpy() for c in ("i", "j", "z"))
         m_i, m_j = (right.column(c).to_numpy() for c in ("m_i", "m_j"))
         gram = rhs = 0.0
-        for at in range(0, len(z), BLOCK_POINTS):
-            rows = slice(at, at + BLOCK_POINTS)
+        for at in range(0, len(z), PART_POINTS):
+            rows = slice(at, at + PART_POINTS)
             m = linear.basis(i[rows], j[rows], m_i, m_j, ni, nj)
             gram, rhs = gram + m.T @ m, rhs + m.T @ z[rows]
-        return pa.table({"cell_id": pa.array([left.column("cell_id")[0].as_py()], pa.int64()), "n": pa.array([len(z)], pa.int64()), "gram": [gram.ravel()], "rhs": [rhs]})
+        row = [*(left.column(c)[0].as_py() for c in keys), len(z), float(z @ z), gram.ravel(), rhs]
+        return pa.table([pa.array([x], t) for x, t in zip(row, types, strict=True)], names)
 
-    left = dealt.select(F.col("cell_id").cast("long").alias("cell_id"), "block", "i", "j", "z").groupBy("cell_id", "block")
-    right = modes.select(F.col("cell_id").cast("long").alias("cell_id"), "block", "k_idx", "l_idx", "m_i", "m_j").groupBy("cell_id", "block")
-    parts = left.cogroup(right).applyInArrow(part, "cell_id long, n long, gram array<double>, rhs array<double>")
+    parts = dealt.groupBy(*keys, "block").cogroup(modes.groupBy(*keys, "block")).applyInArrow(part, schema)
     add = lambda c: F.reduce(F.collect_list(c), F.transform(F.first(c), lambda x: F.lit(0.0)), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
-    return parts.groupBy("cell_id").agg(F.sum("n").alias("n"), add("gram").alias("gram"), add("rhs").alias("rhs"))
+    return parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), add("gram").alias("gram"), add("rhs").alias("rhs"))
 
 
-def refit(points: DataFrame, selected: DataFrame, ni: float, nj: float, lam: float, alpha: float = 0.0, blocks: int = 8) -> DataFrame:
-    """(cell_id, k_idx, l_idx, m_i, m_j, a_cos, a_sin, ampl): the second approximation, a fit of the selected modes on the points.
+def mode_lists(selected: DataFrame) -> DataFrame:
+    """(cell_id, modes): each cell's modes in the order of the systems' columns."""
+    one = F.array_sort(F.collect_list(F.struct("l_idx", "k_idx", "m_i", "m_j")))
+    return selected.groupBy("cell_id").agg(one.alias("modes")).withColumn("cell_id", F.col("cell_id").cast("long"))
 
-    The penalty is lam times the mean diagonal, weighted by (|k| / max) ** alpha. Cells without points have no rows.
-    """
-    modes = selected.groupBy("cell_id").agg(F.array_sort(F.collect_list(F.struct("l_idx", "k_idx", "m_i", "m_j"))).alias("modes")).withColumn("cell_id", F.col("cell_id").cast("long"))
-    systems = normal_equations(points, selected, ni, nj, blocks).join(modes, "cell_id").select("cell_id", "gram", "rhs", "modes")
 
-    def solve(batches):
+def systems(points: DataFrame, selected: DataFrame, ni: float, nj: float, **options) -> DataFrame:
+    """``normal_equations`` with each cell's ``modes``."""
+    return normal_equations(points, selected, ni, nj, **options).join(mode_lists(selected), "cell_id")
+
+
+def _of(row: dict) -> tuple[linear.System, np.ndarray, np.ndarray]:
+    rhs = np.array(row["rhs"])
+    m_i, m_j = (np.array([x[c] for x in row["modes"]], float) for c in ("m_i", "m_j"))
+    return linear.System(np.array(row["gram"]).reshape(len(rhs), -1), rhs, row["total"], row["n"]), m_i, m_j
+
+
+def by_system(rows: DataFrame, kernel: Kernel, schema: str) -> DataFrame:
+    """Rows of ``kernel(system, m_i, m_j)`` for every row of ``systems``; the cell_id comes first."""
+    fields = [x.split() for x in schema.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            out = [(row["cell_id"], *r) for row in batch.to_pylist() for r in kernel(*_of(row))]
+            yield _batch(out, fields)
+
+    return rows.select("cell_id", "n", "total", "gram", "rhs", "modes").mapInArrow(run, schema)
+
+
+def _batch(rows: list[tuple], fields: list[list[str]]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+
+
+def selected_by(systems_: DataFrame, selector: Callable[[linear.System, int], np.ndarray], n: int) -> DataFrame:
+    """(cell_id, k_idx, l_idx, m_i, m_j, rank): the modes of the first n columns that ``selector(system, n)`` picks; a mode counts once."""
+    fields = [x.split() for x in "cell_id long, k_idx int, l_idx int, m_i int, m_j int, rank int".split(", ")]
+
+    def run(batches):
         for batch in batches:
-            rows = []
-            for cell, gram, rhs, modes in zip(*(batch.column(c).to_pylist() for c in ("cell_id", "gram", "rhs", "modes")), strict=True):
-                m_i, m_j = (np.array([x[c] for x in modes], float) for c in ("m_i", "m_j"))
-                wave = (m_i != 0) | (m_j != 0)
-                g, k = np.array(gram).reshape(len(rhs), -1), np.hypot(m_i / ni, m_j / nj)
-                a = linear.solve(g, np.array(rhs), linear.spectral(g, lam, np.concatenate((k, k[wave])), alpha, 0.0 if alpha == 0 else 1e-3))
-                sine = np.zeros(len(modes))
-                sine[wave] = a[len(modes) :]
-                rows += [(cell, x["k_idx"], x["l_idx"], x["m_i"], x["m_j"], float(c), float(s), float(np.hypot(c, s))) for x, c, s in zip(modes, a, sine, strict=False)]
-            names, types = ["cell_id", "k_idx", "l_idx", "m_i", "m_j", "a_cos", "a_sin", "ampl"], [pa.int64(), *[pa.int32()] * 4, *[pa.float64()] * 3]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 8, types, strict=True)], names)
+            out = []
+            for row in batch.to_pylist():
+                system, m_i, m_j = _of(row)
+                own = [*range(len(m_i)), *np.flatnonzero((m_i != 0) | (m_j != 0)).tolist()]
+                picked = dict.fromkeys(own[c] for c in selector(system, 2 * n).tolist())
+                out += [(row["cell_id"], *(row["modes"][k][c] for c in ("k_idx", "l_idx", "m_i", "m_j")), r + 1) for r, k in enumerate(list(picked)[:n])]
+            yield _batch(out, fields)
 
-    return systems.mapInArrow(solve, "cell_id long, k_idx int, l_idx int, m_i int, m_j int, a_cos double, a_sin double, ampl double")
+    return systems_.select("cell_id", "n", "total", "gram", "rhs", "modes").mapInArrow(run, ", ".join(map(" ".join, fields)))
 
 
-def by_cell(points: DataFrame, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray], list[tuple]], schema: str, max_points: int = 1_000_000) -> DataFrame:
-    """Rows of ``kernel`` (i, j, z arrays of one cell, sorted) for every cell.
+def refit(points: DataFrame, selected: DataFrame, ni: float, nj: float, lam: float | Column, alpha: float | Column = 0.0, prior: Callable | None = None, **options) -> DataFrame:
+    """(cell_id, k_idx, l_idx, m_i, m_j, a_cos, a_sin, ampl): the second approximation, a fit of the selected modes on the points.
+
+    The penalty is lam times the mean diagonal, weighted by (|m| / max + 0.001) ** alpha; numbers, or columns of the points that are
+    constant by cell. ``prior(system, m_i, m_j, lam)`` replaces it by a diagonal of its own. Cells without points have no rows.
+    """
+    rows = systems(points, selected, ni, nj, **options)
+    as_column = lambda x: x if isinstance(x, Column) else F.lit(float(x))
+    if isinstance(lam, Column) or isinstance(alpha, Column):
+        own = points.groupBy(F.col("cell_id").cast("long").alias("cell_id")).agg(F.first(as_column(lam)).alias("lam"), F.first(as_column(alpha)).alias("alpha"))
+        rows = rows.join(own, "cell_id")
+    else:
+        rows = rows.withColumns({"lam": F.lit(float(lam)), "alpha": F.lit(float(alpha))})
+    fields = [x.split() for x in "cell_id long, k_idx int, l_idx int, m_i int, m_j int, a_cos double, a_sin double, ampl double".split(", ")]
 
-    Coarse-grain cells above ``max_points`` first: a larger one raises an error instead of filling a worker's memory.
+    def solve(batches):
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                s, m_i, m_j = _of(row)
+                k, wave = linear.wavenumbers(m_i, m_j), (m_i != 0) | (m_j != 0)
+                penalty = linear.spectral(s.gram, row["lam"], k, row["alpha"]) if prior is None else np.asarray(prior(s, m_i, m_j, row["lam"]), float)
+                if penalty.shape != s.rhs.shape:
+                    raise ValueError(f"the prior gives {penalty.shape} weights for {len(s.rhs)} columns")
+                a = linear.solve(s.gram, s.rhs, penalty)
+                sine = np.zeros(len(m_i))
+                sine[wave] = a[len(m_i) :]
+                out += [(row["cell_id"], x["k_idx"], x["l_idx"], x["m_i"], x["m_j"], float(c), float(b), float(np.hypot(c, b))) for x, c, b in zip(row["modes"], a, sine, strict=False)]
+            yield _batch(out, fields)
+
+    return rows.select("cell_id", "n", "total", "gram", "rhs", "modes", "lam", "alpha").mapInArrow(solve, ", ".join(map(" ".join, fields)))
+
+
+def fold_systems(points: DataFrame, selected: DataFrame, ni: float, nj: float, n_folds: int = 5, buffer: float = 0.1, seed: int | None = None, x: str = "j", y: str = "i", **options) -> DataFrame:
+    """(cell_id, fold, part, n, total, gram, rhs, modes): sums over all points (fold -1) and over each fold's tile (part 0) and tile with buffer (part 1).
+
+    A fold trains on all points less those of its tile with buffer, so every point is met once and copied only into the tiles it lies in.
+    """
+    points = points.withColumn("cell_id", F.col("cell_id").cast("long"))
+    box = points.groupBy("cell_id").agg(*[f(c).cast("double").alias(f"{f.__name__}_{n}") for n, c in (("x", x), ("y", y)) for f in (F.min, F.max)], F.count("*").alias("size"))
+
+    def tile(batches):
+        fields = [z.split() for z in "cell_id long, fold long, left double, right double, bottom double, top double".split(", ")]
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if r["size"] < 2 * n_folds:
+                    raise ValueError(f"cell {r['cell_id']}: {r['size']} points are too few for {n_folds} folds")
+                found = linear.tiles((r["min_x"], r["max_x"]), (r["min_y"], r["max_y"]), n_folds, seed)
+                out += [(r["cell_id"], k, *t) for k, t in enumerate(found)]
+            yield _batch(out, fields)
+
+    edges = box.mapInArrow(tile, "cell_id long, fold long, left double, right double, bottom double, top double")
+    edges = edges.groupBy("cell_id").agg(F.collect_list(F.struct("fold", "left", "right", "bottom", "top")).alias("tiles"))
+    px, py = F.col(x).cast("double"), F.col(y).cast("double")
+
+    def within(t: Column, by: float) -> Column:
+        wide, high = (t["right"] - t["left"]) * by, (t["top"] - t["bottom"]) * by
+        return (px >= t["left"] - wide) & (px < t["right"] + wide) & (py >= t["bottom"] - high) & (py < t["top"] + high)
+
+    member = lambda part, by: F.transform(F.filter("tiles", lambda t: within(t, by)), lambda t: F.struct(t["fold"].alias("fold"), F.lit(part).alias("part")))
+    every = F.array(F.struct(F.lit(-1).cast("long").alias("fold"), F.lit(0).alias("part")))
+    dealt = points.join(edges, "cell_id").withColumn("in", F.explode(F.concat(every, member(0, 0.0), member(1, buffer)))).withColumns({"fold": F.col("in.fold"), "part": F.col("in.part")})
+    return systems(dealt, selected, ni, nj, more=("fold", "part"), **options)
+
+
+def spatial_cv(folds: DataFrame, alpha: float = 0.0, grid: np.ndarray | None = None) -> DataFrame:
+    """(cell_id, lam, mse): the penalty of least mean held-out error by cell, from ``fold_systems``; a fold without points is an error."""
+    one = F.struct("fold", "part", "n", "total", "gram", "rhs", "modes")
+    cells = folds.groupBy("cell_id").agg(F.collect_list(one).alias("rows"))
+    fields = [["cell_id", "long"], ["lam", "double"], ["mse", "double"]]
+
+    def choose(batches):
+        for batch in batches:
+            out = []
+            for cell in batch.to_pylist():
+                found = {(r["fold"], r["part"]): _of(r) for r in cell["rows"]}
+                whole, m_i, m_j = found[-1, 0]
+                sets = []
+                for f in sorted({k for k, _ in found if k >= 0}):
+                    near = found[f, 1][0]
+                    if (f, 0) not in found or whole.n - near.n < 2:
+                        raise ValueError(f"cell {cell['cell_id']}: a fold has no points to hold out or too few to train on")
+                    sets.append((whole - near, found[f, 0][0]))
+                k = linear.wavenumbers(m_i, m_j) if alpha else None
+                out.append((cell["cell_id"], *linear.spatial_cv(sets, k, alpha, linear.lambda_grid(whole.gram) if grid is None else grid)))
+            yield _batch(out, fields)
+
+    return cells.mapInArrow(choose, "cell_id long, lam double, mse double")
+
+
+def by_cell(points: DataFrame, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray], list[tuple]], schema: str) -> DataFrame:
+    """Rows of ``kernel`` (i, j, z arrays of one cell, sorted) for every cell: for kernels on one whole lattice, such as filters.
+
+    A cell's lattice is held by one task; its size is the resolution's, not the table's.
     """
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(key, group):
-        if group.num_rows > max_points:
-            raise ValueError(f"cell {key[0]} has more than {max_points} points; coarse-grain it")
         group = group.sort_by([("i", "ascending"), ("j", "ascending")])
         rows = [(key[0].as_py(), *r) for r in kernel(*(group.column(c).to_numpy() for c in ("i", "j", "z")))]
         return pa.table(dict(zip(names, zip(*rows, strict=True), strict=True)) if rows else {n: [] for n in names}).cast(pa.schema([(n, _ARROW[t]) for n, t in (x.split() for x in schema.split(", "))]))

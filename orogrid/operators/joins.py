@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -11,6 +12,10 @@ from ..functions.geo import great_circle
 from ..session import saved
 
 
+#: Cells that a bin holds on average at the first radius, and from which on a bin is dealt out.
+PER_BIN, LARGE_BIN = 2, 4096
+
+
 def _binned(points: DataFrame, axes: list[str], radius: float, around: bool) -> DataFrame:
     """Bins of width ``radius`` by axis; with ``around`` each row stands in its own bin and all that touch it."""
     for k, a in enumerate(axes):
@@ -19,29 +24,45 @@ def _binned(points: DataFrame, axes: list[str], radius: float, around: bool) ->
     return points
 
 
-def nearest(points: DataFrame, cells: DataFrame, axes: list[str], point_id: str, cell_id: str, radius: float = 1.0, metric: str = "l1", exact: bool = True, rounds: int = 40) -> DataFrame:
+def first_radius(cells: DataFrame, axes: list[str]) -> float:
+    """A bin width at which a bin holds ``PER_BIN`` cells on average, from one row of extents and a count."""
+    ends = [f(a).alias(f"{f.__name__}{k}") for k, a in enumerate(axes) for f in (F.min, F.max)]
+    row = cells.agg(F.count("*").alias("n"), *ends).head()
+    wide = [max(float(row[f"max{k}"] - row[f"min{k}"]), 0.0) for k in range(len(axes))] if row["n"] else []
+    filled = [w for w in wide if w > 0]
+    if not filled:
+        return 1.0
+    return (math.prod(filled) * PER_BIN / row["n"]) ** (1 / len(filled))
+
+
+def nearest(points: DataFrame, cells: DataFrame, axes: list[str], point_id: str, cell_id: str, radius: float | None = None, metric: str = "l1", exact: bool = True, rounds: int = 40) -> DataFrame:
     """(point_id, cell_id, distance) of every point's nearest cell by radius doubling.
 
-    In each round points meet the cells within ``radius`` on every axis, found by an equi-join on bins of that width. With
-    ``exact`` a point is done when its best distance is no more than the radius, so that nothing closer can lie outside; without,
-    when its box holds any cell (the box rule, whose winner may not be the nearest of all). Ties go to the smaller cell id. Rows of
-    the points not yet done go on to the next round; an empty cell table gives no rows.
+    In each round points meet the cells within ``radius`` on every axis, found by an equi-join on bins of that width; the first one follows
+    from the cells' density (``first_radius``). Cells of a bin that holds more than ``LARGE_BIN`` are dealt out to parts, which its points
+    meet one by one. With ``exact`` a point is done when its best distance is no more than the radius, so that nothing closer can lie
+    outside; without, when its box holds any cell (the box rule, whose winner may not be the nearest of all). Ties go to the smaller cell id.
+    Rows of the points not yet done go on to the next round, one written table each; an empty cell table gives no rows.
     """
     if not cells.limit(1).count():
         return points.select(point_id).limit(0).withColumn(cell_id, F.lit(None).cast("long")).withColumn("distance", F.lit(0.0))
+    radius = first_radius(cells, axes) if radius is None else radius
     left, done = points.select(point_id, *axes), []
     there = cells.select(cell_id, *[F.col(a).alias(f"_c{a}") for a in axes])
+    names = [f"_b{k}" for k in range(len(axes))]
     for _ in range(rounds):
         near = _binned(left, axes, radius, False)
         bins = _binned(there.withColumnsRenamed({f"_c{a}": a for a in axes}), axes, radius, True).withColumnsRenamed({a: f"_c{a}" for a in axes})
-        both = near.join(bins, [f"_b{k}" for k in range(len(axes))])
+        large = bins.groupBy(*names).agg(F.ceil(F.count("*") / LARGE_BIN).cast("int").alias("_parts")).where("_parts > 1")
+        bins = bins.join(large, names, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(cell_id), F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
+        near = near.join(large, names, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))).drop("_parts")
         gaps = [F.abs(F.col(f"_c{a}") - F.col(a)) for a in axes]
-        both = both.where(reduce(lambda x, y: x & y, [g <= radius for g in gaps]))
+        both = near.join(bins, [*names, "_part"]).where(reduce(lambda x, y: x & y, [g <= radius for g in gaps]))
         d = reduce(lambda x, y: x + y, gaps) if metric == "l1" else F.sqrt(reduce(lambda x, y: x + y, [g * g for g in gaps]))
         best = both.groupBy(point_id).agg(F.min(F.struct(d.alias("distance"), F.col(cell_id).alias(cell_id))).alias("m")).select(point_id, F.col(f"m.{cell_id}").alias(cell_id), F.col("m.distance").alias("distance"))
-        found = saved(best.where(F.col("distance") <= radius) if exact else best, "nearest")
-        done.append(found)
-        left = saved(left.join(found.select(point_id), point_id, "left_anti"), "left")
+        met = saved(left.join(best.where(F.col("distance") <= radius) if exact else best, point_id, "left"), "nearest")
+        done.append(met.where("distance is not null").select(point_id, cell_id, "distance"))
+        left = met.where("distance is null").select(point_id, *axes)
         if not left.limit(1).count():
             break
         radius *= 2
@@ -54,7 +75,7 @@ def nearest_great_circle(points: DataFrame, cells: DataFrame, point_id: str, cel
         lat, lon = F.radians("lat"), F.radians("lon")
         return df.select(key, (F.cos(lat) * F.cos(lon)).alias("x"), (F.cos(lat) * F.sin(lon)).alias("y"), F.sin(lat).alias("w"))
 
-    found = nearest(chord(points, point_id), chord(cells, cell_id), ["x", "y", "w"], point_id, cell_id, 0.05, "l2").drop("distance")
+    found = nearest(chord(points, point_id), chord(cells, cell_id), ["x", "y", "w"], point_id, cell_id, None, "l2").drop("distance")
     a, b = points.select(point_id, "lat", "lon"), cells.select(cell_id, F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
     return found.join(a, point_id).join(b, cell_id).select(point_id, cell_id, great_circle("lat", "lon", "lat2", "lon2").alias("distance"))
 

@@ -1,27 +1,37 @@
 """Least-squares Fourier fits as aggregations.
 
 On a full rectangle with integer indices the basis is orthogonal: the Gram matrix is diagonal with N/2 (N for the constant),
-so a fit is one grouped sum over points and modes. Sums by point are additive, so partial sums precede the shuffle, and the mode
-table, whose size is a parameter, is the broadcast side.
+so a fit is a grouped sum over points and modes, taken axis by axis. Sums by point are additive, so partial sums precede the shuffle, and
+the mode table, whose size is a parameter, is the broadcast side.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spectral import phase
 
 
-def on_modes(points: DataFrame, columns: DataFrame, ni: int, nj: int) -> DataFrame:
-    """Points by basis columns (part, m_i, m_j) with the basis value ``b``; the columns are broadcast."""
-    p = phase("m_i", "m_j", "i", "j", ni, nj)
-    return points.crossJoin(F.broadcast(columns)).withColumn("b", F.when(F.col("part") == "cos", F.cos(p)).otherwise(F.sin(p)))
+def _axis_sums(points: DataFrame, modes: DataFrame, ni: int, nj: int, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, m_i, m_j and the other columns of ``modes``, re, im, n): sums of value times cosine and sine of each mode's phase.
+
+    The phase is a sum over the axes, so values first add up along i for each (j, m_i), then along j: points meet nhi rows each, not nhi x nhj.
+    """
+    a, b = (F.lit(2 * math.pi) * F.col(m) * F.col(x) / F.lit(float(n)) for m, x, n in (("m_i", "i", ni), ("m_j", "j", nj)))
+    lines = points.crossJoin(F.broadcast(modes.select("m_i").distinct())).groupBy(*keys, "j", "m_i").agg(F.sum(F.col("z") * F.cos(a)).alias("_c"), F.sum(F.col("z") * F.sin(a)).alias("_s"), F.count("*").alias("_n"))
+    both = lines.join(F.broadcast(modes), "m_i")
+    re, im = F.col("_c") * F.cos(b) - F.col("_s") * F.sin(b), F.col("_s") * F.cos(b) + F.col("_c") * F.sin(b)
+    return both.groupBy(*keys, *modes.columns).agg(F.sum(re).alias("re"), F.sum(im).alias("im"), F.sum("_n").alias("n"))
 
 
 def right_hand_side(points: DataFrame, columns: DataFrame, ni: int, nj: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Sum of basis times value by column, and the number of points."""
-    return on_modes(points, columns, ni, nj).groupBy(*keys, "col", "part", "k_idx", "l_idx", "m_i", "m_j").agg(F.sum(F.col("b") * F.col("z")).alias("rhs"), F.count("*").alias("n"))
+    """Sum of basis times value by column, and the number of points; i and j are whole numbers."""
+    own = columns.select("col", "part", "k_idx", "l_idx", "m_i", "m_j")
+    sums = _axis_sums(points, own, ni, nj, keys)
+    return sums.select(*keys, *own.columns, F.when(F.col("part") == "cos", F.col("re")).otherwise(F.col("im")).alias("rhs"), "n")
 
 
 def gram(points: DataFrame, columns: DataFrame, ni: int, nj: int, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -53,15 +63,22 @@ def spectrum(coefficients: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 
 def reconstruction(points: DataFrame, modes: DataFrame, ni: int, nj: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """points with ``recon``, the sum over the modes (m_i, m_j, a_cos, a_sin) of each key."""
-    p = phase("m_i", "m_j", "i", "j", ni, nj)
-    term = F.col("a_cos") * F.cos(p) + F.col("a_sin") * F.sin(p)
-    joined = points.join(modes.select(*keys, "m_i", "m_j", "a_cos", "a_sin"), list(keys)) if keys else points.crossJoin(F.broadcast(modes.select("m_i", "m_j", "a_cos", "a_sin")))
-    return joined.groupBy(*keys, "i", "j", "z").agg(F.sum(term).alias("recon"))
+    """points with ``recon``, the sum over the modes (m_i, m_j, a_cos, a_sin) of each key; points of keys without modes fall away.
+
+    A key's modes travel as one array, so points are neither multiplied nor grouped.
+    """
+    one = F.array_sort(F.collect_list(F.struct("m_i", "m_j", "a_cos", "a_sin"))).alias("_modes")
+    lists = modes.groupBy(*keys).agg(one)
+    joined = points.join(lists, list(keys)) if keys else points.crossJoin(F.broadcast(lists))
+
+    def add(total, m):
+        p = phase(m["m_i"], m["m_j"], "i", "j", ni, nj)
+        return total + m["a_cos"] * F.cos(p) + m["a_sin"] * F.sin(p)
+
+    return joined.withColumn("recon", F.aggregate("_modes", F.lit(0.0), add)).drop("_modes")
 
 
 def periodogram(points: DataFrame, modes: DataFrame, ni: int, nj: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, k_idx, l_idx, ampl) of the two-dimensional DFT of demeaned values, scaled by the number of nodes over two."""
-    p = phase("m_i", "m_j", "i", "j", ni, nj)
-    sums = points.crossJoin(F.broadcast(modes)).groupBy(*keys, "k_idx", "l_idx", "m_i", "m_j").agg(F.sum(F.col("z") * F.cos(p)).alias("re"), F.sum(F.col("z") * F.sin(p)).alias("im"), F.count("*").alias("n"))
+    """(keys, k_idx, l_idx, m_i, m_j, re, im, n, ampl) of the two-dimensional DFT of demeaned values, scaled by the number of nodes over two."""
+    sums = _axis_sums(points, modes.select("k_idx", "l_idx", "m_i", "m_j"), ni, nj, keys)
     return sums.withColumn("ampl", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")) / (F.col("n") / 2.0))

@@ -59,3 +59,24 @@ def jaccard(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("cell_id",)) ->
     both = a.select(names).distinct().withColumn("a", F.lit(1)).unionByName(b.select(names).distinct().withColumn("b", F.lit(1)), allowMissingColumns=True)
     one = both.groupBy(names).agg(F.count("a").alias("a"), F.count("b").alias("b"))
     return one.groupBy(*keys).agg((F.sum(F.col("a") * F.col("b")) / F.count("*")).alias("jaccard"))
+
+
+def restricted(table: DataFrame, pairs: DataFrame, recompute: bool = False, keys: tuple[str, ...] = ("cell_id",)) -> DataFrame:
+    """The modes of ``table`` whose (k_idx, l_idx) each key's ``pairs`` name, with nhi and nhj.
+
+    With ``recompute`` the sizes shrink to the next even number above the largest index that is named; otherwise they are the table's.
+    """
+    even = lambda c: (F.max(c) + 1 + (F.max(c) + 1) % 2).cast("int")
+    chosen = pairs.select(*keys, "k_idx", "l_idx").distinct().join(F.broadcast(table), ["k_idx", "l_idx"])
+    whole = table.agg((F.max("k_idx") + 1).cast("int").alias("nhi"), (F.max("l_idx") + 1).cast("int").alias("nhj"))
+    sizes = chosen.groupBy(*keys).agg(even("k_idx").alias("nhi"), even("l_idx").alias("nhj")) if recompute else whole
+    both = chosen.join(sizes, list(keys)) if recompute and keys else chosen.crossJoin(F.broadcast(sizes))
+    return both.select(*keys, "k_idx", "l_idx", "m_i", "m_j", "nhi", "nhj")
+
+
+def coarse_spectrum(spectra: DataFrame, factor: int = 3, keys: tuple[str, ...] = ("cell_id",), values: tuple[str, ...] = ("kk", "ll"), ampl: str = "ampl") -> DataFrame:
+    """(keys, bk, bl, ampl, values): means of blocks of factor x factor modes over those that are neither null nor NaN; wavenumbers of each block's middle mode."""
+    middle = (F.col("k_idx") % factor == factor // 2) & (F.col("l_idx") % factor == factor // 2)
+    block = [F.expr(f"cast({c} div {factor} as int)").alias(n) for c, n in (("k_idx", "bk"), ("l_idx", "bl"))]
+    good = F.when(~F.isnan(ampl), F.col(ampl))
+    return spectra.groupBy(*keys, *block).agg(F.avg(good).alias(ampl), *[F.max(F.when(middle, F.col(v))).alias(v) for v in values])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_M, col
+from ..session import saved
 
 
 def block_mean(raster: DataFrame, fi: int, fj: int, values: tuple[str, ...] = ("z",), keys: tuple[str, ...] = ()) -> DataFrame:
@@ -66,9 +67,14 @@ def bbox_slice(raster: DataFrame, i_range: tuple[float, float], j_range: tuple[f
     return raster.join(F.broadcast(ends), inside).drop("i0", "i1", "j0", "j1")
 
 
-def padded_range(points: DataFrame, column: str, low: float, high: float, spacing: float, pad: int) -> DataFrame:
-    """Rows within the bounds widened by ``pad`` spacings, both ends included."""
-    return points.where(F.col(column).between(low - pad * spacing, high + pad * spacing))
+#: Points by which a reader widens its box beyond the padding asked for.
+TOLERANCE = 50
+
+
+def padded_range(points: DataFrame, column: str, low: float, high: float, spacing: float, pad: int, tolerance: int = 0) -> DataFrame:
+    """Rows within the bounds widened by ``pad + tolerance`` spacings, both ends included; readers take ``TOLERANCE``."""
+    by = (pad + tolerance) * spacing
+    return points.where(F.col(column).between(low - by, high + by))
 
 
 def clamped(points: DataFrame, value: str = "z", floor: float = -500.0, fill: float | None = None) -> DataFrame:
@@ -86,27 +92,29 @@ def land_flags(points: DataFrame, keys: tuple[str, ...] = ("cell_id",), value: s
 def dense_ids(rows: DataFrame, key: str, out: str = "new_id", start: int = 0) -> DataFrame:
     """Keys renumbered from ``start`` without gaps, in order.
 
-    Ranges are sorted in parallel and numbered from the counts of the ranges before; only one count a
-    range is gathered.
+    Distinct keys are range-partitioned, sorted and written once; ranges are numbered from the counts of the ranges before, one row a
+    range, and meet them again by an equi-join on the range's number.
     """
     keys = rows.select(key).distinct()
-    parts = keys.repartitionByRange(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key).withColumn("_p", F.spark_partition_id())
-    counts = parts.groupBy("_p").agg(F.count("*").alias("_n"), F.min(key).alias("_lo"), F.max(key).alias("_hi"))
-    base = counts.withColumn("_base", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_lo").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    placed = keys.join(F.broadcast(base), (F.col(key) >= F.col("_lo")) & (F.col(key) <= F.col("_hi")))
-    number = F.row_number().over(Window.partitionBy("_lo").orderBy(key)) + F.col("_base") - 1 + start
-    return rows.join(placed.select(key, number.cast("long").alias(out)), key)
+    parts = keys.repartitionByRange(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key).sortWithinPartitions(key)
+    parts = saved(parts.withColumn("_p", F.spark_partition_id()), "ranges")
+    counts = parts.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    number = F.row_number().over(Window.partitionBy("_p").orderBy(key)) + F.col("_base") - 1 + start
+    return rows.join(parts.join(base, "_p").select(key, number.cast("long").alias(out)), key)
 
 
-def equidistant_resample(raster: DataFrame, ni: int, nj: int, x: str = "lat", y: str = "lon", keys: tuple[str, ...] = ("cell_id",)) -> DataFrame:
+def equidistant_resample(raster: DataFrame, ni: int | None, nj: int | None, x: str = "lat", y: str = "lon", keys: tuple[str, ...] = ("cell_id",)) -> DataFrame:
     """Values at the nodes of an equidistant grid with the same ends, each from the nearest row and the nearest column.
 
-    Nearest on a rectilinear grid separates by axis; ties take the smaller index.
+    Nearest on a rectilinear grid separates by axis; ties take the smaller index. A size of None keeps each key's own number of lines.
     """
-    def axis(k: str, c: str, n: int) -> DataFrame:
+    def axis(k: str, c: str, n: int | None) -> DataFrame:
         line = raster.select(*keys, k, c).distinct()
-        ends = line.groupBy(*keys).agg(F.min(c).alias("_lo"), F.max(c).alias("_hi"))
-        target = ends.withColumn(f"t{k}", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_v", F.col("_lo") + F.col(f"t{k}") * (F.col("_hi") - F.col("_lo")) / max(1, n - 1))
+        size = F.count("*") if n is None else F.lit(n)
+        ends = line.groupBy(*keys).agg(F.min(c).alias("_lo"), F.max(c).alias("_hi"), size.cast("int").alias("_size"))
+        target = ends.withColumn(f"t{k}", F.explode(F.sequence(F.lit(0), F.col("_size") - 1))).withColumn("_v", F.col("_lo") + F.col(f"t{k}") * (F.col("_hi") - F.col("_lo")) / F.greatest(F.lit(1), F.col("_size") - 1))
         near = line.join(target, list(keys)).groupBy(*keys, f"t{k}").agg(F.min(F.struct(F.abs(F.col(c) - F.col("_v")).alias("d"), F.col(k).alias(k))).alias("m"))
         return near.select(*keys, f"t{k}", F.col(f"m.{k}").alias(k))
 

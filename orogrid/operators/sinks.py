@@ -25,19 +25,79 @@ def packed_spectra(modes: DataFrame, n_modes: int, keys: tuple[str, ...] = ("cel
 def append_missing(records: DataFrame, path: str, key: str = "cell_id") -> DataFrame:
     """Append the records whose key is not in the table at ``path`` yet, by chunk, and return the table.
 
-    A stored record that is not complete raises an error instead of being passed over.
+    Only the chunks that the new records fall in are read. Of new records with one key the one that sorts first stays; a stored record of
+    these chunks that is not complete raises an error instead of being passed over. One writer at a time: a marker beside the
+    table makes a second one fail.
     """
     spark = records.sparkSession
-    records = records.dropDuplicates([key]).withColumn("chunk", F.expr(f"cast({key} div {CHUNK} as int)"))
-    if exists(spark, path):
-        have = spark.read.parquet(path)
-        if have.where(~complete()).limit(1).count():
-            raise ValueError("a stored record is incomplete")
-        records = records.join(have.select(key), key, "left_anti")
-    records.write.mode("append").partitionBy("chunk").parquet(path)
+    marker = f"{path.rstrip('/')}._writing"
+    if not create_new(spark, marker):
+        raise RuntimeError(f"another writer is at {path}, or one was lost there: {marker} exists")
+    try:
+        columns = [c for c in records.columns if c != key]
+        records = records.groupBy(key).agg(F.min(F.struct(*columns)).alias("_r")).select(key, "_r.*").withColumn("chunk", F.expr(f"cast({key} div {CHUNK} as int)"))
+        if exists(spark, path):
+            touched = records.select("chunk").distinct()
+            have = spark.read.parquet(path).join(touched, "chunk", "left_semi")
+            if have.where(~complete()).limit(1).count():
+                raise ValueError("a stored record is incomplete")
+            records = records.join(have.select(key), key, "left_anti")
+        records.repartition("chunk").write.mode("append").partitionBy("chunk").parquet(path)
+    finally:
+        delete(spark, marker)
     return spark.read.parquet(path)
 
 
+def _place(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def create_new(spark: SparkSession, path: str) -> bool:
+    """Whether an empty file could be made that was not there before."""
+    fs, at = _place(spark, path)
+    return bool(fs.createNewFile(at))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, at = _place(spark, path)
+    fs.delete(at, True)
+
+
+def write_versioned(table: DataFrame, path: str, params: dict | None = None) -> str:
+    """Write ``table`` at ``path``; what was there is kept as ``path_old`` (an older one goes). ``params`` become a side table of (name, value).
+
+    Values that are not strings or numbers are written as their repr.
+    """
+    spark = table.sparkSession
+    fs, at = _place(spark, path.rstrip("/"))
+    if fs.exists(at):
+        delete(spark, f"{path.rstrip('/')}_old")
+        fs.rename(at, _place(spark, f"{path.rstrip('/')}_old")[1])
+    table.write.option("compression", "gzip").parquet(path)
+    if params is not None:
+        rows = [(k, v if isinstance(v, str) else repr(v)) for k, v in sorted(params.items())]
+        spark.createDataFrame(rows, "name string, value string").coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}_params")
+    return path
+
+
+def merged_strictly(chunks: DataFrame, first: int, last: int, key: str = "cell_id") -> DataFrame:
+    """All records of the chunks, each id from first to last; an id that is missing, comes twice or lies outside raises an error when read.
+
+    Columns that a chunk lacks are null (union the chunks by name). One row of counts is met by every record.
+    """
+    seen = chunks.agg(F.count("*").alias("n"), F.count_distinct(key).alias("ids"), F.min(key).alias("lo"), F.max(key).alias("hi"))
+    whole = (F.col("n") == last - first + 1) & (F.col("ids") == F.col("n")) & (F.col("lo") == first) & (F.col("hi") == last)
+    marked = chunks.crossJoin(F.broadcast(seen.select(F.coalesce(whole, F.lit(False)).alias("_whole"))))
+    return marked.where(F.when(F.col("_whole"), True).otherwise(F.raise_error(F.lit(f"the chunks do not hold each id from {first} to {last} once")))).drop("_whole")
+
+
+def cover_counts(records: DataFrame) -> DataFrame:
+    """(n, n_land, n_ocean) of merged records."""
+    land = F.count_if(F.col("is_land") == 1)
+    return records.agg(F.count("*").alias("n"), land.alias("n_land"), (F.count("*") - land).alias("n_ocean"))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     from pyspark.errors import AnalysisException
 
@@ -71,3 +131,20 @@ def missing_and_extra(ids: DataFrame, first: int, last: int, key: str = "cell_id
     missing = expected.join(ids.select(key).distinct(), key, "left_anti").withColumn("what", F.lit("missing"))
     extra = ids.select(key).distinct().where(~F.col(key).between(first, last)).withColumn("what", F.lit("extra"))
     return missing.unionByName(extra)
+
+
+#: Names of a result table's variables and those that readers know them by.
+RESULT_NAMES = {"lat": "lat", "lon": "lon", "recon": "data", "ampls": "spec", "pmf_sg": "pmf"}
+
+
+def read_results(table: DataFrame, key: str = "cell_id") -> DataFrame:
+    """A result table's key and known variables under the readers' names; a variable that it lacks is left out."""
+    return table.select(key, *[F.col(a).alias(b) for a, b in RESULT_NAMES.items() if a in table.columns])
+
+
+def digest(points: DataFrame, keys: tuple[str, ...] = ("cell_id",), order: tuple[str, ...] = ("i", "j"), value: str = "z", places: int = 3) -> DataFrame:
+    """(keys, digest): SHA-256 of each field's values as decimals of so many places, joined by commas in the field's order; null is empty."""
+    text = F.coalesce(F.format_string(f"%.{places}f", F.round(F.col(value), places) + F.lit(0.0)), F.lit(""))
+    text = F.when(F.col(value).isNull(), F.lit("")).otherwise(text)
+    rows = F.array_sort(F.collect_list(F.struct(*order, text.alias("_v"))))["_v"]
+    return points.groupBy(*keys).agg(F.sha2(F.array_join(rows, ","), 256).alias("digest"))

@@ -10,7 +10,7 @@ from ..sources import fields
 from ..sources import tables as T
 from ..sources.tables import NI, NJ
 from .base import CELLS, CENTRES, RASTER, register, rnd, rounded
-from .spectral_queries import _P, _TOP, FIT, NHI, NHJ, TOP, demeaned, fit
+from .spectral_queries import _P, _TOP, _WAVE, FIT, NHI, NHJ, TOP, demeaned, fit, flux_sql, wave
 
 _RECORDS = f"{CELLS}, n AS (SELECT cell_id, i * 0.5 + cell_id * 12.0 AS lat, j * 1.0 AS lon, z FROM cells)"
 
@@ -40,15 +40,27 @@ def subset_renumber(spark, d):
     return R.dense_ids(T.read(spark, d, "customer", "c_custkey", "c_acctbal").join(wanted, "c_custkey", "left_semi"), "c_custkey")
 
 
-@register("memory_batches", f"""
-WITH {CENTRES}, b AS (SELECT cell_id, CAST(floor(abs(lat) * 10) AS INT) AS band FROM centres),
-     g AS (SELECT *, CASE WHEN band / 10.0 < 60 THEN 10.0 WHEN band / 10.0 >= 85 THEN 60.0 ELSE 10.0 * pow(1.0 / cos(radians(band / 10.0)), 0.7) END AS gb FROM b),
-     o AS (SELECT band, coalesce(sum(sum(gb)) OVER (ORDER BY band DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM g GROUP BY band)
-SELECT cell_id, {rnd('gb')} AS gb, CAST(floor((base + (row_number() OVER (PARTITION BY band ORDER BY cell_id) - 1) * gb) / 240.5) AS BIGINT) AS batch_id FROM g JOIN o USING (band)""")
+_GB = "CASE WHEN abs(lat) < 60 THEN 10.0 WHEN abs(lat) >= 85 THEN 60.0 ELSE 10.0 * pow(1.0 / cos(radians(abs(lat))), 0.7) END"
+_BATCHES = f"""{CENTRES}, o AS (SELECT cell_id, {_GB} AS gb, row_number() OVER (ORDER BY {_GB} DESC, cell_id) AS rn FROM centres),
+     b AS (SELECT cell_id, gb, rn, 0 AS batch_id, 1 AS cnt, gb AS total FROM o WHERE rn = 1 UNION ALL
+           SELECT o.cell_id, o.gb, o.rn, CASE WHEN (b.total + o.gb) / (cnt + 1) * cnt > 240.5 THEN batch_id + 1 ELSE batch_id END, CASE WHEN (b.total + o.gb) / (cnt + 1) * cnt > 240.5 THEN 1 ELSE cnt + 1 END,
+                  CASE WHEN (b.total + o.gb) / (cnt + 1) * cnt > 240.5 THEN o.gb ELSE b.total + o.gb END FROM b JOIN o ON o.rn = b.rn + 1),
+     w AS (SELECT batch_id, avg(gb) * 1.5 AS own, greatest(1, CAST(floor(240.5 / (avg(gb) * 1.5)) AS INT)) AS n_workers FROM b GROUP BY 1)"""
+
+
+@register("memory_batches", f"WITH RECURSIVE {_BATCHES} SELECT cell_id, {rnd('gb')} AS gb, CAST(batch_id AS BIGINT) AS batch_id, n_workers, {rnd('CASE WHEN n_workers = 1 THEN least(own, 240.5) ELSE own END')} AS worker_gb FROM b JOIN w USING (batch_id)")
 def memory_batches(spark, d):
     return rounded(fields.memory_batches(T.mesh_cells(spark, d), 240.5))
 
 
+@register("batch_chunks", f"WITH RECURSIVE {_BATCHES}, c AS (SELECT DISTINCT l_suppkey AS cell_id, l_suppkey // 10 AS chunk FROM lineitem) SELECT CAST(batch_id AS BIGINT) AS batch_id, chunk, count(*) AS n FROM b JOIN c USING (cell_id) GROUP BY ALL")
+def batch_chunks(spark, d):
+    """The cells that are both in a memory batch and in a chunk of ids, counted."""
+    chunks = T.read(spark, d, "lineitem", "l_suppkey").select(F.col("l_suppkey").alias("cell_id")).distinct().withColumn("chunk", F.expr("cell_id div 10"))
+    batches = fields.memory_batches(T.mesh_cells(spark, d), 240.5)
+    return batches.join(chunks, "cell_id").groupBy("batch_id", "chunk").agg(F.count("*").alias("n"))
+
+
 @register("heaviest_cells", f"WITH {CENTRES} SELECT cell_id, {rnd('CASE WHEN abs(lat) < 60 THEN 10.0 WHEN abs(lat) >= 85 THEN 60.0 ELSE 10.0 * pow(1.0 / cos(radians(abs(lat))), 0.7) END')} AS gb FROM centres ORDER BY abs(lat) DESC, cell_id LIMIT 10")
 def heaviest_cells(spark, d):
     from ..functions.geo import memory_gb
@@ -64,11 +76,17 @@ def recompute_support(spark, d):
     return rounded(lsff.reconstruction(demeaned(spark, d), half, NI, NJ, ("cell_id",)).select("cell_id", "i", "j", "recon"), 4)
 
 
-@register("spectrum_block_mean", f"WITH {FIT}, a AS (SELECT cell_id, k_idx, l_idx, CASE WHEN m_i = 0 AND m_j = 0 THEN NULL ELSE ampl END AS ampl FROM ampl) SELECT cell_id, k_idx // 3 AS bk, l_idx // 3 AS bl, {rnd('avg(ampl)', 4)} AS ampl FROM a GROUP BY 1, 2, 3")
+@register("spectrum_block_mean", f"WITH {FIT}, a AS (SELECT *, CASE WHEN m_i = 0 AND m_j = 0 THEN NULL ELSE ampl END AS a FROM ampl), w AS (SELECT *, {_WAVE} FROM a) SELECT cell_id, k_idx // 3 AS bk, l_idx // 3 AS bl, {rnd('avg(a)', 4)} AS ampl, {rnd('max(CASE WHEN k_idx % 3 = 1 AND l_idx % 3 = 1 THEN kk END)', 9)} AS kk, {rnd('max(CASE WHEN k_idx % 3 = 1 AND l_idx % 3 = 1 THEN ll END)', 9)} AS ll FROM w GROUP BY 1, 2, 3")
 def spectrum_block_mean(spark, d):
-    """Means of 3 x 3 blocks of a spectrum over the modes that exist."""
-    a = fit(spark, d).withColumn("ampl", F.when((F.col("m_i") == 0) & (F.col("m_j") == 0), None).otherwise(F.col("ampl")))
-    return rounded(a.groupBy("cell_id", F.expr("cast(k_idx div 3 as int)").alias("bk"), F.expr("cast(l_idx div 3 as int)").alias("bl")).agg(F.avg("ampl").alias("ampl")), 4)
+    """Means of 3 x 3 blocks of a spectrum over the modes that exist, with every third wavenumber."""
+    a = wave(fit(spark, d)).withColumn("ampl", F.when((F.col("m_i") == 0) & (F.col("m_j") == 0), None).otherwise(F.col("ampl")))
+    return rounded(modes.coarse_spectrum(a), 9, ampl=4)
+
+
+@register("modes_restricted", f"WITH {FIT}, {_TOP}, p AS (SELECT * FROM top WHERE rank <= 4), n AS (SELECT cell_id, max(k_idx) + 1 + (max(k_idx) + 1) % 2 AS nhi, max(l_idx) + 1 + (max(l_idx) + 1) % 2 AS nhj FROM p GROUP BY 1) SELECT cell_id, k_idx, l_idx, m_i, m_j, CAST(nhi AS INT) AS nhi, CAST(nhj AS INT) AS nhj FROM p JOIN n USING (cell_id)")
+def modes_restricted(spark, d):
+    """The modes of each cell's four strongest, with sizes recomputed from the largest index."""
+    return modes.restricted(modes.mode_table(spark, NHI, NHJ), modes.top_modes(fit(spark, d), 4), recompute=True)
 
 
 @register("mode_columns", f"""
@@ -96,13 +114,36 @@ def variant_comparison(spark, d):
     return rounded(diagnostics.rmse(recon, ("variant", "cell_id")).select("variant", "cell_id", "rmse"), 4)
 
 
-@register("result_scan", f"SELECT o_orderkey AS cell_id, {rnd('o_totalprice', 4)} AS data, {rnd('o_totalprice / 2', 4)} AS spec FROM orders WHERE o_orderkey BETWEEN 40 AND 60")
+_VARIANTS = "v AS (SELECT * FROM (VALUES (0, 5), (1, 10), (2, 20)) t(variant, n_modes))"
+
+
+@register("variant_improvements", f"""
+WITH {CELLS}, c AS (SELECT cell_id, i, j, z - avg(z) OVER (PARTITION BY cell_id) AS z FROM cells), {_VARIANTS},
+ {FIT[FIT.index('modes AS ('):]}, {_TOP}, f AS (SELECT *, {_WAVE} FROM top WHERE rank <= 20), u AS (SELECT cell_id, k_idx, l_idx, rank, {flux_sql()} AS uw FROM f),
+ r AS (SELECT variant, c.cell_id, i, j, z, sum(a_cos * cos{_P} + a_sin * sin{_P}) AS recon FROM v JOIN top ON rank <= n_modes JOIN c ON c.cell_id = top.cell_id GROUP BY ALL),
+ e AS (SELECT variant, cell_id, sqrt(avg(pow(z - recon, 2))) AS rmse FROM r GROUP BY 1, 2),
+ d AS (SELECT variant, cell_id, max(abs(CASE WHEN rank <= n_modes THEN uw ELSE 0 END - CASE WHEN rank <= 5 THEN uw ELSE 0 END)) / max(abs(CASE WHEN rank <= 5 THEN uw ELSE 0 END)) AS rel_diff FROM u, v WHERE variant > 0 GROUP BY 1, 2)
+SELECT e.variant, e.cell_id, {rnd('rel_diff', 4)} AS rel_diff, {rnd('(b.rmse - e.rmse) / b.rmse * 100', 4)} AS improvement FROM e JOIN e b ON b.cell_id = e.cell_id AND b.variant = 0 JOIN d ON d.variant = e.variant AND d.cell_id = e.cell_id""")
+def variant_improvements(spark, d):
+    """How far each setting's fluxes and errors are from those of the first one."""
+    from ..functions.spectral import flux
+
+    variants = spark.createDataFrame([(0, 5), (1, 10), (2, 20)], "variant int, n_modes int")
+    every = modes.top_modes(fit(spark, d), 20).crossJoin(F.broadcast(variants))
+    own = every.where(F.col("rank") <= F.col("n_modes"))
+    recon = lsff.reconstruction(demeaned(spark, d).crossJoin(F.broadcast(variants.select("variant"))), own, NI, NJ, ("variant", "cell_id"))
+    better = diagnostics.improvements(diagnostics.rmse(recon, ("variant", "cell_id")), "rmse", 0)
+    uw = wave(every).withColumn("uw", F.when(F.col("rank") <= F.col("n_modes"), flux("ampl", "kk", "ll", 10.0, 0.0)).otherwise(0.0))
+    return rounded(diagnostics.flux_differences(uw, "uw", 0, ("k_idx", "l_idx")).join(better, ["variant", "cell_id"]), 4)
+
+
+@register("result_scan", f"SELECT o_orderkey AS cell_id, {rnd('o_custkey / 7.0', 4)} AS lat, {rnd('o_custkey / 3.0', 4)} AS lon, {rnd('o_totalprice', 4)} AS data, {rnd('o_totalprice / 2', 4)} AS spec, {rnd('o_totalprice / 4', 4)} AS pmf FROM orders")
 def result_scan(spark, d):
-    """Records of a key range read back from a written, chunk-partitioned table, with the reader's names."""
+    """All records read back chunk by chunk from a written, chunk-partitioned table, with the reader's names."""
     from ..session import shared_path
 
     path = shared_path(spark, "results")
-    rows = T.read(spark, d, "orders", "o_orderkey", "o_totalprice").select(F.col("o_orderkey").alias("cell_id"), F.col("o_totalprice").alias("recon"), (F.col("o_totalprice") / 2).alias("ampls"))
+    price, cust = F.col("o_totalprice"), F.col("o_custkey")
+    rows = T.read(spark, d, "orders", "o_orderkey", "o_totalprice", "o_custkey").select(F.col("o_orderkey").alias("cell_id"), (cust / 7.0).alias("lat"), (cust / 3.0).alias("lon"), price.alias("recon"), (price / 2).alias("ampls"), (price / 4).alias("pmf_sg"))
     rows.withColumn("chunk", F.expr(f"cell_id div {sinks.CHUNK}")).repartition("chunk").write.partitionBy("chunk").parquet(path)
-    found = spark.read.parquet(path).where("chunk = 0 and cell_id between 40 and 60")
-    return rounded(found.select("cell_id", F.col("recon").alias("data"), F.col("ampls").alias("spec")), 4)
+    return rounded(sinks.read_results(spark.read.parquet(path)), 4)

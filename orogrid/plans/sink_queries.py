@@ -133,7 +133,7 @@ def sparse_raster_fill(spark, d):
     from ..operators.joins import scattered
 
     part = T.read(spark, d, "part", "p_size", "p_brand", "p_retailprice")
-    nodes = part.select("p_size").distinct().crossJoin(F.broadcast(part.select("p_brand").distinct()))
+    nodes = part.select("p_size").distinct().crossJoin(part.select("p_brand").distinct())
     return rounded(scattered(nodes, part.groupBy("p_size", "p_brand").agg(F.avg("p_retailprice").alias("z")), ["p_size", "p_brand"], "z"), 4)
 
 
@@ -153,3 +153,18 @@ def hourly_normal_sums(spark, d):
     events = T.read(spark, d, "events", "ts", "value")
     sums = normal_sums(events.withColumn("day", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 86_400_000_000).cast("long")), ["day"])
     return rounded(sums.select("day", "n", "z", "zc", "zs"), 3)
+
+
+@register("strict_merge_counts", "SELECT count(*) AS n, count(*) FILTER (WHERE c_nationkey % 2 = 1) AS n_land, count(*) FILTER (WHERE c_nationkey % 2 = 0) AS n_ocean FROM customer")
+def strict_merge_counts(spark, d):
+    """Chunks with and without a column, merged by name; every id is there once, or the merge raises an error."""
+    c = T.read(spark, d, "customer", "c_custkey", "c_nationkey", "c_acctbal").select(F.col("c_custkey").alias("cell_id"), (F.col("c_nationkey") % 2).alias("is_land"), "c_acctbal")
+    first, last = c.agg(F.coalesce(F.min("cell_id"), F.lit(0)), F.coalesce(F.max("cell_id"), F.lit(-1))).head()
+    parts = c.where("cell_id % 2 = 0").drop("c_acctbal").unionByName(c.where("cell_id % 2 = 1"), allowMissingColumns=True)
+    return sinks.cover_counts(sinks.merged_strictly(parts, first, last))
+
+
+@register("field_digest", f"WITH {CELLS} SELECT cell_id, sha256(string_agg(printf('%.3f', round(z, 3) + 0.0), ',' ORDER BY i, j)) AS digest FROM cells GROUP BY 1")
+def field_digest(spark, d):
+    """A digest of each cell's field."""
+    return sinks.digest(T.cells_raster(spark, d))

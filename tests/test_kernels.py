@@ -18,9 +18,31 @@ def planted(n=200, m=30, seed=0):
 
 def test_selectors_recover_planted_columns():
     a, y = planted()
-    assert set(linear.omp(a, y, 3)) == {3, 11, 22}
-    assert set(linear.omp(a, y, 3, batch=3)) == {3, 11, 22}
-    assert set(linear.lasso(a, y, 3)) == {3, 11, 22}
+    s = linear.System.of(a, y)
+    assert set(linear.omp(s, 3)) == {3, 11, 22}
+    assert set(linear.omp(s, 3, batch=3)) == {3, 11, 22}
+    assert set(linear.lasso(s, 3)) == {3, 11, 22}
+    assert set(linear.omp(s, 2, offset=4)) == set(linear.lasso(s, 2, offset=4)) == {11, 22}
+    assert len(linear.omp(s, 99)) == 30
+
+
+def test_selectors_on_sums_equal_those_on_points():
+    """Matching pursuit and lasso by their definitions, on residuals of points."""
+    a, y = planted(90, 12, 5)
+    y = y + 0.5 * np.random.default_rng(2).standard_normal(90)
+    chosen, left = [], y
+    for _ in range(5):
+        c = np.abs(a.T @ left) / np.linalg.norm(a, axis=0)
+        c[chosen] = -1
+        chosen.append(int(np.argmax(c)))
+        left = y - a[:, chosen] @ np.linalg.lstsq(a[:, chosen], y, rcond=None)[0]
+    assert linear.omp(linear.System.of(a, y), 5).tolist() == chosen
+    w, alpha = np.zeros(12), 1e-3 * np.abs(a.T @ y).max() / 90
+    for _ in range(500):
+        for c in range(12):
+            r = a[:, c] @ (y - a @ w) + (a[:, c] @ a[:, c]) * w[c]
+            w[c] = np.sign(r) * max(abs(r) - alpha * 90, 0) / (a[:, c] @ a[:, c])
+    assert linear.lasso(linear.System.of(a, y), 4).tolist() == np.argsort(-np.abs(w), kind="stable")[:4].tolist()
 
 
 def test_zero_exponent_is_isotropic():
@@ -30,21 +52,34 @@ def test_zero_exponent_is_isotropic():
     assert np.allclose(linear.spectral(g, 0.3, k, 0.0), linear.isotropic(g, 0.3))
     assert linear.isotropic(g, 0.0).sum() == 0
     assert np.all(np.diff(linear.spectral(g, 0.3, k, 2.0)) > 0)
-    assert linear.joint_gcv(a, y, k, alphas=(0.0,))[1:] == pytest.approx(linear.gcv(a, y))
+    s = linear.System.of(a, y)
+    assert linear.joint_gcv(s, k, alphas=(0.0,))[1:] == pytest.approx(linear.gcv(s))
 
 
 def test_gcv_equals_direct_formula():
     a, y = planted(80, 15)
+    a = a * 3  # mean diagonal 9
     for lam in (1e-4, 0.1, 3.0):
-        hat = a @ np.linalg.solve(a.T @ a + lam * np.eye(15), a.T)
+        hat = a @ np.linalg.solve(a.T @ a + 9 * lam * np.eye(15), a.T)
         r = y - hat @ y
-        assert linear.gcv(a, y, grid=np.array([lam]))[1] == pytest.approx(r @ r / (80 - np.trace(hat)) ** 2, rel=1e-6)
+        assert linear.gcv(linear.System.of(a, y), grid=np.array([lam]))[1] == pytest.approx(r @ r / (80 - np.trace(hat)) ** 2, rel=1e-6)
+
+
+def test_a_chosen_penalty_is_one_that_a_fit_takes():
+    """The score of the chosen lambda, handed to the fit's own penalty and solve, is that of the selector."""
+    a, y = planted(80, 15)
+    a, s = a * 3, linear.System.of(a * 3, y)
+    lam, score = linear.gcv(s)
+    w = linear.solve(s.gram, s.rhs, linear.isotropic(s.gram, lam))
+    free = 80 - np.trace(a @ np.linalg.solve(s.gram + np.diag(linear.isotropic(s.gram, lam)), a.T))
+    assert s.error(w) * 80 / free**2 == pytest.approx(score)
+    assert all(linear.gcv(s, grid=np.array([g]))[1] >= score for g in linear.lambda_grid(s.gram))
 
 
 def test_marginal_likelihood_is_a_fixed_point():
     a, y = planted(120, 10)
-    y = y + 0.3 * np.random.default_rng(1).standard_normal(120)
-    lam = linear.marginal_likelihood(a, y)
+    a, y = a * 2, y + 0.3 * np.random.default_rng(1).standard_normal(120)
+    lam = 4 * linear.marginal_likelihood(linear.System.of(a, y))  # back from multiples of the mean diagonal
     w = np.linalg.solve(a.T @ a + lam * np.eye(10), a.T @ y)
     d = np.linalg.eigvalsh(a.T @ a)
     gamma = (d / (d + lam)).sum()
@@ -53,19 +88,33 @@ def test_marginal_likelihood_is_a_fixed_point():
 
 def test_folds_are_disjoint_and_buffered():
     x, y = (v.ravel().astype(float) for v in np.meshgrid(np.arange(20), np.arange(15)))
-    sets = linear.folds(x, y, 6, 0.2)
+    sets = linear.folds(x, y, 6, 0.2, seed=1)
     assert len(sets) == 6
     assert sum(h.astype(int) for _, h in sets).max() == 1
     assert all(not (t & h).any() for t, h in sets)
-    with pytest.raises(ValueError):
+    assert [h.tolist() for _, h in sets] != [h.tolist() for _, h in linear.folds(x, y, 6, 0.2, seed=2)]
+    with pytest.raises(ValueError, match="extent"):
         linear.folds(x, np.zeros_like(y), 4, 0.1)
+    with pytest.raises(ValueError, match="too few"):
+        linear.folds(x[:7], y[:7], 4, 0.1)
+    corner = (x < 3) & (y < 3)
+    with pytest.raises(ValueError, match="no points"):
+        linear.folds(np.append(x[corner], 19.0), np.append(y[corner], 14.0), 4, 0.1, seed=0)
+
+
+def test_tiles_are_near_square():
+    for box, n, shape in ((((0, 10), (0, 10)), 4, (2, 2)), (((0, 40), (0, 10)), 5, (3, 2)), (((0, 10), (0, 90)), 4, (1, 6))):
+        found = linear.tiles(*box, n, 0)
+        assert len(set(found)) == n
+        across, down = (round((hi - lo) / (t[2 * k + 1] - t[2 * k])) for t in found[:1] for k, (lo, hi) in enumerate(box))
+        assert (across, down) == shape
 
 
 def test_heavier_penalty_has_larger_held_out_error():
     i, j = (v.ravel().astype(float) for v in np.meshgrid(np.arange(15), np.arange(15)))
     m = linear.basis(i, j, np.array([0, 1, 2]), np.array([0, 1, 1]), 15, 15)
     y = m @ np.ones(m.shape[1])
-    light, heavy = (linear.spatial_cv(m, y, i, j, 4, grid=np.array([g]))[1] for g in (1e-6, 1e4))
+    light, heavy = (linear.spatial_cv_points(m, y, i, j, 4, seed=0, grid=np.array([g]))[1] for g in (1e-6, 1e4))
     assert light < heavy
 
 
@@ -86,6 +135,22 @@ def test_taper_keeps_the_inside_and_decays():
     assert p[0, 0] < p[4, 4]
 
 
+@pytest.mark.parametrize(("name", "gamma"), [("OP", 0.5), ("5pt", 0.0), ("PK", 1 / 3)])
+def test_taper_equals_the_stencil(name, gamma):
+    stencil = np.array([[gamma / 2, 1 - gamma, gamma / 2], [1 - gamma, -4 * (1 - gamma) - 2 * gamma, 1 - gamma], [gamma / 2, 1 - gamma, gamma / 2]])
+    inside = np.zeros((9, 12), bool)
+    inside[3:6, 4:9] = True
+    p = inside.astype(float)
+    for _ in range(20):
+        q, new = np.pad(p, 1), p.copy()
+        for a in range(9):
+            for b in range(12):
+                new[a, b] += 0.5 * (stencil * q[a : a + 3, b : b + 3]).sum()
+        new[inside] = 1
+        p = new
+    assert np.allclose(fields.taper(inside, 20, name), p)
+
+
 def test_synthetic_fields():
     z = fields.diffused_noise((16, 16), 5, 100)
     assert z.min() == -1

@@ -7,13 +7,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from orogrid.functions import geo
-from orogrid.kernels import linear
-from orogrid.operators import diagnostics, fits, joins, lsff, modes, sinks
+from orogrid.functions.geo import rad2deg_columns
+from orogrid.kernels import fields, linear
+from orogrid.operators import diagnostics, features, fits, joins, lsff, modes, segments, sinks
 from orogrid.operators import raster as R
-from orogrid.plans.pipeline import Settings, approximated, first_fit, refined
+from orogrid.plans.pipeline import Settings, approximated, first_fit, refined, resolved
 from orogrid.plans.raster_queries import inside_triangle
 from orogrid.session import shared_path
+from orogrid.sources import fields as sources
 from orogrid.sources import tables as T
+from orogrid.sources import tiles
 from orogrid.streaming.incremental import windowed_fit
 
 SF = "/root/testdata/sf0.01"
@@ -68,6 +71,9 @@ def test_planted_modes_come_back(spark):
 def test_refinement_brings_the_flux_closer_and_stops(spark, cells):
     out = refined(cells.where("cell_id = 1"), inside_triangle, Settings(n_modes=4), 50, 11, cap=1)
     assert out.count() == 4
+    assert out.where("converged is null").count() == 0
+    far = refined(cells.where("cell_id = 1"), inside_triangle, Settings(n_modes=2), 50, 11, tolerance=-1.0, cap=1)
+    assert far.count() == far.where("not converged and round = 1").count() == 2  # never close enough: open at the end
 
 
 def test_greedy_order_and_ties(spark):
@@ -146,13 +152,235 @@ def test_slope_of_a_planted_power_law(spark):
     assert diagnostics.radial_slope(df.limit(1)).count() == 0
 
 
-def test_empty_and_oversized_cells(spark):
-    empty = spark.createDataFrame([], "cell_id int, i int, j int, z double")
+def test_empty_cells(spark):
+    empty = spark.createDataFrame([], "cell_id long, i int, j int, z double")
     assert fits.by_cell(empty, lambda i, j, z: [(1.0,)], "cell_id long, x double").count() == 0
-    assert lsff.spectrum(lsff.rectangle_fit(empty, modes.basis_columns(modes.mode_table(spark, 2, 2)), 5, 5, 0.1, ("cell_id",)), ("cell_id",)).count() == 0
-    many = spark.range(10).select(F.lit(0).alias("cell_id"), F.col("id").cast("int").alias("i"), F.lit(0).alias("j"), F.lit(1.0).alias("z"))
-    with pytest.raises(Exception, match="coarse-grain"):
-        fits.by_cell(many, lambda i, j, z: [(1.0,)], "cell_id long, x double", max_points=5).collect()
+    modes_ = spark.createDataFrame([], "cell_id long, k_idx int, l_idx int, m_i int, m_j int")
+    assert fits.refit(empty, modes_, 8.0, 8.0, 0.1).count() == 0
+
+
+@pytest.fixture(scope="module")
+def lattice(spark):
+    """Two 12 x 10 cells of noise, the modes of a 3 x 4 table, and the dense matrices of the first."""
+    rng = np.random.default_rng(3)
+    rows = [(c, i, j, float(v)) for c in (1, 2) for (i, j), v in np.ndenumerate(rng.standard_normal((12, 10)).cumsum(axis=0))]
+    points = spark.createDataFrame(rows, "cell_id long, i int, j int, z double")
+    table = modes.mode_table(spark, 3, 4).where("not (m_i = 0 and m_j < 0)")
+    every = points.select("cell_id").distinct().crossJoin(table)
+    t = table.orderBy("l_idx", "k_idx").toPandas()
+    i, j, z = (np.array([r[k] for r in rows if r[0] == 1], float) for k in (1, 2, 3))
+    return points, every, (linear.basis(i, j, t.m_i.values, t.m_j.values, 12, 10), z, i, j, linear.wavenumbers(t.m_i.values, t.m_j.values))
+
+
+def test_sums_of_blocks_equal_the_dense_system(spark, lattice):
+    points, every, (m, z, *_) = lattice
+    for size in (7, 1000):
+        row = fits.systems(points, every, 12.0, 10.0, block_points=size).where("cell_id = 1").head()
+        assert np.allclose(np.array(row["gram"]).reshape(m.shape[1], -1), m.T @ m)
+        assert np.allclose(row["rhs"], m.T @ z)
+        assert (row["n"], row["total"]) == (120, pytest.approx(z @ z))
+
+
+def test_fold_sums_equal_folds_of_points(spark, lattice):
+    points, every, (m, z, i, j, k) = lattice
+    for alpha in (0.0, 1.5):
+        row = fits.spatial_cv(fits.fold_systems(points, every, 12.0, 10.0, 4, 0.1, 3), alpha).where("cell_id = 1").head()
+        want = linear.spatial_cv_points(m, z, j, i, 4, 0.1, 3, k=k if alpha else None, alpha=alpha)
+        assert (row["lam"], row["mse"]) == (pytest.approx(want[0]), pytest.approx(want[1]))
+
+
+def test_selectors_and_priors_reach_the_fit(spark, lattice):
+    points, every, (m, z, _, _, k) = lattice
+    inside = lambda df: df.withColumn("inside", F.lit(True))
+    own = {"nhi": 3, "nhj": 4, "n_modes": 3}
+    zero = z - z.mean()
+    picked = linear.omp(linear.System.of(m, zero), 3)
+    got = approximated(points, inside, Settings(**own, selector="omp"), 12, 10).where("cell_id = 1").toPandas()
+    t = every.where("cell_id = 1").orderBy("l_idx", "k_idx").toPandas()
+    names = list(zip(t.k_idx, t.l_idx, strict=True))
+    columns = names + [n for n, w in zip(names, (t.m_i != 0) | (t.m_j != 0), strict=True) if w]
+    assert {columns[c] for c in picked} <= set(zip(got.k_idx, got.l_idx, strict=True))
+    assert len(got) == 3
+    called = approximated(points, inside, Settings(**own, selector=lambda s, n: np.array([4, 5, 6])), 12, 10).where("cell_id = 1").toPandas()
+    assert set(zip(called.k_idx, called.l_idx, strict=True)) == {columns[c] for c in (4, 5, 6)}
+    for penalty, want in (("gcv", lambda s, k: (1.5, linear.gcv(s, k, 1.5)[0])), ("evidence", lambda s, k: (1.5, linear.marginal_likelihood(s))), ("joint", lambda s, k: linear.joint_gcv(s, k)[:2])):
+        out = approximated(points, inside, Settings(**own, full_spectrum=True, penalty=penalty, alpha=1.5), 12, 10).where("cell_id = 1").orderBy("l_idx", "k_idx").toPandas()
+        s = linear.System.of(m, zero)
+        alpha, lam = want(s, k)
+        assert np.allclose(out.a_cos, linear.solve(s.gram, s.rhs, linear.spectral(s.gram, lam, k, alpha))[: len(out)])
+    flat = fits.refit(points, every, 12.0, 10.0, 0.0, prior=lambda s, i, j, lam: np.full(len(s.rhs), 5.0)).where("cell_id = 1").orderBy("l_idx", "k_idx").toPandas()
+    assert np.allclose(flat.a_cos, linear.solve(m.T @ m, m.T @ z, 5.0)[: len(flat)])
+    with pytest.raises(Exception, match="weights for"):
+        fits.refit(points, every, 12.0, 10.0, 0.0, prior=lambda s, i, j, lam: np.ones(2)).collect()
+
+
+def test_spectral_prior_uses_whole_wavenumbers(spark, lattice):
+    points, every, (m, z, _, _, k) = lattice
+    out = fits.refit(points, every, 12.0, 10.0, 0.3, 2.0).where("cell_id = 1").orderBy("l_idx", "k_idx").toPandas()
+    g = m.T @ m
+    a = linear.solve(g, m.T @ z, 0.3 * np.trace(g) / len(g) * (k / k.max() + 1e-3) ** 2)
+    assert np.allclose(out.a_cos, a[: len(out)])
+
+
+def test_options_resolve_in_order():
+    s = resolved({"alpha": 2.0, "n_modes": None}, {"alpha": 1.0, "n_modes": 7})
+    assert (s.alpha, s.n_modes, s.nhi) == (2.0, 7, Settings().nhi)
+    with pytest.raises(ValueError, match="compulsory"):
+        resolved({}, {"tag": None}, ("tag",))
+    with pytest.raises(ValueError, match="unknown"):
+        resolved({"nope": 1})
+    with pytest.raises(ValueError, match="selector"):
+        Settings(selector="nope")
+    with pytest.raises(ValueError, match="penalty"):
+        Settings(penalty="nope")
+
+
+def test_equal_points_stay_apart_in_a_reconstruction(spark):
+    points = spark.createDataFrame([(1, 0, 0, 5.0), (1, 0, 0, 5.0), (2, 0, 0, 1.0)], "cell_id long, i int, j int, z double")
+    modes_ = spark.createDataFrame([(1, 0, 0, 2.0, 0.0), (1, 1, 0, 3.0, 9.0)], "cell_id long, m_i int, m_j int, a_cos double, a_sin double")
+    got = lsff.reconstruction(points, modes_, 8, 8, ("cell_id",)).collect()
+    assert [(r.cell_id, r.recon) for r in got] == [(1, 5.0)] * 2
+
+
+def test_dense_bins_are_dealt_out(spark, monkeypatch):
+    """Cells and points in one spot: parts of a bin give what the whole bin gives, and the first radius follows the density."""
+    rng = np.random.default_rng(0)
+    cells = [(k, float(x), float(y)) for k, (x, y) in enumerate(rng.normal(0, 0.01, (200, 2)))] + [(999, 50.0, 50.0)]
+    points = [(k, float(x), float(y)) for k, (x, y) in enumerate(rng.normal(0, 0.01, (50, 2)))]
+    frames = spark.createDataFrame(points, "point_id long, lat double, lon double"), spark.createDataFrame(cells, "cell_id long, lat double, lon double")
+    want = {p: min((abs(x - a) + abs(y - b), c) for c, a, b in cells)[1] for p, x, y in points}
+    for size in (4096, 16):
+        monkeypatch.setattr(joins, "LARGE_BIN", size)
+        got = {r.point_id: r.cell_id for r in joins.nearest(*frames, ["lat", "lon"], "point_id", "cell_id").collect()}
+        assert got == want
+    assert joins.first_radius(frames[1], ["lat", "lon"]) == pytest.approx(5.0, rel=0.05)
+    assert joins.first_radius(frames[1].limit(0), ["lat"]) == 1.0
+
+
+def test_two_writers_and_partial_records(spark, tmp_path):
+    path = f"file://{tmp_path}/records"
+    rows = spark.createDataFrame([(1, 0, 2.0, 3.0, None, None, None), (1, 0, 1.0, 3.0, None, None, None), (205, 0, 1.0, 1.0, None, None, None)], "cell_id long, is_land int, clat double, clon double, dk double, dl double, h_spec array<double>")
+    assert sorted((r.cell_id, r.clat) for r in sinks.append_missing(rows, path).collect()) == [(1, 1.0), (205, 1.0)]
+    assert sinks.append_missing(rows, path).count() == 2
+    assert sinks.create_new(spark, f"{path}._writing")
+    with pytest.raises(RuntimeError, match="another writer"):
+        sinks.append_missing(rows, path)
+
+
+def test_versions_and_parameters(spark, tmp_path):
+    path = f"file://{tmp_path}/table"
+    for k in range(3):
+        sinks.write_versioned(spark.range(k, k + 1), path, {"n": k, "name": "x", "shape": (1, 2)})
+    assert [spark.read.parquet(p).head()[0] for p in (path, f"{path}_old")] == [2, 1]
+    assert {r.name: r.value for r in spark.read.parquet(f"{path}_params").collect()} == {"n": "2", "name": "x", "shape": "(1, 2)"}
+
+
+def test_strict_merge_raises_on_gaps_and_repeats(spark):
+    whole = spark.createDataFrame([(k, k % 2) for k in range(5)], "cell_id long, is_land int")
+    assert sinks.cover_counts(sinks.merged_strictly(whole, 0, 4)).head().asDict() == {"n": 5, "n_land": 2, "n_ocean": 3}
+    for bad in (whole.where("cell_id <> 2"), whole.unionByName(whole.limit(1)), whole.withColumn("cell_id", F.col("cell_id") + 1)):
+        with pytest.raises(Exception, match="do not hold each id"):
+            sinks.merged_strictly(bad, 0, 4).collect()
+
+
+def test_files_are_audited_by_size(spark, tmp_path):
+    for name, size in (("a.nc", 10), ("b.nc", 200), ("c.nc", 5000), ("d.txt", 200)):
+        (tmp_path / name).write_bytes(b"x" * size)
+    got = {r.name: (r.length, r.verdict) for r in tiles.file_audit(spark, f"file://{tmp_path}", bounds=(100, 1000)).collect()}
+    assert got == {"a.nc": (10, "too small"), "b.nc": (200, "ok"), "c.nc": (5000, "too large")}
+
+
+def test_tiles_of_whole_circles_and_both_names(spark):
+    e = spark.createDataFrame([(0, -91.0, -80.0, -180.0, 180.0), (1, 0.0, 10.0, 179.0, -179.0)], "cell_id long, lat_min double, lat_max double, lon_min double, lon_max double")
+    got = tiles.tiles_of(tiles.widened(e, 1.0)).groupBy("cell_id").agg(F.count("*").alias("n"), F.count_distinct("tile_id").alias("t")).orderBy("cell_id").collect()
+    assert [(r.n, r.t) for r in got] == [(24, 24), (4, 4)]
+    names = {r.name for r in tiles.tile_grid(spark, 30).where("tile_id in (0, 12, 71)").collect()}
+    assert names == {"REMA_BKG_S60-S90_W180-W150.nc4", "MERIT_S30-S60_W180-W150.nc4", "MERIT_N90-N60_E150-W180.nc4"}
+    assert tiles.tile_grid(spark).count() == 288
+
+
+def test_synthetic_terrain_and_cells(spark):
+    drawn = sources.drawn_modes()
+    assert len(drawn) == 22
+    assert len({m[:2] for m in drawn}) == 22
+    assert all((c == 0) != (s == 0) and not (k == 0 and m < 0) for k, m, c, s in drawn)
+    planted = [(1, 2, 3.0, 0.0), (2, -1, 0.0, 4.0)]
+    points, _ = sources.spectral_terrain(spark, 16, 16, planted)
+    found = lsff.spectrum(lsff.rectangle_fit(points, modes.basis_columns(modes.mode_table(spark, 4, 6)), 16, 16, 0.0)).where("ampl > 1e-9").collect()
+    assert sorted((r.m_i, r.m_j, round(r.a_cos, 6), round(r.a_sin, 6)) for r in found) == [(1, 2, 3.0, 0.0), (2, -1, 0.0, 4.0)]
+    z = sources.cosine_ramp(spark, 5, 10.0).orderBy("i", "j").toPandas().z.values.reshape(5, 5)
+    assert np.allclose(z, -5 * np.cos(np.add.outer(*[np.linspace(0, 2 * np.pi, 5)] * 2)))
+    cells = sources.synthetic_cells(spark, 4.0, 2.0, ("mid", "upper"), 0.25).orderBy("cell_id").collect()
+    assert [(c.kind, c.lat_verts, c.lon_verts) for c in cells] == [("mid", [0.25, 1.75, 0.25], [0.25, 2.0, 3.75]), ("upper", [1.75, 1.75, 0.25], [0.25, 3.75, 3.75])]
+
+
+@pytest.fixture(scope="module")
+def terrain(spark):
+    rows = [(i, j, 10 + 0.1 * i, 20 + 0.1 * j, float(np.sin(i / 3) + np.cos(j / 2))) for i in range(24) for j in range(20)]
+    cells = [(5, [10.6, 10.6, 11.8], [20.5, 21.3, 20.9]), (6, [10.4, 11.4, 11.4, 10.4], [20.3, 20.3, 21.1, 21.1])]
+    return spark.createDataFrame(rows, "i int, j int, lat double, lon double, z double"), spark.createDataFrame(cells, "cell_id long, lat_verts array<double>, lon_verts array<double>")
+
+
+def test_segments_are_filtered_tapered_and_masked(spark, terrain):
+    raster, cells = terrain
+    plain = segments.segment(raster, cells, filtered=False).toPandas()
+    soft = segments.segment(raster, cells, rect=True).toPandas().sort_values(["cell_id", "i", "j"])
+    rect = segments.segment(raster, cells, rect=True, filtered=False).toPandas().sort_values(["cell_id", "i", "j"])
+    assert rect.inside.all()
+    for c in (5, 6):
+        own, part = rect[rect.cell_id == c], plain[plain.cell_id == c]
+        assert abs(part[part.inside].z.mean()) < 1e-9
+        assert 0.4 < part.inside.mean() < 0.75 if c == 5 else part.inside.all()
+        shape = own.i.max() + 1, own.j.max() + 1
+        z = fields.low_pass(own.z.values.reshape(shape), own.wlon.iloc[0], own.wlat.iloc[0])
+        assert np.allclose(soft[soft.cell_id == c].z.values.reshape(shape), z - z.mean())
+        assert own.y.max() == pytest.approx(own.wlat.iloc[0] * (shape[0] - 1))
+        assert own.wlat.iloc[0] == pytest.approx(6_371_000 * np.radians(0.1))
+    quad = segments.tapered_rectangles(raster, cells, 2, 30).toPandas()
+    poly = segments.tapered_polygons(raster, cells, 2, 30).toPandas()
+    for c in (5, 6):
+        shape = tuple(rect[rect.cell_id == c][k].max() + 5 for k in "ij")
+        assert all(len(x[x.cell_id == c]) == shape[0] * shape[1] for x in (quad, poly))
+        p = poly[poly.cell_id == c]
+        inside = np.pad(plain[plain.cell_id == c].sort_values(["i", "j"]).inside.values.reshape(shape[0] - 4, -1), 2)
+        want = fields.taper(inside, 30) > 1e-2
+        assert (p.sort_values(["i", "j"]).inside.values.reshape(shape) == want).all()
+        assert abs(p[p.inside].z.mean()) < 1e-9
+    assert segments.segment(raster, cells.limit(0)).count() == 0
+
+
+def test_corner_and_centre_projections_differ(spark, terrain):
+    raster, cells = terrain
+    wide = [segments.segment(raster, cells, filtered=False, centre=c).groupBy("cell_id").agg(F.first("wlon").alias("w")).where("cell_id = 5").head().w for c in (True, False)]
+    assert wide[0] == pytest.approx(6_371_000 * np.radians(0.1) * np.cos(np.radians(11.15)))
+    assert wide[1] == pytest.approx(6_371_000 * np.radians(0.1) * np.cos(np.radians(10.6)))
+
+
+def test_own_feature_checks(spark):
+    points = spark.createDataFrame([("a", 5.0), ("a", 7.0), ("b", -3.0)], "region string, z double")
+    none = "cast(null as double)"
+    regions = spark.createDataFrame([("a", "cave"), ("b", "ocean")], "region string, kind string").selectExpr("*", f"{none} level", f"{none} tolerance", f"{none} min_height", "0.8d min_water", "2d min_depth", f"{none} min_land")
+    got = features.checked_features(points, regions, {"cave": lambda: F.col("low") > 4}).select("region", "passed", "level_share").collect()
+    assert sorted(map(tuple, got)) == [("a", True, 0.0), ("b", True, 0.0)]
+
+
+def test_batches_keep_to_their_budget(spark):
+    cells = spark.createDataFrame([(k, float(lat)) for k, lat in enumerate([0, 10, 20, 61, 70, 75, 80, 84, 86, 89, 89, 30])], "cell_id long, lat double")
+    got = sources.memory_batches(cells, 100.0).toPandas()
+    gb = got.set_index("cell_id").gb
+    order, batch, own = sorted(gb.index, key=lambda k: (-gb[k], k)), 0, []
+    for k in order:
+        if own and np.mean([*own, gb[k]]) * len(own) > 100:
+            batch, own = batch + 1, []
+        own.append(gb[k])
+        assert got.set_index("cell_id").batch_id[k] == batch
+    assert (got.n_workers * got.worker_gb <= 100 + 1e-9).all()
+    assert (got.worker_gb <= 1.5 * gb.max()).all()
+
+
+def test_angles_of_named_columns(spark):
+    df = spark.createDataFrame([(3.141592653589793, [0.0, 1.5707963267948966], 7)], "a double, b array<double>, c int")
+    assert tuple(rad2deg_columns(df, ["a", "b"]).head()) == (180.0, [0.0, 90.0], 7)
 
 
 def test_settings_reject_nonsense():
