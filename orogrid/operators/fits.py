@@ -19,7 +19,7 @@ from ..kernels import linear
 #: Points of one block, and those whose design matrix is formed at a time.
 BLOCK_POINTS, PART_POINTS = 1 << 16, 4096
 #: (cell_id, gram, rhs, total, n, modes) -> rows
-Kernel = Callable[[linear.System, np.ndarray, np.ndarray], list[tuple]]
+Kernel = Callable[..., list[tuple]]
 
 
 def normal_equations(points: DataFrame, selected: DataFrame, ni: float, nj: float, block_points: int = BLOCK_POINTS, more: tuple[str, ...] = ()) -> DataFrame:
@@ -75,16 +75,16 @@ def _of(row: dict) -> tuple[linear.System, np.ndarray, np.ndarray]:
     return linear.System(np.array(row["gram"]).reshape(len(rhs), -1), rhs, row["total"], row["n"]), m_i, m_j
 
 
-def by_system(rows: DataFrame, kernel: Kernel, schema: str) -> DataFrame:
-    """Rows of ``kernel(system, m_i, m_j)`` for every row of ``systems``; the cell_id comes first."""
+def by_system(rows: DataFrame, kernel: Kernel, schema: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of ``kernel(system, m_i, m_j, *more)`` for every row of ``systems``; the cell_id comes first. ``more`` names further columns."""
     fields = [x.split() for x in schema.split(", ")]
 
     def run(batches):
         for batch in batches:
-            out = [(row["cell_id"], *r) for row in batch.to_pylist() for r in kernel(*_of(row))]
+            out = [(row["cell_id"], *r) for row in batch.to_pylist() for r in kernel(*_of(row), *(row[c] for c in more))]
             yield _batch(out, fields)
 
-    return rows.select("cell_id", "n", "total", "gram", "rhs", "modes").mapInArrow(run, schema)
+    return rows.select("cell_id", "n", "total", "gram", "rhs", "modes", *more).mapInArrow(run, schema)
 
 
 def _batch(rows: list[tuple], fields: list[list[str]]) -> pa.RecordBatch:

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spectral import phase
+from ..functions.spectral import amplitude, phase
 
 
 def _axis_sums(points: DataFrame, modes: DataFrame, ni: int, nj: int, keys: tuple[str, ...]) -> DataFrame:
@@ -59,7 +59,7 @@ def spectrum(coefficients: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, k_idx, l_idx, m_i, m_j, a_cos, a_sin, ampl) from long coefficients; a missing sine is 0."""
     part = lambda p: F.sum(F.when(F.col("part") == p, F.col("a")))
     out = coefficients.groupBy(*keys, "k_idx", "l_idx", "m_i", "m_j").agg(F.coalesce(part("cos"), F.lit(0.0)).alias("a_cos"), F.coalesce(part("sin"), F.lit(0.0)).alias("a_sin"))
-    return out.withColumn("ampl", F.sqrt(F.col("a_cos") * F.col("a_cos") + F.col("a_sin") * F.col("a_sin")))
+    return out.withColumn("ampl", amplitude("a_cos", "a_sin"))
 
 
 def reconstruction(points: DataFrame, modes: DataFrame, ni: int, nj: int, keys: tuple[str, ...] = ()) -> DataFrame:

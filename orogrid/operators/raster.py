@@ -119,3 +119,15 @@ def equidistant_resample(raster: DataFrame, ni: int | None, nj: int | None, x: s
         return near.select(*keys, f"t{k}", F.col(f"m.{k}").alias(k))
 
     return raster.join(axis("i", x, ni), [*keys, "i"]).join(axis("j", y, nj), [*keys, "j"]).select(*keys, F.col("ti").alias("i"), F.col("tj").alias("j"), "z")
+
+
+def compacted(cells: DataFrame, links: DataFrame, keep: DataFrame, key: str = "cell_id", neighbour: str = "neighbour", start: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(cells, links) of the keys in ``keep`` only, renumbered from ``start`` without gaps; a link to a cell that is gone has ``start`` - 1.
+
+    ``links`` has a key and a neighbour, which are numbers of the same cells; links from cells that are gone fall away.
+    """
+    kept = dense_ids(cells.join(keep.select(key).distinct(), key, "left_semi"), key, "new_id", start)
+    own = kept.select(key, "new_id")
+    other = own.select(F.col(key).alias(neighbour), F.col("new_id").alias("_new"))
+    found = links.join(own, key).join(other, neighbour, "left")
+    return kept, found.select(F.col("new_id").alias(key), F.coalesce("_new", F.lit(start - 1)).cast("long").alias(neighbour), *[c for c in links.columns if c not in (key, neighbour)])

@@ -148,3 +148,10 @@ def digest(points: DataFrame, keys: tuple[str, ...] = ("cell_id",), order: tuple
     text = F.when(F.col(value).isNull(), F.lit("")).otherwise(text)
     rows = F.array_sort(F.collect_list(F.struct(*order, text.alias("_v"))))["_v"]
     return points.groupBy(*keys).agg(F.sha2(F.array_join(rows, ","), 256).alias("digest"))
+
+
+def write_sidecar(records: DataFrame, path: str, key: str = "cell_id") -> str:
+    """Write the arrays that verify a result beside it, as ``path_verified``: each cell's key, centre, land flag and whether its record is complete; return the path."""
+    out = f"{path.rstrip('/')}_verified"
+    records.select(key, "clat", "clon", "is_land", complete().alias("complete")).write.mode("overwrite").parquet(out)
+    return out

@@ -19,7 +19,7 @@ from .spectral_queries import wave
 
 @dataclass(frozen=True)
 class Settings:
-    """A run's settings. ``rect`` holds for the first fit; a coarse-grained spectrum turns it off.
+    """A run's settings. ``rect`` has the first fit on the whole rectangle; a coarse-grained spectrum (``cg_spsp``) turns it off, and the points inside are fitted.
 
     ``selector`` names how the strongest modes are chosen: "top" by amplitude, "omp" or "lasso" on the points inside, or a callable
     (system, n) -> columns. ``penalty`` names where the refit's lambda and alpha come from: "fixed" takes ``lmbda_sa`` and ``alpha``,
@@ -126,14 +126,42 @@ def chosen_penalty(inside: DataFrame, selected: DataFrame, s: Settings, ni: int,
     return fits.by_system(fits.systems(inside, selected, ni, nj), choose, "cell_id long, alpha double, lam double")
 
 
+def empirical_alpha(points: DataFrame, ni: int, nj: int) -> DataFrame:
+    """(cell_id, alpha): the exponent at which each lattice's power falls with the wavenumber; a cell whose spectrum gives no slope has 0."""
+    every = points.sparkSession.range(ni * nj).select(F.expr(f"cast(id div {nj} as int)").alias("k_idx"), (F.col("id") % nj).cast("int").alias("l_idx"))
+    every = every.withColumns({"m_i": F.col("k_idx"), "m_j": F.col("l_idx")})
+    power = lsff.periodogram(R.demeaned(points), every, ni, nj, ("cell_id",))
+    freq = lambda c, n: F.when(F.col(c) * 2 >= n, F.col(c) - n).otherwise(F.col(c)) / n
+    power = power.select("cell_id", F.hypot(freq("m_i", ni), freq("m_j", nj)).alias("kmag"), ((F.col("re") * F.col("re") + F.col("im") * F.col("im")) / F.col("n")).alias("power"))
+    slopes = diagnostics.radial_slope(power, low=0.02 * 0.5, high=0.5 * 0.5, keys=("cell_id",))
+    return points.select("cell_id").distinct().join(slopes.select("cell_id", "alpha"), "cell_id", "left").select(F.col("cell_id").cast("long").alias("cell_id"), F.coalesce("alpha", F.lit(0.0)).alias("alpha"))
+
+
+def built_prior(points: DataFrame, inside: DataFrame, selected: DataFrame, ni: int, nj: int, alpha: float | None = None, lam: float | None = None, joint: bool = False, coords: bool = True, n_folds: int = 5, seed: int | None = 0) -> DataFrame:
+    """(cell_id, alpha, lam): the spectral prior of each cell for ``fits.refit``.
+
+    ``joint`` chooses both by one GCV and goes before all else. Otherwise alpha is as given or each lattice's empirical slope, and lam as given or by
+    spatial cross-validation at alpha 0 where the points have ``coords``, by GCV at the cell's alpha where not.
+    """
+    own = fits.systems(inside, selected, ni, nj)
+    if joint:
+        return fits.by_system(own, lambda s, i, j: [linear.joint_gcv(s, linear.wavenumbers(i, j))[:2]], "cell_id long, alpha double, lam double")
+    slope = empirical_alpha(points, ni, nj) if alpha is None else own.select("cell_id", F.lit(float(alpha)).alias("alpha"))
+    if lam is not None:
+        return slope.withColumn("lam", F.lit(float(lam)))
+    if coords:
+        return slope.join(fits.spatial_cv(fits.fold_systems(inside, selected, ni, nj, n_folds, seed=seed)).select("cell_id", "lam"), "cell_id")
+    return fits.by_system(own.join(slope, "cell_id"), lambda s, i, j, a: [(a, linear.gcv(s, linear.wavenumbers(i, j), a)[0])], "cell_id long, alpha double, lam double", ("alpha",))
+
+
 def approximated(points: DataFrame, inside, s: Settings, ni: int, nj: int) -> DataFrame:
     """(cell_id, k_idx, l_idx, m_i, m_j, a_cos, a_sin, ampl, kk, ll, uw): the refit of each cell's chosen modes where ``inside`` holds.
 
     The demeaned raster is written once, as every branch of the plan reads it.
     """
     z = saved(R.demeaned(points).select("cell_id", "i", "j", "z"), "demeaned")
-    fa = first_fit(z, s, ni, nj)
     within = R.demeaned(inside(z).where("inside").select("cell_id", "i", "j", "z"))
+    fa = first_fit(z, s, ni, nj) if s.rect else fits.refit(within, candidates(within.select("cell_id").distinct(), s), ni, nj, s.lmbda_fa)
     selected = chosen_modes(fa, within, s, ni, nj)
     if s.penalty == "fixed":
         sa = fits.refit(within, selected, ni, nj, s.lmbda_sa, s.alpha, s.prior)

@@ -249,3 +249,14 @@ SELECT CAST(ti.t AS INT) AS i, CAST(tj.t AS INT) AS j, {rnd('z')} AS z FROM rast
 def resample_nearest(spark, d):
     nodes = T.raster(spark, d).withColumn("cell_id", F.lit(0)).withColumn("lat", F.col("i").cast("double")).withColumn("lon", F.col("j").cast("double"))
     return rounded(R.equidistant_resample(nodes, 20, 7).select("i", "j", "z"))
+
+
+@register("compacted_links", """
+WITH k AS (SELECT s_suppkey, dense_rank() OVER (ORDER BY s_suppkey) AS new_id FROM supplier WHERE s_acctbal > 0), l AS (SELECT DISTINCT l_suppkey AS cell_id, l_partkey % 97 AS neighbour FROM lineitem)
+SELECT CAST(a.new_id AS BIGINT) AS cell_id, CAST(coalesce(b.new_id, 0) AS BIGINT) AS neighbour, count(*) AS n FROM l JOIN k a ON a.s_suppkey = l.cell_id LEFT JOIN k b ON b.s_suppkey = l.neighbour GROUP BY 1, 2""")
+def compacted_links(spark, d):
+    """The links of the suppliers that are kept, with both ends renumbered; 0 where the neighbour is gone."""
+    cells = T.read(spark, d, "supplier", "s_suppkey", "s_acctbal").withColumnRenamed("s_suppkey", "cell_id")
+    links = T.read(spark, d, "lineitem", "l_suppkey", "l_partkey").select(F.col("l_suppkey").alias("cell_id"), (F.col("l_partkey") % 97).alias("neighbour")).distinct()
+    _, found = R.compacted(cells, links, cells.where("s_acctbal > 0"))
+    return found.groupBy("cell_id", "neighbour").agg(F.count("*").alias("n"))

@@ -62,9 +62,10 @@ def fit(spark, d, lam: float = LAM):
     return lsff.spectrum(lsff.rectangle_fit(demeaned(spark, d), columns(spark), NI, NJ, lam, ("cell_id",)), ("cell_id",))
 
 
-@register("modes_table", f"WITH {MODES} SELECT k_idx, l_idx, m_i, m_j FROM modes WHERE EXISTS (SELECT 1 FROM region)")
+@register("modes_table", f"WITH {CELLS}, {MODES} SELECT cell_id, k_idx, l_idx, m_i, m_j FROM (SELECT DISTINCT cell_id FROM cells), modes")
 def modes_table(spark, d):
-    return modes.mode_table(spark, NHI, NHJ).join(T.read(spark, d, "region").limit(1).select(F.lit(1)), how="left_semi")
+    """The modes that each cell of the raster is fitted with."""
+    return T.cells_raster(spark, d).select("cell_id").distinct().crossJoin(F.broadcast(modes.mode_table(spark, NHI, NHJ)))
 
 
 @register("lsff_rhs", f"WITH {DEMEANED}, {MODES} SELECT cell_id, k_idx, l_idx, 'cos' AS part, {rnd(f'sum(z * cos{_P})', 3)} AS rhs FROM c, modes WHERE NOT (m_i = 0 AND m_j < 0) GROUP BY ALL UNION ALL SELECT cell_id, k_idx, l_idx, 'sin', {rnd(f'sum(z * sin{_P})', 3)} FROM c, modes WHERE NOT (m_i = 0 AND m_j <= 0) GROUP BY ALL")
@@ -216,11 +217,12 @@ def spectral_slope(spark, d):
     return rounded(diagnostics.radial_slope(p, 8, keys=("cell_id",)), 5)
 
 
-@register("prior_weights", f"WITH {MODES}, k AS (SELECT *, sqrt(m_i * m_i + m_j * m_j) AS k FROM modes WHERE EXISTS (SELECT 1 FROM region)) SELECT k_idx, l_idx, {rnd('pow(k / (SELECT max(k) FROM k) + 0.001, 1.5)')} AS w FROM k")
+@register("prior_weights", f"WITH {FIT}, {_TOP}, k AS (SELECT *, sqrt(m_i * m_i + m_j * m_j) AS k FROM top WHERE rank <= {TOP}) SELECT cell_id, k_idx, l_idx, {rnd('pow(k / max(k) OVER (PARTITION BY cell_id) + 0.001, 1.5)')} AS w FROM k")
 def prior_weights(spark, d):
-    m = modes_table(spark, d)
-    m = m.crossJoin(F.broadcast(m.agg(F.max(F.sqrt(F.col("m_i") * F.col("m_i") + F.col("m_j") * F.col("m_j"))).alias("top"))))
-    return rounded(m.select("k_idx", "l_idx", prior_weight(F.col("m_i"), F.col("m_j"), F.col("top"), 1.5).alias("w")))
+    """The spectral prior's weights of each cell's strongest modes, by the largest wavenumber among them."""
+    m = modes.top_modes(fit(spark, d), TOP)
+    top = m.groupBy("cell_id").agg(F.max(F.hypot("m_i", "m_j")).alias("top"))
+    return rounded(m.join(top, "cell_id").select("cell_id", "k_idx", "l_idx", prior_weight(F.col("m_i"), F.col("m_j"), F.col("top"), 1.5).alias("w")))
 
 
 @register("gcv_lambda_rect", f"""

@@ -155,4 +155,11 @@ def test_synthetic_fields():
     z = fields.diffused_noise((16, 16), 5, 100)
     assert z.min() == -1
     assert z.max() == pytest.approx(1)
-    assert fields.power_law(32, 2.0, 7).shape == (32, 32)
+    start = np.random.default_rng(5).random((16, 16))  # periodic diffusion multiplies each wave by a power of its own factor
+    k = 2 * np.cos(2 * np.pi * np.arange(16) / 16) - 2
+    want = np.fft.ifft2(np.fft.fft2(start) * (1 + 0.1 * (k[:, None] + k[None, :])) ** 100).real
+    assert np.allclose(z, 2 * (want - want.min()) / np.ptp(want) - 1)
+    f = fields.power_law(64, 2.0, 7)
+    power, freq = np.abs(np.fft.fft2(f)) ** 2, np.hypot(*np.meshgrid(np.fft.fftfreq(64), np.fft.fftfreq(64)))
+    near = (freq > 0.02) & (freq < 0.2)
+    assert np.polyfit(np.log(freq[near]), np.log(power[near]), 1)[0] == pytest.approx(-2.0, abs=0.5)

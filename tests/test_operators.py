@@ -11,7 +11,7 @@ from orogrid.functions.geo import rad2deg_columns
 from orogrid.kernels import fields, linear
 from orogrid.operators import diagnostics, features, fits, joins, lsff, modes, segments, sinks
 from orogrid.operators import raster as R
-from orogrid.plans.pipeline import Settings, approximated, first_fit, refined, resolved
+from orogrid.plans.pipeline import Settings, approximated, built_prior, empirical_alpha, first_fit, refined, resolved
 from orogrid.plans.raster_queries import inside_triangle
 from orogrid.session import shared_path
 from orogrid.sources import fields as sources
@@ -214,6 +214,46 @@ def test_selectors_and_priors_reach_the_fit(spark, lattice):
         fits.refit(points, every, 12.0, 10.0, 0.0, prior=lambda s, i, j, lam: np.ones(2)).collect()
 
 
+def test_priors_are_built_by_their_rules(spark, lattice):
+    points, every, (m, z, i, j, k) = lattice
+    inside = R.demeaned(points)
+    s = linear.System.of(m, z - z.mean())
+    one = lambda **o: tuple(built_prior(points, inside, every, 12, 10, n_folds=4, seed=3, **o).where("cell_id = 1").select("alpha", "lam").head())
+    assert one(joint=True, alpha=9.0) == pytest.approx(linear.joint_gcv(s, k)[:2])
+    assert one(alpha=1.5, lam=0.2) == (1.5, 0.2)
+    assert one(alpha=1.5, coords=False) == pytest.approx((1.5, linear.gcv(s, k, 1.5)[0]))
+    assert one(alpha=1.5) == pytest.approx((1.5, linear.spatial_cv_points(m, z - z.mean(), j, i, 4, 0.1, 3)[0]))
+    slope = empirical_alpha(points, 12, 10).where("cell_id = 1").head().alpha
+    assert one(lam=0.2) == (pytest.approx(slope), 0.2)
+
+
+def test_empirical_alpha_of_a_planted_power_law(spark):
+    f = fields.power_law(32, 3.0, 7)
+    points = spark.createDataFrame([(1, i, j, float(v)) for (i, j), v in np.ndenumerate(f)], "cell_id long, i int, j int, z double")
+    assert empirical_alpha(points, 32, 32).head().alpha == pytest.approx(3.0, abs=0.6)
+
+
+def test_coarse_setting_fits_the_points_inside(spark, lattice):
+    points, _, (m, z, i, j, _) = lattice
+    half = lambda df: df.withColumn("inside", F.col("i") + F.col("j") < 12)
+    s = Settings(nhi=3, nhj=4, n_modes=3, cg_spsp=True)
+    got = approximated(points, half, s, 12, 10).where("cell_id = 1").toPandas()
+    near, zero = i + j < 12, z - z.mean()
+    a = linear.solve(m[near].T @ m[near], m[near].T @ (zero[near] - zero[near].mean()), linear.isotropic(m[near].T @ m[near], 0.1))
+    names = [(r.k_idx, r.l_idx, r.m_i != 0 or r.m_j != 0) for r in modes.mode_table(spark, 3, 4).where("not (m_i = 0 and m_j < 0)").orderBy("l_idx", "k_idx").collect()]
+    sine = iter(a[len(names) :])
+    size = {n[:2]: np.hypot(c, next(sine) if n[2] else 0) for n, c in zip(names, a, strict=False)}
+    assert set(zip(got.k_idx, got.l_idx, strict=True)) == set(sorted(size, key=lambda n: -size[n])[:3])
+    assert len(got) == 3
+    assert not s.rect
+
+
+def test_sidecar_verifies_records(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 0, 2.0, 3.0, None, None, None), (2, 1, 1.0, 3.0, None, None, None)], "cell_id long, is_land int, clat double, clon double, dk double, dl double, h_spec array<double>")
+    got = spark.read.parquet(sinks.write_sidecar(rows, f"file://{tmp_path}/records"))
+    assert sorted(map(tuple, got.select("cell_id", "is_land", "complete").collect())) == [(1, 0, True), (2, 1, False)]
+
+
 def test_spectral_prior_uses_whole_wavenumbers(spark, lattice):
     points, every, (m, z, _, _, k) = lattice
     out = fits.refit(points, every, 12.0, 10.0, 0.3, 2.0).where("cell_id = 1").orderBy("l_idx", "k_idx").toPandas()
