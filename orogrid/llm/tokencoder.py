@@ -1,12 +1,13 @@
 """Token ids in compressed, independently reset, checksummed blocks.
 
 Ids are below 2**16. Each block starts from a fresh model. For every id the model predicts with order 2 (the id that last
-followed the two ids before) and order 1 (the one before), each with a confidence; the probabilities of
-both predictions are mixed with adaptive weights into one three-way choice (order-2 id, order-1 id, neither). If
-neither holds, the id is coded by order 0: its low byte as two nibbles with adaptive distributions, then whether it is
-the id that last had this low byte, with the adaptive probability of that prediction's confidence, or else its
-high byte. The order-0 tables are small enough to stay in cache. A 32-bit range coder with carries turns the choices into bytes. Everything is integer arithmetic, so any
-machine decodes what any other wrote. Blocks are coded in lockstep: one NumPy step codes one id of every block.
+followed the two ids before), order 1 (the one before) and order 0 (the id that outnumbers the others so far), each with a confidence;
+the probabilities of orders 2 and 1 are mixed with an adaptive weight into one choice: the order-2 id, the order-1 id, the order-0 id
+or none of them. An id that none predicts is coded by order 0 within its class: its low byte together with whether it is the id that
+last had this low byte, with the adaptive probability of that prediction's confidence, or else its high byte.
+A 48-bit range coder with carries turns the choices into 16-bit words. Its state is whole numbers below 2**49 in double precision,
+on which every operation used here is exact, so any machine decodes what any other wrote. Blocks are coded in lockstep: one NumPy step
+codes one id of every block.
 
 A block is self-contained: magic, sizes, CRC-32 of its ids, the table of its documents and the coded ids.
 """
@@ -18,151 +19,173 @@ import zlib
 
 import numpy as np
 
-BLOCK_IDS, LANES = 4096, 1024
-MAGIC = b"OTB1"
+BLOCK_IDS, LANES = 2048, 4096
+MAGIC = b"OTB2"
 _HEAD = struct.Struct("<4sIIIIBB2x")  # magic, ids, documents, coded bytes, crc32 of the ids, first continues, last continues
-NO_ID = -(1 << 63)
-_SLOTS, _CONTEXTS = 1 << 12, 17
-_TOP, _MASK = np.int64(1 << 24), np.int64((1 << 32) - 1)
-#: by nibble: the cumulative distribution that is all but certain of it, every other nibble keeping 1 in 65536
-_SURE = np.array([[i if i <= k else 65536 - 16 + i for i in range(16)] for k in range(16)], np.int32)
-_RATE = 4
+NO_ID = -(1 << 63)  # stands for a null doc_id; the same number as a doc_id is refused
+_SLOTS = 1 << 10
+#: Every so many ids the probabilities and the order-0 id adapt (a power of two); what follows a context is learned at every id.
+_PACE = 4
+_FULL, _LEAST, _WORD = float(1 << 48), float(1 << 32), float(1 << 16)
 
 
 class _Coder:
-    """The range coder's state of all lanes; ``data`` is written or read at ``at``."""
+    """The range coder's state of all lanes; 16-bit words of ``data`` are written or read at ``at``, a place in all lanes' words."""
 
     def __init__(self, lanes: int, data: np.ndarray, encode: bool):
-        self.low, self.range, self.at = np.zeros(lanes, np.int64), np.full(lanes, _MASK), np.zeros(lanes, np.int64)
-        self.flat, self.row, self.encoding = data.reshape(-1), np.arange(lanes) * data.shape[1], encode
+        self.low, self.range = np.zeros(lanes), np.full(lanes, _FULL)
+        self.flat, self.first, self.encoding = data.reshape(-1), np.arange(lanes) * data.shape[1], encode
+        self.at = self.first.copy()
         if not encode:
-            for _ in range(4):
-                self.low = self.low << 8 | self.flat[self.row + self.at]
+            for _ in range(3):
+                self.low = self.low * _WORD + self.flat[self.at]
                 self.at += 1
 
-    def target(self, lanes) -> np.ndarray:
-        return np.minimum(self.low[lanes] // (self.range[lanes] >> 16), 65535)
-
-    def step(self, lanes, start: np.ndarray, freq: np.ndarray) -> None:
-        unit = self.range[lanes] >> 16
-        low, rng = (self.low[lanes] + unit * start if self.encoding else self.low[lanes] - unit * start), unit * freq
-        at, row, flat = self.at[lanes], self.row[lanes], self.flat
+    def step(self, lanes, low: np.ndarray, unit: np.ndarray, start: np.ndarray, freq: np.ndarray) -> None:
+        """Narrow the lanes' intervals to ``freq`` units from ``start``."""
+        rng = unit * freq
         if self.encoding:
-            over = np.flatnonzero(low > _MASK)
+            low = low + unit * start
+            over = np.flatnonzero(low >= _FULL)
             if len(over):
-                low[over] &= _MASK
-                back = (row + at)[over] - 1
+                low[over] -= _FULL
+                back = self.at[lanes][over] - 1
                 while len(back):
-                    flat[back] += 1  # 255 wraps to 0 and carries on
-                    back = back[flat[back] == 0] - 1
-        small = np.flatnonzero(rng < _TOP)
+                    self.flat[back] += 1  # 65535 wraps to 0 and carries on
+                    back = back[self.flat[back] == 0] - 1
+        else:
+            low = low - unit * start
+        small = np.flatnonzero(rng < _LEAST)
         while len(small):
-            place = (row + at)[small]
+            own = small if isinstance(lanes, slice) else lanes.take(small)
+            place, part = self.at.take(own), low.take(small)
             if self.encoding:
-                flat[place] = low[small] >> 24
-                low[small] = low[small] << 8 & _MASK
+                word = np.floor(part * 2.0**-32)
+                self.flat[place] = word
+                low[small] = (part - word * _LEAST) * _WORD
             else:
-                low[small] = low[small] << 8 | flat[place]
-            at[small] += 1
-            rng[small] <<= 8
-            small = small[rng[small] < _TOP]
-        self.low[lanes], self.range[lanes], self.at[lanes] = low, rng, at
+                low[small] = part * _WORD + self.flat.take(place)
+            again = rng.take(small) * _WORD
+            rng[small] = again
+            place += 1
+            self.at[own] = place
+            small = small[again < _LEAST]
+        self.low[lanes], self.range[lanes] = low, rng
 
     def flush(self) -> None:
-        for shift in (24, 16, 8, 0):
-            self.flat[self.row + self.at] = self.low >> shift & 255
+        for scale in (2.0**-32, 2.0**-16, 1.0):
+            self.flat[self.at] = np.floor(self.low * scale) % _WORD
             self.at += 1
 
 
 def _lockstep(ids: np.ndarray, lengths: np.ndarray, coder: _Coder) -> None:
-    """Code (or fill in) ids (lanes, steps); lengths descend, so that the lanes still active are the first ones."""
-    n = len(ids)
-    known = np.zeros((2, n * _SLOTS), np.int32)  # by order and context: predicted id * 8 + confidence
-    hit = np.full((3, n * 8), 32768, np.int32)  # order 2, order 1, order 1 once order 2 has failed
-    weight = np.full((2, n), 128, np.int32)
-    recent = np.zeros(n * 256, np.int32)  # by low byte: the last id * 8 + confidence
-    again = np.full(n * 8, 32768, np.int32)
-    cdf = np.tile((np.arange(16) * 4096).astype(np.uint16), (n * _CONTEXTS, 1))
-    before1, before2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    lane_all = np.arange(n)
+    """Code (or fill in) ids (steps, lanes); lengths descend, so that the lanes still active are the first ones. Rows of pairs are orders 2 and 1."""
+    n, encoding = ids.shape[1], coder.encoding
+    known = np.zeros(2 * n * _SLOTS, np.int32)  # by order and context: predicted id * 8 + confidence
+    hit = np.full(2 * n * 8, 32768, np.int32)  # by order and confidence: how likely the prediction holds
+    weight, hit0 = np.full(n, 128, np.int32), np.full(n, 4096, np.int32)
+    most, lead = np.zeros(n, np.int32), np.zeros(n, np.int32)  # order 0: the id that outnumbers the others, by how much
+    recent, again = np.zeros(n * 256, np.int32), np.full(n * 8, 32768, np.int32)  # by low byte: the last id * 8 + confidence
+    hash1, hash2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    lanes = np.arange(n)
+    slots, hits = (np.stack((lanes * size, (lanes + n) * size)) for size in (_SLOTS, 8))
+    lane8, zero, full = lanes * 8, np.zeros(n, np.int32), np.full(n, 65536, np.int32)
     steps = int(lengths[0]) if n else 0
     active = np.searchsorted(-lengths, -np.arange(steps), "left").tolist()
-    for t, m in enumerate(active):
-        lane = lane_all[:m]
-        b1, b2 = before1[:m], before2[:m]
-        slot2 = lane * _SLOTS + ((b1 * 40503 + b2 * 60493 >> 5) & (_SLOTS - 1))
-        slot1 = lane * _SLOTS + ((b1 * 40503 >> 4) & (_SLOTS - 1))
-        k2, k1 = known[0][slot2], known[1][slot1]
-        p2, p1, c2, c1 = k2 >> 3, k1 >> 3, k2 & 7, k1 & 7
-        at2, at1 = lane * 8 + c2, lane * 8 + c1
-        h2, h1, hc = hit[0][at2], hit[1][at1], hit[2][at1]
+    m = n
+    for t, now in enumerate(active):
+        if now < m:  # some lanes are done
+            m = now
+            slots, hits = np.ascontiguousarray(slots[:, :m]), np.ascontiguousarray(hits[:, :m])
+        every = slice(0, m)
+        slot = np.stack((hash1[:m] + (hash2[:m] << 1), hash1[:m]))
+        slot >>= 5
+        slot &= _SLOTS - 1
+        slot += slots
+        k = known.take(slot, mode="clip")
+        p, c = k >> 3, k & 7
+        at = hits + c
+        h = hit.take(at, mode="clip")
+        p2, p1, p0, h2, h1, w, h0 = p[0], p[1], most[:m], h[0], h[1], weight[:m], hit0[:m]
         same = p1 == p2
         says1 = np.where(same, h1, (65536 - h1) >> 2)
-        w2, w1 = weight[0][:m], weight[1][:m]
-        f2 = np.clip((w2 * h2 + w1 * says1) // (w2 + w1), 32, 65000)
-        rest = 65536 - f2
-        f1 = np.where(same, 1, np.clip(rest * (hc >> 4) >> 12, 1, rest - 16))
-        if coder.encoding:
-            x = ids[:m, t].astype(np.int32)
-            kind = np.where(x == p2, 2, np.where(x == p1, 1, 0))
+        f2 = (w * (h2 >> 1) + (256 - w) * (says1 >> 1)) >> 7
+        np.maximum(f2, 32, out=f2)
+        np.minimum(f2, 64000, out=f2)
+        f1 = (65536 - f2 >> 4) * (h1 >> 5) >> 8
+        f1 += 8
+        f1[same] = 1
+        a1 = f2 + f1
+        rest = 65536 - a1
+        f0 = (rest >> 5) * (h0 >> 4) >> 8
+        f0 += 8
+        a0 = a1 + f0
+        low, unit = coder.low[every], np.floor(coder.range[every] * 2.0**-16)
+        if encoding:
+            x = ids[t, :m].astype(np.int32)
         else:
-            v = coder.target(slice(0, m))
-            kind = np.where(v < f2, 2, np.where(v < f2 + f1, 1, 0))
-            x = np.where(kind == 2, p2, p1)
-        start = np.where(kind == 2, 0, np.where(kind == 1, f2, f2 + f1))
-        coder.step(slice(0, m), start.astype(np.int64), np.where(kind == 2, f2, np.where(kind == 1, f1, rest - f1)).astype(np.int64))
-        e = np.flatnonzero(kind == 0)
-        if len(e):
-            base, context = e * _CONTEXTS, e * _CONTEXTS
-            wanted, pick, low_byte = x[e], np.arange(len(e)), 0
-            for level in range(2):
-                row = cdf[context].astype(np.int32)
-                if coder.encoding:
-                    nibble = wanted >> (4 - 4 * level) & 15
-                else:
-                    nibble = (row <= coder.target(e)[:, None]).sum(axis=1) - 1
-                low = row[pick, nibble]
-                high = np.where(nibble < 15, row[pick, np.minimum(nibble + 1, 15)], 65536)
-                coder.step(e, low.astype(np.int64), (high - low).astype(np.int64))
-                sure = _SURE[nibble]
-                sure -= row
-                sure >>= _RATE
-                sure += row
-                cdf[context] = sure
-                low_byte = low_byte * 16 + nibble
-                context = base + 1 + nibble
-            place = e * 256 + low_byte
-            known0 = recent[place]
-            p0, c0 = known0 >> 3, known0 & 7
-            at0 = e * 8 + c0
-            f0 = np.clip(again[at0], 256, 65536 - 512)
-            unit = (65536 - f0) >> 8  # an equal share for each high byte
-            if coder.encoding:
-                held = wanted == p0
-                byte = wanted >> 8
+            v = np.minimum(low / unit, 65535.0).astype(np.int32)
+            x = np.where(v < f2, p2, np.where(v < a1, p1, p0))
+        good = p == x
+        is2, is1 = good
+        is0 = x == p0
+        if encoding:
+            is1 = is1 & ~is2
+            none = ~(is2 | is1 | is0)
+            is0 = is0 & ~(is2 | is1)
+        else:
+            none = v >= a0
+            is1, is0 = (v >= f2) & (v < a1), (v >= a1) & ~none
+            is2 = v < f2
+        edges = np.stack((zero[:m], f2, a1, a0, full[:m])).ravel()
+        kind = (3 - 3 * is2 - 2 * is1 - is0) * m + lanes[:m]  # the row of its interval
+        start = edges.take(kind, mode="clip")
+        coder.step(every, low, unit, start, edges.take(kind + m, mode="clip") - start)
+        e = np.flatnonzero(none)
+        if len(e):  # one symbol of 2**24: the low byte, and in its share the id that last had it or a high byte
+            low, unit = coder.low.take(e), np.floor(coder.range.take(e) * 2.0**-24)
+            if encoding:
+                value = x.take(e)
+                byte = value & 255
+            else:
+                v = np.minimum(low / unit, 16777215.0).astype(np.int32)
+                byte = v >> 16
+            place = (e << 8) + byte
+            r = recent.take(place, mode="clip")
+            pr, cr = r >> 3, r & 7
+            at0 = lane8.take(e) + cr
+            ha = again.take(at0, mode="clip")
+            fr = np.minimum(np.maximum(ha >> 8, 8), 248)
+            if encoding:
+                held, high = value == pr, value >> 8
             else:
-                v = coder.target(e)
-                held = v < f0
-                byte = np.minimum((v - f0) // unit, 255)
-            coder.step(e, np.where(held, 0, f0 + byte * unit).astype(np.int64), np.where(held, f0, unit).astype(np.int64))
-            value = np.where(held, p0, byte * 256 + low_byte).astype(np.int32)
-            again[at0] += (held * 65535 - again[at0]) >> 5
-            recent[place] = np.where(held, known0 + (c0 < 7), np.where(c0 > 1, known0 - 2, value << 3))
-            if not coder.encoding:
+                v &= 65535
+                v -= fr << 8
+                held = v < 0
+                high = np.minimum(v // (256 - fr), 255)
+                value = np.where(held, pr, high << 8 | byte)
+            freq = np.where(held, fr << 8, 256 - fr)
+            coder.step(e, low, unit, (byte << 16) + np.where(held, 0, (fr << 8) + high * freq), freq)
+            again[at0] = ha + ((held * 65535 - ha) >> 5)
+            recent[place] = np.where(held, r + (cr < 7), np.where(cr > 1, r - 2, value << 3))
+            if not encoding:
                 x[e] = value
-        if not coder.encoding:
-            ids[:m, t] = x
-        good2, good1 = x == p2, x == p1
-        hit[0][at2] = h2 + ((good2 * 65535 - h2) >> 5)
-        hit[1][at1] = h1 + ((good1 * 65535 - h1) >> 5)
-        late = ~good2 & ~same
-        hit[2][at1[late]] = hc[late] + ((good1[late] * 65535 - hc[late]) >> 5)
-        better = np.where(good2, h2 >= says1, h2 <= says1)
-        weight[0][:m] = np.clip(w2 + np.where(better, (256 - w2) >> 4, -(w2 >> 4)), 8, 248)
-        weight[1][:m] = np.clip(w1 + np.where(better, -(w1 >> 4), (256 - w1) >> 4), 8, 248)
-        for order, slot, k, c, good in ((0, slot2, k2, c2, good2), (1, slot1, k1, c1, good1)):
-            known[order][slot] = np.where(good, k + (c < 7), np.where(c > 0, k - ((c + 1) >> 1), x << 3))
-        before2[:m], before1[:m] = b1, x
+        if not encoding:
+            ids[t, :m] = x
+            good = p == x
+        if t % _PACE == 0:
+            hit[at] = h + ((good * 65535 - h) >> 4)
+            hit0[:m] = h0 + ((is0 * 65535 - h0) >> 4)
+            better = np.where(good[0], h2 >= says1, h2 <= says1)
+            w = w + np.where(better, (256 - w) >> 3, -(w >> 3))
+            weight[:m] = np.minimum(np.maximum(w, 8), 248)
+            ahead = lead[:m] + np.where(x == p0, 1, -1)
+            gone = np.flatnonzero(ahead < 0)
+            most[gone] = x.take(gone)
+            lead[:m] = np.abs(ahead)
+        known[slot] = np.where(good, k + (c < 7), np.where(c > 0, k - ((c + 1) >> 1), x << 3))
+        hash2[:m] = hash1[:m]
+        hash1[:m] = x * np.int64(40503)
 
 
 def compress(blocks: list[np.ndarray]) -> list[bytes]:
@@ -170,16 +193,16 @@ def compress(blocks: list[np.ndarray]) -> list[bytes]:
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     lengths = np.array([len(blocks[i]) for i in order], np.int64)
     steps = int(lengths[0]) if len(order) else 0
-    ids = np.zeros((len(blocks), steps), np.uint16)
+    ids = np.zeros((steps, len(blocks)), np.uint16)
     for k, i in enumerate(order):
-        ids[k, : lengths[k]] = blocks[i]
-    data = np.zeros((len(blocks), 11 * steps + 8), np.uint8)
+        ids[: lengths[k], k] = blocks[i]
+    data = np.zeros((len(blocks), 4 * steps + 4), np.uint16)  # four words an id at most
     coder = _Coder(len(blocks), data, True)
     _lockstep(ids, lengths, coder)
     coder.flush()
     out = [b""] * len(blocks)
     for k, i in enumerate(order):
-        out[i] = data[k, : coder.at[k]].tobytes()
+        out[i] = data[k, : coder.at[k] - coder.first[k]].astype("<u2").tobytes()
     return out
 
 
@@ -187,14 +210,15 @@ def decompress(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     """The ids that ``compress`` coded; ``sizes`` are their numbers."""
     order = sorted(range(len(coded)), key=lambda i: -sizes[i])
     lengths = np.array([sizes[i] for i in order], np.int64)
-    data = np.zeros((len(coded), max(map(len, coded), default=0) + 8), np.uint8)
+    data = np.zeros((len(coded), max(map(len, coded), default=0) // 2 + 4), np.uint16)
     for k, i in enumerate(order):
-        data[k, : len(coded[i])] = np.frombuffer(coded[i], np.uint8)
-    ids = np.zeros((len(coded), int(lengths[0]) if len(order) else 0), np.uint16)
+        data[k, : len(coded[i]) // 2] = np.frombuffer(coded[i], "<u2")
+    ids = np.zeros((int(lengths[0]) if len(order) else 0, len(coded)), np.uint16)
     _lockstep(ids, lengths, _Coder(len(coded), data, False))
-    out = [ids[:0, 0]] * len(coded)
+    by_lane = np.ascontiguousarray(ids.T)
+    out = [by_lane[:0, :0].ravel()] * len(coded)
     for k, i in enumerate(order):
-        out[i] = ids[k, : lengths[k]]
+        out[i] = by_lane[k, : lengths[k]]
     return out
 
 

@@ -2,7 +2,9 @@
 
 Documents are dealt by ranges of doc_id, tokenized and coded where they land; a shard is one range, its blocks are
 numbered, and laid end to end by shard and block they are the corpus. The files are Parquet tables with one block a row,
-so Spark's committers make them whole in any store that Spark writes. ``tokencoder`` has the block's format.
+so Spark's committers make them whole in any store that Spark writes. ``tokencoder`` has the block's format. A row also tells
+how many ids of its shard come before the block, and how many of its first document's ids do, so blocks are read wherever they lie;
+only the parts of documents that blocks cut, narrow rows with their checksums, meet again.
 """
 
 from __future__ import annotations
@@ -11,10 +13,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, lean, partitions, shared_path
+from .common import bounded_batches, lean, partitions, saved, shared_path
 from .tokencoder import BLOCK_IDS, LANES, NO_ID, compress, pack_block, read_blocks
 from .tokens import encoder, with_end
 
@@ -34,38 +37,41 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str | None
 
         shard, number, tokens = TaskContext.get().partitionId(), 0, encoder(tokenizer)
         waiting: list[np.ndarray] = []
-        docs_of: list[tuple] = []  # (doc_id, ids not yet in a block, whether some already are)
+        docs_of: list[tuple] = []  # (doc_id, ids not yet in a block, ids that already are)
+        first = 0  # ids of the shard before the next block
 
         def coded(all_: bool):
-            nonlocal waiting, docs_of, number
+            nonlocal waiting, docs_of, number, first
             joined = np.concatenate(waiting) if waiting else np.zeros(0, "<u2")
             n = len(joined) if all_ else len(joined) // BLOCK_IDS * BLOCK_IDS
             cuts = [joined[i : min(n, i + BLOCK_IDS)] for i in range(0, n, BLOCK_IDS)]
             waiting, rows, k = [joined[n:].copy()], [], 0
             for part, data in zip(cuts, compress(cuts), strict=True):
-                room, names, counts, continues = len(part), [], [], bool(docs_of[k][2])
+                room, names, counts, before = len(part), [], [], docs_of[k][2]
                 while room:
-                    name, left, _ = docs_of[k]
+                    name, left, coded_ids = docs_of[k]
                     take = min(left, room)
                     names.append(NO_ID if name is None else name)
                     counts.append(take)
                     room -= take
-                    docs_of[k] = (name, left - take, True)
+                    docs_of[k] = (name, left - take, coded_ids + take)
                     k += left == take
-                continued = k < len(docs_of) and docs_of[k][2]
-                rows.append((shard, number, len(part), pack_block(part, data, names, counts, continues, continued)))
-                number += 1
+                continued = k < len(docs_of) and docs_of[k][2] > 0
+                rows.append((shard, number, len(part), first, before, pack_block(part, data, names, counts, before > 0, continued)))
+                number, first = number + 1, first + len(part)
             docs_of = docs_of[k:]
             if rows:
-                columns = zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ["shard", "block", "n_ids", "data"])
+                columns = zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ["shard", "block", "n_ids", "first", "before", "data"])
 
         size = 0
         for batch in batches:
+            if pc.any(pc.equal(batch.column(0), NO_ID)).as_py():
+                raise ValueError(f"a doc_id of {NO_ID} cannot be told from null")
             for lo, hi, ids, offsets in tokens.encode(batch.column(1)):
                 ids, offsets = with_end(ids.astype("<u2"), offsets, end_id)
                 waiting.append(ids)
-                docs_of += [(name, n, False) for name, n in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), np.diff(offsets).tolist(), strict=True)]
+                docs_of += [(name, n, 0) for name, n in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), np.diff(offsets).tolist(), strict=True)]
                 size += len(ids)
                 if size >= LANES * BLOCK_IDS:
                     yield from coded(False)
@@ -75,10 +81,35 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str | None
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     ranged = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     path = path or shared_path(spark, "tokens")
-    ranged.mapInArrow(write, "shard int, block int, n_ids long, data binary").write.parquet(path)
+    ranged.mapInArrow(write, "shard int, block int, n_ids long, first long, before long, data binary").write.parquet(path)
     return path
 
 
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of polynomials modulo that of CRC-32, bits reversed, elementwise."""
+    out = np.zeros(len(a), np.uint32)
+    for k in range(32):
+        out ^= np.where(a >> np.uint32(31 - k) & np.uint32(1), b, np.uint32(0))
+        b = b >> np.uint32(1) ^ np.where(b & np.uint32(1), np.uint32(0xEDB88320), np.uint32(0))
+    return out
+
+
+def joined_crc32(sizes: np.ndarray, crcs: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The CRC-32 of each run of parts laid end to end, from every part's bytes and CRC-32; ``first`` are the runs' first parts, none empty.
+
+    A part's checksum counts times x ** (8 * bytes after it in its run), so all parts are shifted at once, bit by bit of that number.
+    """
+    total = np.cumsum(sizes)
+    ends = np.append(first[1:], len(sizes)) - 1
+    left = np.repeat(total[ends], np.diff(np.append(first, len(sizes)))) - total
+    out, power = crcs.astype(np.uint32), np.full(1, 1 << 23, np.uint32)  # x ** 8
+    while left.any():
+        odd = np.flatnonzero(left & 1)
+        out[odd] = _product(out[odd], np.broadcast_to(power, len(odd)))
+        power, left = _product(power, power), left >> 1
+    return np.bitwise_xor.reduceat(out, first) if len(first) else out
+
+
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files; one number a shard comes to the driver."""
     blocks = spark.read.parquet(path)
@@ -87,45 +118,43 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     for shard in sorted(totals):
         bases[shard], total = total, total + totals[shard]
     shared = spark.sparkContext.broadcast(bases)
+    names = ["doc_id", "start", "at", "n_tokens", "ids_crc32", "whole"]
 
     @lean
     def read(batches):
-        bases, now, at, shard = shared.value, None, 0, None
-        waiting: list[tuple[int, bytes]] = []
+        bases = shared.value
+        waiting: list[tuple[int, int, bytes]] = []  # ids before the block, its first document's ids before it, the block
 
-        def documents():
-            nonlocal now, at, shard, waiting
+        def parts() -> pa.RecordBatch:
             rows = []
-            for (own, _), (ids, names, counts, continues, _) in zip(waiting, read_blocks([b for _, b in waiting]), strict=True):
-                if own != shard:
-                    shard, at = own, bases[own]
-                wide, place = ids.astype("<u4"), 0
-                for k, (name, n) in enumerate(zip(names.tolist(), counts.tolist(), strict=True)):
-                    data = wide[place : place + n].tobytes()
+            for (at, before, _), (ids, docs, counts, continues, continued) in zip(waiting, read_blocks([b for *_, b in waiting]), strict=True):
+                data, place = memoryview(ids.astype("<u4")).cast("B"), 0
+                for k, (name, n) in enumerate(zip(docs.tolist(), counts.tolist(), strict=True)):
+                    whole = not (k == 0 and continues) and not (k == len(docs) - 1 and continued)
+                    rows.append((None if name == NO_ID else name, at + place - (before if k == 0 else 0), at + place, n, zlib.crc32(data[4 * place : 4 * (place + n)]), whole))
                     place += n
-                    if k or not continues:
-                        if now:
-                            rows.append(now)
-                        now = (None if name == NO_ID else name, at, 0, 0)
-                    now = (now[0], now[1], now[2] + n, zlib.crc32(data, now[3]))
-                    at += n
-            waiting = []
-            return rows
-
-        def batch_of(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            waiting.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 5 + [pa.bool_()], strict=True)], names)
+
+        for batch in batches:
+            for shard, first, before, block in zip(*(batch.column(c).to_pylist() for c in ("shard", "first", "before", "data")), strict=True):
+                waiting.append((bases[shard] + first, before, block))
+                if len(waiting) == LANES:
+                    yield parts()
+        if waiting:
+            yield parts()
+
+    found = saved(blocks.select("shard", "first", "before", "data").mapInArrow(read, "doc_id long, start long, at long, n_tokens long, ids_crc32 long, whole boolean"), "parts")
 
+    def join(batches):
         for batch in batches:
-            for own, block in zip(batch.column("shard").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                waiting.append((own, block))
-                if len(waiting) == LANES and (rows := documents()):
-                    yield batch_of(rows)
-        rows = documents() if waiting else []
-        if now:
-            rows.append(now)
-        if rows:
-            yield batch_of(rows)
-
-    n = max(1, min(partitions(spark), len(totals)))
-    ordered = blocks.select("shard", "block", "data").repartitionByRange(n, "shard").sortWithinPartitions("shard", "block")
-    return ordered.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+            if batch.num_rows:
+                parts = batch.column("cut")
+                n, crc = (parts.flatten().field(c).to_numpy() for c in ("n_tokens", "ids_crc32"))
+                first = np.append(0, np.cumsum(pc.list_value_length(parts).to_numpy())[:-1])
+                columns = [batch.column("doc_id"), batch.column("start"), pa.array(np.add.reduceat(n, first)), pa.array(joined_crc32(4 * n, crc, first).astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    cut = found.where("not whole").groupBy("start").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("at", "n_tokens", "ids_crc32"))).alias("cut"))
+    again = cut.select("doc_id", "start", "cut").mapInArrow(join, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return found.where("whole").select("doc_id", "start", "n_tokens", "ids_crc32").unionByName(again)

@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 from .common import held
 from .words import LOWER_ASCII, U64, mix, text_slices
 
-CACHE_CHUNKS, TABLE_BITS = 1_200_000, 21
+CACHE_CHUNKS, TABLE_BITS = 2_000_000, 22
 #: Longest chunk, in bytes, that is hashed eight bytes at a time with all others.
 LONG = 256
 #: the byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for U+0100 onwards in order

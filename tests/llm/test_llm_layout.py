@@ -81,6 +81,20 @@ def test_token_file_round_trip(spark):
     assert tokenfile.read_tokens(spark, tokenfile.write_tokens(frame(spark, []), WORD, 1)).count() == 0
 
 
+def test_checksums_of_parts_join():
+    rng = random.Random(2)
+    runs = [[rng.randbytes(rng.choice((0, 1, 5, 400, 70_000))) for _ in range(rng.randint(1, 5))] for _ in range(40)]
+    parts = [p for r in runs for p in r]
+    first = np.cumsum([0, *map(len, runs)])[:-1]
+    got = tokenfile.joined_crc32(np.array([len(p) for p in parts]), np.array([zlib.crc32(p) for p in parts]), first)
+    assert got.tolist() == [zlib.crc32(b"".join(r)) for r in runs]
+
+
+def test_the_number_for_null_is_refused(spark):
+    with pytest.raises(Exception, match="told from null"):
+        tokenfile.write_tokens(frame(spark, [(-(1 << 63), "a")]), WORD, 1)
+
+
 TEXTS = ["\\### Assistant: </turn> ok", "<turn:user>\\", "\\\\<\\>", "", None, "line\nline", "<image:0>"]
 
 
@@ -191,7 +205,7 @@ def test_packing_is_optimal_on_small_cases():
         assert Counter(x for n, f in found for x in f * n) == Counter(items)
         assert all(sum(f) <= 20 for _, f in found)
         worse += sum(n for n, _ in found) - best_bins(items, 20)
-    assert worse <= 1
+    assert worse == 0
     with pytest.raises(ValueError, match="capacity"):
         packing.pack_histogram({21: 1}, 20)
 
