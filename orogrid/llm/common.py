@@ -9,6 +9,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 from typing import Any
 
 import numpy as np
@@ -39,7 +40,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/orogrid/{name}-{uuid.uuid4().hex}"
 
 
-_scratch: list[list[str]] = []
+#: The tables to delete, by block, of this thread's ``released`` blocks.
+_scratch: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
 
 def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
@@ -49,19 +51,21 @@ def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    if _scratch and not keep:
-        _scratch[-1].append(path)
+    if (open_ := _scratch.get()) and not keep:
+        open_[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextlib.contextmanager
 def released(spark: SparkSession) -> Iterator[None]:
     """Delete the tables that ``saved`` writes in this block once it ends: nothing that outlives the block may read them."""
-    _scratch.append([])
+    mine: list[str] = []
+    token = _scratch.set((*_scratch.get(), mine))
     try:
         yield
     finally:
-        for name in _scratch.pop():
+        _scratch.reset(token)
+        for name in mine:
             path = spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked, connected_components, lean, on_runs, saved
+from .common import checked, connected_components, lean, on_runs, released, saved
 
 TABLES = 10
 #: Vectors in one block of a large bucket, and their bytes; rows of a block that are compared at a time.
@@ -100,6 +100,12 @@ def linked(vectors: DataFrame, threshold: float = 0.98, tables: int = TABLES, ve
     links. Rows that repeat a vec_id are separate vectors, each with its own links and component, and equal ones count each other; a null
     vec_id is kept with no links and null component. An empty table gives no rows; other columns are ignored.
     """
+    with released(vectors.sparkSession):
+        return saved(_linked(vectors, threshold, tables, vec_id, embedding, label), "linked", keep=True)
+
+
+def _linked(vectors: DataFrame, threshold: float, tables: int, vec_id: str, embedding: str, label: str) -> DataFrame:
+    """``linked``, read from tables that go with the caller's ``released`` block."""
     at = F.col(embedding)
     fine = F.col(label).isNotNull() & at.isNotNull() & F.col(vec_id).isNotNull() & ~F.exists(at, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(at, lambda x: x != 0)
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).alias("label"), at.cast("array<double>").alias("v"), F.coalesce(fine, F.lit(False)).alias("fine"))

@@ -127,9 +127,14 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, doc_id: str = "doc_id"
     member is first compared with its smallest member; then only members whose components still differ are, in block
     pairs that verify where they stand, so that no task holds a whole large bucket and pairs are never rows.
     """
+    with released(docs.sparkSession):
+        return saved(_classes(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), threshold), "near", keep=True)
+
+
+def _classes(docs: DataFrame, threshold: float) -> DataFrame:
+    """``near_classes`` of (doc_id, text), read from tables that go with the caller's ``released`` block."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     @lean
     def sketch(batches):
@@ -289,7 +294,7 @@ def near_deduplicated(docs: DataFrame, threshold: float = 0.8, doc_id: str = "do
     """
     own, k1, k2 = new_names(docs, "id", "k1", "k2")
     with released(docs.sparkSession):
-        found = saved(near_classes(docs, threshold, doc_id, text), "classes")
+        found = saved(_classes(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), threshold), "classes")
         gone = saved(found.where("not kept").select(F.col("doc_id").alias(own), F.col("k1").alias(k1), F.col("k2").alias(k2)).distinct(), "gone", keep=True)
         both = found.where("kept").join(checked(gone), F.col("doc_id") == F.col(own), "left_semi").limit(1).count()
     same_id = F.col(doc_id).cast("long") == F.col(own)

@@ -264,7 +264,10 @@ def pack_histogram(counts: dict[int, int], capacity: int, nodes: int = SEARCH_NO
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece: only longer documents are cut, their first piece may be short."""
+    """doc_id, piece, start, length, ids_crc32 of every piece: only longer documents are cut, their first piece may be short.
+
+    Null texts are empty (one piece, the end id), null doc_ids stay null, repeated rows give their pieces again, an empty table gives none.
+    """
     bounded_batches(docs.sparkSession)
 
     @lean

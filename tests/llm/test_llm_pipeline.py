@@ -1,11 +1,12 @@
 """The pipeline's stages on planted documents, each against its brute-force law."""
 
 import random
+import threading
 
 import pytest
 
 import corpus_pipeline
-from orogrid.llm.common import saved
+from orogrid.llm.common import released, saved
 
 SF = "/root/testdata/sf0.01"
 
@@ -43,6 +44,56 @@ def test_stages_hold_their_laws(spark):
     assert not pieces.duplicated(["sequence_id", "offset"]).any()
 
 
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_empty_tables(spark, name):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, SF)
+    assert out.count() == 0
+    assert name == "packing" or out.columns == docs.columns
+
+
+#: Columns that each query's contract names.
+COLUMNS = {
+    "op1_token_blocks": "doc_id start n_tokens ids_crc32", "op2_minhash_near_dedup": "doc_id class_id", "op3_embedding_near_dedup": "vec_id n_links component_id kept",
+    "op4_chat_formatting": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars", "op5_license_scan": "doc_id n_words n_base first_word last_word base_labels labels score",
+    "op6_pfair_mixing": "doc_id source position", "op7_exact_dedup": "doc_id keep_id group_size kept text_sha256", "op8_sharding": "doc_id size text_crc32 law shard slot grown_shard",
+    "op9_toxicity": "doc_id held_out score predicted", "op10_best_fit_packing": "doc_id piece start length ids_crc32 sequence_id offset", "pipeline": "doc_id piece sequence_id",
+}
+
+
+@pytest.mark.parametrize("name", sorted(COLUMNS))
+def test_registered_queries_run(spark, name):
+    import __spark_entry__ as e
+
+    out = e.queries()[name](spark, "/root/testdata/sf0.001")
+    assert set(COLUMNS[name].split()) <= set(out.columns)
+    n = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+    got = out.count()
+    assert got == n if name.split("_")[0] in ("op1", "op2", "op5", "op7", "op8", "op9") else got > 0
+
+
+def test_threads_release_their_own_tables(spark):
+    """A block in one thread leaves the tables of another alone."""
+    inside, done = threading.Event(), threading.Event()
+    kept = {}
+
+    def other():
+        with released(spark):
+            kept["df"] = saved(spark.range(3).toDF("id"), "thread")
+            inside.set()
+            done.wait(60)
+            kept["n"] = kept["df"].count()
+
+    t = threading.Thread(target=other)
+    t.start()
+    assert inside.wait(60)
+    with released(spark):
+        saved(spark.range(2).toDF("id"), "own")
+    done.set()
+    t.join()
+    assert kept["n"] == 3
+
+
 def test_registered():
     import __spark_entry__ as e
 

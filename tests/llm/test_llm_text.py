@@ -211,6 +211,38 @@ def test_near_classes_equal_brute_force(spark, monkeypatch):
     assert stays == {i for i, c in want.items() if i == c}
 
 
+def test_classes_of_the_given_documents_equal_brute_force(spark):
+    """Recall and precision of the whole operator on a given table: every pair that shares a shingle is compared."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    grams, at = {}, defaultdict(list)
+    for r in docs.collect():
+        w = words(r.text)
+        if w:
+            grams[r.doc_id] = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)])
+            for g in grams[r.doc_id]:
+                at[g].append(r.doc_id)
+    root = {i: i for i in grams}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    pairs = {(x, y) for ids in at.values() for x in ids for y in ids if x < y}
+    linked = 0
+    for x, y in pairs:
+        keys = sorted(grams[x].keys() | grams[y].keys())
+        number = {g: k for k, g in enumerate(keys)}
+        pack = lambda c, n=number: (np.array(sorted(n[g] for g in c), np.uint64), np.array([c[g] for g in sorted(c, key=n.get)]))
+        if minhash.similar(*pack(grams[x]), *pack(grams[y]), 0.8):
+            linked += 1
+            a, b = top(x), top(y)
+            root[max(a, b)] = min(a, b)
+    assert linked > 20
+    got = {r.doc_id: r.class_id for r in minhash.near_classes(docs).collect()}
+    assert {i: got[i] for i in root} == {i: top(i) for i in root}
+
+
 def test_rows_that_repeat_a_doc_id_stand_by_their_texts(spark):
     rng = random.Random(8)
     text = lambda n: " ".join(rng.choices([f"w{k}" for k in range(400)], k=n))
@@ -247,6 +279,51 @@ def test_licenses_equal_brute_force(spark):
     assert by[4].score == 0.0
 
 
+def brute_spans(w, k=licenses.GRAM):
+    """(label, share) of every merged span of every template, by comparing words."""
+    out = []
+    for text, label in licenses.TEMPLATES:
+        t = words(text)
+        hits = defaultdict(list)  # diagonal -> template positions whose k words stand there
+        for p in range(len(w) - k + 1):
+            for q in range(len(t) - k + 1):
+                if w[p : p + k] == t[q : q + k]:
+                    hits[p - q].append(q)
+        runs = []
+        for d in sorted(hits):
+            if runs and d - runs[-1][0] <= licenses.NEIGHBOUR:
+                runs[-1] = (d, runs[-1][1] + hits[d])
+            else:
+                runs.append((d, list(hits[d])))
+        for _, found in runs:
+            covered = {q + j for q in found for j in range(k)}
+            out.append((label, len(covered) / len(t)))
+    return out
+
+
+def test_license_labels_and_scores_equal_brute_force(spark):
+    rng = random.Random(11)
+    rows = [*HARD]
+    for k in range(60):
+        w = rng.choices(["x", "y", "license", "the", "apache"], k=rng.randint(0, 20))
+        for _ in range(rng.randint(0, 3)):
+            t = words(rng.choice(licenses.TEMPLATES)[0])
+            for _ in range(rng.randint(0, 3)):
+                p = rng.randrange(len(t) + 1)
+                t = t[:p] + ["z"] + t[p:] if rng.random() < 0.5 else t[:p] + t[p + 1 :]
+            w += [*t, "x"]
+        rows.append((100 + k, " ".join(w)))
+    for r in licenses.scanned(frame(spark, rows[len(HARD) :])).collect():
+        w = words(dict(rows)[r.doc_id])
+        own = {licenses.BASE[p] for p in licenses.BASE if any(w[k : k + len(p.split())] == p.split() for k in range(len(w)))}
+        spans = brute_spans(w)
+        assert r.labels == ",".join(sorted(own | {label for label, share in spans if share >= licenses.SHARE}))
+        assert r.score == pytest.approx(1.0 if own else max((share for _, share in spans), default=0.0))
+        found, want = (sorted(x) for x in ([(s.label, s.share) for s in r.spans or []], [x for x in spans if x[1] >= licenses.SHARE]))
+        assert [x for x, _ in found] == [x for x, _ in want]
+        assert [x for _, x in found] == pytest.approx([x for _, x in want])
+
+
 def test_cells_seen_once_are_counted(spark):
     rows = spark.createDataFrame([("rare common", 0), ("common", 0), ("common bad", 1)], "text string, toxic int")
     toxic, seen, _ = toxicity.count_table(rows)
