@@ -63,13 +63,13 @@ def tapered_cells(spark, d):
     return rounded(both[0].unionByName(both[1]), 3)
 
 
-_TILED = "t AS (SELECT CAST(floor((lat + 90) / 15) * 24 + floor((lon + 180) / 15) AS INT) AS tile_id, lat, lon, avg(z) AS z FROM (SELECT -89.75 + (l_suppkey % 30) * 0.5 AS lat, 170.25 + (l_partkey % 40) * 0.5 AS lo, CASE WHEN lo > 180 THEN lo - 360 ELSE lo END AS lon, l_extendedprice AS z FROM lineitem) GROUP BY ALL)"
+_TILED = "t AS (SELECT CAST(floor((lat + 90) / 15) * 24 + floor((lon + 180) / 15) AS INT) AS tile_id, lat, lon, avg(z) AS z FROM (SELECT -89.75 + (CAST(l_quantity AS INT) % 30) * 0.5 AS lat, 170.25 + (l_orderkey % 40) * 0.5 AS lo, CASE WHEN lo > 180 THEN lo - 360 ELSE lo END AS lon, l_extendedprice AS z FROM lineitem) GROUP BY ALL)"
 
 
 def tiled(spark, d):
     """A raster of half degrees by the south pole on both sides of the dateline, in tiles of 15 degrees."""
-    lo = 170.25 + (F.col("l_partkey") % 40) * 0.5
-    nodes = T.read(spark, d, "lineitem", "l_suppkey", "l_partkey", "l_extendedprice").select((-89.75 + (F.col("l_suppkey") % 30) * 0.5).alias("lat"), F.when(lo > 180, lo - 360).otherwise(lo).alias("lon"), F.col("l_extendedprice").alias("z"))
+    lo = 170.25 + (F.col("l_orderkey") % 40) * 0.5
+    nodes = T.read(spark, d, "lineitem", "l_quantity", "l_orderkey", "l_extendedprice").select((-89.75 + (F.col("l_quantity").cast("int") % 30) * 0.5).alias("lat"), F.when(lo > 180, lo - 360).otherwise(lo).alias("lon"), F.col("l_extendedprice").alias("z"))
     tile = (F.floor((F.col("lat") + 90) / 15) * 24 + F.floor((F.col("lon") + 180) / 15)).cast("int")
     return nodes.groupBy("lat", "lon").agg(F.avg("z").alias("z")).withColumn("tile_id", tile)
 
