@@ -36,7 +36,7 @@ def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents: five-word shingles, similarity 0.8."""
-    return near_classes(table(spark, sf_dir, "documents"), 0.8)
+    return near_classes(table(spark, sf_dir, "documents"), 0.8).select("doc_id", "n_words", "class_id", "kept")
 
 
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +102,27 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 
 _ESCAPED = "replace(replace(replace({}, '\\', '\\\\'), '<', '\\<'), '>', '\\>')"
 
+_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+# op2 compares every pair of documents that shares enough shingles and op3 every pair of one label: made for the small tables that SQL is run on.
 ORACLE_SQL: dict[str, str] = {
+    "op2_minhash_near_dedup": f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+     s AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[k:k + 4], ' ') FOR k IN range(1, len(w) - 3)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+     c AS (SELECT doc_id, g, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY doc_id) AS part FROM s GROUP BY 1, 2),
+     q AS (SELECT a.doc_id AS x, b.doc_id AS y FROM c a JOIN c b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2 HAVING sum(least(a.part, b.part)) >= 0.8 - 1e-9),
+     u AS (SELECT x, y, g, coalesce(max(n) FILTER (WHERE doc_id = x), 0) AS a, coalesce(max(n) FILTER (WHERE doc_id = y), 0) AS b FROM q JOIN c ON doc_id = x OR doc_id = y GROUP BY 1, 2, 3),
+     h AS (SELECT x, y, a, b, count(*) AS n FROM u GROUP BY 1, 2, 3, 4),
+     j AS (SELECT i.x, i.y, i.n * i.a * i.b / sum(k.n * greatest(k.a * i.b, k.b * i.a)) AS part FROM h i JOIN h k ON k.x = i.x AND k.y = i.y WHERE i.a > 0 AND i.b > 0 GROUP BY i.x, i.y, i.a, i.b, i.n),
+     l AS (SELECT x, y FROM j GROUP BY 1, 2 HAVING sum(part) >= 0.8 - 1e-12), e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+     r AS (SELECT doc_id AS x, doc_id AS root FROM documents UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.x), f AS (SELECT x, min(root) AS class_id FROM r GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, class_id, doc_id = class_id AS kept FROM d JOIN f ON f.x = doc_id""",
+    "op3_embedding_near_dedup": """
+WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+     g AS (SELECT * FROM e WHERE label IS NOT NULL AND v IS NOT NULL AND len([x FOR x IN v IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN v IF x <> 0]) > 0),
+     p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM g a JOIN g b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+     r AS (SELECT vec_id AS x, vec_id AS root FROM e UNION SELECT p.y, r.root FROM r JOIN p ON p.x = r.x)
+SELECT vec_id, (SELECT count(*) FROM p WHERE p.x = vec_id) AS n_links, min(root) AS component_id, vec_id = min(root) AS kept FROM e JOIN r ON r.x = vec_id GROUP BY vec_id""",
     "op4_chat_formatting": f"""
 WITH t AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -7, 0, 'user', '{PLANTED}' UNION ALL SELECT -7, 1, 'assistant', '{PLANTED}')

@@ -103,14 +103,14 @@ def test_registered():
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-@pytest.mark.parametrize("name", ["op4_chat_formatting", "op7_exact_dedup"])
+@pytest.mark.parametrize("name", ["op2_minhash_near_dedup", "op3_embedding_near_dedup", "op4_chat_formatting", "op7_exact_dedup"])
 def test_queries_equal_sql(spark, name):
     import duckdb
 
     import __spark_entry__ as e
 
     c = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got, want = e.queries()[name](spark, SF).toPandas(), c.execute(e.oracle_sql()[name]).fetchdf()
     columns = sorted(got.columns)
