@@ -90,11 +90,18 @@ def new_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def lean(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """``work`` on a task's batches; the worker, which lives on, then gives the memory that it no longer uses back to the system."""
+def lean(work: Callable[[Iterator], Iterator] | None = None, keep_held: bool = False) -> Callable:
+    """``work`` on a task's batches; the worker, which lives on, then gives the memory that it no longer uses back to the system.
+
+    Unless told to keep it, the task first drops the object that the worker has ``held`` for tasks of another kind.
+    """
+    if work is None:
+        return functools.partial(lean, keep_held=keep_held)
 
     @functools.wraps(work)
     def run(batches: Iterator) -> Iterator:
+        if not keep_held:
+            let_go()
         try:
             yield from work(batches)
         finally:
@@ -139,6 +146,11 @@ def on_runs(rows: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.Tabl
 _held: dict[str, Any] = {}
 
 
+def let_go() -> None:
+    """In a worker: drop what it holds. A function of the module, as the module's own dictionary is meant, not a copy that travels with a task."""
+    _held.clear()
+
+
 def held(name: str, make: Callable[[], Any]) -> Any:
     """In a worker: what ``make`` gave for ``name``, kept for later tasks until another name is asked for, so that one large object stays."""
     if name not in _held:

@@ -270,7 +270,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, doc_id:
     """
     bounded_batches(docs.sparkSession)
 
-    @lean
+    @lean(keep_held=True)
     def cut(batches):
         tokens = encoder(tokenizer)
         for batch in batches:

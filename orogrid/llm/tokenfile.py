@@ -31,7 +31,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str | None
     spark = docs.sparkSession
     bounded_batches(spark)
 
-    @lean
+    @lean(keep_held=True)
     def write(batches):
         from pyspark import TaskContext
 
