@@ -12,6 +12,7 @@ from .common import released, table
 from .dedup_exact import exact_groups
 from .embedding import linked
 from .licenses import scanned
+from .merkle import merkle_manifest
 from .minhash import near_classes
 from .mixing import mixed
 from .packing import packed
@@ -96,10 +97,20 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 2048, 0)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_token_blocks": op1_token_blocks, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_embedding_near_dedup": op3_embedding_near_dedup, "op4_chat_formatting": op4_chat_formatting, "op5_license_scan": op5_license_scan, "op6_pfair_mixing": op6_pfair_mixing, "op7_exact_dedup": op7_exact_dedup, "op8_sharding": op8_sharding, "op9_toxicity": op9_toxicity, "op10_best_fit_packing": op10_best_fit_packing}
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Merkle tree over all documents by source, with proofs checked against tampered texts."""
+    return merkle_manifest(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_token_blocks": op1_token_blocks, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op3_embedding_near_dedup": op3_embedding_near_dedup, "op4_chat_formatting": op4_chat_formatting, "op5_license_scan": op5_license_scan, "op6_pfair_mixing": op6_pfair_mixing, "op7_exact_dedup": op7_exact_dedup, "op8_sharding": op8_sharding, "op9_toxicity": op9_toxicity, "op10_best_fit_packing": op10_best_fit_packing, "op12_merkle_manifest": op12_merkle_manifest}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_FIELD = "coalesce(CAST(strlen(CAST({0} AS VARCHAR)) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+
+# bit by bit: each bit of each character, lowest first
+_CRC32 = "xor(list_reduce([4294967295] || flatten([[(ascii(({0})[p]) >> b) & 1 FOR b IN range(8)] FOR p IN range(1, len({0}) + 1)]), lambda c, x: xor(c >> 1, (xor(c, x) & 1) * 3988292384)), 4294967295)"
+
 _ESCAPED = "replace(replace(replace({}, '\\', '\\\\'), '<', '\\<'), '>', '\\>')"
 
 _WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -136,4 +147,23 @@ FROM t GROUP BY conv_id""",
 WITH d AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256 FROM documents),
      g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)""",
+    "op12_merkle_manifest": f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS id, doc_id, source, lang, n_chars, text FROM documents),
+     c AS (SELECT id, doc_id, source, {_FIELD.format("doc_id")} || {_FIELD.format("source")} || {_FIELD.format("lang")} || {_FIELD.format("n_chars")} AS head, text,
+                  CASE WHEN {_CRC32.format("CAST(doc_id AS VARCHAR)")} % 5 = 0 THEN {_LOWER.replace("coalesce(text, '')", "text")} ELSE text END AS changed FROM d),
+     l AS (SELECT id, doc_id, source, sha256(head || {_FIELD.format("text")}) AS leaf, sha256(head || {_FIELD.format("changed")}) AS other FROM c),
+     s AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS t, count(*) OVER () AS sources FROM (SELECT DISTINCT source FROM l)),
+     r AS (SELECT l.*, s.t, s.sources, row_number() OVER (PARTITION BY s.t ORDER BY doc_id NULLS FIRST, leaf, id) - 1 AS r, count(*) OVER (PARTITION BY s.t) AS n FROM l JOIN s ON l.source IS NOT DISTINCT FROM s.source),
+     a AS (SELECT t, 0 AS level, r AS j, n AS m, leaf AS h FROM r UNION ALL SELECT t, level + 1, j // 16, (m + 15) // 16, sha256(string_agg(h, '' ORDER BY j)) FROM a WHERE m > 1 GROUP BY t, level, j // 16, m),
+     b AS (SELECT 0 AS level, a.t AS j, s.sources AS m, a.h FROM a JOIN s USING (t) WHERE a.m = 1 UNION ALL SELECT level + 1, j // 16, (m + 15) // 16, sha256(string_agg(h, '' ORDER BY j)) FROM b WHERE m > 1 GROUP BY level, j // 16, m),
+     x AS (SELECT t, level, j, m, h FROM a UNION ALL SELECT -1, level, j, m, h FROM b),
+     g AS (SELECT t, level, j, coalesce(string_agg(h, '' ORDER BY j) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+                  coalesce(string_agg(h, '' ORDER BY j) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after FROM x WHERE m > 1 WINDOW w AS (PARTITION BY t, level, j // 16 ORDER BY j)),
+     f AS (SELECT id, t, t AS up, 0 AS level, r AS j, CASE WHEN leaf = other THEN leaf ELSE other END AS h, '' AS proof FROM r
+           UNION ALL SELECT f.id, CASE WHEN g.j IS NULL THEN -1 ELSE f.t END, f.up, CASE WHEN g.j IS NULL THEN 0 ELSE f.level + 1 END, CASE WHEN g.j IS NULL THEN f.up ELSE f.j // 16 END,
+                  CASE WHEN g.j IS NULL THEN f.h ELSE sha256(g.before || f.h || g.after) END, CASE WHEN g.j IS NULL THEN f.proof ELSE f.proof || g.before || g.after END
+           FROM f LEFT JOIN g ON g.t = f.t AND g.level = f.level AND g.j = f.j WHERE NOT (f.t = -1 AND g.j IS NULL)),
+     e AS (SELECT f.* FROM f LEFT JOIN g ON g.t = f.t AND g.level = f.level AND g.j = f.j WHERE f.t = -1 AND g.j IS NULL)
+SELECT r.doc_id, r.source, r.leaf, a.h AS subroot, b.h AS root, sha256(e.proof) AS proof_sha256, e.h AS folded_root, e.h = b.h AS verified
+FROM r JOIN e USING (id) JOIN a ON a.t = r.t AND a.m = 1 JOIN b ON b.m = 1""",
 }
