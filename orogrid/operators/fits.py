@@ -1,13 +1,21 @@
 """Fits on arbitrary supports, and per-cell kernels on grouped Arrow batches.
 
-A refit's normal equations add up over points, so cells are dealt in blocks of points, as many as their number asks for: each block yields
-its part of the Gram matrix and right-hand side as arrays, the parts add up by cell, and only the small system is solved per cell. No task
-ever holds the points of a whole cell, and the selectors of modes and penalties work on the same sums.
+A refit's normal equations add up over points, so cells are dealt in blocks of points, as many as their number asks for. Each block yields its
+part of the Gram matrix and right-hand side, cut into blocks of ``BLOCK_COLUMNS`` columns; a row holds one of them (128 KB at most), however many
+modes a fit has. Parts add up by (cell, block row, block column) in a tree of ``FAN`` rows a node. No task ever holds the points of a whole
+cell; a task that solves holds one cell's system, or, for spatial cross-validation, those of one fold, and the selectors of modes and
+penalties work on the same sums.
+
+Rows are dealt by cell, sorted, and stream through Python in Arrow batches bounded by bytes, so that many small cells share a batch and
+a large one spans several.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
+from itertools import groupby
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -15,76 +23,225 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..kernels import linear
+from ..session import bounded_batches, saved
 
 #: Points of one block, and those whose design matrix is formed at a time.
 BLOCK_POINTS, PART_POINTS = 1 << 16, 4096
-#: (cell_id, gram, rhs, total, n, modes) -> rows
+#: Columns of one block of a Gram matrix, and the rows that a node of the tree adds up.
+BLOCK_COLUMNS, FAN = 128, 16
+#: (system, m_i, m_j, more) -> rows
 Kernel = Callable[..., list[tuple]]
 
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+
+
+def _runs(batch: pa.RecordBatch, keys: list[str]) -> list[tuple[int, int]]:
+    """(first, end) of the runs of rows that are equal in whole-number keys."""
+    change = np.zeros(max(0, batch.num_rows - 1), bool)
+    for c in keys:
+        x = batch.column(c).fill_null(-1).to_numpy()
+        change |= x[1:] != x[:-1]
+    edge = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+    return list(zip(edge, edge[1:], strict=False)) if batch.num_rows else []
+
+
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, values)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values) if values else np.zeros(0)))
+
+
+def _arrays(column: pa.ListArray) -> list[np.ndarray]:
+    """Each row's array, a view of the batch."""
+    flat, at = column.values.to_numpy(), column.offsets.to_numpy()
+    return [flat[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
+def _block_rows(fields: list[tuple[str, pa.DataType]], limit: int = 4 << 20):
+    """(add, done): ``add(keys, n, total, values)`` gives a batch of block rows once some bytes have come together, ``done()`` the rest."""
+    rows: list[tuple] = []
+    size = 0
+
+    def done() -> Iterator[pa.RecordBatch]:
+        nonlocal size
+        if rows:
+            *keys, n, total, values = zip(*rows, strict=True)
+            columns = [pa.array(c, t) for c, (_, t) in zip(keys, fields, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(total, pa.float64()), _lists(list(values))], [*(c for c, _ in fields), "n", "total", "values"])
+        rows.clear()
+        size = 0
+
+    def add(row: tuple) -> Iterator[pa.RecordBatch]:
+        nonlocal size
+        rows.append(row)
+        size += row[-1].nbytes + 64
+        if size >= limit:
+            yield from done()
+
+    return add, done
 
-def normal_equations(points: DataFrame, selected: DataFrame, ni: float, nj: float, block_points: int = BLOCK_POINTS, more: tuple[str, ...] = ()) -> DataFrame:
-    """(cell_id, more, n, total, gram, rhs) of the selected modes (cell_id, k_idx, l_idx, m_i, m_j) over each cell's points; arrays are row-major.
 
-    ``more`` names whole-number columns of the points that split a cell into several systems. Cells without points or modes have no row.
+def normal_equations(points: DataFrame, selected: DataFrame, ni: float, nj: float, block_points: int = BLOCK_POINTS, block_columns: int = BLOCK_COLUMNS, more: tuple[str, ...] = ()) -> DataFrame:
+    """(cell_id, more, br, bc, n, total, values): the normal equations of the selected modes (cell_id, k_idx, l_idx, m_i, m_j) over each cell's points, in blocks.
+
+    A row with bc >= br holds that block of the Gram matrix, row-major (those below the diagonal are its mirror), a row with bc -1 that piece of the right-hand
+    side; n and total (of squared values) are the cell's. ``more`` names whole-number columns of the points that split a cell into several systems.
+    Columns are the modes' cosines by (l_idx, k_idx), then their sines. Cells without points or modes have no rows; a mode counts as often as it comes.
     """
+    spark = points.sparkSession
+    bounded_batches(spark)
     keys = ["cell_id", *more]
-    points = points.select(F.col("cell_id").cast("long").alias("cell_id"), *[F.col(c).cast("long").alias(c) for c in more], "i", "j", "z")
-    sizes = points.groupBy(*keys).agg(F.ceil(F.count("*") / block_points).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("i", "j"), F.col("blocks")).cast("int")
-    dealt = points.join(sizes, keys).withColumn("block", block).drop("blocks")
-    modes = selected.select(F.col("cell_id").cast("long").alias("cell_id"), "k_idx", "l_idx", "m_i", "m_j").join(sizes, "cell_id")
-    own = [F.col(c).alias(c) for c in [*keys, "k_idx", "l_idx", "m_i", "m_j"]]  # columns apart from those of the points, which the sizes share
-    modes = modes.select(*own, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    names = [*keys, "n", "total", "gram", "rhs"]
-    schema = ", ".join(f"{c} long" for c in [*keys, "n"]) + ", total double, gram array<double>, rhs array<double>"
-    types = [pa.int64()] * (len(keys) + 1) + [pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64())]
-
-    def part(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.table([pa.array([], t) for t in types], names)
-        right = right.sort_by([("l_idx", "ascending"), ("k_idx", "ascending")])
-        i, j, z = (left.column(c).to_numpy() for c in ("i", "j", "z"))
-        m_i, m_j = (right.column(c).to_numpy() for c in ("m_i", "m_j"))
-        gram = rhs = 0.0
-        for at in range(0, len(z), PART_POINTS):
-            rows = slice(at, at + PART_POINTS)
-            m = linear.basis(i[rows], j[rows], m_i, m_j, ni, nj)
-            gram, rhs = gram + m.T @ m, rhs + m.T @ z[rows]
-        row = [*(left.column(c)[0].as_py() for c in keys), len(z), float(z @ z), gram.ravel(), rhs]
-        return pa.table([pa.array([x], t) for x, t in zip(row, types, strict=True)], names)
-
-    parts = dealt.groupBy(*keys, "block").cogroup(modes.groupBy(*keys, "block")).applyInArrow(part, schema)
-    add = lambda c: F.reduce(F.collect_list(c), F.transform(F.first(c), lambda x: F.lit(0.0)), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
-    return parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), add("gram").alias("gram"), add("rhs").alias("rhs"))
-
-
-def mode_lists(selected: DataFrame) -> DataFrame:
-    """(cell_id, modes): each cell's modes in the order of the systems' columns."""
-    one = F.array_sort(F.collect_list(F.struct("l_idx", "k_idx", "m_i", "m_j")))
-    return selected.groupBy("cell_id").agg(one.alias("modes")).withColumn("cell_id", F.col("cell_id").cast("long"))
+    points = points.select(*[F.col(c).cast("long").alias(c) for c in keys], F.col("i").cast("double").alias("x"), F.col("j").cast("double").alias("y"), F.col("z").cast("double").alias("z"))
+    sizes = saved(points.groupBy(*keys).agg(F.ceil(F.count("*") / block_points).cast("int").alias("blocks")), "sizes")
+    most = sizes.agg(F.max("blocks")).head()[0] or 0
+    dealt = points.join(sizes, keys).withColumn("block", F.pmod(F.xxhash64("x", "y"), F.col("blocks")).cast("int"))
+    own = selected.select(F.col("cell_id").cast("long").alias("cell_id"), "l_idx", "k_idx", F.col("m_i").cast("double").alias("x"), F.col("m_j").cast("double").alias("y")).join(sizes, "cell_id")
+    own = own.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = own.select(*[F.col(c).alias(c) for c in keys], "block", F.lit(0).alias("kind"), "l_idx", "k_idx", "x", "y", F.lit(0.0).alias("z"))
+    both = own.unionByName(dealt.select(*keys, "block", F.lit(1).alias("kind"), "x", "y", "z"), allowMissingColumns=True)
+    whole = [*keys, "block"]
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        add, done = _block_rows([*((c, pa.int64()) for c in keys), ("block", pa.int32()), ("br", pa.int32()), ("bc", pa.int32())])
+        now, m_i, m_j, gram, rhs, n, total = None, [], [], None, None, 0, 0.0
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            if gram is None:
+                return
+            for r, top in enumerate(range(0, len(rhs), block_columns)):
+                rows = slice(top, top + block_columns)
+                yield from add((*now, r, -1, n, total, rhs[rows].copy()))
+                for c in range(r, -(-len(rhs) // block_columns)):
+                    yield from add((*now, r, c, n, total, gram[rows, c * block_columns : (c + 1) * block_columns].ravel()))
 
+        for batch in batches:
+            names = [batch.column(c).to_pylist() for c in whole]
+            kind, x, y, z = (batch.column(c).to_numpy() for c in ("kind", "x", "y", "z"))
+            for lo, hi in _runs(batch, [*whole, "kind"]):
+                key = tuple(c[lo] for c in names)
+                if key != now:
+                    yield from ended()
+                    now, m_i, m_j, gram, rhs, n, total = key, [], [], None, None, 0, 0.0
+                if kind[lo] == 0:
+                    m_i, m_j = np.append(m_i, x[lo:hi]), np.append(m_j, y[lo:hi])
+                elif len(m_i):
+                    for at in range(lo, hi, PART_POINTS):
+                        rows = slice(at, min(hi, at + PART_POINTS))
+                        m = linear.basis(x[rows], y[rows], m_i, m_j, ni, nj)
+                        gram, rhs = (m.T @ m, m.T @ z[rows]) if gram is None else (gram + m.T @ m, rhs + m.T @ z[rows])
+                        n, total = n + rows.stop - rows.start, total + float(z[rows] @ z[rows])
+        yield from ended()
+        yield from done()
+
+    schema = ", ".join(f"{c} long" for c in keys) + ", block int, br int, bc int, n long, total double, values array<double>"
+    parts = both.repartition(*whole).sortWithinPartitions(*whole, "kind", "l_idx", "k_idx").mapInArrow(part, schema)
+    for _ in range(math.ceil(math.log(most, FAN) - 1e-9) if most > 1 else 0):
+        parts = _added(parts.withColumn("block", F.expr(f"block div {FAN}").cast("int")), [*keys, "block", "br", "bc"], schema)
+    return parts.drop("block")
+
+
+def _added(rows: DataFrame, keys: list[str], schema: str) -> DataFrame:
+    """Sums of n, total and values by whole-number keys, rows streaming in order of the keys, one sum held at a time."""
+    types = [(c, _ARROW[t]) for c, t in (x.split() for x in schema.split(", ")) if c in keys]
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        add, done = _block_rows(types)
+        now, n, total, values = None, 0, 0.0, None
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in (*keys, "n", "total")]
+            for *key, m, t, v in zip(*columns, _arrays(batch.column("values")), strict=True):
+                if key == now:
+                    n, total, values = n + m, total + t, values + v
+                    continue
+                if now is not None:
+                    yield from add((*now, n, total, values))
+                now, n, total, values = key, m, t, v.copy()
+        if now is not None:
+            yield from add((*now, n, total, values))
+        yield from done()
 
-def systems(points: DataFrame, selected: DataFrame, ni: float, nj: float, **options) -> DataFrame:
-    """``normal_equations`` with each cell's ``modes``."""
-    return normal_equations(points, selected, ni, nj, **options).join(mode_lists(selected), "cell_id")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).select(*[x.split()[0] for x in schema.split(", ")]).mapInArrow(add_up, schema)
 
 
-def _of(row: dict) -> tuple[linear.System, np.ndarray, np.ndarray]:
-    rhs = np.array(row["rhs"])
-    m_i, m_j = (np.array([x[c] for x in row["modes"]], float) for c in ("m_i", "m_j"))
-    return linear.System(np.array(row["gram"]).reshape(len(rhs), -1), rhs, row["total"], row["n"]), m_i, m_j
+def systems(points: DataFrame, selected: DataFrame, ni: float, nj: float, **options) -> DataFrame:
+    """``normal_equations`` with a row for each cell's modes (br -1): l_idx, k_idx, m_i and m_j of each, in the order of the columns."""
+    rows = normal_equations(points, selected, ni, nj, **options)
+    one = F.array_sort(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in ("l_idx", "k_idx", "m_i", "m_j")])))
+    flat = F.flatten(F.transform(one, lambda m: F.array(m["l_idx"], m["k_idx"], m["m_i"], m["m_j"])))
+    lists = selected.groupBy(F.col("cell_id").cast("long").alias("cell_id")).agg(flat.alias("values"))
+    return rows.unionByName(lists.withColumns({"br": F.lit(-1), "bc": F.lit(-1)}), allowMissingColumns=True)
+
+
+class Cell(NamedTuple):
+    """A cell's modes and further columns, as its systems are read."""
+
+    cell_id: int
+    modes: np.ndarray  # l_idx, k_idx, m_i, m_j by row
+    more: tuple
+
+    @property
+    def m_i(self) -> np.ndarray:
+        return self.modes[:, 2]
+
+    @property
+    def m_j(self) -> np.ndarray:
+        return self.modes[:, 3]
+
+
+def _systems_of(batches: Iterator[pa.RecordBatch], split: tuple[str, ...], more: tuple[str, ...]) -> Iterator[tuple[Cell, tuple, linear.System]]:
+    """(cell, values of ``split``, system) one by one from sorted rows: a cell's modes come first, then the blocks of each system."""
+    cell = now = gram = rhs = side = None
+    n, total = 0, 0.0
+
+    def finished():
+        if gram is not None:
+            yield cell, now, linear.System(gram, rhs, total, n)
+
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("cell_id", "br", "bc", "n", "total")]
+        splits, mores = ([batch.column(c).to_pylist() for c in names] for names in (split, more))
+        for k, (cell_id, br, bc, m, t, values) in enumerate(zip(*columns, _arrays(batch.column("values")), strict=True)):
+            if br < 0:
+                yield from finished()
+                cell, now, gram = Cell(cell_id, values.reshape(-1, 4).copy(), tuple(c[k] for c in mores)), None, None
+                continue
+            key = tuple(c[k] for c in splits)
+            if gram is None or key != now:
+                yield from finished()
+                size = len(cell.modes) + int(((cell.m_i != 0) | (cell.m_j != 0)).sum())
+                now, gram, rhs, n, total = key, np.zeros((size, size)), np.zeros(size), m, t
+            if br == 0 and bc < 0:
+                side = len(values)
+            if bc < 0:
+                rhs[br * side : br * side + len(values)] = values
+            else:
+                block = values.reshape(min(side, len(rhs) - br * side), -1)
+                rows, across = slice(br * side, br * side + block.shape[0]), slice(bc * side, bc * side + block.shape[1])
+                gram[rows, across], gram[across, rows] = block, block.T
+    yield from finished()
+
+
+def on_systems(rows: DataFrame, work: Callable[[Cell, Iterator[tuple[tuple, linear.System]]], list[tuple]], schema: str, split: tuple[str, ...] = (), more: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of ``work(cell, its systems one by one)`` for every cell of ``systems`` that has points; ``split`` names the columns that tell a cell's systems apart."""
+    fields = [x.split() for x in schema.split(", ")]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for _, group in groupby(_systems_of(batches, split, more), key=lambda x: x[0].cell_id):
+            cell, key, system = next(group)
+            rest = ((k, s) for _, k, s in group)
+            out += work(cell, (x for part in ([(key, system)], rest) for x in part))
+            if len(out) >= 10_000:
+                yield _batch(out, fields)
+                out = []
+        yield _batch(out, fields)
 
-def by_system(rows: DataFrame, kernel: Kernel, schema: str, more: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of ``kernel(system, m_i, m_j, *more)`` for every row of ``systems``; the cell_id comes first. ``more`` names further columns."""
-    fields = [x.split() for x in schema.split(", ")]
+    rows = rows.select("cell_id", *split, "br", "bc", "n", "total", "values", *more)
+    return rows.repartition("cell_id").sortWithinPartitions("cell_id", *(F.col(c).asc_nulls_first() for c in split), "br", "bc").mapInArrow(run, schema)
 
-    def run(batches):
-        for batch in batches:
-            out = [(row["cell_id"], *r) for row in batch.to_pylist() for r in kernel(*_of(row), *(row[c] for c in more))]
-            yield _batch(out, fields)
 
-    return rows.select("cell_id", "n", "total", "gram", "rhs", "modes", *more).mapInArrow(run, schema)
+def by_system(rows: DataFrame, kernel: Kernel, schema: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of ``kernel(system, m_i, m_j, *more)`` for every cell of ``systems``; the cell_id comes first. ``more`` names further columns."""
+    return on_systems(rows, lambda cell, own: [(cell.cell_id, *r) for _, s in own for r in kernel(s, cell.m_i, cell.m_j, *cell.more)], schema, more=more)
 
 
 def _batch(rows: list[tuple], fields: list[list[str]]) -> pa.RecordBatch:
@@ -92,21 +249,25 @@ def _batch(rows: list[tuple], fields: list[list[str]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
 
+_MODE = "cell_id long, k_idx int, l_idx int, m_i int, m_j int"
+
+
+def _named(cell: Cell) -> list[tuple[int, int, int, int, int]]:
+    return [(cell.cell_id, k, l, i, j) for l, k, i, j in cell.modes.astype(int).tolist()]
+
+
 def selected_by(systems_: DataFrame, selector: Callable[[linear.System, int], np.ndarray], n: int) -> DataFrame:
     """(cell_id, k_idx, l_idx, m_i, m_j, rank): the modes of the first n columns that ``selector(system, n)`` picks; a mode counts once."""
-    fields = [x.split() for x in "cell_id long, k_idx int, l_idx int, m_i int, m_j int, rank int".split(", ")]
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                system, m_i, m_j = _of(row)
-                own = [*range(len(m_i)), *np.flatnonzero((m_i != 0) | (m_j != 0)).tolist()]
-                picked = dict.fromkeys(own[c] for c in selector(system, 2 * n).tolist())
-                out += [(row["cell_id"], *(row["modes"][k][c] for c in ("k_idx", "l_idx", "m_i", "m_j")), r + 1) for r, k in enumerate(list(picked)[:n])]
-            yield _batch(out, fields)
+    def pick(cell: Cell, own) -> list[tuple]:
+        names, out = _named(cell), []
+        column = [*range(len(names)), *np.flatnonzero((cell.m_i != 0) | (cell.m_j != 0)).tolist()]
+        for _, system in own:
+            picked = dict.fromkeys(column[c] for c in selector(system, 2 * n).tolist())
+            out += [(*names[k], r + 1) for r, k in enumerate(list(picked)[:n])]
+        return out
 
-    return systems_.select("cell_id", "n", "total", "gram", "rhs", "modes").mapInArrow(run, ", ".join(map(" ".join, fields)))
+    return on_systems(systems_, pick, f"{_MODE}, rank int")
 
 
 def refit(points: DataFrame, selected: DataFrame, ni: float, nj: float, lam: float | Column, alpha: float | Column = 0.0, prior: Callable | None = None, **options) -> DataFrame:
@@ -122,82 +283,94 @@ def refit(points: DataFrame, selected: DataFrame, ni: float, nj: float, lam: flo
         rows = rows.join(own, "cell_id")
     else:
         rows = rows.withColumns({"lam": F.lit(float(lam)), "alpha": F.lit(float(alpha))})
-    fields = [x.split() for x in "cell_id long, k_idx int, l_idx int, m_i int, m_j int, a_cos double, a_sin double, ampl double".split(", ")]
 
-    def solve(batches):
+    def solve(cell: Cell, own) -> list[tuple]:
+        out, (lam, alpha) = [], cell.more
+        m_i, m_j = cell.m_i, cell.m_j
+        k, wave = linear.wavenumbers(m_i, m_j), (m_i != 0) | (m_j != 0)
+        for _, s in own:
+            penalty = linear.spectral(s.gram, lam, k, alpha) if prior is None else np.asarray(prior(s, m_i, m_j, lam), float)
+            if penalty.shape != s.rhs.shape:
+                raise ValueError(f"the prior gives {penalty.shape} weights for {len(s.rhs)} columns")
+            a = linear.solve(s.gram, s.rhs, penalty)
+            sine = np.zeros(len(m_i))
+            sine[wave] = a[len(m_i) :]
+            out += [(*name, float(c), float(b), float(np.hypot(c, b))) for name, c, b in zip(_named(cell), a, sine, strict=False)]
+        return out
+
+    return on_systems(rows, solve, f"{_MODE}, a_cos double, a_sin double, ampl double", more=("lam", "alpha"))
+
+
+def tilings(points: DataFrame, n_folds: int, seed: int | None, x: str = "j", y: str = "i") -> DataFrame:
+    """(cell_id, left, bottom, wide, high, across, down, folds): each cell's ``Tiling``; ``folds`` has the fold of every tile, -1 for none."""
+    box = points.groupBy("cell_id").agg(*[f(c).cast("double").alias(f"{f.__name__}_{n}") for n, c in (("x", x), ("y", y)) for f in (F.min, F.max)], F.count("*").alias("size"))
+
+    def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["cell_id", "left", "bottom", "wide", "high", "across", "down", "folds"]
+        types = [pa.int64(), *[pa.float64()] * 4, pa.int32(), pa.int32(), pa.list_(pa.int64())]
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
-                s, m_i, m_j = _of(row)
-                k, wave = linear.wavenumbers(m_i, m_j), (m_i != 0) | (m_j != 0)
-                penalty = linear.spectral(s.gram, row["lam"], k, row["alpha"]) if prior is None else np.asarray(prior(s, m_i, m_j, row["lam"]), float)
-                if penalty.shape != s.rhs.shape:
-                    raise ValueError(f"the prior gives {penalty.shape} weights for {len(s.rhs)} columns")
-                a = linear.solve(s.gram, s.rhs, penalty)
-                sine = np.zeros(len(m_i))
-                sine[wave] = a[len(m_i) :]
-                out += [(row["cell_id"], x["k_idx"], x["l_idx"], x["m_i"], x["m_j"], float(c), float(b), float(np.hypot(c, b))) for x, c, b in zip(row["modes"], a, sine, strict=False)]
-            yield _batch(out, fields)
+            for cell, *ends, size in zip(*(batch.column(c).to_pylist() for c in ("cell_id", "min_x", "max_x", "min_y", "max_y", "size")), strict=True):
+                if size < 2 * n_folds:
+                    raise ValueError(f"cell {cell}: {size} points are too few for {n_folds} folds")
+                t = linear.Tiling.drawn(tuple(ends[:2]), tuple(ends[2:]), n_folds, seed)
+                out.append((cell, t.left, t.bottom, t.wide, t.high, t.across, t.down, t.fold))
+            columns = zip(*out, strict=True) if out else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types, strict=True)], names)
+
+    return box.mapInArrow(tile, "cell_id long, left double, bottom double, wide double, high double, across int, down int, folds array<long>")
+
 
-    return rows.select("cell_id", "n", "total", "gram", "rhs", "modes", "lam", "alpha").mapInArrow(solve, ", ".join(map(" ".join, fields)))
+def folds_of(place: Column, line: Column, buffer: float) -> Column:
+    """The folds whose tile, or its surroundings by ``buffer`` of a side, hold a point; ``place`` and ``line`` are in units of tiles, beside the columns of ``tilings``."""
+
+    def near(u: Column, tiles: str) -> Column:
+        first, last = F.greatest(F.floor(u - 1 - buffer) + 1, F.lit(0)), F.least(F.floor(u + buffer), F.col(tiles) - 1)
+        return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+
+    number = F.flatten(F.transform(near(line, "down"), lambda r: F.transform(near(place, "across"), lambda c: r * F.col("across") + c)))
+    return F.filter(F.transform(number, lambda t: F.element_at("folds", (t + 1).cast("int"))), lambda f: f >= 0)
 
 
 def fold_systems(points: DataFrame, selected: DataFrame, ni: float, nj: float, n_folds: int = 5, buffer: float = 0.1, seed: int | None = None, x: str = "j", y: str = "i", **options) -> DataFrame:
-    """(cell_id, fold, part, n, total, gram, rhs, modes): sums over all points (fold -1) and over each fold's tile (part 0) and tile with buffer (part 1).
+    """``systems`` by (fold, part): sums over all points (fold -1) and over each fold's tile (part 0) and tile with buffer (part 1).
 
     A fold trains on all points less those of its tile with buffer, so every point is met once and copied only into the tiles it lies in.
     """
     points = points.withColumn("cell_id", F.col("cell_id").cast("long"))
-    box = points.groupBy("cell_id").agg(*[f(c).cast("double").alias(f"{f.__name__}_{n}") for n, c in (("x", x), ("y", y)) for f in (F.min, F.max)], F.count("*").alias("size"))
-
-    def tile(batches):
-        fields = [z.split() for z in "cell_id long, fold long, left double, right double, bottom double, top double".split(", ")]
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                if r["size"] < 2 * n_folds:
-                    raise ValueError(f"cell {r['cell_id']}: {r['size']} points are too few for {n_folds} folds")
-                found = linear.tiles((r["min_x"], r["max_x"]), (r["min_y"], r["max_y"]), n_folds, seed)
-                out += [(r["cell_id"], k, *t) for k, t in enumerate(found)]
-            yield _batch(out, fields)
-
-    edges = box.mapInArrow(tile, "cell_id long, fold long, left double, right double, bottom double, top double")
-    edges = edges.groupBy("cell_id").agg(F.collect_list(F.struct("fold", "left", "right", "bottom", "top")).alias("tiles"))
-    px, py = F.col(x).cast("double"), F.col(y).cast("double")
-
-    def within(t: Column, by: float) -> Column:
-        wide, high = (t["right"] - t["left"]) * by, (t["top"] - t["bottom"]) * by
-        return (px >= t["left"] - wide) & (px < t["right"] + wide) & (py >= t["bottom"] - high) & (py < t["top"] + high)
-
-    member = lambda part, by: F.transform(F.filter("tiles", lambda t: within(t, by)), lambda t: F.struct(t["fold"].alias("fold"), F.lit(part).alias("part")))
+    place, line = (F.col(x).cast("double") - F.col("left")) / F.col("wide"), (F.col(y).cast("double") - F.col("bottom")) / F.col("high")
+    member = lambda part, by: F.transform(folds_of(place, line, by), lambda f: F.struct(f.alias("fold"), F.lit(part).alias("part")))
     every = F.array(F.struct(F.lit(-1).cast("long").alias("fold"), F.lit(0).alias("part")))
-    dealt = points.join(edges, "cell_id").withColumn("in", F.explode(F.concat(every, member(0, 0.0), member(1, buffer)))).withColumns({"fold": F.col("in.fold"), "part": F.col("in.part")})
-    return systems(dealt, selected, ni, nj, more=("fold", "part"), **options)
+    dealt = points.join(tilings(points, n_folds, seed, x, y), "cell_id").withColumn("in", F.explode(F.concat(every, member(0, 0.0), member(1, buffer))))
+    return systems(dealt.withColumns({"fold": F.col("in.fold"), "part": F.col("in.part")}), selected, ni, nj, more=("fold", "part"), **options)
 
 
-def spatial_cv(folds: DataFrame, alpha: float = 0.0, grid: np.ndarray | None = None) -> DataFrame:
+def fold_pairs(cell: Cell, own: Iterator[tuple[tuple, linear.System]], n_folds: int | None = None) -> Iterator[tuple[linear.System, linear.System, linear.System]]:
+    """(whole, train, held out) of each fold of a cell of ``fold_systems``, one fold at a time; a fold without points is an error."""
+    (_, whole), found = next(own), 0
+    for fold, parts in groupby(own, key=lambda x: x[0][0]):
+        held = {part: s for (_, part), s in parts}
+        if 0 not in held or 1 not in held or whole.n - held[1].n < 2:
+            raise ValueError(f"cell {cell.cell_id}: fold {fold} has no points to hold out or too few to train on")
+        found += 1
+        yield whole, whole - held[1], held[0]
+    if n_folds is not None and found != n_folds:
+        raise ValueError(f"cell {cell.cell_id}: {n_folds - found} folds have no points to hold out")
+
+
+def spatial_cv(folds: DataFrame, alpha: float = 0.0, grid: np.ndarray | None = None, n_folds: int | None = None) -> DataFrame:
     """(cell_id, lam, mse): the penalty of least mean held-out error by cell, from ``fold_systems``; a fold without points is an error."""
-    one = F.struct("fold", "part", "n", "total", "gram", "rhs", "modes")
-    cells = folds.groupBy("cell_id").agg(F.collect_list(one).alias("rows"))
-    fields = [["cell_id", "long"], ["lam", "double"], ["mse", "double"]]
 
-    def choose(batches):
-        for batch in batches:
-            out = []
-            for cell in batch.to_pylist():
-                found = {(r["fold"], r["part"]): _of(r) for r in cell["rows"]}
-                whole, m_i, m_j = found[-1, 0]
-                sets = []
-                for f in sorted({k for k, _ in found if k >= 0}):
-                    near = found[f, 1][0]
-                    if (f, 0) not in found or whole.n - near.n < 2:
-                        raise ValueError(f"cell {cell['cell_id']}: a fold has no points to hold out or too few to train on")
-                    sets.append((whole - near, found[f, 0][0]))
-                k = linear.wavenumbers(m_i, m_j) if alpha else None
-                out.append((cell["cell_id"], *linear.spatial_cv(sets, k, alpha, linear.lambda_grid(whole.gram) if grid is None else grid)))
-            yield _batch(out, fields)
-
-    return cells.mapInArrow(choose, "cell_id long, lam double, mse double")
+    def choose(cell: Cell, own) -> list[tuple]:
+        k = linear.wavenumbers(cell.m_i, cell.m_j) if alpha else None
+        steps, errors, count = grid, 0.0, 0
+        for whole, train, held in fold_pairs(cell, own, n_folds):
+            steps = linear.lambda_grid(whole.gram) if steps is None else steps
+            errors, count = errors + linear.fold_errors(train, held, linear.fold_weights(train, k, alpha), steps), count + 1
+        best = int(np.argmin(errors))
+        return [(cell.cell_id, float(steps[best]), float(errors[best] / count))]
+
+    return on_systems(folds, choose, "cell_id long, lam double, mse double", split=("fold", "part"))
 
 
 def by_cell(points: DataFrame, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray], list[tuple]], schema: str) -> DataFrame:
@@ -213,6 +386,3 @@ def by_cell(points: DataFrame, kernel: Callable[[np.ndarray, np.ndarray, np.ndar
         return pa.table(dict(zip(names, zip(*rows, strict=True), strict=True)) if rows else {n: [] for n in names}).cast(pa.schema([(n, _ARROW[t]) for n, t in (x.split() for x in schema.split(", "))]))
 
     return points.select("cell_id", "i", "j", "z").groupBy("cell_id").applyInArrow(run, schema)
-
-
-_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}

@@ -69,23 +69,52 @@ def full_spectrum_fit(spark, d):
     return rounded(approximated(T.cells_raster(spark, d), inside_triangle, Settings(nhi=4, nhj=4, full_spectrum=True, alpha=1.5), NI, NJ))
 
 
+def gram_entries(blocks, side):
+    """(cell_id, r, c, g) of every entry of the Gram matrices in block rows, those below the diagonal mirrored; with c -1 the right-hand sides'."""
+    own = blocks.withColumn("width", F.when(F.col("bc") < 0, F.lit(1)).otherwise(F.least(F.lit(side), F.col("m") - F.col("bc") * side)))
+    entries = own.select("cell_id", "br", "bc", "width", F.posexplode("values").alias("p", "g")).withColumn("r", F.expr(f"br * {side} + p div width").cast("int"))
+    entries = entries.withColumn("c", F.when(F.col("bc") < 0, F.lit(-1)).otherwise(F.expr(f"bc * {side} + p % width")).cast("int"))
+    mirror = entries.where("bc > br").select("cell_id", F.col("c").alias("r"), F.col("r").alias("c"), "g")
+    return entries.select("cell_id", "r", "c", "g").unionByName(mirror)
+
+
+def _triangle_blocks(spark, d, nhi, nhj, **options):
+    """(modes by cell, block rows with the number m of columns) of a full small basis on the triangles' points."""
+    from ..operators import modes
+
+    z = inside_triangle(R.demeaned(T.cells_raster(spark, d))).where("inside").select("cell_id", "i", "j", "z")
+    every = z.select("cell_id").distinct().crossJoin(F.broadcast(modes.mode_table(spark, nhi, nhj).where("not (m_i = 0 and m_j < 0)")))
+    blocks = fits.normal_equations(z, every, NI, NJ, **options)
+    sides = blocks.where("bc = -1").groupBy("cell_id").agg(F.sum(F.size("values")).cast("int").alias("m"))
+    return z, every, blocks.join(sides, "cell_id")
+
+
 @register("lsff_kernel_residual", "SELECT CAST(c AS BIGINT) AS cell_id, CAST(0 AS BIGINT) AS n_above FROM range(3) t(c) WHERE EXISTS (SELECT 1 FROM lineitem)")
 def lsff_kernel_residual(spark, d):
     """How many entries of |(G + P) a - rhs| are above a tolerance, by cell: none."""
-    from ..operators import modes
-
-    z = R.demeaned(T.cells_raster(spark, d))
-    every = z.select("cell_id").distinct().crossJoin(F.broadcast(modes.mode_table(spark, 4, 4).where("not (m_i = 0 and m_j < 0)")))
-    system = fits.normal_equations(z, every, NI, NJ)
-    solved = fits.refit(z, every, NI, NJ, 0.1).orderBy("l_idx", "k_idx")
+    z, every, blocks = _triangle_blocks(spark, d, 4, 4, block_columns=8)
+    solved = fits.refit(z, every, NI, NJ, 0.1)
     order = F.array_sort(F.collect_list(F.struct("l_idx", "k_idx", "m_i", "m_j", "a_cos", "a_sin")))
-    a = solved.groupBy("cell_id").agg(order.alias("m")).select("cell_id", F.concat(F.col("m")["a_cos"], F.filter(F.col("m"), lambda x: (x["m_i"] != 0) | (x["m_j"] != 0))["a_sin"]).alias("a"))
-    n = F.size("rhs")
-    diagonal = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.col("gram")[k * n + k])
-    mean = F.aggregate(diagonal, F.lit(0.0), lambda x, y: x + y) / n
-    row = lambda k: F.aggregate(F.zip_with(F.slice("gram", k * n + 1, n), F.col("a"), lambda g, y: g * y), F.lit(0.0), lambda x, y: x + y)
-    left = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.abs(row(k) + 0.1 * mean * F.col("a")[k] - F.col("rhs")[k]))
-    return system.join(a, "cell_id").select("cell_id", F.size(F.filter(left, lambda x: x > 1e-5)).cast("long").alias("n_above"))
+    sines = F.filter(F.col("m"), lambda x: (x["m_i"] != 0) | (x["m_j"] != 0))["a_sin"]
+    a = solved.groupBy("cell_id").agg(order.alias("m")).select("cell_id", F.posexplode(F.concat(F.col("m")["a_cos"], sines)).alias("c", "a"))
+    entries = gram_entries(blocks, 8)
+    mean = entries.where("r = c").groupBy("cell_id").agg(F.avg("g").alias("mean"))
+    product = entries.where("c >= 0").join(a, ["cell_id", "c"]).groupBy("cell_id", "r").agg(F.sum(F.col("g") * F.col("a")).alias("ga"))
+    both = product.join(a.withColumnRenamed("c", "r"), ["cell_id", "r"]).join(mean, "cell_id").join(entries.where("c = -1").drop("c"), ["cell_id", "r"])
+    off = F.abs(F.col("ga") + 0.1 * F.col("mean") * F.col("a") - F.col("g")) > 1e-5
+    return both.groupBy("cell_id").agg(F.sum(off.cast("long")).alias("n_above"))
+
+
+@register("gram_in_blocks", f"""
+WITH {TRI}, m AS (SELECT k AS m_i, l - 1 AS m_j, row_number() OVER (ORDER BY l, k) - 1 AS p FROM range(3) a(k), range(4) b(l) WHERE NOT (k = 0 AND l < 1)),
+     q AS (SELECT 'cos' AS part, m_i, m_j, p AS c FROM m UNION ALL SELECT 'sin', m_i, m_j, row_number() OVER (ORDER BY p) + 9 FROM m WHERE NOT (m_i = 0 AND m_j = 0)),
+     v AS (SELECT cell_id, i, j, z, c, CASE WHEN part = 'cos' THEN cos{_P} ELSE sin{_P} END AS v FROM tri, q)
+SELECT cell_id, CAST(a.c AS INT) AS r, CAST(b.c AS INT) AS c, {rnd('sum(a.v * b.v)')} AS g FROM v a JOIN v b USING (cell_id, i, j) GROUP BY ALL
+UNION ALL SELECT cell_id, CAST(c AS INT), -1, {rnd('sum(v * z)', 3)} FROM v GROUP BY ALL""")
+def gram_in_blocks(spark, d):
+    """Every entry of the triangles' normal equations, added up in blocks of 4 columns from blocks of 16 points through the tree."""
+    blocks = _triangle_blocks(spark, d, 3, 4, block_columns=4, block_points=16)[2]
+    return rounded(gram_entries(blocks, 4).withColumn("g", F.when(F.col("c") < 0, F.round(F.col("g") + 1.7e-8, 3)).otherwise(F.col("g"))))
 
 
 def _field(kernel):

@@ -38,3 +38,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of one Arrow batch, so that batches of long arrays stay small in Python.
+BATCH_BYTES = 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_BYTES`` in this session, unless it has a smaller bound already."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(name)
+    if not (own and own.isdigit() and 0 < int(own) <= BATCH_BYTES):
+        spark.conf.set(name, str(BATCH_BYTES))

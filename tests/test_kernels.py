@@ -103,11 +103,35 @@ def test_folds_are_disjoint_and_buffered():
 
 
 def test_tiles_are_near_square():
-    for box, n, shape in ((((0, 10), (0, 10)), 4, (2, 2)), (((0, 40), (0, 10)), 5, (3, 2)), (((0, 10), (0, 90)), 4, (1, 6))):
-        found = linear.tiles(*box, n, 0)
-        assert len(set(found)) == n
-        across, down = (round((hi - lo) / (t[2 * k + 1] - t[2 * k])) for t in found[:1] for k, (lo, hi) in enumerate(box))
-        assert (across, down) == shape
+    for box, n, shape in ((((0, 10), (0, 10)), 4, (2, 2)), (((0, 40), (0, 10)), 5, (5, 1)), (((0, 10), (0, 90)), 4, (1, 4)), (((0, 10), (0, 10)), 7, (3, 3)), (((0, 3), (0, 1)), 1, (1, 1))):
+        t = linear.Tiling.drawn(*box, n, 0)
+        assert (t.across, t.down) == shape
+        assert sorted(f for f in t.fold if f >= 0) == list(range(n))
+        assert t.wide * t.across == pytest.approx(box[0][1] - box[0][0])
+        assert t.high * t.down == pytest.approx(box[1][1] - box[1][0])
+
+
+def test_members_are_those_within_the_tile_and_its_buffer():
+    rng = np.random.default_rng(0)
+    x, y = rng.uniform(0, 10, 500), rng.uniform(0, 7, 500)
+    x[:3], y[:3] = (0, 10, 5), (7, 0, 3.5)
+    for n, buffer in ((4, 0.0), (5, 0.25), (3, 1.5)):
+        t = linear.Tiling.drawn((0, 10), (0, 7), n, 1)
+        got = t.members(x, y, buffer)
+        for number, fold in enumerate(t.fold):
+            if fold >= 0:
+                low, left = (number // t.across) * t.high, (number % t.across) * t.wide
+                near = (x >= left - buffer * t.wide) & (x < left + (1 + buffer) * t.wide) & (y >= low - buffer * t.high) & (y < low + (1 + buffer) * t.high)
+                assert (got[fold] == near).all()
+
+
+def test_fold_errors_equal_single_fits():
+    a, y = planted(90, 12)
+    train, held = linear.System.of(a[:60], y[:60]), linear.System.of(a[60:], y[60:])
+    grid = np.logspace(-6, 2, 9)
+    for weights in (linear.isotropic(train.gram, 1.0), linear.spectral(train.gram, 1.0, np.arange(12.0), 1.5)):
+        want = [np.mean((y[60:] - a[60:] @ np.linalg.solve(train.gram + np.diag(g * weights), train.rhs)) ** 2) for g in grid]
+        assert np.allclose(linear.fold_errors(train, held, weights, grid), want)
 
 
 def test_heavier_penalty_has_larger_held_out_error():

@@ -173,13 +173,37 @@ def lattice(spark):
     return points, every, (linear.basis(i, j, t.m_i.values, t.m_j.values, 12, 10), z, i, j, linear.wavenumbers(t.m_i.values, t.m_j.values))
 
 
-def test_sums_of_blocks_equal_the_dense_system(spark, lattice):
+def dense(rows, split=()):
+    """{values of split: (gram, rhs, n, total)} of one cell's collected block rows."""
+    out = {}
+    for key in {tuple(r[c] for c in split) for r in rows if r["br"] >= 0}:
+        own = [r for r in rows if r["br"] >= 0 and tuple(r[c] for c in split) == key]
+        rhs = np.concatenate([r["values"] for r in sorted((r for r in own if r["bc"] < 0), key=lambda r: r["br"])])
+        side = max(len(r["values"]) for r in own if r["bc"] < 0)
+        gram = np.full((len(rhs),) * 2, np.nan)
+        for r in own:
+            if r["bc"] >= 0:
+                block = np.reshape(r["values"], (min(side, len(rhs) - r["br"] * side), -1))
+                gram[r["br"] * side :, r["bc"] * side :][: block.shape[0], : block.shape[1]] = block
+                gram[r["bc"] * side :, r["br"] * side :][: block.shape[1], : block.shape[0]] = block.T
+        assert {(r["n"], r["total"]) for r in own} == {(own[0]["n"], own[0]["total"])}
+        out[key] = gram, rhs, own[0]["n"], own[0]["total"]
+    return out
+
+
+def test_sums_of_blocks_equal_the_dense_system(spark, lattice, monkeypatch):
+    """Few and many blocks of points and of columns; with 7 points a block the tree has two levels. No row is larger than its block."""
     points, every, (m, z, *_) = lattice
-    for size in (7, 1000):
-        row = fits.systems(points, every, 12.0, 10.0, block_points=size).where("cell_id = 1").head()
-        assert np.allclose(np.array(row["gram"]).reshape(m.shape[1], -1), m.T @ m)
-        assert np.allclose(row["rhs"], m.T @ z)
-        assert (row["n"], row["total"]) == (120, pytest.approx(z @ z))
+    monkeypatch.setattr(fits, "FAN", 4)
+    for size, columns in ((1000, 128), (7, 128), (7, 5), (40, 1)):
+        rows = fits.systems(points, every, 12.0, 10.0, block_points=size, block_columns=columns).where("cell_id = 1").collect()
+        assert all(len(r["values"]) <= columns * columns for r in rows if r["br"] >= 0)
+        gram, rhs, n, total = dense(rows)[()]
+        assert np.allclose(gram, m.T @ m)
+        assert np.allclose(rhs, m.T @ z)
+        assert (n, total) == (120, pytest.approx(z @ z))
+        own = fits.refit(points, every, 12.0, 10.0, 0.1, block_points=size, block_columns=columns).where("cell_id = 1").orderBy("l_idx", "k_idx").toPandas()
+        assert np.allclose(own.a_cos, linear.solve(m.T @ m, m.T @ z, linear.isotropic(m.T @ m, 0.1))[: len(own)])
 
 
 def test_fold_sums_equal_folds_of_points(spark, lattice):
@@ -190,6 +214,18 @@ def test_fold_sums_equal_folds_of_points(spark, lattice):
         assert (row["lam"], row["mse"]) == (pytest.approx(want[0]), pytest.approx(want[1]))
 
 
+def test_fold_membership_equals_the_kernel(spark):
+    """Folds by SQL expressions and by NumPy, on odd places and edges, for buffers below and above a side."""
+    rng = np.random.default_rng(4)
+    x, y = np.append(rng.uniform(0, 12, 300), [0, 12, 4, 6.0]), np.append(rng.uniform(-3, 5, 300), [5, -3, 1, 1.0])
+    points = spark.createDataFrame([(1, k, float(a), float(b)) for k, (a, b) in enumerate(zip(x, y, strict=True))], "cell_id long, id int, j double, i double")
+    for n, buffer in ((5, 0.0), (5, 0.1), (4, 1.0), (3, 1.7)):
+        t = linear.Tiling.drawn((x.min(), x.max()), (y.min(), y.max()), n, 2)
+        place, line = (F.col("j") - F.col("left")) / F.col("wide"), (F.col("i") - F.col("bottom")) / F.col("high")
+        got = points.join(fits.tilings(points, n, 2), "cell_id").select("id", F.explode(fits.folds_of(place, line, buffer)).alias("f"))
+        assert {(r.f, r.id) for r in got.collect()} == set(zip(*(a.tolist() for a in np.nonzero(t.members(x, y, buffer))), strict=True))
+
+
 def test_selectors_and_priors_reach_the_fit(spark, lattice):
     points, every, (m, z, _, _, k) = lattice
     inside = lambda df: df.withColumn("inside", F.lit(True))
