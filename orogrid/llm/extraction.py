@@ -329,10 +329,16 @@ def labelled(pages: Iterable[str], layouts: int = LAYOUTS) -> Iterator[tuple[lis
 
 
 def training_pages(pages: DataFrame, html: str = "html", limit: int = TRAIN_PAGES) -> list[str]:
-    """At most ``limit`` pages of the table that mark an article, the first by a hash of their text, of at most ``TRAIN_CHARS`` characters each."""
+    """At most ``limit`` different pages of the table that mark an article, the first by a hash of their text, of at most ``TRAIN_CHARS`` characters each.
+
+    The number of different pages sets the hash below which a page is looked at, so that about twice ``limit`` pages are gathered however many there are.
+    """
     text = F.col(html)
     some = pages.where(text.contains("<article") & (F.length(text) <= TRAIN_CHARS)).select(F.xxhash64(text).alias("h"), text.alias("html"))
-    return [r["html"] for r in some.orderBy("h", "html").limit(limit).collect()]
+    n = some.agg(F.approx_count_distinct("h")).head()[0]
+    low = -(1 << 63) + min(1 << 64, (2 * limit + 100 << 64) // max(1, n))
+    few = some.where(F.col("h") < low) if low < 1 << 63 else some
+    return [r["html"] for r in few.groupBy("h").agg(F.min("html").alias("html")).orderBy("h").limit(limit).collect()]
 
 
 def main_blocks(pages: list[list[Block]], model: Model, known_paths: dict, known_texts: dict) -> list[list[str]]:
