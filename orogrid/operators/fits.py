@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..kernels import linear
-from ..session import bounded_batches, saved
+from ..session import bounded_batches, partitions, saved
 
 #: Points of one block, and those whose design matrix is formed at a time.
 BLOCK_POINTS, PART_POINTS = 1 << 16, 4096
@@ -133,7 +133,7 @@ def normal_equations(points: DataFrame, selected: DataFrame, ni: float, nj: floa
         yield from done()
 
     schema = ", ".join(f"{c} long" for c in keys) + ", block int, br int, bc int, n long, total double, values array<double>"
-    parts = both.repartition(*whole).sortWithinPartitions(*whole, "kind", "l_idx", "k_idx").mapInArrow(part, schema)
+    parts = both.repartition(partitions(spark), *whole).sortWithinPartitions(*whole, "kind", "l_idx", "k_idx").mapInArrow(part, schema)
     for _ in range(math.ceil(math.log(most, FAN) - 1e-9) if most > 1 else 0):
         parts = _added(parts.withColumn("block", F.expr(f"block div {FAN}").cast("int")), [*keys, "block", "br", "bc"], schema)
     return parts.drop("block")
@@ -159,7 +159,7 @@ def _added(rows: DataFrame, keys: list[str], schema: str) -> DataFrame:
             yield from add((*now, n, total, values))
         yield from done()
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).select(*[x.split()[0] for x in schema.split(", ")]).mapInArrow(add_up, schema)
+    return rows.repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys).select(*[x.split()[0] for x in schema.split(", ")]).mapInArrow(add_up, schema)
 
 
 def systems(points: DataFrame, selected: DataFrame, ni: float, nj: float, **options) -> DataFrame:
@@ -236,7 +236,7 @@ def on_systems(rows: DataFrame, work: Callable[[Cell, Iterator[tuple[tuple, line
         yield _batch(out, fields)
 
     rows = rows.select("cell_id", *split, "br", "bc", "n", "total", "values", *more)
-    return rows.repartition("cell_id").sortWithinPartitions("cell_id", *(F.col(c).asc_nulls_first() for c in split), "br", "bc").mapInArrow(run, schema)
+    return rows.repartition(partitions(rows.sparkSession), "cell_id").sortWithinPartitions("cell_id", *(F.col(c).asc_nulls_first() for c in split), "br", "bc").mapInArrow(run, schema)
 
 
 def by_system(rows: DataFrame, kernel: Kernel, schema: str, more: tuple[str, ...] = ()) -> DataFrame:
@@ -341,8 +341,10 @@ def fold_systems(points: DataFrame, selected: DataFrame, ni: float, nj: float, n
     place, line = (F.col(x).cast("double") - F.col("left")) / F.col("wide"), (F.col(y).cast("double") - F.col("bottom")) / F.col("high")
     member = lambda part, by: F.transform(folds_of(place, line, by), lambda f: F.struct(f.alias("fold"), F.lit(part).alias("part")))
     every = F.array(F.struct(F.lit(-1).cast("long").alias("fold"), F.lit(0).alias("part")))
-    dealt = points.join(tilings(points, n_folds, seed, x, y), "cell_id").withColumn("in", F.explode(F.concat(every, member(0, 0.0), member(1, buffer))))
-    return systems(dealt.withColumns({"fold": F.col("in.fold"), "part": F.col("in.part")}), selected, ni, nj, more=("fold", "part"), **options)
+    spread = points.repartition(partitions(points.sparkSession))
+    dealt = spread.join(tilings(points, n_folds, seed, x, y), "cell_id").withColumn("in", F.explode(F.concat(every, member(0, 0.0), member(1, buffer))))
+    dealt = saved(dealt.select("cell_id", F.col("in.fold").alias("fold"), F.col("in.part").alias("part"), "i", "j", "z"), "folds")
+    return systems(dealt, selected, ni, nj, more=("fold", "part"), **options)
 
 
 def fold_pairs(cell: Cell, own: Iterator[tuple[tuple, linear.System]], n_folds: int | None = None) -> Iterator[tuple[linear.System, linear.System, linear.System]]:

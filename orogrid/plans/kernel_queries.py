@@ -107,7 +107,7 @@ def lsff_kernel_residual(spark, d):
 
 @register("gram_in_blocks", f"""
 WITH {TRI}, m AS (SELECT k AS m_i, l - 1 AS m_j, row_number() OVER (ORDER BY l, k) - 1 AS p FROM range(3) a(k), range(4) b(l) WHERE NOT (k = 0 AND l < 1)),
-     q AS (SELECT 'cos' AS part, m_i, m_j, p AS c FROM m UNION ALL SELECT 'sin', m_i, m_j, row_number() OVER (ORDER BY p) + 9 FROM m WHERE NOT (m_i = 0 AND m_j = 0)),
+     q AS (SELECT 'cos' AS part, m_i, m_j, p AS c FROM m UNION ALL SELECT 'sin', m_i, m_j, row_number() OVER (ORDER BY p) + 10 FROM m WHERE NOT (m_i = 0 AND m_j = 0)),
      v AS (SELECT cell_id, i, j, z, c, CASE WHEN part = 'cos' THEN cos{_P} ELSE sin{_P} END AS v FROM tri, q)
 SELECT cell_id, CAST(a.c AS INT) AS r, CAST(b.c AS INT) AS c, {rnd('sum(a.v * b.v)')} AS g FROM v a JOIN v b USING (cell_id, i, j) GROUP BY ALL
 UNION ALL SELECT cell_id, CAST(c AS INT), -1, {rnd('sum(v * z)', 3)} FROM v GROUP BY ALL""")

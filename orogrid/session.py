@@ -50,3 +50,8 @@ def bounded_batches(spark: SparkSession) -> None:
     own = spark.conf.get(name)
     if not (own and own.isdigit() and 0 < int(own) <= BATCH_BYTES):
         spark.conf.set(name, str(BATCH_BYTES))
+
+
+def partitions(spark: SparkSession) -> int:
+    """Tasks that work on long computations are dealt to: few rows may cost much, so that adaptive merging by bytes would leave one task."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
