@@ -119,6 +119,41 @@ def test_nearest_with_no_cells_gives_no_rows(spark):
     assert joins.nearest(p, c, ["lat", "lon"], "point_id", "cell_id").count() == 0
 
 
+def brute_nearest(points, cells):
+    out = []
+    for p, *x in points:
+        near = [(sum(abs(a - b) for a, b in zip(x, y, strict=True)), c) for c, *y in cells if all(v is not None and math.isfinite(v) for v in y)] if all(v is not None and math.isfinite(v) for v in x) else []
+        out.append((p, min(near)[1] if near else None, min(near)[0] if near else None))
+    return sorted(map(repr, out))
+
+
+def test_nearest_loses_no_point(spark, monkeypatch):
+    """Cells a hair apart and points a world away, gaps of many scales, null and endless coordinates, ties, repeats and null ids."""
+    nan, inf = float("nan"), float("inf")
+    cells = [(k, 1e-7 * k, 0.0) for k in range(1, 40)] + [(100, 5e5, 5e5), (101, 5e5, 5e5), (102, None, 1.0), (103, nan, 1.0), (104, 1.0, inf)]
+    points = [(1, 1e6, 1e6), (2, 0.0, 0.0), (3, None, 1.0), (4, nan, 2.0), (5, -inf, 2.0), (6, 3e-7, 1e-8), (6, 4e-7, 0.0), (7, 1.0, 1.0), (7, 1.0, 1.0), (None, 2.5e5, 2.5e5), (8, -1e6, 0.0), (9, 10.0, -1000.0)]
+    frames = spark.createDataFrame(points, "point_id long, lat double, lon double"), spark.createDataFrame(cells, "cell_id long, lat double, lon double")
+    for large in (4096, 3):
+        monkeypatch.setattr(joins, "LARGE_BIN", large)
+        got = joins.nearest(*frames, ["lat", "lon"], "point_id", "cell_id").collect()
+        assert sorted(map(repr, map(tuple, got))) == brute_nearest(points, cells)
+        boxed = joins.nearest(*frames, ["lat", "lon"], "point_id", "cell_id", exact=False).collect()
+        assert sum(r.cell_id is not None for r in boxed) == 9 and len(boxed) == 12
+    alone = joins.nearest(frames[0].where("point_id in (3, 4)"), frames[1], ["lat", "lon"], "point_id", "cell_id").collect()
+    assert [(r.cell_id, r.distance) for r in alone] == [(None, None)] * 2
+    sphere = joins.nearest_great_circle(spark.createDataFrame([(1, 10.0, 20.0), (2, None, 0.0), (3, nan, 0.0)], "point_id long, lat double, lon double"), spark.createDataFrame([(1, 80.0, 0.0), (2, 11.0, 20.0)], "cell_id long, lat double, lon double"), "point_id", "cell_id")
+    assert {r.point_id: r.cell_id for r in sphere.collect()} == {1: 2, 2: None, 3: None}
+
+
+def test_nearest_equals_brute_force(spark):
+    rng = np.random.default_rng(9)
+    for n, m in ((300, 40), (40, 300)):
+        cells = [(k, float(a), float(b)) for k, (a, b) in enumerate(rng.normal(size=(m, 2)) ** 3)]
+        points = [(k, float(a), float(b)) for k, (a, b) in enumerate(rng.normal(size=(n, 2)) ** 3)]
+        got = joins.nearest(spark.createDataFrame(points, "point_id long, lat double, lon double"), spark.createDataFrame(cells, "cell_id long, lat double, lon double"), ["lat", "lon"], "point_id", "cell_id").collect()
+        assert sorted(map(repr, map(tuple, got))) == brute_nearest(points, cells)
+
+
 def test_box_rule_can_differ_from_the_nearest(spark):
     p = spark.createDataFrame([(1, 0.0, 0.0)], "point_id long, lat double, lon double")
     c = spark.createDataFrame([(1, 0.95, 0.95), (2, 1.05, 0.0)], "cell_id long, lat double, lon double")
