@@ -218,10 +218,11 @@ def _by_sha():
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, all columns kept: one of each group of equal texts, that with the largest doc_id.
 
-    Where rows repeat that doc_id with equal texts, one of them stays, that whose text as it is written sorts first (null before empty).
+    Where rows repeat that doc_id with equal texts, one of them stays: that whose text as it is written sorts first (null before empty), then
+    whose other columns do, in their order (nulls first, maps not counted), whatever partitions the rows are in.
     A null doc_id stays only where no other has its text. An empty table gives no rows.
     """
-    own, hashed, rank = new_names(docs, "gone", "sha", "rank")
+    own, hashed, kept = new_names(docs, "gone", "sha", "kept")
     with released(docs.sparkSession):
         found = saved(exact_groups(docs, doc_id, text), "exact")
         gone = checked(saved(found.where("not kept").select(F.col("doc_id").alias(own), F.col("text_sha256").alias(hashed)).distinct(), "gone", keep=True))
@@ -234,6 +235,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     if not twice.limit(1).count():
         return out
     same, again = F.col(doc_id).eqNullSafe(F.col(own)), checked(twice)
-    variants = out.join(again, same, "left_semi").dropDuplicates([doc_id, text])  # equal rows meet before the window
-    first = variants.withColumn(rank, F.row_number().over(Window.partitionBy(doc_id, sha).orderBy(F.col(text).asc_nulls_first())))
-    return out.join(again, same, "left_anti").unionByName(first.where(F.col(rank) == 1).drop(rank))
+    order = F.struct(F.col(text), *[F.col(f"`{c}`") for c, kind in docs.dtypes if c != text and "map<" not in kind])
+    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    variants = out.join(again, same, "left_semi").groupBy(F.col(doc_id).alias(own), sha.alias(hashed)).agg(F.min_by(every, order).alias(kept))
+    return out.join(again, same, "left_anti").unionByName(variants.select(*[F.col(kept)[c].alias(c) for c in docs.columns]))

@@ -4,8 +4,10 @@ Sources are cut into blocks of ``block_rows`` documents. Block j of a source wit
 before its release floor(j * W / w) and is due at ceil((j + 1) * W / w); in every slot the released block with the
 earliest deadline runs. Every deadline is met so, and no source is ever a whole block ahead of or behind its target
 weight, however long the schedule is. Weights are whole numbers (``whole_weights``), releases and deadlines are carried
-on in whole numbers with their remainders, and the schedule is one fold over all slots of the table, which holds the next
-block of each source. It is sequential: one task, whose time grows with slots times sources.
+on in whole numbers with their remainders. The schedule is a fold over the slots whose state is the next block of each source. It goes in
+segments of ``SEGMENT`` slots: a task reads the state that the segment before has written, folds its own slots and writes
+them with its last state, so a row or task holds one segment (some 10 MB) and the sources, however long the schedule is. Segments follow one
+another, so the time grows with slots times sources, some 2 s for 54,000 slots of 20 sources; ``block_rows`` sets how many slots a table has.
 
 Every document is placed at least once: the schedule runs until the last source has been through its documents,
 and sources that end earlier start over (another epoch). Documents are numbered within their source in two
@@ -20,7 +22,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checked, new_names, partitions, saved
+from .common import checked, new_names, partitions, saved, shared_path
 
 PERIOD = 1000
 BLOCK_ROWS = 8
@@ -28,6 +30,8 @@ BLOCK_ROWS = 8
 TEMPER = 0.7
 #: Slots of one inner fold: appending to an array copies it.
 FOLD = 1000
+#: Slots that one task folds and one row holds.
+SEGMENT = 200_000
 
 
 def target_weights(counts: list[tuple[str | None, int]], weights: dict[str, float] | None = None, temper: float = TEMPER) -> list[Fraction]:
@@ -85,16 +89,21 @@ def schedule(spark, whole: list[int], slots: int) -> DataFrame:
     """
     total = sum(whole)
     first = [(total // w + (total % w > 0), i, 0, 0, total // w, total % w, w, total // w, total % w) for i, w in enumerate(whole)]
-    one = spark.createDataFrame([(first,)], f"s array<{_STATE}>") if first else spark.createDataFrame([], f"s array<{_STATE}>")
+    state = spark.createDataFrame([(first,)] if first else [], f"s array<{_STATE}>")
     carried = "named_struct('rel', x.q, 'q', x.q + x.a + if(x.r >= x.w - x.b, 1L, 0L), 'r', if(x.r >= x.w - x.b, x.r - (x.w - x.b), x.r + x.b))"
     after = f"transform(array({carried}), y -> named_struct('due', y.q + if(y.r > 0, 1L, 0L), 'i', x.i, 'rel', y.rel, 'j', x.j + 1L, 'q', y.q, 'r', y.r, 'w', x.w, 'a', x.a, 'b', x.b))[0]"
     chosen = "array_min(filter(u.s, x -> x.rel <= t))"
     step = f"transform(array({chosen}), c -> named_struct('s', transform(u.s, x -> if(x.i = c.i, {after}, x)), 'run', concat(u.run, array(named_struct('i', c.i, 'j', c.j)))))[0]"
     inner = f"aggregate(sequence(k * {FOLD}L, k * {FOLD}L + {FOLD - 1}L), named_struct('s', v.s, 'run', cast(array() as array<{_BLOCK}>)), (u, t) -> {step})"
     outer = f"transform(array({inner}), z -> named_struct('s', z.s, 'runs', concat(v.runs, array(z.run))))[0]"
-    runs = f"aggregate(sequence(0L, {max(0, slots - 1) // FOLD}L), named_struct('s', s, 'runs', cast(array() as array<array<{_BLOCK}>>)), (v, k) -> {outer}, v -> v.runs)"
-    run = one.select(F.posexplode(F.expr(runs)).alias("k", "run")).select("k", F.posexplode("run").alias("p", "x"))
-    return run.select((F.col("k").cast("long") * FOLD + F.col("p")).alias("slot"), F.col("x.i").alias("i"), F.col("x.j").alias("j"))
+    each, last, path = max(1, SEGMENT // FOLD), max(0, slots - 1) // FOLD, shared_path(spark, "schedule")
+    for number, low in enumerate(range(0, last + 1, each)):
+        folds = f"sequence({low}L, {min(last, low + each - 1)}L)"
+        row = state.select(F.lit(low).cast("long").alias("low"), F.expr(f"aggregate({folds}, named_struct('s', s, 'runs', cast(array() as array<array<{_BLOCK}>>)), (v, k) -> {outer})").alias("z"))
+        row.select("low", "z.*").write.parquet(f"{path}/segment={number}")
+        state = spark.read.parquet(f"{path}/segment={number}").select("s")
+    run = spark.read.parquet(path).select("low", F.posexplode("runs").alias("k", "run")).select("low", "k", F.posexplode("run").alias("p", "x"))
+    return run.select(((F.col("low") + F.col("k")) * FOLD + F.col("p")).alias("slot"), F.col("x.i").alias("i"), F.col("x.j").alias("j"))
 
 
 def _placed(docs: DataFrame, weights: dict[str, float] | None, block_rows: int, period: int | None, temper: float, keys: list[Column]) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, lean, saved
+from .common import bounded_batches, checked, lean, saved
 from .tokens import encoder, with_end
 
 #: Nodes that the greedy search for one filling may visit, and those of the whole branch and bound (a state counts as a quarter of its
@@ -298,19 +298,17 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     """One row per piece with its sequence_id and offset; offsets of a sequence leave no gap.
 
     Null texts are empty (a document is then its end id alone), null doc_ids and repeated rows are pieces like
-    others, an empty table gives no rows, other columns are ignored. To the driver come the counts by
-    length (at most ``capacity``) and by (length, salt): 64 salts, and more only beyond 3 billion pieces.
+    others, an empty table gives no rows, other columns are ignored. Pieces of one length are numbered by (length, salt), the salt from a row
+    number that is read back from a written table. Only the counts by length (at most ``capacity``) come to the driver.
     """
     spark = docs.sparkSession
-    cut = saved(pieces(docs, tokenizer, capacity, end_id, doc_id, text), "pieces")
+    cut = saved(pieces(docs, tokenizer, capacity, end_id, doc_id, text).withColumn("row", F.monotonically_increasing_id()), "pieces")
     salts = salts or max(64, cut.count() // 50_000_000)
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    cells = {(r["length"], r["salt"]): r["n"] for r in salted.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()}
-    counts: dict[int, int] = {}
-    base: dict[tuple[int, int], int] = {}
-    for x, s in sorted(cells):
-        base[x, s] = counts.get(x, 0)
-        counts[x] = base[x, s] + cells[x, s]
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
+    cells = saved(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "cells")
+    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    bases = saved(cells.select(F.col("length").alias("of"), F.col("salt").alias("part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases")
+    counts = {r["length"]: r["n"] for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     #: by length: first ranks, first sequence, offset and copies of each run of equal places
     runs: dict[int, list[tuple[int, int, int, int]]] = {x: [] for x in counts}
     rank, sequence = dict.fromkeys(counts, 0), 0
@@ -324,23 +322,24 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
             offset, i = offset + n * x, i + n
         sequence += repeats
     run_arrays = {x: tuple(np.array(c, np.int64) for c in zip(*r, strict=True)) for x, r in runs.items()}
-    shared = spark.sparkContext.broadcast((base, run_arrays))
-    ranked = salted.withColumn("rn", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")))
+    shared = spark.sparkContext.broadcast(run_arrays)
+    ranked = salted.withColumn("rn", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "row")))
+    ranked = ranked.join(checked(bases), (F.col("length") == F.col("of")) & (F.col("salt") == F.col("part"))).withColumn("rank", F.col("base") + F.col("rn") - 1)
 
     @lean
     def place(batches):
-        base, run_arrays = shared.value
+        run_arrays = shared.value
         for batch in batches:
-            length, salt, rn = (batch.column(c).to_numpy() for c in ("length", "salt", "rn"))
+            length, ranks = (batch.column(c).to_numpy() for c in ("length", "rank"))
             seq, off = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
             for x in np.unique(length):
                 at = np.flatnonzero(length == x)
                 first, sequence, offset, n = run_arrays[int(x)]
-                rank = np.array([base[int(x), int(s)] for s in salt[at]]) + rn[at] - 1
+                rank = ranks[at]
                 k = np.searchsorted(first, rank, "right") - 1
                 inside = rank - first[k]
                 seq[at], off[at] = sequence[k] + inside // n[k], offset[k] + inside % n[k] * x
             out = batch.select(_PIECE_NAMES)
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(seq), pa.array(off)], [*_PIECE_NAMES, "sequence_id", "offset"])
 
-    return ranked.select(*_PIECE_NAMES, "salt", "rn").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.select(*_PIECE_NAMES, "rank").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -1,6 +1,6 @@
 """Two-pass external shuffle into shards.
 
-Pass one scatters whole records into memory-sized buckets by a seeded hash of the record; the number of buckets
+Pass one scatters whole records into memory-sized buckets by a seeded hash of all their columns but maps; the number of buckets
 follows from the measured bytes. Pass two loads one bucket at a time, orders it canonically and Fisher-Yates
 shuffles it with a generator seeded by (seed, bucket), so a rerun task gives the same order. The buckets
 laid end to end are one uniform permutation; record p of it goes to shard p mod n at slot p div n: shard
@@ -35,7 +35,8 @@ def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
 def scattered(docs: DataFrame, buckets: int, bucket_bytes: int, seed: int, doc_id: str, text: str, bucket: str) -> tuple[DataFrame, np.ndarray]:
     """(``docs`` with their bucket, rows of each bucket). Rows equal in all columns, where they overfill a bucket, are counted and dealt out by number."""
     (copies,) = new_names(docs, "copies")
-    place = lambda *more: F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text), *more), F.lit(buckets)).cast("int")
+    rest = [F.col(f"`{c}`") for c, kind in docs.dtypes if c not in (doc_id, text) and "map<" not in kind]
+    place = lambda *more: F.pmod(F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text), *rest, *more), F.lit(buckets)).cast("int")
     keyed = docs.withColumn(bucket, place())
     size = F.coalesce(F.octet_length(text), F.lit(0)) + 64
 

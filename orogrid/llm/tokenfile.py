@@ -25,11 +25,13 @@ from .tokens import encoder, with_end
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> str:
     """Write the ids of every text, each followed by ``end_id``; return the path.
 
-    Ids must be below 2**16. Null texts are empty, null doc_ids come first, rows repeated in doc_id lie next to
-    each other, an empty table gives no blocks, other columns are ignored.
+    Ids of 2**16 and more are an error. Null texts are empty, null doc_ids come first, rows repeated in doc_id lie next to
+    each other, dealt by a hash of their texts, an empty table gives no blocks, other columns are ignored.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
+    if not 0 <= end_id < 1 << 16:
+        raise ValueError(f"the end id {end_id} is not below 65536")
 
     @lean(keep_held=True)
     def write(batches):
@@ -69,6 +71,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str | None
             if pc.any(pc.equal(batch.column(0), NO_ID)).as_py():
                 raise ValueError(f"a doc_id of {NO_ID} cannot be told from null")
             for lo, hi, ids, offsets in tokens.encode(batch.column(1)):
+                if ids.dtype.itemsize > 2 and ids.max(initial=0) >= 1 << 16:
+                    raise ValueError("ids of 65536 and more do not fit the file format")
                 ids, offsets = with_end(ids.astype("<u2"), offsets, end_id)
                 waiting.append(ids)
                 docs_of += [(name, n, 0) for name, n in zip(batch.column(0).slice(lo, hi - lo).to_pylist(), np.diff(offsets).tolist(), strict=True)]
@@ -79,7 +83,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str | None
         yield from coded(True)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ranged = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    ranged = rows.repartitionByRange(partitions(spark), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     path = path or shared_path(spark, "tokens")
     ranged.mapInArrow(write, "shard int, block int, n_ids long, first long, before long, data binary").write.parquet(path)
     return path
@@ -111,7 +115,10 @@ def joined_crc32(sizes: np.ndarray, crcs: np.ndarray, first: np.ndarray) -> np.n
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files; one number a shard comes to the driver."""
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files; one number a shard comes to the driver.
+
+    Null doc_ids and documents without ids but the end's come back as they were written, repeated doc_ids each with its own place; no blocks give no rows.
+    """
     blocks = spark.read.parquet(path)
     totals = dict(blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect())
     bases, total = {}, 0

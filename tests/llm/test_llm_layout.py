@@ -81,6 +81,19 @@ def test_token_file_round_trip(spark):
     assert tokenfile.read_tokens(spark, tokenfile.write_tokens(frame(spark, []), WORD, 1)).count() == 0
 
 
+def test_ids_beyond_the_format_are_refused(spark, monkeypatch):
+    with pytest.raises(ValueError, match="end id"):
+        tokenfile.write_tokens(frame(spark, [(1, "a")]), WORD, 1 << 16)
+
+    class Wide:
+        def encode(self, column):
+            yield 0, len(column), np.array([70_000], np.uint32), np.array([0, 1])
+
+    monkeypatch.setattr(tokenfile, "encoder", lambda path: Wide())
+    with pytest.raises(Exception, match="do not fit"):
+        tokenfile.write_tokens(frame(spark, [(1, "a")]), WORD, 1)
+
+
 def test_checksums_of_parts_join():
     rng = random.Random(2)
     runs = [[rng.randbytes(rng.choice((0, 1, 5, 400, 70_000))) for _ in range(rng.randint(1, 5))] for _ in range(40)]
@@ -170,6 +183,16 @@ def test_repeated_rows_spread_over_buckets(spark):
     assert sorted((r.shard, r.slot) for r in got) == [(k, n) for k in range(8) for n in range(150)]
 
 
+def test_rows_of_one_document_spread_over_buckets(spark):
+    """One doc_id and text on a third of the rows, told apart by another column alone."""
+    rows = [(1, "copy " * 20, f"v{k}") for k in range(1000)] + [(k, f"text {k} " * 10, "w") for k in range(2, 1002)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, version string")
+    placed, counts = sharding.scattered(docs, 16, 1 << 30, 3, "doc_id", "text", "_own")
+    assert counts.sum() == 2000 and counts.max() < 200
+    assert placed.where("doc_id = 1").select("_own").distinct().count() == 16
+    assert Counter(map(tuple, spark.read.parquet(sharding.write_shards(docs, 8, bucket_bytes=8000)).select("doc_id", "text", "version").collect())) == Counter(rows)
+
+
 def test_fisher_yates_is_uniform():
     seen = Counter(tuple(sharding.fisher_yates(3, np.random.default_rng(k)).tolist()) for k in range(3000))
     assert len(seen) == 6
@@ -221,6 +244,20 @@ def test_packing_goes_back_when_waste_is_used_up():
         assert sum(n for n, _ in found) == best_bins(items, 20) >= packing.lower_bound(dict(Counter(items)), 20)
 
 
+def test_pieces_of_repeated_rows_spread_over_windows(spark, monkeypatch):
+    """Rows repeated in id and text are numbered in many windows; their sequences have no gap."""
+    seen = []
+    keep = packing.checked
+    monkeypatch.setattr(packing, "checked", lambda df: (seen.append(df), keep(df))[1])
+    got = packing.packed(frame(spark, [(None, "same text")] * 600 + [(k, "other") for k in range(20)]), BYTE, 64, 0, salts=8).toPandas()
+    assert len(got) == 620
+    assert seen[0].groupBy("of").count().agg(F.max("count")).head()[0] == 8
+    for _, part in got.groupby("sequence_id"):
+        part = part.sort_values("offset")
+        assert part.offset.tolist() == [0, *part.length.cumsum().tolist()[:-1]]
+        assert part.length.sum() <= 64
+
+
 def test_packed_pieces(spark):
     rows = HARD + [(30 + k, t) for k, t in enumerate(ODD)] + [(200 + k, "some words here " * k) for k in range(60)]
     got = packing.packed(frame(spark, rows), BYTE, 64, 0, salts=3).toPandas()
@@ -299,6 +336,26 @@ def earliest_deadline_first(weights, slots):
     return out
 
 
+def test_schedule_goes_on_over_segments(spark, monkeypatch):
+    """Segments of 60 slots in folds of 20 give the schedule of one run; no row holds more than its segment."""
+    monkeypatch.setattr(mixing, "FOLD", 20)
+    monkeypatch.setattr(mixing, "SEGMENT", 60)
+    for whole in ([101, 37, 11, 3, 1], [2**40 + 7, 2**39 + 1, 3]):
+        rows = mixing.schedule(spark, whole, 250).collect()
+        got = sorted((r.slot, r.i, r.j) for r in rows)
+        assert [g[0] for g in got] == list(range(260))
+        assert [g[1] for g in got] == earliest_deadline_first(whole, 260)
+        done = [0] * len(whole)
+        for slot, i, j in got:
+            assert j == done[i]
+            done[i] += 1
+            assert all(abs(n * sum(whole) - (slot + 1) * w) < sum(whole) for n, w in zip(done, whole, strict=True))
+        plan = mixing.schedule(spark, whole, 250)
+        path = plan.inputFiles()[0].rsplit("/segment=", 1)[0]
+        assert spark.read.parquet(path).selectExpr("max(aggregate(runs, 0, (n, r) -> n + size(r))) AS n").head().n == 60
+    assert mixing.schedule(spark, [], 0).count() == 0
+
+
 def test_schedule_equals_an_independent_one(spark):
     for whole in ([4, 3, 2, 1], [7, 1], [1], [5, 5, 5], [101, 37, 11, 3, 1]):
         got = mixing.schedule(spark, whole, 700).orderBy("slot").limit(700).collect()

@@ -102,6 +102,17 @@ def test_spellings_of_one_document_stay_once(spark):
     assert sorted(map(repr, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(repr, [(7, "Abc"), (9, None), (None, "Solo"), (1, "other")]))
 
 
+def test_which_of_equal_rows_stays_does_not_depend_on_partitions(spark):
+    """Rows of one doc_id and text that differ in another column, maps beside: the first by its columns stays."""
+    rows = [(1, "a", k, f"p{k % 7}") for k in range(40, 0, -1)] + [(1, "A", None, "z"), (2, "b", 1, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rank int, note string").withColumn("m", F.create_map(F.lit("k"), F.col("rank")))
+    for n in (1, 3, 7):
+        got = dedup_exact.deduplicated(df.repartition(n, "note")).collect()
+        assert sorted((r.doc_id, r.text, r["rank"], r.note) for r in got) == [(1, "A", None, "z"), (2, "b", 1, None)]
+        got = dedup_exact.deduplicated(df.where("text <> 'A'").repartition(n, "note")).collect()
+        assert sorted((r.doc_id, r.text, r["rank"], r.note, r.m["k"]) for r in got) == [(1, "a", 1, "p1", 1), (2, "b", 1, None, 1)]
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert dedup_exact.exact_groups(none).count() == 0
