@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_M, in_polygon_columns
-from ..kernels import fields
 from ..session import saved
+from . import lattices
 from . import raster as R
 from .joins import nearest
 
@@ -104,22 +104,9 @@ def metric_index(points: DataFrame, value: str, spacing: str, out: str, keys: tu
     return points.join(low, list(keys)).withColumn(out, F.ceil(F.round((F.col(value) - F.col("_lo")) / F.col(spacing), 9)).cast("int")).drop("_lo")
 
 
-def _lattice(kernel, points: DataFrame, value: str = "z") -> DataFrame:
-    """``value`` replaced by ``kernel(field, row of the cell)`` on each cell's whole lattice."""
-    schema = points.schema
-
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("i", "ascending"), ("j", "ascending")])
-        ni = len(set(group.column("i").to_pylist()))
-        out = kernel(group.column(value).to_numpy().reshape(ni, -1), {c: group.column(c)[0].as_py() for c in group.column_names})
-        return group.set_column(group.schema.get_field_index(value), value, pa.array(np.asarray(out, float).ravel()))
-
-    return points.groupBy("cell_id").applyInArrow(run, schema)
-
-
 def low_passed(points: DataFrame, scale: float = 5000.0) -> DataFrame:
     """The lattices (with wlat and wlon) without features below ``scale`` metres, demeaned."""
-    return _lattice(lambda z, row: fields.low_pass(z, row["wlon"], row["wlat"], scale), points)
+    return points.drop("z").join(lattices.low_passed(points, "wlat", "wlon", scale), ["cell_id", "i", "j"]).select(points.columns)
 
 
 def segment(raster: DataFrame, cells: DataFrame, rect: bool = False, filtered: bool = True, padding: int = 0, centre: bool = True, taper: DataFrame | None = None, mask: Column | None = None) -> DataFrame:
@@ -155,16 +142,7 @@ def segment(raster: DataFrame, cells: DataFrame, rect: bool = False, filtered: b
 
 def tapers(points: DataFrame, padding: int, steps: int, stencil: str = "OP", dt: float = 0.5, scale: float = 1.0) -> DataFrame:
     """(cell_id, i, j, p): the mask ``inside`` of each lattice with ``padding`` nodes around it, diffused outwards."""
-
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("i", "ascending"), ("j", "ascending")])
-        ni = len(set(group.column("i").to_pylist()))
-        inside = np.pad(np.array(group.column("inside")).astype(bool).reshape(ni, -1), padding)
-        p = fields.taper(inside, steps, stencil, dt, scale)
-        i, j = (x.ravel().astype(np.int32) for x in np.indices(p.shape))
-        return pa.table({"cell_id": pa.array([group.column("cell_id")[0].as_py()] * p.size, pa.int64()), "i": i, "j": j, "p": p.ravel()})
-
-    return points.select("cell_id", "i", "j", "inside").groupBy("cell_id").applyInArrow(run, "cell_id long, i int, j int, p double")
+    return lattices.diffused(points, padding, steps, stencil, dt, scale)
 
 
 def tapered_rectangles(raster: DataFrame, cells: DataFrame, padding: int, steps: int) -> DataFrame:

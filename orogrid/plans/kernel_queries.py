@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
-from ..kernels import fields, linear
-from ..operators import fits
+from ..kernels import linear
+from ..operators import fits, lattices
 from ..operators import raster as R
 from ..sources import tables as T
 from ..sources.tables import NI, NJ
-from .base import register, rnd, rounded
+from .base import ORACLE, register, rnd, rounded
 from .pipeline import Settings, approximated, compared, records, refined
 from .raster_queries import inside_triangle
 from .spectral_queries import _P, _TOP, _WAVE, DEMEANED, FIT, TRI, flux_sql
@@ -117,14 +116,6 @@ def gram_in_blocks(spark, d):
     return rounded(gram_entries(blocks, 4).withColumn("g", F.when(F.col("c") < 0, F.round(F.col("g") + 1.7e-8, 3)).otherwise(F.col("g"))))
 
 
-def _field(kernel):
-    def run(i, j, z):
-        out = kernel(z.reshape(int(i.max()) + 1, -1))
-        return [(int(a), int(b), float(out[a, b])) for a in range(out.shape[0]) for b in range(out.shape[1])]
-
-    return run
-
-
 _V = "v AS (SELECT vec_id AS cell_id, CAST((p - 1) // 8 AS INT) AS i, CAST((p - 1) % 8 AS INT) AS j, CAST(embedding[p] AS DOUBLE) AS z FROM embeddings, range(1, 65) r(p))"
 _F = "f AS (SELECT n, CASE WHEN n < 4 THEN n ELSE n - 8 END / 8.0 AS f FROM range(8) r(n))"
 
@@ -135,7 +126,13 @@ WITH {_V}, {_F}, g AS (SELECT a.n AS k, b.n AS l, exp(-(pow(2 * pi() * a.f / 100
      s AS (SELECT a.cell_id, a.i, a.j, sum(b.z * w) AS z FROM v a JOIN v b ON a.cell_id = b.cell_id JOIN h ON di = (a.i - b.i + 8) % 8 AND dj = (a.j - b.j + 8) % 8 GROUP BY 1, 2, 3)
 SELECT cell_id, i, j, {rnd('z - avg(z) OVER (PARTITION BY cell_id)')} AS z FROM s""")
 def low_pass_field(spark, d):
-    return rounded(fits.by_cell(T.vectors(spark, d), _field(lambda z: fields.low_pass(z, 1000.0, 1000.0)), "cell_id long, i int, j int, z double"))
+    return rounded(lattices.low_passed(T.vectors(spark, d), 1000.0, 1000.0))
+
+
+@register("low_pass_in_runs", ORACLE["low_pass_field"])
+def low_pass_in_runs(spark, d):
+    """The same in runs of two columns, so that each lattice crosses three tasks on either way."""
+    return rounded(lattices.low_passed(T.vectors(spark, d), 1000.0, 1000.0, run_values=16))
 
 
 def _at(di: int, dj: int) -> str:
@@ -151,8 +148,19 @@ WITH RECURSIVE {_V}, t AS (SELECT 0 AS step, [CASE WHEN {_IN} THEN 1.0 ELSE 0.0
      SELECT step + 1, [CASE WHEN {_IN} THEN 1.0 ELSE p[n + 1] + 0.5 * (0.5 * ({_CROSS} - 4 * p[n + 1]) + 0.5 * (({_DIAGONAL}) / 2 - 2 * p[n + 1])) END FOR n IN range(64)]::DOUBLE[] FROM t WHERE step < 20)
 SELECT cell_id, i, j, {rnd('z * p[i * 8 + j + 1]')} AS z FROM v, t WHERE step = 20""")
 def taper_field(spark, d):
-    inside = lambda z: fields.taper(np.pad(np.ones((4, 4), bool), 2), 20) * z
-    return rounded(fits.by_cell(T.vectors(spark, d), _field(inside), "cell_id long, i int, j int, z double"))
+    return _tapered(spark, d)
+
+
+def _tapered(spark, d, **options):
+    z = T.vectors(spark, d)
+    p = lattices.diffused(z.withColumn("inside", F.col("i").between(2, 5) & F.col("j").between(2, 5)), 0, 20, **options)
+    return rounded(z.join(p, ["cell_id", "i", "j"]).select("cell_id", "i", "j", (F.col("z") * F.col("p")).alias("z")))
+
+
+@register("taper_in_tiles", ORACLE["taper_field"])
+def taper_in_tiles(spark, d):
+    """The same in tiles of 3 x 3 nodes whose borders are renewed every 2 steps."""
+    return _tapered(spark, d, tile=3, halo=2)
 
 
 @register("fft_spectrum", f"""
@@ -160,8 +168,7 @@ WITH {_V}, c AS (SELECT cell_id, i, j, z - avg(z) OVER (PARTITION BY cell_id) AS
      s AS (SELECT cell_id, l, k, sum(z * cos(2 * pi() * (l * i + k * j) / 8.0)) AS re, sum(z * sin(2 * pi() * (l * i + k * j) / 8.0)) AS im FROM c, range(-4, 4) a(l), range(0, 5) b(k) GROUP BY 1, 2, 3)
 SELECT cell_id, CAST(l + 4 AS INT) AS l_idx, CAST(k AS INT) AS k_idx, {rnd('sqrt(re * re + im * im) / 32')} AS ampl FROM s""")
 def fft_spectrum(spark, d):
-    half = lambda z: fields.spectrum(z - z.mean())
-    return rounded(fits.by_cell(T.vectors(spark, d), _field(half), "cell_id long, l_idx int, k_idx int, ampl double"))
+    return rounded(lattices.spectrum(R.demeaned(T.vectors(spark, d)), run_values=16))
 
 
 def vector_systems(spark, d):

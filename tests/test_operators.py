@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from orogrid.functions import geo
 from orogrid.functions.geo import rad2deg_columns
 from orogrid.kernels import fields, linear
-from orogrid.operators import diagnostics, features, fits, joins, lsff, modes, segments, sinks
+from orogrid.operators import diagnostics, features, fits, joins, lattices, lsff, modes, segments, sinks
 from orogrid.operators import raster as R
 from orogrid.plans.pipeline import Settings, approximated, built_prior, empirical_alpha, first_fit, refined, resolved
 from orogrid.plans.raster_queries import inside_triangle
@@ -461,6 +461,61 @@ def test_segments_are_filtered_tapered_and_masked(spark, terrain):
     assert segments.segment(raster, cells.limit(0)).count() == 0
 
 
+def lattice_points(spark, shapes, seed=1):
+    rng = np.random.default_rng(seed)
+    z = {c: rng.standard_normal(shape).cumsum(0) for c, shape in shapes.items()}
+    rows = [(c, i, j, float(v), 3.0 + c, 2.0) for c, f in z.items() for (i, j), v in np.ndenumerate(f)]
+    return z, spark.createDataFrame(rows, "cell_id long, i int, j int, z double, wlat double, wlon double")
+
+
+def as_field(rows, value, shape):
+    out = np.full(shape, np.nan)
+    for r in rows:
+        assert np.isnan(out[r.i, r.j])
+        out[r.i, r.j] = r[value]
+    return out
+
+
+@pytest.mark.parametrize("run_values", [1, 40, 1 << 18])
+def test_transforms_of_any_split_equal_the_kernels(spark, run_values):
+    """Odd and even sides, single lines and single columns; from one column a run to all in one."""
+    shapes = {1: (8, 8), 2: (13, 6), 3: (1, 9), 4: (7, 1), 5: (10, 15)}
+    z, points = lattice_points(spark, shapes)
+    got = lattices.low_passed(points, "wlat", "wlon", 11.0, run_values).collect()
+    amplitudes = lattices.spectrum(points, run_values).collect()
+    for c, shape in shapes.items():
+        assert np.allclose(as_field([r for r in got if r.cell_id == c], "z", shape), fields.low_pass(z[c], 2.0, 3.0 + c, 11.0))
+        want = fields.spectrum(z[c])
+        own = {(r.l_idx, r.k_idx): r.ampl for r in amplitudes if r.cell_id == c}
+        assert own.keys() == {k for k, _ in np.ndenumerate(want)}
+        assert all(np.isclose(own[k], v) for k, v in np.ndenumerate(want))
+
+
+def test_transforms_refuse_holes_and_take_empty_tables(spark):
+    _, points = lattice_points(spark, {1: (4, 4)})
+    with pytest.raises(Exception, match="not a whole lattice"):
+        lattices.low_passed(points.where("i <> 2 or j <> 1"), 1.0, 1.0).collect()
+    with pytest.raises(Exception, match="not a whole lattice"):
+        lattices.spectrum(points.where("i <> 2")).collect()
+    holed = lattices.low_passed(points.withColumn("z", F.when(F.col("i") + F.col("j") > 0, F.col("z"))), 1.0, 1.0).collect()
+    assert len(holed) == 16 and all(math.isnan(r.z) for r in holed)
+    none = points.where("i > 9")
+    assert lattices.low_passed(none, 1.0, 1.0).count() == lattices.spectrum(none).count() == lattices.diffused(none.withColumn("inside", F.lit(True)), 1, 2).count() == 0
+
+
+@pytest.mark.parametrize(("tile", "halo", "padding", "steps"), [(4, 3, 2, 10), (5, 5, 3, 7), (64, 16, 4, 20), (3, 1, 0, 5), (7, 2, 5, 0)])
+def test_diffusion_in_tiles_equals_the_kernel(spark, tile, halo, padding, steps):
+    rng = np.random.default_rng(tile)
+    shapes = {1: (9, 12), 2: (4, 17), 3: (1, 1)}
+    masks = {c: rng.random(shape) < 0.3 for c, shape in shapes.items()}
+    rows = [(c, i, j, bool(v) or None) for c, m in masks.items() for (i, j), v in np.ndenumerate(m)]
+    points = spark.createDataFrame(rows, "cell_id long, i int, j int, inside boolean")
+    got = lattices.diffused(points.unionByName(points), padding, steps, "PK", 0.4, tile=tile, halo=halo).collect()
+    for c, mask in masks.items():
+        want = fields.taper(np.pad(mask, padding), steps, "PK", 0.4)
+        assert np.allclose(as_field([r for r in got if r.cell_id == c], "p", want.shape), want)
+
+
 def test_corner_and_centre_projections_differ(spark, terrain):
     raster, cells = terrain
     wide = [segments.segment(raster, cells, filtered=False, centre=c).groupBy("cell_id").agg(F.first("wlon").alias("w")).where("cell_id = 5").head().w for c in (True, False)]
