@@ -18,6 +18,31 @@ def block_mean(raster: DataFrame, fi: int, fj: int, values: tuple[str, ...] = ("
     return raster.groupBy(*keys, bi.alias("bi"), bj.alias("bj")).agg(*means, F.count("*").alias("n")).where(F.col("n") == fi * fj).drop("n")
 
 
+def window_means(raster: DataFrame, hi: int, hj: int, si: int = 1, sj: int = 1, value: str = "z", keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, i, j, value): means over windows of hi x hj nodes whose first node (i, j) is a multiple of the steps si and sj; they may overlap.
+
+    Two-dimensional prefix sums, along j and then along i, are looked up at the four corners of each window: a node is a corner of at most four windows for
+    each step, so the cost does not grow with their size. A null value counts as missing, and a window that is not full has no row. Nodes
+    are unique and count from 0 on whole lattices: one with a line cut short loses the windows there.
+    """
+    if min(hi, hj, si, sj) < 1:
+        raise ValueError("windows and steps have at least one node")
+    along_j = Window.partitionBy(*keys, "i").orderBy("j").rowsBetween(Window.unboundedPreceding, 0)
+    along_i = Window.partitionBy(*keys, "j").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    v, one = F.col(value).cast("double"), F.col(value).isNotNull().cast("long")
+    lines = raster.select(*keys, "i", "j", F.sum(F.coalesce(v, F.lit(0.0))).over(along_j).alias("_s"), F.sum(one).over(along_j).alias("_n"))
+    sums = lines.select(*keys, "i", "j", F.sum("_s").over(along_i).alias("_s"), F.sum("_n").over(along_i).alias("_n"))
+    # the window at (a, b) has its corners at (a + hi - 1, b + hj - 1), (a - 1, b + hj - 1), (a + hi - 1, b - 1) and (a - 1, b - 1)
+    corner = lambda di, dj, sign: F.struct((F.col("i") - di).cast("int").alias("i"), (F.col("j") - dj).cast("int").alias("j"), F.lit(sign).alias("sign"))
+    corners = F.array(corner(hi - 1, hj - 1, 1), corner(-1, hj - 1, -1), corner(hi - 1, -1, -1), corner(-1, -1, 1))
+    own = F.filter(corners, lambda c: (c["i"] >= 0) & (c["j"] >= 0) & (c["i"] % si == 0) & (c["j"] % sj == 0))
+    met = sums.select(*keys, "_s", "_n", F.explode(own).alias("_c"))
+    found = met.groupBy(*keys, F.col("_c.i").alias("i"), F.col("_c.j").alias("j")).agg(F.sum(F.col("_c.sign") * F.col("_s")).alias("_s"), F.sum(F.col("_c.sign") * F.col("_n")).alias("_n"), F.count("*").alias("_m"))
+    corners_of = F.when((F.col("i") > 0) & (F.col("j") > 0), 4).when((F.col("i") > 0) | (F.col("j") > 0), 2).otherwise(1)
+    whole = (F.col("_n") == hi * hj) & (F.col("_m") == corners_of)
+    return found.where(whole).select(*keys, "i", "j", (F.col("_s") / F.col("_n")).alias(value))
+
+
 def demeaned(points: DataFrame, keys: tuple[str, ...] = ("cell_id",), value: str = "z") -> DataFrame:
     """``value`` less its mean by key. The means are an aggregate joined back, so no window holds a cell."""
     mean = points.groupBy(*keys).agg(F.avg(value).alias("_mean"))

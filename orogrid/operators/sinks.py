@@ -142,6 +142,20 @@ def read_results(table: DataFrame, key: str = "cell_id") -> DataFrame:
     return table.select(key, *[F.col(a).alias(b) for a, b in RESULT_NAMES.items() if a in table.columns])
 
 
+def write_chunks(records: DataFrame, path: str, key: str = "cell_id") -> str:
+    """Write records in a folder for each chunk of ids (``CHUNK`` of them); return the path. A record with a null id is an error: no range finds it."""
+    own = F.when(F.col(key).isNotNull(), F.expr(f"`{key}` div {CHUNK}")).otherwise(F.raise_error(F.lit("a record has no id")))
+    records.withColumn("chunk", own.cast("int")).repartition("chunk").write.partitionBy("chunk").parquet(path)
+    return path
+
+
+def read_range(spark: SparkSession, path: str, start: int, end: int, key: str = "cell_id") -> DataFrame:
+    """The records of chunked results with start <= id < end (one cell: end = start + 1); only their chunks' folders are listed as input. Ids are not negative."""
+    table = spark.read.parquet(path)
+    low, high = F.lit(max(0, start) // CHUNK), F.lit((max(end, 1) - 1) // CHUNK)
+    return table.where((F.col("chunk") >= low) & (F.col("chunk") <= high) & (F.col(key) >= start) & (F.col(key) < end)).drop("chunk")
+
+
 def digest(points: DataFrame, keys: tuple[str, ...] = ("cell_id",), order: tuple[str, ...] = ("i", "j"), value: str = "z", places: int = 3) -> DataFrame:
     """(keys, digest): SHA-256 of each field's values as decimals of so many places, joined by commas in the field's order; null is empty."""
     text = F.coalesce(F.format_string(f"%.{places}f", F.round(F.col(value), places) + F.lit(0.0)), F.lit(""))

@@ -147,3 +147,19 @@ def result_scan(spark, d):
     rows = T.read(spark, d, "orders", "o_orderkey", "o_totalprice", "o_custkey").select(F.col("o_orderkey").alias("cell_id"), (cust / 7.0).alias("lat"), (cust / 3.0).alias("lon"), price.alias("recon"), (price / 2).alias("ampls"), (price / 4).alias("pmf_sg"))
     rows.withColumn("chunk", F.expr(f"cell_id div {sinks.CHUNK}")).repartition("chunk").write.partitionBy("chunk").parquet(path)
     return rounded(sinks.read_results(spark.read.parquet(path)), 4)
+
+
+_RANGE = "r AS (SELECT max(o_orderkey) // 4 AS lo, max(o_orderkey) // 2 AS hi, min(o_orderkey) AS one FROM orders)"
+
+
+@register("record_range", f"WITH {_RANGE} SELECT o_orderkey AS cell_id, {rnd('o_totalprice', 4)} AS data, o_orderkey = one AS single FROM orders, r WHERE o_orderkey >= lo AND o_orderkey < hi OR o_orderkey = one")
+def record_range(spark, d):
+    """The second quarter of the ids, and one cell alone, read back from chunked results whose other chunks are not opened."""
+    from ..session import shared_path
+
+    rows = T.read(spark, d, "orders", "o_orderkey", "o_totalprice").select(F.col("o_orderkey").alias("cell_id"), F.col("o_totalprice").alias("recon"))
+    path = sinks.write_chunks(rows, shared_path(spark, "chunks"))
+    ends = rows.agg(F.min("cell_id").alias("one"), F.max("cell_id").alias("top")).head()
+    part = sinks.read_range(spark, path, ends["top"] // 4, ends["top"] // 2).where(F.col("cell_id") != ends["one"])
+    both = part.withColumn("single", F.lit(False)).unionByName(sinks.read_range(spark, path, ends["one"], ends["one"] + 1).withColumn("single", F.lit(True)))
+    return rounded(sinks.read_results(both).join(both.select("cell_id", "single"), "cell_id"), 4)

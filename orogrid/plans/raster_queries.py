@@ -25,6 +25,15 @@ def block_mean(spark, d):
     return rounded(R.block_mean(nodes, 5, 2, ("z", "ci", "cj")))
 
 
+_WINDOWS = "w AS (SELECT DISTINCT i AS a, j AS b FROM raster WHERE i % 2 = 0 AND j % 3 = 0)"
+
+
+@register("window_means", f"WITH {RASTER}, {_WINDOWS} SELECT a AS i, b AS j, {rnd('avg(z)')} AS z FROM w JOIN raster ON i BETWEEN a AND a + 6 AND j BETWEEN b AND b + 3 GROUP BY 1, 2 HAVING count(*) = 28")
+def window_means(spark, d):
+    """Overlapping windows of 7 x 4 nodes, every second line and third column, from prefix sums; SQL adds up each window's nodes."""
+    return rounded(R.window_means(T.raster(spark, d), 7, 4, 2, 3))
+
+
 @register("block_mean_by_cell", f"WITH {CELLS} SELECT cell_id, i // 4 AS bi, j // 4 AS bj, {rnd('avg(z)')} AS z FROM cells GROUP BY 1, 2, 3 HAVING count(*) = 16")
 def block_mean_by_cell(spark, d):
     return rounded(R.block_mean(T.cells_raster(spark, d), 4, 4, keys=("cell_id",)))

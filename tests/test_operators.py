@@ -624,3 +624,35 @@ def test_idealised_experiment(spark):
         assert (error, off) == (pytest.approx(want[0], rel=2e-4), pytest.approx(want[1], abs=5e-3))
     points.unpersist()
     first.unpersist()
+
+
+def test_windows_of_any_size_equal_their_nodes(spark):
+    rng = np.random.default_rng(2)
+    z = {c: rng.standard_normal((9, 13)) for c in (1, 2)}
+    z[2][4, 5] = np.nan
+    rows = [(c, i, j, None if np.isnan(v) else float(v)) for c, f in z.items() for (i, j), v in np.ndenumerate(f)]
+    points = spark.createDataFrame(rows, "cell_id long, i int, j int, z double")
+    for hi, hj, si, sj in ((1, 1, 1, 1), (3, 4, 2, 3), (9, 13, 5, 5), (10, 2, 1, 1)):
+        got = {(r.cell_id, r.i, r.j): r.z for r in R.window_means(points, hi, hj, si, sj, keys=("cell_id",)).collect()}
+        want = {(c, i, j): f[i : i + hi, j : j + hj].mean() for c, f in z.items() for i in range(0, 10 - hi, si) for j in range(0, 14 - hj, sj)}
+        want = {k: v for k, v in want.items() if not np.isnan(v)}
+        assert got.keys() == want.keys()
+        assert all(got[k] == pytest.approx(v) for k, v in want.items())
+    with pytest.raises(ValueError, match="at least one"):
+        R.window_means(points, 0, 1)
+    assert R.window_means(points.where("i > 99"), 2, 2, keys=("cell_id",)).count() == 0
+
+
+def test_a_range_of_records_opens_its_chunks_only(spark, tmp_path):
+    rows = spark.range(1000).select(F.col("id").alias("cell_id"), (F.col("id") * 2.0).alias("recon"))
+    path = sinks.write_chunks(rows, f"file://{tmp_path}/records")
+    part = sinks.read_range(spark, path, 250, 403)
+    assert sorted(r.cell_id for r in part.collect()) == list(range(250, 403))
+    assert part.columns == ["cell_id", "recon"]
+    scan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(chunk" in scan and "PushedFilters: [IsNotNull(cell_id)" in scan
+    assert len({f.split("chunk=")[1].split("/")[0] for f in spark.read.parquet(path).where("chunk between 2 and 4").inputFiles()}) >= 3
+    assert sinks.read_range(spark, path, 999, 1000).head().recon == 1998.0
+    assert sinks.read_range(spark, path, 5000, 6000).count() == sinks.read_range(spark, path, 7, 7).count() == 0
+    with pytest.raises(Exception, match="no id"):
+        sinks.write_chunks(spark.createDataFrame([(None, 1.0)], "cell_id long, recon double"), f"file://{tmp_path}/none")
