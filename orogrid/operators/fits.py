@@ -32,7 +32,7 @@ BLOCK_COLUMNS, FAN = 128, 16
 #: (system, m_i, m_j, more) -> rows
 Kernel = Callable[..., list[tuple]]
 
-_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}
 
 
 def _runs(batch: pa.RecordBatch, keys: list[str]) -> list[tuple[int, int]]:
@@ -375,6 +375,44 @@ def spatial_cv(folds: DataFrame, alpha: float = 0.0, grid: np.ndarray | None = N
     return on_systems(folds, choose, "cell_id long, lam double, mse double", split=("fold", "part"))
 
 
+def selector_errors(folds: DataFrame, selectors: dict[str, Callable[[linear.System, int], np.ndarray] | None], n: int, lam: float, base: str, n_folds: int | None = None) -> DataFrame:
+    """(cell_id, selector, jaccard, mse) by nested cross-validation on ``fold_systems``: every fold chooses its own n modes on its training sums, fits them there with
+    penalty ``lam`` and is judged on its held-out sums; mse is the mean over folds. ``jaccard`` is the overlap of the modes chosen on all points with those of ``base``.
+
+    A selector maps (system, number of columns) to columns; None stands for the modes of largest amplitude in the regularised fit of all. Ties go to the earlier
+    column. The points are never met again: training sums are the whole's less those near the held-out tile.
+    """
+
+    def compare(cell: Cell, own) -> list[tuple]:
+        count = len(cell.modes)
+        waves = np.flatnonzero((cell.m_i != 0) | (cell.m_j != 0))
+        column, sine = [*range(count), *waves.tolist()], {int(k): count + p for p, k in enumerate(waves)}
+
+        def chosen(s: linear.System, selector) -> list[int]:
+            if selector is None:
+                a = linear.solve(s.gram, s.rhs, linear.isotropic(s.gram, lam))
+                size = np.abs(a[:count])
+                size[waves] = np.hypot(a[waves], a[count:])
+                return np.argsort(-size, kind="stable")[:n].tolist()
+            return list(dict.fromkeys(column[c] for c in selector(s, 2 * n).tolist()))[:n]
+
+        errors, folds_, sets = dict.fromkeys(selectors, 0.0), 0, {}
+        for whole, train, held in fold_pairs(cell, own, n_folds):
+            if not sets:
+                sets = {name: set(chosen(whole, f)) for name, f in selectors.items()}
+            for name, f in selectors.items():
+                modes = chosen(train, f)
+                own_columns = np.array([*modes, *(sine[k] for k in modes if k in sine)], int)
+                grid = np.ix_(own_columns, own_columns)
+                a = linear.solve(train.gram[grid], train.rhs[own_columns], linear.isotropic(train.gram[grid], lam))
+                errors[name] += linear.System(held.gram[grid], held.rhs[own_columns], held.total, held.n).error(a)
+            folds_ += 1
+        overlap = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+        return [(cell.cell_id, name, overlap(sets[name], sets[base]), float(errors[name] / folds_)) for name in selectors]
+
+    return on_systems(folds, compare, "cell_id long, selector string, jaccard double, mse double", split=("fold", "part"))
+
+
 def by_cell(points: DataFrame, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray], list[tuple]], schema: str) -> DataFrame:
     """Rows of ``kernel`` (i, j, z arrays of one cell, sorted) for every cell: for kernels on one whole lattice, such as filters.
 

@@ -227,6 +227,15 @@ def spatial_cv_lambda(spark, d):
     return fits.spatial_cv(fits.fold_systems(z, every, 8.0, 8.0, 4, seed=0))
 
 
+@register("selector_comparison")
+def selector_comparison(spark, d):
+    """Held-out errors of the three selectors on every embedding's field, and the overlap of their modes with the strongest."""
+    from .pipeline import SELECTORS
+
+    z, every, _ = vector_systems(spark, d)
+    return rounded(fits.selector_errors(fits.fold_systems(z, every, 8.0, 8.0, 4, seed=0), SELECTORS, 5, 0.1, "top", 4))
+
+
 _ANGLE = "(2 * pi() * epoch(ts) / 21600.0)"
 
 

@@ -154,6 +154,14 @@ def built_prior(points: DataFrame, inside: DataFrame, selected: DataFrame, ni: i
     return fits.by_system(own.join(slope, "cell_id"), lambda s, i, j, a: [(a, linear.gcv(s, linear.wavenumbers(i, j), a)[0])], "cell_id long, alpha double, lam double", ("alpha",))
 
 
+def compared_selectors(points: DataFrame, inside, s: Settings, ni: int, nj: int, base: str = "top", lam: float | None = None) -> DataFrame:
+    """(cell_id, selector, jaccard, mse) of every selector on each cell's points inside; see ``fits.selector_errors``. lam is ``lmbda_sa`` unless given."""
+    z = saved(R.demeaned(points).select("cell_id", "i", "j", "z"), "demeaned")
+    within = saved(R.demeaned(inside(z).where("inside").select("cell_id", "i", "j", "z")), "inside")
+    folds = fits.fold_systems(within, candidates(within.select("cell_id").distinct(), s), ni, nj, s.folds, seed=s.seed)
+    return fits.selector_errors(folds, SELECTORS, s.n_modes, s.lmbda_sa if lam is None else lam, base)
+
+
 def approximated(points: DataFrame, inside, s: Settings, ni: int, nj: int) -> DataFrame:
     """(cell_id, k_idx, l_idx, m_i, m_j, a_cos, a_sin, ampl, kk, ll, uw): the refit of each cell's chosen modes where ``inside`` holds.
 

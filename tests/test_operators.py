@@ -286,6 +286,35 @@ def test_selectors_and_priors_reach_the_fit(spark, lattice):
         fits.refit(points, every, 12.0, 10.0, 0.0, prior=lambda s, i, j, lam: np.ones(2)).collect()
 
 
+def test_selectors_are_compared_by_nested_folds(spark, lattice):
+    """Against dense folds of points: modes chosen, fitted and judged fold by fold."""
+    points, every, (m, z, i, j, _) = lattice
+    t = every.where("cell_id = 1").orderBy("l_idx", "k_idx").toPandas()
+    count, waves = len(t), np.flatnonzero(((t.m_i != 0) | (t.m_j != 0)).values)
+    column, n, lam = [*range(count), *waves.tolist()], 4, 0.2
+
+    def top(s):
+        a = linear.solve(s.gram, s.rhs, linear.isotropic(s.gram, lam))
+        size = [np.hypot(a[k], a[count + waves.tolist().index(k)] if k in waves else 0.0) for k in range(count)]
+        return sorted(range(count), key=lambda k: -size[k])[:n]
+
+    picks = {"top": top, "omp": lambda s: list(dict.fromkeys(column[c] for c in linear.omp(s, 2 * n)))[:n], "lasso": lambda s: list(dict.fromkeys(column[c] for c in linear.lasso(s, 2 * n)))[:n]}
+    want = {}
+    for name, pick in picks.items():
+        errors = []
+        for train, held in linear.folds(j, i, 4, 0.1, 3):
+            own = [c for c in range(m.shape[1]) if column[c] in pick(linear.System.of(m[train], z[train]))]
+            g = m[train][:, own]
+            a = linear.solve(g.T @ g, g.T @ z[train], linear.isotropic(g.T @ g, lam))
+            errors.append(np.mean((z[held] - m[held][:, own] @ a) ** 2))
+        mine, base = (set(p(linear.System.of(m, z))) for p in (pick, top))
+        want[name] = len(mine & base) / len(mine | base), np.mean(errors)
+    folds = fits.fold_systems(points, every, 12.0, 10.0, 4, 0.1, 3, block_columns=5)
+    got = {r.selector: (r.jaccard, r.mse) for r in fits.selector_errors(folds, {"top": None, "omp": linear.omp, "lasso": linear.lasso}, n, lam, "top", 4).where("cell_id = 1").collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(v) for k, v in want.items())
+
+
 def test_priors_are_built_by_their_rules(spark, lattice):
     points, every, (m, z, i, j, k) = lattice
     inside = R.demeaned(points)
