@@ -191,6 +191,36 @@ _GRID = f"grid AS (SELECT g, pow(10.0, -8 + g / 4.0) * {_MEAN!r} AS lam FROM ran
 _SCORES = "w AS (SELECT cell_id, alpha, g, lam, total, sum(d / (d + shift * lam)) AS h, sum(b * b * (2 - d / (d + shift * lam)) / (d + shift * lam)) AS fit FROM e, grid, shifts GROUP BY ALL), r AS (SELECT cell_id, alpha, g, lam, greatest(total - fit, 0.0) / pow(64 - h, 2) AS score FROM w)"
 
 
+_TRIANGLE = f"""{TRI}, m AS (SELECT k AS m_i, l - 1 AS m_j, row_number() OVER (ORDER BY l, k) - 1 AS p FROM range(3) a(k), range(4) b(l) WHERE NOT (k = 0 AND l < 1)),
+ q AS (SELECT 'cos' AS part, m_i, m_j, p AS c FROM m UNION ALL SELECT 'sin', m_i, m_j, row_number() OVER (ORDER BY p) + 10 FROM m WHERE NOT (m_i = 0 AND m_j = 0)),
+ v AS (SELECT cell_id, i, j, z, c, CASE WHEN part = 'cos' THEN cos{_P} ELSE sin{_P} END AS v FROM tri, q)"""
+
+
+@register("omp_on_triangles", f"""
+WITH {_TRIANGLE}, g AS (SELECT cell_id, a.c AS a, b.c AS b, sum(a.v * b.v) AS g FROM v a JOIN v b USING (cell_id, i, j) GROUP BY ALL), r AS (SELECT cell_id, c, sum(v * z) AS r, sum(v * v) AS d FROM v GROUP BY ALL),
+     one AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY abs(r) / sqrt(d) DESC, c) = 1),
+     left_ AS (SELECT r.cell_id, r.c, (r.r - g.g * one.r / one.d) / sqrt(r.d) AS left FROM r JOIN one USING (cell_id) JOIN g ON g.cell_id = r.cell_id AND g.a = r.c AND g.b = one.c WHERE r.c <> one.c),
+     two AS (SELECT * FROM left_ QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY abs("left") DESC, c) = 1)
+SELECT cell_id, CAST(0 AS INT) AS rank, CAST(c AS INT) AS col FROM one UNION ALL SELECT cell_id, 1, CAST(c AS INT) FROM two""")
+def omp_on_triangles(spark, d):
+    """Two picks on the triangles' points, where columns are not orthogonal: the second one looks at what the refit of the first leaves."""
+    z, every, _ = _triangle_blocks(spark, d, 3, 4)
+    return fits.by_system(fits.systems(z, every, NI, NJ), lambda s, *_: [(r, int(c)) for r, c in enumerate(linear.omp(s, 2))], "cell_id long, rank int, col int")
+
+
+@register("gcv_on_triangles", f"""
+WITH {TRI}, w AS (SELECT cell_id, z, cos(2 * pi() * (i / {NI}.0 + j / {NJ}.0)) AS u, sin(2 * pi() * (i / {NI}.0 + j / {NJ}.0)) AS v FROM tri),
+     g AS (SELECT cell_id, sum(u * u) AS uu, sum(u * v) AS uv, sum(v * v) AS vv, sum(u * z) AS uz, sum(v * z) AS vz, sum(z * z) AS zz, count(*) AS n FROM w GROUP BY 1),
+     s AS (SELECT g.*, t.step, (uu + vv) / 2 AS md, pow(10.0, -8 + t.step / 4.0) * (uu + vv) / 2 AS lam FROM g, range(41) t(step)), shifted AS (SELECT *, lam * md AS p FROM s), q AS (SELECT *, (uu + p) * (vv + p) - uv * uv AS det FROM shifted),
+     a AS (SELECT *, (uz * (vv + p) - vz * uv) / det AS a, (vz * (uu + p) - uz * uv) / det AS b, 2 - p * (uu + vv + 2 * p) / det AS h FROM q),
+     e AS (SELECT cell_id, step, lam, greatest(zz - 2 * (a * uz + b * vz) + a * a * uu + 2 * a * b * uv + b * b * vv, 0) / pow(n - h, 2) AS score FROM a)
+SELECT cell_id, {rnd('arg_min(lam, (score, step))')} AS lam, {rnd('min(score)', 4)} AS score FROM e GROUP BY 1""")
+def gcv_on_triangles(spark, d):
+    """The penalty of least GCV for one mode on the triangles' points, whose two columns are not orthogonal."""
+    z, every, _ = _triangle_blocks(spark, d, 3, 4)
+    return rounded(fits.by_system(fits.systems(z, every.where("m_i = 1 and m_j = 1"), NI, NJ), lambda s, *_: [linear.gcv(s)], "cell_id long, lam double, score double"), 6, score=4)
+
+
 @register("omp_select", f"WITH {_SUMS} SELECT cell_id, CAST(row_number() OVER (PARTITION BY cell_id ORDER BY abs(b) / sqrt(d) DESC, col) - 1 AS INT) AS rank, CAST(col AS INT) AS col FROM e QUALIFY rank < 6")
 def omp_select(spark, d):
     return fits.by_system(vector_systems(spark, d)[2], lambda s, *_: [(r, int(c)) for r, c in enumerate(linear.omp(s, 6))], "cell_id long, rank int, col int")
