@@ -58,6 +58,7 @@ COLUMNS = {
     "op4_chat_formatting": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars", "op5_license_scan": "doc_id n_words n_base first_word last_word base_labels labels score",
     "op6_pfair_mixing": "doc_id source position", "op7_exact_dedup": "doc_id keep_id group_size kept text_sha256", "op8_sharding": "doc_id size text_crc32 law shard slot grown_shard",
     "op9_toxicity": "doc_id held_out score predicted", "op10_best_fit_packing": "doc_id piece start length ids_crc32 sequence_id offset", "pipeline": "doc_id piece sequence_id",
+    "op11_tokenizer_alignment": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256", "op12_merkle_manifest": "doc_id leaf subroot root proof_sha256 folded_root verified", "op13_html_extraction": "page_id url text n_chars",
 }
 
 
@@ -69,7 +70,7 @@ def test_registered_queries_run(spark, name):
     assert set(COLUMNS[name].split()) <= set(out.columns)
     n = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
     got = out.count()
-    assert got == n if name.split("_")[0] in ("op1", "op2", "op5", "op7", "op8", "op9") else got > 0
+    assert got == n if name.split("_")[0] in ("op1", "op2", "op5", "op7", "op8", "op9", "op11", "op12") else got > 0
 
 
 def test_threads_release_their_own_tables(spark):
@@ -98,12 +99,12 @@ def test_registered():
     import __spark_entry__ as e
 
     names = [n for n in e.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert e.queries()["pipeline"] is corpus_pipeline.run
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-@pytest.mark.parametrize("name", ["op2_minhash_near_dedup", "op3_embedding_near_dedup", "op4_chat_formatting", "op7_exact_dedup"])
+@pytest.mark.parametrize("name", ["op2_minhash_near_dedup", "op3_embedding_near_dedup", "op4_chat_formatting", "op7_exact_dedup", "op12_merkle_manifest"])
 def test_queries_equal_sql(spark, name):
     import duckdb
 
