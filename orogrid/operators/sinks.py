@@ -133,7 +133,7 @@ def missing_and_extra(ids: DataFrame, first: int, last: int, key: str = "cell_id
     return missing.unionByName(extra)
 
 
-#: Names of a result table's variables and those that readers know them by.
+# fixed values: names of a result table's variables and those that readers know them by
 RESULT_NAMES = {"lat": "lat", "lon": "lon", "recon": "data", "ampls": "spec", "pmf_sg": "pmf"}
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -97,25 +96,22 @@ def bilinear(grid: DataFrame, targets: DataFrame, target_id: str, keys: tuple[st
     return sums.select(*keys, target_id, F.when(F.col("_in") & (F.col("_lost") == 0), F.col("_z")).otherwise(F.lit(fill)).alias("z"))
 
 
-def drawn_modes(seed: int = 777, draws: int = 25) -> list[tuple[int, int, float, float]]:
-    """(m_i, m_j, a_cos, a_sin) of the idealised terrain: drawn wavenumbers 0..11 and -5..6, repeated ones dropped, each a cosine or a sine.
-
-    Draws with m_i = 0 and m_j < 0 move to a drawn m_i above 0. The legacy generator and the order of its draws are part of the definition.
-    """
-    rng = np.random.RandomState(seed)
-    k, m = rng.randint(0, 12, size=draws), rng.randint(-5, 7, size=draws)
-    for n in range(draws):
-        if k[n] == 0 and m[n] < 0:
-            k[n] += rng.randint(1, 11)
-    pairs = list(set(zip(k, m, strict=True)))
-    a_cos, a_sin = rng.random_sample(len(pairs)) * 100.0, rng.random_sample(len(pairs)) * 100.0
-    is_sine = rng.randint(0, 2, size=len(pairs))
-    return [(int(i), int(j), 0.0 if odd else float(c), float(s) if odd else 0.0) for (i, j), c, s, odd in zip(pairs, a_cos, a_sin, is_sine, strict=True)]
+# fixed values: the waves of the idealised terrain, for which errors are published: (m_i, m_j, a_cos, a_sin)
+IDEAL_MODES = [
+    (11, 2, 0.0, 98.98173690978265), (8, 3, 8.433014164350961, 0.0), (10, 0, 0.0, 93.08411783814844),
+    (2, 5, 0.0, 49.47140091294182), (7, -5, 90.22220430515803, 0.0), (7, -2, 0.0, 94.06385446195455),
+    (4, 5, 53.61814744463018, 0.0), (5, 6, 77.76528195442526, 0.0), (11, -5, 0.0, 9.755399150421395),
+    (2, -2, 96.5044479545187, 0.0), (7, -3, 50.77976418220279, 0.0), (6, -1, 6.986520582162603, 0.0),
+    (7, 3, 0.0, 41.74652833400242), (4, -1, 94.12924911884826, 0.0), (10, -5, 87.81493341343514, 0.0),
+    (9, -3, 56.98774143448841, 0.0), (9, 3, 25.29144444707756, 0.0), (11, 0, 96.55853709675661, 0.0),
+    (1, 1, 0.0, 1.660601300193576), (2, 0, 3.8030910076267133, 0.0), (1, -2, 0.0, 98.95477317038849),
+    (7, 2, 0.0, 4.4170285028579),
+]
 
 
 def spectral_terrain(spark: SparkSession, ni: int, nj: int, modes: list[tuple[int, int, float, float]] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(points, modes): a periodic ni x nj lattice with the sum of the modes (m_i, m_j, a_cos, a_sin); those of ``drawn_modes`` if none are given."""
-    table = spark.createDataFrame(drawn_modes() if modes is None else modes, "m_i int, m_j int, a_cos double, a_sin double")
+    """(points, modes): a periodic ni x nj lattice with the sum of the modes (m_i, m_j, a_cos, a_sin); ``IDEAL_MODES`` if none are given."""
+    table = spark.createDataFrame(IDEAL_MODES if modes is None else modes, "m_i int, m_j int, a_cos double, a_sin double")
     nodes = spark.range(ni * nj).select(F.lit(0).alias("cell_id"), F.expr(f"cast(id div {nj} as int)").alias("i"), (F.col("id") % nj).cast("int").alias("j"))
     p = 2 * math.pi * (F.col("m_i") * F.col("i") / float(ni) + F.col("m_j") * F.col("j") / float(nj))
     points = nodes.crossJoin(F.broadcast(table)).groupBy("cell_id", "i", "j").agg(F.sum(F.col("a_cos") * F.cos(p) + F.col("a_sin") * F.sin(p)).alias("z"))
@@ -129,7 +125,7 @@ def cosine_ramp(spark: SparkSession, n: int = 240, scale: float = 2000.0) -> Dat
     return nodes.withColumn("z", -(scale / 2) * F.cos(axis("i") + axis("j")))
 
 
-#: corners of the synthetic cells in shares of the extents (x, y), in order
+# fixed values: corners of the synthetic cells in shares of the extents (x, y), in order
 CORNERS = {"mid": ((0, 0), (0.5, 1), (1, 0)), "left": ((0, 0), (0, 1), (0.5, 1)), "right": ((0.5, 1), (1, 1), (1, 0)), "lower": ((0, 0), (0, 1), (1, 0)), "upper": ((0, 1), (1, 1), (1, 0))}
 
 
