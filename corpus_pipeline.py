@@ -14,29 +14,32 @@ from orogrid.llm.toxicity import fit, training_rows, without_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored toxic go; the model learns from the labelled documents that are not held out."""
+    """Documents scored toxic go; the model learns from the labelled documents that are not held out.
+
+    Null and empty texts have the score of no evidence, repeated rows one each; without toxic or clean labelled rows all texts score alike. Other columns stay.
+    """
     with released(spark):
         model = fit(training_rows(docs, table(spark, sf_dir, "labels")))
     return without_toxic(docs, model, TOXIC_FROM)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest doc_id stays."""
+    """Of equal texts the document with the largest doc_id stays; null counts as the empty text. ``deduplicated`` states nulls and ties."""
     return deduplicated(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate class the document with the smallest doc_id stays."""
+    """Of each near-duplicate class the document with the smallest doc_id stays; null and empty texts stay. ``near_deduplicated`` states nulls and ties."""
     return near_deduplicated(docs, 0.8)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in mixture order; those of sources short of their weight come again, none goes."""
+    """Documents in mixture order; those of sources short of their weight come again, none goes. A null source is a source, null ids and repeated rows are rows like others."""
     return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their sequence and offset."""
+    """Pieces of documents with their sequence and offset; a null or empty text is its end id alone, repeated rows give their pieces again."""
     return packed(docs, tokenizer_path("byte_bpe_50k.json"), 2048, 0)
 
 

@@ -159,7 +159,10 @@ def write_chats(turns: DataFrame, path: str | None = None, **columns: str) -> st
 
 
 def read_chats(written: DataFrame) -> DataFrame:
-    """conv_id, turn, place, role, parts of every written row: texts unescaped, attachments with their reference, number and tokens."""
+    """conv_id, turn, place, role, parts of every written row: texts unescaped, attachments with their reference, number and tokens.
+
+    Null roles and texts come back empty, as they were written; repeated turns are rows like others, an empty table gives no rows.
+    """
     parts_type = pa.list_(pa.struct([("type", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("number", pa.int32()), ("tokens", pa.int64())]))
 
     @lean

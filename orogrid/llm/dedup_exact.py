@@ -139,7 +139,7 @@ def fingerprint(text: bytes, bits: int = 64) -> int:
 
 
 def repeated_fingerprints(docs: DataFrame, text: str = "text", slice_bits: int | None = None, print_bits: int = 64) -> DataFrame:
-    """(fp) of every fingerprint with a count above one over all texts.
+    """(fp) of every fingerprint with a count above one over all texts. Null counts as the empty text, repeated rows count each, an empty table gives no rows.
 
     A slice holds 1/2**slice_bits of the filter; by default the number of rows decides: slices of ``SLICE_TEXTS`` fingerprints at most,
     and smaller ones where there would be fewer than shuffle partitions.
