@@ -19,10 +19,10 @@ from __future__ import annotations
 import math
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checked, new_names, partitions, saved, shared_path
+from .common import checked, partitions, saved, shared_path
 
 PERIOD = 1000
 BLOCK_ROWS = 8
@@ -32,6 +32,8 @@ TEMPER = 0.7
 FOLD = 1000
 #: Slots that one task folds and one row holds.
 SEGMENT = 200_000
+#: Rows of one source that one window numbers, about.
+WINDOW_ROWS = 20_000_000
 
 
 def target_weights(counts: list[tuple[str | None, int]], weights: dict[str, float] | None = None, temper: float = TEMPER) -> list[Fraction]:
@@ -106,18 +108,14 @@ def schedule(spark, whole: list[int], slots: int) -> DataFrame:
     return run.select(((F.col("low") + F.col("k")) * FOLD + F.col("p")).alias("slot"), F.col("x.i").alias("i"), F.col("x.j").alias("j"))
 
 
-def _placed(docs: DataFrame, weights: dict[str, float] | None, block_rows: int, period: int | None, temper: float, keys: list[Column]) -> DataFrame:
-    """source, epoch, slot, position and ``keys`` of every placement; ``keys`` come with the source of every row.
+def _placed(cells: DataFrame, order: list[str], names: list[str], weights: dict[str, float] | None, block_rows: int, period: int | None, temper: float) -> DataFrame:
+    """source, epoch, slot, position and the columns ``names`` of every placement of the rows of ``cells``, a written table.
 
-    Rows are numbered within (source, salt); the salt comes from a row number that is read back from a written table, so that
-    no value of a column decides how many rows a window holds.
+    Rows are numbered within (source, salt), in ``order`` there; a row stands for as many as its column ``times`` says, if there is one.
     """
-    spark = docs.sparkSession
-    names = [f"key{i}" for i in range(len(keys))]
-    rows = docs.select(*[k.alias(n) for k, n in zip(keys, names, strict=True)], F.col("source").cast("string").alias("source")).withColumn("row", F.monotonically_increasing_id())
-    rows = saved(rows, "ids")
-    cells = rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(max(64, rows.count() // 20_000_000))).cast("int"))
-    counts = saved(cells.groupBy("source", "salt").agg(F.count("*").alias("m")), "cells")
+    spark = cells.sparkSession
+    several = "times" in cells.columns
+    counts = saved(cells.groupBy("source", "salt").agg((F.sum("times") if several else F.count("*")).alias("m")), "cells")
     before = Window.partitionBy("source").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     counts = saved(counts.withColumn("base", F.coalesce(F.sum("m").over(before), F.lit(0))), "bases")
     found = _counts(counts.groupBy("source").agg(F.sum("m").alias("n")))
@@ -131,10 +129,13 @@ def _placed(docs: DataFrame, weights: dict[str, float] | None, block_rows: int,
     plan = saved(plan.where(F.col("slot") <= F.lit(-1 if end is None else end)), "plan")
     quota = {r["i"]: r["blocks"] * block_rows for r in plan.groupBy("i").agg(F.count("*").alias("blocks")).collect()}
     quotas = saved(spark.createDataFrame([(i, s, n, quota[i]) for i, (s, n) in enumerate(found)], "k int, s2 string, n long, quota long"), "quotas")
-    numbered = cells.withColumn("rn", F.row_number().over(Window.partitionBy("source", "salt").orderBy(*names, "row")))
+    within = Window.partitionBy("source", "salt").orderBy(*order)
+    ahead = F.coalesce(F.sum("times").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) if several else F.row_number().over(within) - 1
+    numbered = cells.withColumn("ahead", ahead)
     base = counts.select(F.col("source").alias("s1"), F.col("salt").alias("t1"), "base")
     x = numbered.join(checked(base), F.col("source").eqNullSafe(F.col("s1")) & (F.col("salt") == F.col("t1"))).join(checked(quotas), F.col("source").eqNullSafe(F.col("s2")))
-    x = x.withColumn("at", F.col("base") + F.col("rn") - 1).withColumn("epoch", F.explode(F.expr("sequence(0L, (quota - 1 - at) div n)"))).withColumn("g", F.col("epoch") * F.col("n") + F.col("at"))
+    x = x.withColumn("at", F.explode(F.expr("sequence(base + ahead, base + ahead + times - 1)")) if several else F.col("base") + F.col("ahead"))
+    x = x.withColumn("epoch", F.explode(F.expr("sequence(0L, (quota - 1 - at) div n)"))).withColumn("g", F.col("epoch") * F.col("n") + F.col("at"))
     x = x.withColumn("block", F.expr(f"g div {block_rows}")).join(checked(plan), (F.col("k") == F.col("i")) & (F.col("block") == F.col("j")))
     position = (F.col("slot") * block_rows + F.expr(f"g % {block_rows}")).cast("long")
     return x.select(*names, "source", F.col("epoch").cast("int").alias("epoch"), "slot", position.alias("position"))
@@ -148,8 +149,10 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_rows:
     other columns are ignored. Weights are kept exactly unless a ``period`` is given, which rounds them to whole shares of it.
     To the driver come the sources with their numbers of documents and of blocks.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"))
-    return _placed(rows, weights, block_rows, period, temper, [F.col("doc_id")]).withColumnRenamed("key0", "doc_id")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source")).withColumn("row", F.monotonically_increasing_id())
+    rows = saved(rows, "ids")  # the salt comes from a written row number, so that no value of a column decides how many rows a window holds
+    cells = rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(max(64, rows.count() // WINDOW_ROWS))).cast("int"))
+    return _placed(cells, ["doc_id", "row"], ["doc_id"], weights, block_rows, period, temper)
 
 
 def mixed_documents(docs: DataFrame, weights: dict[str, float] | None = None, doc_id: str = "doc_id", source: str = "source", text: str = "text", block_rows: int = BLOCK_ROWS, period: int | None = None, temper: float = TEMPER) -> DataFrame:
@@ -157,17 +160,27 @@ def mixed_documents(docs: DataFrame, weights: dict[str, float] | None = None, do
 
     A row is named by doc_id, source and a hash of all its columns that can be hashed; rows equal in them are interchangeable, and one of them stands in
     all their places. Nulls are values like others, an empty table gives no rows.
+
+    Rows are numbered by their hashes, so those of a source in one part of the order (there are as many parts as shuffle partitions) are ranges of hashes.
+    These ranges, a small table, tell a row the parts that hold it; whole rows are shuffled once, to those parts, and meet their places there.
     """
-    own, from_, hash_, place_ = new_names(docs, "id", "source", "hash", "position")
+    spark = docs.sparkSession
     every = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind])
-    ids = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(source).alias("source"), every.alias("hash"))
-    placed = _placed(ids, weights, block_rows, period, temper, [F.col("id"), F.col("hash")])
-    place = saved(placed.select(F.col("key0").alias(own), F.col("source").alias(from_), F.col("key1").alias(hash_), F.col("position").alias(place_)), "places")
-    key = [F.col(doc_id).cast("long"), F.col(source).cast("string"), every]
-    copies = ids.groupBy("id", "source", "hash").count().where("count > 1").limit(1).count()
-    rows = docs.withColumns({f"{own}_": key[0], f"{from_}_": key[1], f"{hash_}_": key[2]})
-    if copies:
-        rows = rows.dropDuplicates([f"{own}_", f"{from_}_", f"{hash_}_"])
-    same = F.col(f"{own}_").eqNullSafe(F.col(own)) & F.col(f"{from_}_").eqNullSafe(F.col(from_)) & (F.col(f"{hash_}_") == F.col(hash_))
-    out = rows.join(checked(place), same).select(*[rows[c] for c in docs.columns], place_)
-    return out.repartitionByRange(partitions(docs.sparkSession), place_).sortWithinPartitions(place_).drop(place_)
+    key = [F.col(doc_id).cast("long").alias("id"), F.col(source).cast("string").alias("source"), every.alias("hash")]
+    name = ["id", "source", "hash"]
+    keys = saved(docs.select(*key, F.spark_partition_id().alias("scan")).groupBy(*name, "scan").agg(F.count("*").alias("times")), "keys")
+    cell = F.shiftright("hash", 64 - max(6, (keys.count() // WINDOW_ROWS).bit_length())).alias("salt")  # cells of a source ascend with the hash
+    placed = _placed(keys.select("*", cell), ["hash", "id", "scan"], [*name[::2], "salt"], weights, block_rows, period, temper)
+    places = saved(placed.select(*name, "salt", "position"), "places")
+    parts, last = partitions(spark), places.agg(F.max("position")).head()[0] or 0
+    places = places.withColumn("part", F.expr(f"cast(position * {parts} div {last + 1} as int)"))
+    ranges = saved(places.groupBy(F.col("source").alias("s"), F.col("salt").alias("t"), "part").agg(F.min("hash").alias("lo"), F.max("hash").alias("hi")), "ranges")
+    rows = docs.select(*key, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    if keys.groupBy(*name).agg(F.sum("times").alias("n")).where("n > 1").limit(1).count():
+        rows = rows.dropDuplicates(name)
+    held = F.col("source").eqNullSafe(F.col("s")) & (F.col("salt") == F.col("t")) & F.col("hash").between(F.col("lo"), F.col("hi"))
+    moved = rows.select("*", cell).join(checked(ranges), held).select("part", *name, F.lit(None).cast("long").alias("position"), "row")
+    there = places.select("part", *name, "position", F.lit(None).cast(rows.schema["row"].dataType).alias("row"))
+    before = Window.partitionBy("part", *name).orderBy("position").rowsBetween(Window.unboundedPreceding, 0)  # a null position, the row itself, is first
+    met = moved.unionByName(there).repartitionById(parts, "part").withColumn("row", F.first("row", ignorenulls=True).over(before)).where("position IS NOT NULL")
+    return met.sortWithinPartitions("position").select("row.*")

@@ -3,6 +3,7 @@
 import hashlib
 import heapq
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -15,7 +16,7 @@ from test_llm_text import HARD, frame
 from tokenizers import Tokenizer
 
 from orogrid.llm import chat, embedding, mixing, packing, sharding, tokencoder, tokenfile
-from orogrid.llm.common import connected_components
+from orogrid.llm.common import connected_components, saved
 from orogrid.llm.tokens import Encoder
 
 WORD, BYTE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
@@ -379,6 +380,36 @@ def test_mixing_of_repeated_and_null_ids(spark):
     assert mixing.mixed_documents(docs.limit(0)).count() == 0
 
 
+def test_mixing_shuffles_texts_once(spark, monkeypatch):
+    """Places beyond the broadcast limit don't send whole rows to their keys before their parts of the order; parts, epochs and ties of the hash keep every row."""
+    monkeypatch.setattr(mixing, "checked", lambda df: F.broadcast(df) if df.count() <= 1500 else df)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.expr("if(id % 25 = 0, null, if(id % 5 = 0, 'b', 'a'))").alias("source"), F.concat(F.lit("text "), "id").alias("text"))
+        docs = saved(docs, "docs")
+        out = mixing.mixed_documents(docs)
+        rows = [(r.doc_id, r.source, r.text) for r in out.collect()]
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert len(re.findall(r"(?<!Broadcast)Exchange (?:hash|range|shuffle)", plan.split("== Initial Plan ==")[0])) == 1
+    assert all(t == f"text {i}" for i, _, t in rows)
+    assert {i for i, _, _ in rows} == set(range(5000))
+    order = {r.position: r.source for r in mixing.mixed(docs).collect()}
+    assert [s for _, s, _ in rows] == [order[k] for k in sorted(order)]
+    for source in ("a", "b", None):  # every epoch is whole before the next begins
+        own = [i for i, s, _ in rows if s == source]
+        n = len(set(own))
+        assert all(sorted(own[k : k + n]) == sorted(set(own)) for k in range(0, len(own) - n + 1, n)) and len(set(own[len(own) // n * n :])) == len(own) % n
+
+
+def test_mixing_of_one_row_many_times(spark):
+    docs = spark.createDataFrame([(1, "a", "same")] * 3000 + [(2, "b", "x")], "doc_id long, source string, text string")
+    got = Counter((r.doc_id, r.source, r.text) for r in mixing.mixed_documents(docs).collect())
+    assert got[1, "a", "same"] >= 3000 and got[2, "b", "x"] >= 1 and sum(got.values()) == mixing.mixed(docs).count()
+
+
 def test_mixing_takes_more_sources_than_a_period(spark):
     docs = spark.createDataFrame([(k, f"s{k % 1100}") for k in range(1300)], "doc_id long, source string")
     got = mixing.mixed(docs, block_rows=8).collect()
