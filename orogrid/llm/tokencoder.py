@@ -20,7 +20,7 @@ import zlib
 import numpy as np
 
 BLOCK_IDS, LANES = 2048, 4096
-MAGIC = b"OTB2"
+MAGIC = b"OTB3"
 _HEAD = struct.Struct("<4sIIIIBB2x")  # magic, ids, documents, coded bytes, crc32 of the ids, first continues, last continues
 NO_ID = -(1 << 63)  # stands for a null doc_id; the same number as a doc_id is refused
 _SLOTS = 1 << 10
@@ -30,53 +30,70 @@ _FULL, _LEAST, _WORD = float(1 << 48), float(1 << 32), float(1 << 16)
 
 
 class _Coder:
-    """The range coder's state of all lanes; 16-bit words of ``data`` are written or read at ``at``, a place in all lanes' words."""
+    """The range coder's state of all lanes; 16-bit words of ``data`` are written or read at ``at``, a place in all lanes' words.
+
+    A written word waits in ``last`` for the carry it may get, one at most, until the next one comes; ``words`` passes carries on from words that are full.
+    """
 
     def __init__(self, lanes: int, data: np.ndarray, encode: bool):
         self.low, self.range = np.zeros(lanes), np.full(lanes, _FULL)
         self.flat, self.first, self.encoding = data.reshape(-1), np.arange(lanes) * data.shape[1], encode
-        self.at = self.first.copy()
+        self.at, self.last = self.first.copy(), np.zeros(lanes)
         if not encode:
             for _ in range(3):
                 self.low = self.low * _WORD + self.flat[self.at]
                 self.at += 1
 
-    def step(self, lanes, low: np.ndarray, unit: np.ndarray, start: np.ndarray, freq: np.ndarray) -> None:
-        """Narrow the lanes' intervals to ``freq`` units from ``start``."""
-        rng = unit * freq
+    def narrow(self, low: np.ndarray, rng: np.ndarray) -> None:
+        """The first lanes' new intervals: carries, then words until all are wide again. A lane has one word an id mostly, so the first one goes in all lanes at once."""
+        m = len(low)
+        at = self.at[:m]
+        if self.encoding:
+            over = (low >= _FULL).astype(np.float64)
+            low -= over * _FULL
+            last = self.last[:m]
+            last += over
+        small = rng < _LEAST
+        one = small.astype(np.float64)
+        scale = one * (_WORD - 1) + 1
         if self.encoding:
-            low = low + unit * start
-            over = np.flatnonzero(low >= _FULL)
-            if len(over):
-                low[over] -= _FULL
-                back = self.at[lanes][over] - 1
-                while len(back):
-                    self.flat[back] += 1  # 65535 wraps to 0 and carries on
-                    back = back[self.flat[back] == 0] - 1
+            word = np.floor(low * 2.0**-32)
+            self.flat[at] = last  # where the lane needs none, this comes again
+            last += one * (word - last)
+            low = (low - word * _LEAST * one) * scale
         else:
-            low = low - unit * start
-        small = np.flatnonzero(rng < _LEAST)
-        while len(small):
-            own = small if isinstance(lanes, slice) else lanes.take(small)
-            place, part = self.at.take(own), low.take(small)
+            low = low * scale + self.flat.take(at, mode="clip") * one
+        rng = rng * scale
+        at += small
+        own = np.flatnonzero(rng < _LEAST)
+        if len(own):  # a second word at most: no interval is below 8
+            place, part = at.take(own, mode="clip"), low.take(own, mode="clip")
             if self.encoding:
                 word = np.floor(part * 2.0**-32)
-                self.flat[place] = word
-                low[small] = (part - word * _LEAST) * _WORD
+                self.flat[place] = last.take(own)
+                last[own] = word
+                low[own] = (part - word * _LEAST) * _WORD
             else:
-                low[small] = part * _WORD + self.flat.take(place)
-            again = rng.take(small) * _WORD
-            rng[small] = again
-            place += 1
-            self.at[own] = place
-            small = small[again < _LEAST]
-        self.low[lanes], self.range[lanes] = low, rng
+                low[own] = part * _WORD + self.flat.take(place)
+            rng[own] *= _WORD
+            at[own] = place + 1
+        self.low[:m], self.range[:m] = low, rng
 
     def flush(self) -> None:
-        for scale in (2.0**-32, 2.0**-16, 1.0):
-            self.flat[self.at] = np.floor(self.low * scale) % _WORD
+        for word in (self.last, *(np.floor(self.low * scale) % _WORD for scale in (2.0**-32, 2.0**-16, 1.0))):
+            self.flat[self.at] = word
             self.at += 1
 
+    def words(self, lane: int) -> np.ndarray:
+        """All words of a lane; before the first one stood none."""
+        out = self.flat[self.first[lane] : self.at[lane]]
+        for k in np.flatnonzero(out >> 16)[::-1].tolist():
+            while out[k] >> 16:
+                out[k] -= 1 << 16
+                out[k - 1] += 1
+                k -= 1
+        return out[1:]
+
 
 def _lockstep(ids: np.ndarray, lengths: np.ndarray, coder: _Coder) -> None:
     """Code (or fill in) ids (steps, lanes); lengths descend, so that the lanes still active are the first ones. Rows of pairs are orders 2 and 1."""
@@ -85,20 +102,23 @@ def _lockstep(ids: np.ndarray, lengths: np.ndarray, coder: _Coder) -> None:
     hit = np.full(2 * n * 8, 32768, np.int32)  # by order and confidence: how likely the prediction holds
     weight, hit0 = np.full(n, 128, np.int32), np.full(n, 4096, np.int32)
     most, lead = np.zeros(n, np.int32), np.zeros(n, np.int32)  # order 0: the id that outnumbers the others, by how much
-    recent, again = np.zeros(n * 256, np.int32), np.full(n * 8, 32768, np.int32)  # by low byte: the last id * 8 + confidence
+    recent, again = np.zeros(n * 256, np.int16), np.full(n * 8, 32768, np.int32)  # by low byte: the last id's high byte * 8 + confidence
     hash1, hash2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
     lanes = np.arange(n)
     slots, hits = (np.stack((lanes * size, (lanes + n) * size)) for size in (_SLOTS, 8))
-    lane8, zero, full = lanes * 8, np.zeros(n, np.int32), np.full(n, 65536, np.int32)
     steps = int(lengths[0]) if n else 0
     active = np.searchsorted(-lengths, -np.arange(steps), "left").tolist()
-    m = n
+    m, edges = n, np.zeros((5, n), np.int32)
+    edges[4] = 65536
+    # A choice by a mask is a sum with a factor 0 or 1 here: np.where takes several times as long.
     for t, now in enumerate(active):
         if now < m:  # some lanes are done
             m = now
-            slots, hits = np.ascontiguousarray(slots[:, :m]), np.ascontiguousarray(hits[:, :m])
-        every = slice(0, m)
-        slot = np.stack((hash1[:m] + (hash2[:m] << 1), hash1[:m]))
+            slots, hits, edges = (np.ascontiguousarray(z[:, :m]) for z in (slots, hits, edges))
+        slot = np.empty((2, m), np.int64)
+        np.left_shift(hash2[:m], 1, out=slot[0])
+        slot[0] += hash1[:m]
+        slot[1] = hash1[:m]
         slot >>= 5
         slot &= _SLOTS - 1
         slot += slots
@@ -107,74 +127,83 @@ def _lockstep(ids: np.ndarray, lengths: np.ndarray, coder: _Coder) -> None:
         at = hits + c
         h = hit.take(at, mode="clip")
         p2, p1, p0, h2, h1, w, h0 = p[0], p[1], most[:m], h[0], h[1], weight[:m], hit0[:m]
-        same = p1 == p2
-        says1 = np.where(same, h1, (65536 - h1) >> 2)
+        same = (p1 == p2).astype(np.int32)
+        says1 = (65536 - h1) >> 2
+        says1 += same * (h1 - says1)
         f2 = (w * (h2 >> 1) + (256 - w) * (says1 >> 1)) >> 7
         np.maximum(f2, 32, out=f2)
         np.minimum(f2, 64000, out=f2)
         f1 = (65536 - f2 >> 4) * (h1 >> 5) >> 8
         f1 += 8
-        f1[same] = 1
+        f1 -= same * (f1 - 1)
         a1 = f2 + f1
-        rest = 65536 - a1
-        f0 = (rest >> 5) * (h0 >> 4) >> 8
+        f0 = (65536 - a1 >> 5) * (h0 >> 4) >> 8
         f0 += 8
         a0 = a1 + f0
-        low, unit = coder.low[every], np.floor(coder.range[every] * 2.0**-16)
+        edges[1], edges[2], edges[3] = f2, a1, a0
+        low, unit = coder.low[:m], np.floor(coder.range[:m] * 2.0**-16)
         if encoding:
             x = ids[t, :m].astype(np.int32)
-        else:
-            v = np.minimum(low / unit, 65535.0).astype(np.int32)
-            x = np.where(v < f2, p2, np.where(v < a1, p1, p0))
-        good = p == x
-        is2, is1 = good
-        is0 = x == p0
-        if encoding:
-            is1 = is1 & ~is2
+            good = p == x
+            is2, is1 = good
+            is0 = x == p0
             none = ~(is2 | is1 | is0)
-            is0 = is0 & ~(is2 | is1)
+            choice = none.view(np.int8) * np.int8(3) + (is0 & ~(is2 | is1)) * np.int8(2) + (is1 & ~is2).view(np.int8)
         else:
+            v = np.minimum(low / unit, 65535.0).astype(np.int32)
             none = v >= a0
-            is1, is0 = (v >= f2) & (v < a1), (v >= a1) & ~none
-            is2 = v < f2
-        edges = np.stack((zero[:m], f2, a1, a0, full[:m])).ravel()
-        kind = (3 - 3 * is2 - 2 * is1 - is0) * m + lanes[:m]  # the row of its interval
+            choice = (v >= f2).view(np.int8) + (v >= a1).view(np.int8) + none.view(np.int8)
+        kind = choice.astype(np.int64)  # the row of its interval
+        kind *= m
+        kind += lanes[:m]
+        if not encoding:
+            x = np.concatenate((p2, p1, p0, p0)).take(kind, mode="clip")
         start = edges.take(kind, mode="clip")
-        coder.step(every, low, unit, start, edges.take(kind + m, mode="clip") - start)
+        rng = unit * (edges.take(kind + m, mode="clip") - start)
+        unit *= start
+        low = low + unit if encoding else low - unit
         e = np.flatnonzero(none)
         if len(e):  # one symbol of 2**24: the low byte, and in its share the id that last had it or a high byte
-            low, unit = coder.low.take(e), np.floor(coder.range.take(e) * 2.0**-24)
+            part, unit = low.take(e, mode="clip"), np.floor(rng.take(e, mode="clip") * 2.0**-24)
             if encoding:
-                value = x.take(e)
+                value = x.take(e, mode="clip")
                 byte = value & 255
             else:
-                v = np.minimum(low / unit, 16777215.0).astype(np.int32)
+                v = np.minimum(part / unit, 16777215.0).astype(np.int32)
                 byte = v >> 16
             place = (e << 8) + byte
             r = recent.take(place, mode="clip")
-            pr, cr = r >> 3, r & 7
-            at0 = lane8.take(e) + cr
+            cr = r & 7
+            at0 = (e << 3) + cr
             ha = again.take(at0, mode="clip")
             fr = np.minimum(np.maximum(ha >> 8, 8), 248)
+            other, mine = 256 - fr, fr << 8  # the shares of a high byte and of the id that last had the low byte
             if encoding:
-                held, high = value == pr, value >> 8
+                high = (value >> 8).astype(np.int16)
+                held = (high == r >> 3).astype(np.int32)
             else:
-                v &= 65535
-                v -= fr << 8
-                held = v < 0
-                high = np.minimum(v // (256 - fr), 255)
-                value = np.where(held, pr, high << 8 | byte)
-            freq = np.where(held, fr << 8, 256 - fr)
-            coder.step(e, low, unit, (byte << 16) + np.where(held, 0, (fr << 8) + high * freq), freq)
+                v = (v & 65535) - mine
+                held = (v < 0).astype(np.int32)
+                high = np.minimum(v / other, 255.0).astype(np.int16)
+                high += held.astype(np.int16) * ((r >> 3) - high)
+                value = (high.astype(np.int32) << 8) | byte
+            start = unit * ((byte << 16) + (1 - held) * (mine + high * other))
+            low[e] = part + start if encoding else part - start
+            rng[e] = unit * (other + held * (mine - other))
             again[at0] = ha + ((held * 65535 - ha) >> 5)
-            recent[place] = np.where(held, r + (cr < 7), np.where(cr > 1, r - 2, value << 3))
+            fresh = high << 3
+            fresh += (cr > 1) * (r - 2 - fresh)
+            recent[place] = fresh + held.astype(np.int16) * (r + (cr < 7) - fresh)
             if not encoding:
                 x[e] = value
+        coder.narrow(low, rng)
         if not encoding:
             ids[t, :m] = x
             good = p == x
+        right = good.astype(np.int32)
         if t % _PACE == 0:
-            hit[at] = h + ((good * 65535 - h) >> 4)
+            is0 = choice == 2
+            hit[at] = h + ((right * 65535 - h) >> 4)
             hit0[:m] = h0 + ((is0 * 65535 - h0) >> 4)
             better = np.where(good[0], h2 >= says1, h2 <= says1)
             w = w + np.where(better, (256 - w) >> 3, -(w >> 3))
@@ -183,7 +212,11 @@ def _lockstep(ids: np.ndarray, lengths: np.ndarray, coder: _Coder) -> None:
             gone = np.flatnonzero(ahead < 0)
             most[gone] = x.take(gone)
             lead[:m] = np.abs(ahead)
-        known[slot] = np.where(good, k + (c < 7), np.where(c > 0, k - ((c + 1) >> 1), x << 3))
+        lost = (c + 1) >> 1
+        k -= lost
+        k += right * (lost + (c < 7))
+        k += ((c == 0) & ~good) * ((x << 3) - k)
+        known[slot] = k
         hash2[:m] = hash1[:m]
         hash1[:m] = x * np.int64(40503)
 
@@ -196,13 +229,13 @@ def compress(blocks: list[np.ndarray]) -> list[bytes]:
     ids = np.zeros((steps, len(blocks)), np.uint16)
     for k, i in enumerate(order):
         ids[: lengths[k], k] = blocks[i]
-    data = np.zeros((len(blocks), 4 * steps + 4), np.uint16)  # four words an id at most
+    data = np.zeros((len(blocks), 2 * steps + 4), np.int32)  # two words an id at most, and four in the end
     coder = _Coder(len(blocks), data, True)
     _lockstep(ids, lengths, coder)
     coder.flush()
     out = [b""] * len(blocks)
     for k, i in enumerate(order):
-        out[i] = data[k, : coder.at[k] - coder.first[k]].astype("<u2").tobytes()
+        out[i] = coder.words(k).astype("<u2").tobytes()
     return out
 
 

@@ -58,6 +58,24 @@ def test_coder_round_trips():
     assert tokencoder.compress(blocks[::-1]) == coded[::-1]  # each block is reset: its bytes don't depend on its neighbours
 
 
+def test_an_id_narrows_its_interval_once(monkeypatch):
+    """Choice and escape of an id share one pass over the lanes; blocks that are hard to code, with carries and second words, come back whole."""
+    calls, narrow = [], tokencoder._Coder.narrow
+    monkeypatch.setattr(tokencoder._Coder, "narrow", lambda self, low, rng: (calls.append(self.encoding), narrow(self, low, rng))[1])
+    rng = np.random.default_rng(1)
+    blocks = [rng.permutation(65536)[:2048].astype(np.uint16) for _ in range(40)] + [(rng.random(2048) < 0.02).astype(np.uint16) * rng.integers(0, 65536, 2048).astype(np.uint16) for _ in range(40)]
+    coded = tokencoder.compress(blocks)
+    assert all((a == b).all() for a, b in zip(blocks, tokencoder.decompress(coded, list(map(len, blocks))), strict=True))
+    assert calls == [True] * 2048 + [False] * 2048
+    assert max(map(len, coded)) <= 4 * 2048 + 6
+
+
+def test_carries_pass_full_words():
+    coder = tokencoder._Coder(2, np.array([[9] * 6, [0, 5, 65535, 65536, 7, 9]], np.int32), True)
+    coder.at = coder.first + [0, 5]
+    assert coder.words(1).tolist() == [6, 0, 0, 7]
+
+
 def test_damaged_blocks_are_refused():
     ids = np.arange(50, dtype=np.uint16)
     block = tokencoder.pack_block(ids, tokencoder.compress([ids])[0], [3], [50], False, False)
