@@ -32,66 +32,72 @@ _FULL, _LEAST, _WORD = float(1 << 48), float(1 << 32), float(1 << 16)
 class _Coder:
     """The range coder's state of all lanes; 16-bit words of ``data`` are written or read at ``at``, a place in all lanes' words.
 
-    A written word waits in ``last`` for the carry it may get, one at most, until the next one comes; ``words`` passes carries on from words that are full.
+    ``low`` stays below 2**49: what it has above 2**48 is a carry, leaves with the next word as that word's 17th bit and is passed on by ``words``.
     """
 
     def __init__(self, lanes: int, data: np.ndarray, encode: bool):
         self.low, self.range = np.zeros(lanes), np.full(lanes, _FULL)
         self.flat, self.first, self.encoding = data.reshape(-1), np.arange(lanes) * data.shape[1], encode
-        self.at, self.last = self.first.copy(), np.zeros(lanes)
-        if not encode:
+        self.at = self.first.copy()
+        if encode:
+            self.at += 1  # before a lane's first word stands a zero
+        else:
             for _ in range(3):
                 self.low = self.low * _WORD + self.flat[self.at]
                 self.at += 1
 
     def narrow(self, low: np.ndarray, rng: np.ndarray) -> None:
-        """The first lanes' new intervals: carries, then words until all are wide again. A lane has one word an id mostly, so the first one goes in all lanes at once."""
+        """The first lanes' new intervals: words until all are wide again. A lane has one word an id mostly, so the first one goes in all lanes at once."""
         m = len(low)
         at = self.at[:m]
-        if self.encoding:
-            over = (low >= _FULL).astype(np.float64)
-            low -= over * _FULL
-            last = self.last[:m]
-            last += over
         small = rng < _LEAST
         one = small.astype(np.float64)
-        scale = one * (_WORD - 1) + 1
         if self.encoding:
-            word = np.floor(low * 2.0**-32)
-            self.flat[at] = last  # where the lane needs none, this comes again
-            last += one * (word - last)
-            low = (low - word * _LEAST * one) * scale
-        else:
-            low = low * scale + self.flat.take(at, mode="clip") * one
-        rng = rng * scale
-        at += small
-        own = np.flatnonzero(rng < _LEAST)
+            word = low * 2.0**-32
+            np.floor(word, out=word)
+            self.flat[at] = word.astype(np.int32)  # where the lane needs none, the next one comes here
+            word *= one
+            word *= _LEAST
+            low -= word
+        scale = one * (_WORD - 1)
+        scale += 1
+        low *= scale
+        rng *= scale
+        if not self.encoding:
+            one *= self.flat.take(at, mode="clip").astype(np.float64)
+            low += one
+        at += small.astype(np.int64)
+        own = (rng < _LEAST).nonzero()[0]
         if len(own):  # a second word at most: no interval is below 8
             place, part = at.take(own, mode="clip"), low.take(own, mode="clip")
             if self.encoding:
                 word = np.floor(part * 2.0**-32)
-                self.flat[place] = last.take(own)
-                last[own] = word
+                self.flat[place] = word.astype(np.int32)
                 low[own] = (part - word * _LEAST) * _WORD
             else:
                 low[own] = part * _WORD + self.flat.take(place)
             rng[own] *= _WORD
             at[own] = place + 1
-        self.low[:m], self.range[:m] = low, rng
+        if m == len(self.low):
+            self.low, self.range = low, rng
+        else:
+            self.low[:m], self.range[:m] = low, rng
 
     def flush(self) -> None:
-        for word in (self.last, *(np.floor(self.low * scale) % _WORD for scale in (2.0**-32, 2.0**-16, 1.0))):
+        high = np.floor(self.low * 2.0**-32)  # with its carry
+        for word in (high, *(np.floor(self.low * scale) % _WORD for scale in (2.0**-16, 1.0))):
             self.flat[self.at] = word
             self.at += 1
 
     def words(self, lane: int) -> np.ndarray:
-        """All words of a lane; before the first one stood none."""
+        """All words of a lane, carries passed on; before the first one stood none."""
         out = self.flat[self.first[lane] : self.at[lane]]
-        for k in np.flatnonzero(out >> 16)[::-1].tolist():
-            while out[k] >> 16:
-                out[k] -= 1 << 16
-                out[k - 1] += 1
-                k -= 1
+        over = np.flatnonzero(out >> 16)
+        while len(over):
+            out[over] -= 1 << 16
+            over -= 1
+            out[over] += 1  # a word that was over has room for it now
+            over = over[out[over] >> 16 > 0]
         return out[1:]
 
 
@@ -103,28 +109,29 @@ def _lockstep(ids: np.ndarray, lengths: np.ndarray, coder: _Coder) -> None:
     weight, hit0 = np.full(n, 128, np.int32), np.full(n, 4096, np.int32)
     most, lead = np.zeros(n, np.int32), np.zeros(n, np.int32)  # order 0: the id that outnumbers the others, by how much
     recent, again = np.zeros(n * 256, np.int16), np.full(n * 8, 32768, np.int32)  # by low byte: the last id's high byte * 8 + confidence
-    hash1, hash2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    hash1, hash2 = np.zeros(n, np.int32), np.zeros(n, np.int32)  # modulo 2**32, of which slots take the bits 5 to 14
     lanes = np.arange(n)
-    slots, hits = (np.stack((lanes * size, (lanes + n) * size)) for size in (_SLOTS, 8))
+    slots, hits = (np.stack((lanes * size, (lanes + n) * size)).astype(np.int32) for size in (_SLOTS, 8))
     steps = int(lengths[0]) if n else 0
     active = np.searchsorted(-lengths, -np.arange(steps), "left").tolist()
-    m, edges = n, np.zeros((5, n), np.int32)
+    m, edges = n, np.zeros((5, n))
     edges[4] = 65536
-    # A choice by a mask is a sum with a factor 0 or 1 here: np.where takes several times as long.
+    # A choice by a mask is a sum with a factor 0 or 1 here: np.where takes several times as long. Masks become the type that they meet first, as mixed types do.
     for t, now in enumerate(active):
         if now < m:  # some lanes are done
             m = now
             slots, hits, edges = (np.ascontiguousarray(z[:, :m]) for z in (slots, hits, edges))
-        slot = np.empty((2, m), np.int64)
+        slot = np.empty((2, m), np.int32)
         np.left_shift(hash2[:m], 1, out=slot[0])
         slot[0] += hash1[:m]
         slot[1] = hash1[:m]
         slot >>= 5
         slot &= _SLOTS - 1
         slot += slots
+        slot = slot.astype(np.int64)
         k = known.take(slot, mode="clip")
         p, c = k >> 3, k & 7
-        at = hits + c
+        at = (hits + c).astype(np.int64)
         h = hit.take(at, mode="clip")
         p2, p1, p0, h2, h1, w, h0 = p[0], p[1], most[:m], h[0], h[1], weight[:m], hit0[:m]
         same = (p1 == p2).astype(np.int32)
@@ -144,11 +151,11 @@ def _lockstep(ids: np.ndarray, lengths: np.ndarray, coder: _Coder) -> None:
         low, unit = coder.low[:m], np.floor(coder.range[:m] * 2.0**-16)
         if encoding:
             x = ids[t, :m].astype(np.int32)
-            good = p == x
-            is2, is1 = good
-            is0 = x == p0
-            none = ~(is2 | is1 | is0)
-            choice = none.view(np.int8) * np.int8(3) + (is0 & ~(is2 | is1)) * np.int8(2) + (is1 & ~is2).view(np.int8)
+            wrong = p != x
+            past2, not1 = wrong
+            past1 = past2 & not1
+            none = past1 & (x != p0)
+            choice = past2.view(np.int8) + past1.view(np.int8) + none.view(np.int8)
         else:
             v = np.minimum(low / unit, 65535.0).astype(np.int32)
             none = v >= a0
@@ -162,7 +169,7 @@ def _lockstep(ids: np.ndarray, lengths: np.ndarray, coder: _Coder) -> None:
         rng = unit * (edges.take(kind + m, mode="clip") - start)
         unit *= start
         low = low + unit if encoding else low - unit
-        e = np.flatnonzero(none)
+        e = none.nonzero()[0]
         if len(e):  # one symbol of 2**24: the low byte, and in its share the id that last had it or a high byte
             part, unit = low.take(e, mode="clip"), np.floor(rng.take(e, mode="clip") * 2.0**-24)
             if encoding:
@@ -171,54 +178,69 @@ def _lockstep(ids: np.ndarray, lengths: np.ndarray, coder: _Coder) -> None:
             else:
                 v = np.minimum(part / unit, 16777215.0).astype(np.int32)
                 byte = v >> 16
-            place = (e << 8) + byte
-            r = recent.take(place, mode="clip")
+            place = (e << 8) + byte.astype(np.int64)
+            r = recent.take(place, mode="clip").astype(np.int32)
             cr = r & 7
-            at0 = (e << 3) + cr
+            at0 = (e << 3) + cr.astype(np.int64)
             ha = again.take(at0, mode="clip")
-            fr = np.minimum(np.maximum(ha >> 8, 8), 248)
+            fr = ha >> 8
+            np.maximum(fr, 8, out=fr)
+            np.minimum(fr, 248, out=fr)
             other, mine = 256 - fr, fr << 8  # the shares of a high byte and of the id that last had the low byte
             if encoding:
-                high = (value >> 8).astype(np.int16)
+                high = value >> 8
                 held = (high == r >> 3).astype(np.int32)
             else:
                 v = (v & 65535) - mine
                 held = (v < 0).astype(np.int32)
-                high = np.minimum(v / other, 255.0).astype(np.int16)
-                high += held.astype(np.int16) * ((r >> 3) - high)
-                value = (high.astype(np.int32) << 8) | byte
-            start = unit * ((byte << 16) + (1 - held) * (mine + high * other))
+                high = np.minimum(v / other, 255.0).astype(np.int32)
+                high += held * ((r >> 3) - high)
+                value = (high << 8) | byte
+            start = (byte << 16) + (1 - held) * (mine + high * other)
+            start = unit * start.astype(np.float64)
             low[e] = part + start if encoding else part - start
-            rng[e] = unit * (other + held * (mine - other))
+            mine -= other
+            mine *= held
+            mine += other
+            rng[e] = unit * mine.astype(np.float64)
             again[at0] = ha + ((held * 65535 - ha) >> 5)
             fresh = high << 3
-            fresh += (cr > 1) * (r - 2 - fresh)
-            recent[place] = fresh + held.astype(np.int16) * (r + (cr < 7) - fresh)
+            fresh += (cr > 1).astype(np.int32) * (r - 2 - fresh)
+            r += (cr < 7).astype(np.int32)
+            fresh += held * (r - fresh)
+            recent[place] = fresh.astype(np.int16)
             if not encoding:
                 x[e] = value
         coder.narrow(low, rng)
         if not encoding:
             ids[t, :m] = x
-            good = p == x
-        right = good.astype(np.int32)
+            wrong = p != x
+        right = (~wrong).astype(np.int32)
         if t % _PACE == 0:
             is0 = choice == 2
             hit[at] = h + ((right * 65535 - h) >> 4)
             hit0[:m] = h0 + ((is0 * 65535 - h0) >> 4)
-            better = np.where(good[0], h2 >= says1, h2 <= says1)
+            better = np.where(wrong[0], h2 <= says1, h2 >= says1)
             w = w + np.where(better, (256 - w) >> 3, -(w >> 3))
             weight[:m] = np.minimum(np.maximum(w, 8), 248)
             ahead = lead[:m] + np.where(x == p0, 1, -1)
             gone = np.flatnonzero(ahead < 0)
             most[gone] = x.take(gone)
             lead[:m] = np.abs(ahead)
-        lost = (c + 1) >> 1
-        k -= lost
-        k += right * (lost + (c < 7))
-        k += ((c == 0) & ~good) * ((x << 3) - k)
-        known[slot] = k
+        fresh = (wrong & (c == 0)).astype(np.int32)  # nothing is predicted any more: the id that came is
+        fresh *= x - p
+        fresh += p
+        fresh <<= 3
+        less = c >> 1
+        c += 1
+        np.minimum(c, 7, out=c)
+        c -= less
+        c *= right
+        c += less
+        c += fresh
+        known[slot] = c
         hash2[:m] = hash1[:m]
-        hash1[:m] = x * np.int64(40503)
+        hash1[:m] = x * np.int32(40503)
 
 
 def compress(blocks: list[np.ndarray]) -> list[bytes]:

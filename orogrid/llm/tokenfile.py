@@ -4,7 +4,7 @@ Documents are dealt by ranges of doc_id, tokenized and coded where they land; a
 numbered, and laid end to end by shard and block they are the corpus. The files are Parquet tables with one block a row,
 so Spark's committers make them whole in any store that Spark writes. ``tokencoder`` has the block's format. A row also tells
 how many ids of its shard come before the block, and how many of its first document's ids do, so blocks are read wherever they lie;
-only the parts of documents that blocks cut, narrow rows with their checksums, meet again.
+only the parts of documents, narrow rows with their checksums, meet again.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, lean, partitions, saved, shared_path
+from .common import bounded_batches, lean, partitions, shared_path
 from .tokencoder import BLOCK_IDS, LANES, NO_ID, compress, pack_block, read_blocks
 from .tokens import encoder, with_end
 
@@ -118,6 +118,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files; one number a shard comes to the driver.
 
     Null doc_ids and documents without ids but the end's come back as they were written, repeated doc_ids each with its own place; no blocks give no rows.
+    Blocks are decoded where the result is asked for, each time: ``saved`` keeps it.
     """
     blocks = spark.read.parquet(path)
     totals = dict(blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect())
@@ -125,7 +126,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     for shard in sorted(totals):
         bases[shard], total = total, total + totals[shard]
     shared = spark.sparkContext.broadcast(bases)
-    names = ["doc_id", "start", "at", "n_tokens", "ids_crc32", "whole"]
+    names = ["doc_id", "start", "at", "n_tokens", "ids_crc32"]
 
     @lean
     def read(batches):
@@ -134,14 +135,13 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
         def parts() -> pa.RecordBatch:
             rows = []
-            for (at, before, _), (ids, docs, counts, continues, continued) in zip(waiting, read_blocks([b for *_, b in waiting]), strict=True):
+            for (at, before, _), (ids, docs, counts, *_) in zip(waiting, read_blocks([b for *_, b in waiting]), strict=True):
                 data, place = memoryview(ids.astype("<u4")).cast("B"), 0
                 for k, (name, n) in enumerate(zip(docs.tolist(), counts.tolist(), strict=True)):
-                    whole = not (k == 0 and continues) and not (k == len(docs) - 1 and continued)
-                    rows.append((None if name == NO_ID else name, at + place - (before if k == 0 else 0), at + place, n, zlib.crc32(data[4 * place : 4 * (place + n)]), whole))
+                    rows.append((None if name == NO_ID else name, at + place - (before if k == 0 else 0), at + place, n, zlib.crc32(data[4 * place : 4 * (place + n)])))
                     place += n
             waiting.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 5 + [pa.bool_()], strict=True)], names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 5, strict=True)], names)
 
         for batch in batches:
             for shard, first, before, block in zip(*(batch.column(c).to_pylist() for c in ("shard", "first", "before", "data")), strict=True):
@@ -151,17 +151,23 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         if waiting:
             yield parts()
 
-    found = saved(blocks.select("shard", "first", "before", "data").mapInArrow(read, "doc_id long, start long, at long, n_tokens long, ids_crc32 long, whole boolean"), "parts")
+    def joined(parts: pa.Table) -> pa.Table:
+        """One row for each run of parts of one document, at its first part's place."""
+        start, n, crc = (parts.column(c).to_numpy() for c in ("start", "n_tokens", "ids_crc32"))
+        first = np.flatnonzero(np.append(True, start[1:] != start[:-1]))
+        own = parts.select(["doc_id", "start", "at"]).take(pa.array(first))
+        return own.append_column("n_tokens", pa.array(np.add.reduceat(n, first))).append_column("ids_crc32", pa.array(joined_crc32(4 * n, crc, first).astype(np.int64)))
 
+    @lean
     def join(batches):
+        last: list[pa.RecordBatch] = []  # one row: the document that may go on in the next batch
         for batch in batches:
             if batch.num_rows:
-                parts = batch.column("cut")
-                n, crc = (parts.flatten().field(c).to_numpy() for c in ("n_tokens", "ids_crc32"))
-                first = np.append(0, np.cumsum(pc.list_value_length(parts).to_numpy())[:-1])
-                columns = [batch.column("doc_id"), batch.column("start"), pa.array(np.add.reduceat(n, first)), pa.array(joined_crc32(4 * n, crc, first).astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    cut = found.where("not whole").groupBy("start").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("at", "n_tokens", "ids_crc32"))).alias("cut"))
-    again = cut.select("doc_id", "start", "cut").mapInArrow(join, "doc_id long, start long, n_tokens long, ids_crc32 long")
-    return found.where("whole").select("doc_id", "start", "n_tokens", "ids_crc32").unionByName(again)
+                done = joined(pa.Table.from_batches([*last, batch]).combine_chunks()).combine_chunks()
+                yield from done.slice(0, done.num_rows - 1).to_batches()
+                last = done.slice(done.num_rows - 1).to_batches()
+        yield from last
+
+    schema = "doc_id long, start long, at long, n_tokens long, ids_crc32 long"
+    found = blocks.select("shard", "first", "before", "data").mapInArrow(read, schema)
+    return found.repartition("start").sortWithinPartitions("start", "at").mapInArrow(join, schema).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -2,6 +2,7 @@
 
 import hashlib
 import heapq
+import os
 import random
 import re
 import zlib
@@ -76,6 +77,36 @@ def test_carries_pass_full_words():
     assert coder.words(1).tolist() == [6, 0, 0, 7]
 
 
+def test_words_are_the_sum_of_the_steps():
+    """Against whole numbers of any size: intervals at the upper end of the one before give carries through runs of full words."""
+    rng = random.Random(5)
+    lanes, steps = 30, 200
+    coder = tokencoder._Coder(lanes, np.zeros((lanes, 2 * steps + 4), np.int32), True)
+    total, places, carries = [0] * lanes, [0] * lanes, 0
+    for _ in range(steps):
+        low, width = coder.low.copy(), np.empty(lanes)
+        for k in range(lanes):
+            had = int(coder.range[k])
+            width[k] = max(8, had >> rng.choice((0, 1, 3, 9, 24)))
+            room = had - int(width[k])
+            step = rng.choice((0, min(1, room), room, room))
+            low[k] += step
+            total[k] += step
+            for limit in (1 << 32, 1 << 16):
+                if width[k] < limit:
+                    total[k] <<= 16
+                    places[k] += 1
+        carries += int((low >= float(1 << 48)).sum())
+        coder.narrow(low, width)
+        assert coder.low.max() < float(1 << 49) and coder.range.min() >= float(1 << 32)
+    coder.flush()
+    assert carries > 50
+    for k in range(lanes):
+        words = coder.words(k).tolist()
+        assert len(words) == places[k] + 3 and max(words) < 1 << 16
+        assert sum(w << 16 * i for i, w in enumerate(reversed(words))) == total[k]
+
+
 def test_damaged_blocks_are_refused():
     ids = np.arange(50, dtype=np.uint16)
     block = tokencoder.pack_block(ids, tokencoder.compress([ids])[0], [3], [50], False, False)
@@ -100,6 +131,27 @@ def test_token_file_round_trip(spark):
     assert tokenfile.read_tokens(spark, tokenfile.write_tokens(frame(spark, []), WORD, 1)).count() == 0
 
 
+def test_reading_back_writes_no_table_and_joins_across_batches(spark):
+    """One pass from blocks to documents; the parts of a document that several Arrow batches hold become one row, its checksum that of all ids."""
+    text = "some words of a long text " * 3000
+    path = tokenfile.write_tokens(frame(spark, [(1, "a"), (2, text), (3, None), (4, text[:50_000])]), WORD, 1)
+    folder = os.path.dirname(path).removeprefix("file:")
+    before = set(os.listdir(folder))
+    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("1", "3"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = {r.doc_id: r for r in tokenfile.read_tokens(spark, path).collect()}
+            assert sorted(got) == [1, 2, 3, 4]
+            for i, t in ((2, text), (4, text[:50_000])):
+                ids = [*library(WORD).encode(t, add_special_tokens=False).ids, 1]
+                assert len(ids) > 4 * tokencoder.BLOCK_IDS
+                assert (got[i].n_tokens, got[i].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    assert set(os.listdir(folder)) == before
+
+
 def test_ids_beyond_the_format_are_refused(spark, monkeypatch):
     with pytest.raises(ValueError, match="end id"):
         tokenfile.write_tokens(frame(spark, [(1, "a")]), WORD, 1 << 16)
