@@ -135,12 +135,15 @@ def normal_equations(points: DataFrame, selected: DataFrame, ni: float, nj: floa
     schema = ", ".join(f"{c} long" for c in keys) + ", block int, br int, bc int, n long, total double, values array<double>"
     parts = both.repartition(partitions(spark), *whole).sortWithinPartitions(*whole, "kind", "l_idx", "k_idx").mapInArrow(part, schema)
     for _ in range(math.ceil(math.log(most, FAN) - 1e-9) if most > 1 else 0):
-        parts = _added(parts.withColumn("block", F.expr(f"block div {FAN}").cast("int")), [*keys, "block", "br", "bc"], schema)
+        parts = _added(parts.withColumn("part", F.col("block")).withColumn("block", F.expr(f"block div {FAN}").cast("int")), [*keys, "block", "br", "bc"], schema)
     return parts.drop("block")
 
 
 def _added(rows: DataFrame, keys: list[str], schema: str) -> DataFrame:
-    """Sums of n, total and values by whole-number keys, rows streaming in order of the keys, one sum held at a time."""
+    """Sums of n, total and values by whole-number keys, rows streaming in order of the keys, one sum held at a time.
+
+    The rows of one sum come in order of their ``part``, so all block rows of a system have the same total to the last bit, however a shuffle mixes them.
+    """
     types = [(c, _ARROW[t]) for c, t in (x.split() for x in schema.split(", ")) if c in keys]
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +162,7 @@ def _added(rows: DataFrame, keys: list[str], schema: str) -> DataFrame:
             yield from add((*now, n, total, values))
         yield from done()
 
-    return rows.repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys).select(*[x.split()[0] for x in schema.split(", ")]).mapInArrow(add_up, schema)
+    return rows.repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys, "part").select(*[x.split()[0] for x in schema.split(", ")]).mapInArrow(add_up, schema)
 
 
 def systems(points: DataFrame, selected: DataFrame, ni: float, nj: float, **options) -> DataFrame:

@@ -241,6 +241,16 @@ def test_sums_of_blocks_equal_the_dense_system(spark, lattice, monkeypatch):
         assert np.allclose(own.a_cos, linear.solve(m.T @ m, m.T @ z, linear.isotropic(m.T @ m, 0.1))[: len(own)])
 
 
+def test_sums_of_a_tree_do_not_depend_on_the_order_of_rows(spark):
+    """Totals that round differently in another order: block rows whose parts arrive in any order add up alike."""
+    schema = "cell_id long, block int, br int, bc int, n long, total double, values array<double>"
+    totals = [1.0, 1e16, 1.0, -1e16, 3.0]
+    orders = [(0, 1, 2, 3, 4), (4, 3, 2, 1, 0), (1, 3, 0, 2, 4)]
+    rows = [(1, 0, 0, c, 1, totals[k], [totals[k]], k) for c, order in enumerate(orders) for k in order]
+    got = fits._added(spark.createDataFrame(rows, f"{schema}, part int").coalesce(1), ["cell_id", "block", "br", "bc"], schema).collect()
+    assert len(got) == 3 and {(r["n"], r["total"], r["values"][0]) for r in got} == {(5, got[0]["total"], got[0]["total"])}
+
+
 def test_fold_sums_equal_folds_of_points(spark, lattice):
     points, every, (m, z, i, j, k) = lattice
     for alpha in (0.0, 1.5):
