@@ -109,9 +109,9 @@ def _lockstep(ids: np.ndarray, lengths: np.ndarray, coder: _Coder) -> None:
     weight, hit0 = np.full(n, 128, np.int32), np.full(n, 4096, np.int32)
     most, lead = np.zeros(n, np.int32), np.zeros(n, np.int32)  # order 0: the id that outnumbers the others, by how much
     recent, again = np.zeros(n * 256, np.int16), np.full(n * 8, 32768, np.int32)  # by low byte: the last id's high byte * 8 + confidence
-    hash1, hash2 = np.zeros(n, np.int32), np.zeros(n, np.int32)  # modulo 2**32, of which slots take the bits 5 to 14
+    hashes = np.zeros((2, n), np.uint16)  # of the contexts of orders 2 and 1; slots are bits 5 to 14
     lanes = np.arange(n)
-    slots, hits = (np.stack((lanes * size, (lanes + n) * size)).astype(np.int32) for size in (_SLOTS, 8))
+    slots, hits = (np.stack((lanes * size, (lanes + n) * size))for size in (_SLOTS, 8))
     steps = int(lengths[0]) if n else 0
     active = np.searchsorted(-lengths, -np.arange(steps), "left").tolist()
     m, edges = n, np.zeros((5, n))
@@ -120,31 +120,41 @@ def _lockstep(ids: np.ndarray, lengths: np.ndarray, coder: _Coder) -> None:
     for t, now in enumerate(active):
         if now < m:  # some lanes are done
             m = now
-            slots, hits, edges = (np.ascontiguousarray(z[:, :m]) for z in (slots, hits, edges))
-        slot = np.empty((2, m), np.int32)
-        np.left_shift(hash2[:m], 1, out=slot[0])
-        slot[0] += hash1[:m]
-        slot[1] = hash1[:m]
-        slot >>= 5
+            slots, hits, edges, hashes = (np.ascontiguousarray(z[:, :m]) for z in (slots, hits, edges, hashes))
+        slot = hashes >> 5
         slot &= _SLOTS - 1
-        slot += slots
         slot = slot.astype(np.int64)
+        slot += slots
         k = known.take(slot, mode="clip")
         p, c = k >> 3, k & 7
-        at = (hits + c).astype(np.int64)
+        at = c.astype(np.int64)
+        at += hits
         h = hit.take(at, mode="clip")
         p2, p1, p0, h2, h1, w, h0 = p[0], p[1], most[:m], h[0], h[1], weight[:m], hit0[:m]
         same = (p1 == p2).astype(np.int32)
-        says1 = (65536 - h1) >> 2
+        says1 = 65536 - h1
+        says1 >>= 2
         says1 += same * (h1 - says1)
-        f2 = (w * (h2 >> 1) + (256 - w) * (says1 >> 1)) >> 7
+        rest = says1 >> 1
+        f2 = h2 >> 1  # of both, by weight
+        f2 -= rest
+        f2 *= w
+        f2 >>= 7
+        rest <<= 1
+        f2 += rest
         np.maximum(f2, 32, out=f2)
         np.minimum(f2, 64000, out=f2)
-        f1 = (65536 - f2 >> 4) * (h1 >> 5) >> 8
+        f1 = 65536 - f2
+        f1 >>= 4
+        f1 *= h1 >> 5
+        f1 >>= 8
         f1 += 8
         f1 -= same * (f1 - 1)
         a1 = f2 + f1
-        f0 = (65536 - a1 >> 5) * (h0 >> 4) >> 8
+        f0 = 65536 - a1
+        f0 >>= 5
+        f0 *= h0 >> 4
+        f0 >>= 8
         f0 += 8
         a0 = a1 + f0
         edges[1], edges[2], edges[3] = f2, a1, a0
@@ -196,7 +206,10 @@ def _lockstep(ids: np.ndarray, lengths: np.ndarray, coder: _Coder) -> None:
                 high = np.minimum(v / other, 255.0).astype(np.int32)
                 high += held * ((r >> 3) - high)
                 value = (high << 8) | byte
-            start = (byte << 16) + (1 - held) * (mine + high * other)
+            start = high * other
+            start += mine
+            start *= 1 - held
+            start += byte << 16
             start = unit * start.astype(np.float64)
             low[e] = part + start if encoding else part - start
             mine -= other
@@ -220,10 +233,12 @@ def _lockstep(ids: np.ndarray, lengths: np.ndarray, coder: _Coder) -> None:
             is0 = choice == 2
             hit[at] = h + ((right * 65535 - h) >> 4)
             hit0[:m] = h0 + ((is0 * 65535 - h0) >> 4)
-            better = np.where(wrong[0], h2 <= says1, h2 >= says1)
-            w = w + np.where(better, (256 - w) >> 3, -(w >> 3))
+            better = ((h2 == says1) | ((h2 > says1) != wrong[0])).astype(np.int32)
+            down = w >> 3
+            w = w + better * (((256 - w) >> 3) + down) - down
             weight[:m] = np.minimum(np.maximum(w, 8), 248)
-            ahead = lead[:m] + np.where(x == p0, 1, -1)
+            ahead = 2 * (x == p0).astype(np.int32) - 1
+            ahead += lead[:m]
             gone = np.flatnonzero(ahead < 0)
             most[gone] = x.take(gone)
             lead[:m] = np.abs(ahead)
@@ -239,8 +254,9 @@ def _lockstep(ids: np.ndarray, lengths: np.ndarray, coder: _Coder) -> None:
         c += less
         c += fresh
         known[slot] = c
-        hash2[:m] = hash1[:m]
-        hash1[:m] = x * np.int32(40503)
+        np.left_shift(hashes[1], 1, out=hashes[0])
+        np.multiply(x.astype(np.uint16), 40503, out=hashes[1])
+        hashes[0] += hashes[1]
 
 
 def compress(blocks: list[np.ndarray]) -> list[bytes]:
