@@ -29,6 +29,8 @@ from ..session import bounded_batches, partitions, saved
 BLOCK_POINTS, PART_POINTS = 1 << 16, 4096
 #: Columns of one block of a Gram matrix, and the rows that a node of the tree adds up.
 BLOCK_COLUMNS, FAN = 128, 16
+#: Bytes of the matrices that selectors treat at once.
+TOGETHER = 8 << 20
 #: (system, m_i, m_j, more) -> rows
 Kernel = Callable[..., list[tuple]]
 
@@ -225,14 +227,23 @@ def _systems_of(batches: Iterator[pa.RecordBatch], split: tuple[str, ...], more:
 
 def on_systems(rows: DataFrame, work: Callable[[Cell, Iterator[tuple[tuple, linear.System]]], list[tuple]], schema: str, split: tuple[str, ...] = (), more: tuple[str, ...] = ()) -> DataFrame:
     """Rows of ``work(cell, its systems one by one)`` for every cell of ``systems`` that has points; ``split`` names the columns that tell a cell's systems apart."""
+    return on_cells(rows, lambda cells: (work(cell, own) for cell, own in cells), schema, split, more)
+
+
+def on_cells(rows: DataFrame, work: Callable[[Iterator[tuple[Cell, Iterator[tuple[tuple, linear.System]]]]], Iterator[list[tuple]]], schema: str, split: tuple[str, ...] = (), more: tuple[str, ...] = ()) -> DataFrame:
+    """``on_systems`` for work that takes the stream of a task's (cell, its systems), so that it may treat several cells at once."""
     fields = [x.split() for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def cells():
+            for _, group in groupby(_systems_of(batches, split, more), key=lambda x: x[0].cell_id):
+                cell, key, system = next(group)
+                rest = ((k, s) for _, k, s in group)
+                yield cell, (x for part in ([(key, system)], rest) for x in part)
+
         out: list[tuple] = []
-        for _, group in groupby(_systems_of(batches, split, more), key=lambda x: x[0].cell_id):
-            cell, key, system = next(group)
-            rest = ((k, s) for _, k, s in group)
-            out += work(cell, (x for part in ([(key, system)], rest) for x in part))
+        for found in work(cells()):
+            out += found
             if len(out) >= 10_000:
                 yield _batch(out, fields)
                 out = []
@@ -383,37 +394,79 @@ def selector_errors(folds: DataFrame, selectors: dict[str, Callable[[linear.Syst
     penalty ``lam`` and is judged on its held-out sums; mse is the mean over folds. ``jaccard`` is the overlap of the modes chosen on all points with those of ``base``.
 
     A selector maps (system, number of columns) to columns; None stands for the modes of largest amplitude in the regularised fit of all. Ties go to the earlier
-    column. The points are never met again: training sums are the whole's less those near the held-out tile.
+    column. The points are never met again: training sums are the whole's less those near the held-out tile. Small systems are gathered up to ``TOGETHER`` bytes, over
+    cells, for selectors that take many at once (``linear.SIDE_BY_SIDE``); of large ones a task holds one fold.
     """
 
-    def compare(cell: Cell, own) -> list[tuple]:
-        count = len(cell.modes)
-        waves = np.flatnonzero((cell.m_i != 0) | (cell.m_j != 0))
-        column, sine = [*range(count), *waves.tolist()], {int(k): count + p for p, k in enumerate(waves)}
-
-        def chosen(s: linear.System, selector) -> list[int]:
-            if selector is None:
-                a = linear.solve(s.gram, s.rhs, linear.isotropic(s.gram, lam))
-                size = np.abs(a[:count])
-                size[waves] = np.hypot(a[waves], a[count:])
-                return np.argsort(-size, kind="stable")[:n].tolist()
-            return list(dict.fromkeys(column[c] for c in selector(s, 2 * n).tolist()))[:n]
-
-        errors, folds_, sets = dict.fromkeys(selectors, 0.0), 0, {}
-        for whole, train, held in fold_pairs(cell, own, n_folds):
-            if not sets:
-                sets = {name: set(chosen(whole, f)) for name, f in selectors.items()}
-            for name, f in selectors.items():
-                modes = chosen(train, f)
-                own_columns = np.array([*modes, *(sine[k] for k in modes if k in sine)], int)
+    def chosen(trials: list[_Trial], selector) -> list[list[int]]:
+        """The modes that a selector picks on each trial's training sums."""
+        if selector is None:
+            out = []
+            for t in trials:
+                a = linear.solve(t.train.gram, t.train.rhs, linear.isotropic(t.train.gram, lam))
+                size = np.abs(a[: t.of.count])
+                size[t.of.waves] = np.hypot(a[t.of.waves], a[t.of.count :])
+                out.append(np.argsort(-size, kind="stable")[:n].tolist())
+            return out
+        many = linear.SIDE_BY_SIDE.get(selector)
+        picked = many([t.train for t in trials], 2 * n) if many else [selector(t.train, 2 * n) for t in trials]
+        return [list(dict.fromkeys(t.of.column[c] for c in p.tolist()))[:n] for t, p in zip(trials, picked, strict=True)]
+
+    def judge(trials: list[_Trial]) -> None:
+        for name, f in selectors.items():
+            for t, modes in zip(trials, chosen(trials, f), strict=True):
+                if t.held is None:
+                    t.of.sets[name] = set(modes)
+                    continue
+                own_columns = np.array([*modes, *(t.of.sine[k] for k in modes if k in t.of.sine)], int)
                 grid = np.ix_(own_columns, own_columns)
-                a = linear.solve(train.gram[grid], train.rhs[own_columns], linear.isotropic(train.gram[grid], lam))
-                errors[name] += linear.System(held.gram[grid], held.rhs[own_columns], held.total, held.n).error(a)
-            folds_ += 1
-        overlap = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
-        return [(cell.cell_id, name, overlap(sets[name], sets[base]), float(errors[name] / folds_)) for name in selectors]
+                gram = t.train.gram[grid]
+                a = linear.solve(gram, t.train.rhs[own_columns], linear.isotropic(gram, lam))
+                t.of.errors[name] += linear.System(t.held.gram[grid], t.held.rhs[own_columns], t.held.total, t.held.n).error(a)
 
-    return on_systems(folds, compare, "cell_id long, selector string, jaccard double, mse double", split=("fold", "part"))
+    def result(of: _Judged) -> list[tuple]:
+        overlap = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+        return [(of.cell_id, name, overlap(of.sets[name], of.sets[base]), float(of.errors[name] / of.folds)) for name in selectors]
+
+    def compare(cells) -> Iterator[list[tuple]]:
+        trials, size, ended = [], 0, []
+        for cell, own in cells:
+            of = _Judged(cell, selectors)
+            for whole, train, held in fold_pairs(cell, own, n_folds):
+                trials += [_Trial(of, train, held)] if of.folds else [_Trial(of, whole, None), _Trial(of, train, held)]
+                size += (3 if not of.folds else 2) * whole.gram.nbytes
+                of.folds += 1
+                if size >= TOGETHER:
+                    judge(trials)
+                    trials, size = [], 0
+            ended.append(of)
+            if not trials:
+                yield [r for of in ended for r in result(of)]
+                ended = []
+        if trials:
+            judge(trials)
+        yield [r for of in ended for r in result(of)]
+
+    return on_cells(folds, compare, "cell_id long, selector string, jaccard double, mse double", split=("fold", "part"))
+
+
+class _Judged:
+    """What a comparison of selectors knows of one cell so far."""
+
+    def __init__(self, cell: Cell, selectors: dict):
+        self.cell_id, self.count, self.folds = cell.cell_id, len(cell.modes), 0
+        self.waves = np.flatnonzero((cell.m_i != 0) | (cell.m_j != 0))
+        self.column = [*range(self.count), *self.waves.tolist()]
+        self.sine = {int(k): self.count + p for p, k in enumerate(self.waves)}
+        self.errors, self.sets = dict.fromkeys(selectors, 0.0), {}
+
+
+class _Trial(NamedTuple):
+    """Training sums on which modes are chosen, and those that they are judged on (none for the choice on all points)."""
+
+    of: _Judged
+    train: linear.System
+    held: linear.System | None
 
 
 def by_cell(points: DataFrame, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray], list[tuple]], schema: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Kernels against identities, planted answers and brute force."""
 
+import time
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -187,3 +189,20 @@ def test_synthetic_fields():
     power, freq = np.abs(np.fft.fft2(f)) ** 2, np.hypot(*np.meshgrid(np.fft.fftfreq(64), np.fft.fftfreq(64)))
     near = (freq > 0.02) & (freq < 0.2)
     assert np.polyfit(np.log(freq[near]), np.log(power[near]), 1)[0] == pytest.approx(-2.0, abs=0.5)
+
+
+def test_lassos_equal_the_lasso_of_each_system():
+    """Side by side and one by one, to the last bit; converged systems, empty columns and other sizes too. A few hundred take less time than a few would one by one."""
+    rng = np.random.default_rng(4)
+    made = lambda k, rows, columns: linear.System.of(rng.standard_normal((rows, columns)) * (np.arange(columns) != k % 5), rng.standard_normal(rows))
+    some = [made(k, 9 + k, 12) for k in range(9)] + [made(1, 4, 7), made(2, 60, 1), linear.System(np.zeros((3, 3)), np.zeros(3), 0.0, 0)]
+    for offset in (0, 1):
+        assert [x.tolist() for x in linear.lassos(some, 5, offset=offset)] == [linear.lasso(s, 5, offset=offset).tolist() for s in some]
+    own = linear._descended(some[:9], 500, 0)
+    assert all(np.array_equal(np.argsort(-np.abs(own[:, k]), kind="stable"), linear.lasso(s, 12)) for k, s in enumerate(some[:9]))
+    assert linear.lassos([], 3) == []
+    began = time.process_time()
+    few = [linear.lasso(made(7, 20, 29), 5) for _ in range(3)]
+    middle = time.process_time()
+    linear.lassos([made(7, 20, 29) for _ in range(150)], 5)
+    assert len(few) == 3 and (time.process_time() - middle) < 10 * (middle - began)
