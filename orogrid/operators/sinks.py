@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHUNK = 100
+#: Folders of one write at most; their span of chunks grows by ``GROWTH`` until so few are left.
+FOLDERS, GROWTH = 1000, 8
 
 
 def complete(spectra: str = "h_spec") -> Column:
@@ -22,6 +24,14 @@ def packed_spectra(modes: DataFrame, n_modes: int, keys: tuple[str, ...] = ("cel
     return rows.select(*keys, *[F.concat(F.col("m")[v], F.array_repeat(F.lit(0.0), fits.cast("int"))).alias(v) for v in values])
 
 
+def folder_span(records: DataFrame, key: str) -> int:
+    """How many chunks a folder holds, so that the records fall in about ``FOLDERS`` of them at most however many there are: 1 for small tables."""
+    chunks = records.select(F.expr(f"`{key}` div {CHUNK}").alias("c")).distinct()
+    spans = [GROWTH**k for k in range(20)]  # 8 ** 19 chunks are more than a long id has
+    counts = chunks.agg(*[F.approx_count_distinct(F.expr(f"c div {s}"), 0.02).alias(f"s{s}") for s in spans]).head()
+    return next((s for s in spans if counts[f"s{s}"] <= FOLDERS), spans[-1])
+
+
 def append_missing(records: DataFrame, path: str, key: str = "cell_id") -> DataFrame:
     """Append the records whose key is not in the table at ``path`` yet, by chunk, and return the table.
 
@@ -48,6 +58,12 @@ def append_missing(records: DataFrame, path: str, key: str = "cell_id") -> DataF
     return spark.read.parquet(path)
 
 
+def _in_folders(records: DataFrame, span: int, name: str, chunk: Column) -> DataFrame:
+    """Records with their folder's span and first chunk, dealt by folder."""
+    first = chunk - F.pmod(chunk, F.lit(span)) if span > 1 else chunk
+    return records.withColumns({"span": F.lit(span).cast("long"), name: first.cast("long")}).repartition(name)
+
+
 def _place(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
@@ -142,10 +158,13 @@ def read_results(table: DataFrame, key: str = "cell_id") -> DataFrame:
     return table.select(key, *[F.col(a).alias(b) for a, b in RESULT_NAMES.items() if a in table.columns])
 
 
-def write_chunks(records: DataFrame, path: str, key: str = "cell_id") -> str:
-    """Write records in a folder for each chunk of ids (``CHUNK`` of them); return the path. A record with a null id is an error: no range finds it."""
-    own = F.when(F.col(key).isNotNull(), F.expr(f"`{key}` div {CHUNK}")).otherwise(F.raise_error(F.lit("a record has no id")))
-    records.withColumn("chunk", own.cast("int")).repartition("chunk").write.partitionBy("chunk").parquet(path)
+def write_chunks(records: DataFrame, path: str, key: str = "cell_id", nulls: bool = False) -> str:
+    """Write records in a folder for each chunk of ids (``CHUNK`` of them); return the path. Of large tables a folder holds ``span`` chunks
+    (``folder_span``) and bears the first one's number. A record with a null id is an error, as no range finds it, unless ``nulls`` are let in."""
+    own = F.expr(f"`{key}` div {CHUNK}")
+    if not nulls:
+        own = F.when(F.col(key).isNotNull(), own).otherwise(F.raise_error(F.lit("a record has no id")))
+    _in_folders(records, folder_span(records, key), "chunk", own).write.partitionBy("span", "chunk").parquet(path)
     return path
 
 
@@ -153,7 +172,7 @@ def read_range(spark: SparkSession, path: str, start: int, end: int, key: str =
     """The records of chunked results with start <= id < end (one cell: end = start + 1); only their chunks' folders are listed as input. Ids are not negative."""
     table = spark.read.parquet(path)
     low, high = F.lit(max(0, start) // CHUNK), F.lit((max(end, 1) - 1) // CHUNK)
-    return table.where((F.col("chunk") >= low) & (F.col("chunk") <= high) & (F.col(key) >= start) & (F.col(key) < end)).drop("chunk")
+    return table.where((F.col("chunk") <= high) & (F.col("chunk") + F.col("span") > low) & (F.col(key) >= start) & (F.col(key) < end)).drop("span", "chunk")
 
 
 def digest(points: DataFrame, keys: tuple[str, ...] = ("cell_id",), order: tuple[str, ...] = ("i", "j"), value: str = "z", places: int = 3) -> DataFrame:

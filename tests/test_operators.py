@@ -699,3 +699,17 @@ def test_a_range_of_records_opens_its_chunks_only(spark, tmp_path):
     assert sinks.read_range(spark, path, 5000, 6000).count() == sinks.read_range(spark, path, 7, 7).count() == 0
     with pytest.raises(Exception, match="no id"):
         sinks.write_chunks(spark.createDataFrame([(None, 1.0)], "cell_id long, recon double"), f"file://{tmp_path}/none")
+
+
+def test_large_tables_have_few_folders(spark, tmp_path, monkeypatch):
+    """Folders of many chunks past a number of them; ranges of ids, far ones too, still come out whole."""
+    monkeypatch.setattr(sinks, "FOLDERS", 10)
+    ids = spark.range(3000).unionByName(spark.createDataFrame([(10**15,)], "id long"))
+    rows = ids.select(F.col("id").alias("cell_id"), (F.col("id") * 2.0).alias("recon"))
+    path = sinks.write_chunks(rows, f"file://{tmp_path}/records")
+    folders = {f.rsplit("/", 1)[0] for f in spark.read.parquet(path).inputFiles()}
+    assert 3 <= len(folders) <= 10
+    part = sinks.read_range(spark, path, 250, 1903)
+    assert sorted(r.cell_id for r in part.collect()) == list(range(250, 1903)) and part.columns == ["cell_id", "recon"]
+    assert "PartitionFilters: [isnotnull(chunk" in part._jdf.queryExecution().executedPlan().toString()
+    assert [r.recon for r in sinks.read_range(spark, path, 10**15, 10**15 + 1).collect()] == [2e15]
