@@ -145,8 +145,7 @@ def result_scan(spark, d):
     path = shared_path(spark, "results")
     price, cust = F.col("o_totalprice"), F.col("o_custkey")
     rows = T.read(spark, d, "orders", "o_orderkey", "o_totalprice", "o_custkey").select(F.col("o_orderkey").alias("cell_id"), (cust / 7.0).alias("lat"), (cust / 3.0).alias("lon"), price.alias("recon"), (price / 2).alias("ampls"), (price / 4).alias("pmf_sg"))
-    rows.withColumn("chunk", F.expr(f"cell_id div {sinks.CHUNK}")).repartition("chunk").write.partitionBy("chunk").parquet(path)
-    return rounded(sinks.read_results(spark.read.parquet(path)), 4)
+    return rounded(sinks.read_results(spark.read.parquet(sinks.write_chunks(rows, path, nulls=True))), 4)
 
 
 _RANGE = "r AS (SELECT max(o_orderkey) // 4 AS lo, max(o_orderkey) // 2 AS hi, min(o_orderkey) AS one FROM orders)"

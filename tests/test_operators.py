@@ -713,3 +713,5 @@ def test_large_tables_have_few_folders(spark, tmp_path, monkeypatch):
     assert sorted(r.cell_id for r in part.collect()) == list(range(250, 1903)) and part.columns == ["cell_id", "recon"]
     assert "PartitionFilters: [isnotnull(chunk" in part._jdf.queryExecution().executedPlan().toString()
     assert [r.recon for r in sinks.read_range(spark, path, 10**15, 10**15 + 1).collect()] == [2e15]
+    some = sinks.write_chunks(rows.unionByName(spark.createDataFrame([(None, 7.0)], "cell_id long, recon double")), f"file://{tmp_path}/nulls", nulls=True)
+    assert spark.read.parquet(some).count() == 3002 and spark.read.parquet(some).where("cell_id is null").head().recon == 7.0
