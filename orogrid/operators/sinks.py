@@ -33,11 +33,11 @@ def folder_span(records: DataFrame, key: str) -> int:
 
 
 def append_missing(records: DataFrame, path: str, key: str = "cell_id") -> DataFrame:
-    """Append the records whose key is not in the table at ``path`` yet, by chunk, and return the table.
+    """Append the records whose key is not in the table at ``path`` yet, with their ``chunk``, and return the table.
 
-    Only the chunks that the new records fall in are read. Of new records with one key the one that sorts first stays; a stored record of
-    these chunks that is not complete raises an error instead of being passed over. One writer at a time: a marker beside the
-    table makes a second one fail.
+    Each append writes folders of ``span`` chunks (``folder_span``), the first one names them. Only the folders that lie between the new records' least and
+    largest key are read. Of new records with one key the one that sorts first stays; a stored record of the new ones' chunks that is not complete raises
+    an error instead of being passed over. One writer at a time: a marker beside the table makes a second one fail.
     """
     spark = records.sparkSession
     marker = f"{path.rstrip('/')}._writing"
@@ -45,17 +45,20 @@ def append_missing(records: DataFrame, path: str, key: str = "cell_id") -> DataF
         raise RuntimeError(f"another writer is at {path}, or one was lost there: {marker} exists")
     try:
         columns = [c for c in records.columns if c != key]
-        records = records.groupBy(key).agg(F.min(F.struct(*columns)).alias("_r")).select(key, "_r.*").withColumn("chunk", F.expr(f"cast({key} div {CHUNK} as int)"))
+        new, chunk = records, F.expr(f"cast(`{key}` div {CHUNK} as int)")
+        span = folder_span(new, key)
+        records = records.groupBy(key).agg(F.min(F.struct(*columns)).alias("_r")).select(key, "_r.*").withColumn("chunk", chunk)
         if exists(spark, path):
-            touched = records.select("chunk").distinct()
-            have = spark.read.parquet(path).join(touched, "chunk", "left_semi")
-            if have.where(~complete()).limit(1).count():
+            low, high = new.agg(F.min(chunk), F.max(chunk)).head()
+            have = spark.read.parquet(path).where((F.col("folder") <= F.lit(high)) & (F.col("folder") + F.col("span") > F.lit(low)))
+            broken = have.where(~complete()).select("chunk").distinct()
+            if broken.join(new.select(chunk.alias("chunk")), "chunk", "left_semi").limit(1).count():
                 raise ValueError("a stored record is incomplete")
             records = records.join(have.select(key), key, "left_anti")
-        records.repartition("chunk").write.mode("append").partitionBy("chunk").parquet(path)
+        _in_folders(records, span, "folder", F.col("chunk")).write.mode("append").partitionBy("span", "folder").parquet(path)
     finally:
         delete(spark, marker)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).drop("span", "folder")
 
 
 def _in_folders(records: DataFrame, span: int, name: str, chunk: Column) -> DataFrame:

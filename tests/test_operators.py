@@ -715,3 +715,17 @@ def test_large_tables_have_few_folders(spark, tmp_path, monkeypatch):
     assert [r.recon for r in sinks.read_range(spark, path, 10**15, 10**15 + 1).collect()] == [2e15]
     some = sinks.write_chunks(rows.unionByName(spark.createDataFrame([(None, 7.0)], "cell_id long, recon double")), f"file://{tmp_path}/nulls", nulls=True)
     assert spark.read.parquet(some).count() == 3002 and spark.read.parquet(some).where("cell_id is null").head().recon == 7.0
+
+
+def test_appends_of_large_tables_have_few_folders(spark, tmp_path, monkeypatch):
+    """Appends of different spans of chunks meet each other's records."""
+    monkeypatch.setattr(sinks, "FOLDERS", 10)
+    ids = spark.range(3000).unionByName(spark.createDataFrame([(10**10,)], "id long"))
+    whole = ids.selectExpr("id as cell_id", "0 as is_land", "1.0 as clat", "double(id) as clon", "double(null) as dk", "double(null) as dl", "array(double(0)) as h_spec")
+    table = f"file://{tmp_path}/table"
+    assert sinks.append_missing(whole.where("cell_id between 950 and 1100"), table).count() == 151
+    assert sinks.append_missing(whole.where("cell_id < 2900"), table).count() == 2900
+    got = sinks.append_missing(whole, table)
+    assert len({f.rsplit("/", 1)[0] for f in spark.read.parquet(table).inputFiles()}) <= 20
+    assert got.select("cell_id").distinct().count() == got.count() == 3001
+    assert got.where("chunk <> cell_id div 100 and cell_id < 3000").count() == 0 and got.columns[-1] == "chunk"
