@@ -4,7 +4,7 @@ A Fourier transform goes by axes: lines along j are transformed where they lie,
 shuffle), transformed along i, and the way back is the same. A task holds one line, or one run of columns with about ``RUN_VALUES`` values.
 
 A stencil goes by square tiles with borders of their neighbours' nodes as wide as the steps of one pass: after that many steps only the
-borders have gone wrong. Each pass is one shuffle of tiles and strips; a task holds one tile at a time.
+borders have gone wrong. Each pass is one shuffle of tiles and strips, which end where their lattice ends; a task holds some ``STACKED`` bytes of tiles.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from ..session import bounded_batches, partitions, saved
 RUN_VALUES = 1 << 18
 #: Nodes of a tile's side, and steps of one pass.
 TILE, HALO = 64, 16
+#: Bytes of the tiles that take their steps side by side.
+STACKED = 1 << 20
 
 _LINE = "cell_id long, run int, i int, ni int, nj int, dy double, dx double, re array<double>, im array<double>"
 _NAMES = [x.split()[0] for x in _LINE.split(", ")]
@@ -196,7 +198,12 @@ def diffused(points: DataFrame, padding: int, steps: int, stencil: str = "OP", d
     grid = sizes.withColumn("ti", F.explode(F.expr(f"sequence(0, (ni - 1) div {tile})"))).withColumn("tj", F.explode(F.expr(f"sequence(0, (nj - 1) div {tile})")))
     place = F.expr(f"cast((i % {tile}) * {tile} + j % {tile} as int)")
     own = nodes.where("inside").groupBy("cell_id", F.expr(f"cast(i div {tile} as int)").alias("ti"), F.expr(f"cast(j div {tile} as int)").alias("tj")).agg(F.collect_set(place).alias("at"))
-    first = saved(grid.select("cell_id", F.col("ti").cast("int").alias("ti"), F.col("tj").cast("int").alias("tj"), "ni", "nj").join(own, ["cell_id", "ti", "tj"], "left"), "tiles")
+    first = saved(grid.select("cell_id", F.col("ti").cast("int").alias("ti"), F.col("tj").cast("int").alias("tj"), "ni", "nj").join(own.hint("merge"), ["cell_id", "ti", "tj"], "left"), "tiles")
+
+    def window(key: tuple, shape: tuple, axis: int) -> tuple[int, int, int]:
+        """How many nodes of the lattice stand before, in and after a tile on one axis, those beyond the halo not counted."""
+        at, n = key[1 + axis] * tile, shape[axis]
+        return (halo if at else 0), min(tile, n - at), max(0, min(halo, n - at - tile))
 
     def sent(key: tuple, shape: tuple, p: np.ndarray, held: np.ndarray) -> Iterator[tuple]:
         """A tile, for itself and, as strips, for the neighbours that the lattice has."""
@@ -211,40 +218,51 @@ def diffused(points: DataFrame, padding: int, steps: int, stencil: str = "OP", d
         def rows():
             for batch in batches:
                 for cell, ti, tj, ni, nj, at in zip(*(batch.column(c).to_pylist() for c in ("cell_id", "ti", "tj", "ni", "nj", "at")), strict=True):
-                    held = np.zeros(tile * tile, np.int8)
-                    held[at or []] = 1
-                    held = held.reshape(tile, tile)
-                    yield from sent((cell, ti, tj), (ni, nj), held.astype(float), held)
+                    key, shape = (cell, ti, tj), (ni, nj)
+                    held = np.zeros([window(key, shape, x)[1] for x in (0, 1)], np.int8)
+                    held[np.divmod(np.array(at or [], int), tile)] = 1
+                    yield from sent(key, shape, held.astype(float), held)
 
         yield from _tiles_out(rows())
 
     def stepped(n: int, last: bool) -> Callable:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            side = tile + 2 * halo
+        def moved(waiting: list[tuple]) -> Iterator[tuple]:
+            """The tiles of one shape, side by side, after n steps."""
+            p, held = np.array([x[2] for x in waiting]), np.array([x[3] for x in waiting])
+            for _ in range(n):
+                q = np.pad(p, ((0, 0), (1, 1), (1, 1)))
+                cross = q[:, :-2, 1:-1] + q[:, 2:, 1:-1] + q[:, 1:-1, :-2] + q[:, 1:-1, 2:] - 4 * p
+                diagonal = (q[:, :-2, :-2] + q[:, :-2, 2:] + q[:, 2:, :-2] + q[:, 2:, 2:] - 4 * p) / 2
+                p = p + dt * scale * ((1 - gamma) * cross + gamma * diagonal)
+                p[held] = 1
+            for k, (key, shape, *_) in enumerate(waiting):
+                centre = tuple(slice(before, before + own) for before, own, _ in (window(key, shape, x) for x in (0, 1)))
+                own_p, own_held = p[k][centre], held[k][centre].astype(np.int8)
+                if last:
+                    yield *key, 0, 0, *shape, own_p.ravel(), own_held.ravel()
+                else:
+                    yield from sent(key, shape, own_p, own_held)
 
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def rows():
+                waiting: dict[tuple, list[tuple]] = {}
+                size = 0
                 for key, parts in _grouped(batches, ["cell_id", "ti", "tj"], ["di", "dj", "ni", "nj"], ["p", "held"]):
-                    p, held = np.zeros((side, side)), np.zeros((side, side), bool)
+                    shape = parts[0][2:4]
+                    sides = [window(key, shape, x) for x in (0, 1)]
+                    p = np.zeros([sum(x) for x in sides])
+                    held = np.zeros(p.shape, bool)
                     for di, dj, _, _, values, mask in parts:
-                        rows, columns = (slice(halo, halo + tile) if x == 0 else slice(0, halo) if x < 0 else slice(halo + tile, None) for x in (di, dj))
-                        shape = p[rows, columns].shape
-                        p[rows, columns], held[rows, columns] = values.reshape(shape), mask.reshape(shape)
-                    _, ti, tj = key
-                    ni, nj = parts[0][2:4]
-                    i, j = ti * tile - halo + np.arange(side), tj * tile - halo + np.arange(side)
-                    lattice = ((i >= 0) & (i < ni))[:, None] & ((j >= 0) & (j < nj))[None, :]
-                    for _ in range(n):
-                        q = np.pad(p, 1)
-                        cross = q[:-2, 1:-1] + q[2:, 1:-1] + q[1:-1, :-2] + q[1:-1, 2:] - 4 * p
-                        diagonal = (q[:-2, :-2] + q[:-2, 2:] + q[2:, :-2] + q[2:, 2:] - 4 * p) / 2
-                        p = np.where(lattice, p + dt * scale * ((1 - gamma) * cross + gamma * diagonal), 0.0)
-                        p[held] = 1
-                    centre = slice(halo, halo + tile)
-                    p, held = p[centre, centre], held[centre, centre].astype(np.int8)
-                    if last:
-                        yield *key, 0, 0, ni, nj, p.ravel(), held.ravel()
-                    else:
-                        yield from sent(key, (ni, nj), p, held)
+                        at = tuple(slice(sum(x[: d + 1]), sum(x[: d + 2])) for d, x in ((di, sides[0]), (dj, sides[1])))
+                        p[at], held[at] = values.reshape(p[at].shape), mask.reshape(p[at].shape)
+                    waiting.setdefault(p.shape, []).append((key, shape, p, held))
+                    size += p.nbytes
+                    if size >= STACKED:
+                        for own in waiting.values():
+                            yield from moved(own)
+                        waiting, size = {}, 0
+                for own in waiting.values():
+                    yield from moved(own)
 
             yield from _tiles_out(rows())
 
@@ -257,5 +275,5 @@ def diffused(points: DataFrame, padding: int, steps: int, stencil: str = "OP", d
         dealt = moving.repartition(partitions(spark), "cell_id", "ti", "tj").sortWithinPartitions("cell_id", "ti", "tj")
         moving = dealt.mapInArrow(stepped(n, k == passes - 1), _TILE)
     out = moving.select("cell_id", "ti", "tj", "ni", "nj", F.posexplode("p").alias("at", "p"))
-    out = out.select("cell_id", F.expr(f"cast(ti * {tile} + at div {tile} as int)").alias("i"), F.expr(f"cast(tj * {tile} + at % {tile} as int)").alias("j"), "ni", "nj", "p")
-    return out.where("i < ni and j < nj").select("cell_id", "i", "j", "p")
+    wide = f"least({tile}, nj - tj * {tile})"
+    return out.select("cell_id", F.expr(f"cast(ti * {tile} + at div {wide} as int)").alias("i"), F.expr(f"cast(tj * {tile} + at % {wide} as int)").alias("j"), "p")

@@ -154,7 +154,8 @@ def taper_field(spark, d):
 def _tapered(spark, d, **options):
     z = T.vectors(spark, d)
     p = lattices.diffused(z.withColumn("inside", F.col("i").between(2, 5) & F.col("j").between(2, 5)), 0, 20, **options)
-    return rounded(z.join(p, ["cell_id", "i", "j"]).select("cell_id", "i", "j", (F.col("z") * F.col("p")).alias("z")))
+    # tiles of like masks are small files: by their bytes Spark would broadcast every node
+    return rounded(z.join(p.hint("merge"), ["cell_id", "i", "j"]).select("cell_id", "i", "j", (F.col("z") * F.col("p")).alias("z")))
 
 
 @register("taper_in_tiles", ORACLE["taper_field"])

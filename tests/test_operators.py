@@ -555,6 +555,17 @@ def test_diffusion_in_tiles_equals_the_kernel(spark, tile, halo, padding, steps)
         assert np.allclose(as_field([r for r in got if r.cell_id == c], "p", want.shape), want)
 
 
+def test_small_lattices_in_large_tiles_cost_their_own_nodes(spark):
+    """Tiles end where the lattice ends: tiles of 4096 x 4096 nodes filled up would be 134 MB a lattice, and 3 billion rows here."""
+    nodes = spark.range(200 * 30).selectExpr("id div 30 as cell_id", "cast(id % 30 div 6 as int) as i", "cast(id % 6 as int) as j", "id % 7 = id div 30 % 7 as inside")
+    got = lattices.diffused(nodes, 1, 9, tile=4096, halo=16)
+    assert got.count() == 200 * 7 * 8
+    mask = np.zeros((5, 6), bool)
+    for r in nodes.where("cell_id = 123 and inside").collect():
+        mask[r.i, r.j] = True
+    assert np.allclose(as_field(got.where("cell_id = 123").collect(), "p", (7, 8)), fields.taper(np.pad(mask, 1), 9))
+
+
 def test_corner_and_centre_projections_differ(spark, terrain):
     raster, cells = terrain
     wide = [segments.segment(raster, cells, filtered=False, centre=c).groupBy("cell_id").agg(F.first("wlon").alias("w")).where("cell_id = 5").head().w for c in (True, False)]

@@ -59,3 +59,9 @@ def test_fit_inside_triangles_equals_a_dense_one(spark):
         a = linear.solve(m.T @ m, m.T @ (p.z - p.z.mean()).values, linear.isotropic(m.T @ m, 0.1))
         assert np.allclose(o.a_cos, a[: len(o)], atol=1e-5)
         assert np.allclose(o.ampl[(o.m_i == 0) & (o.m_j == 0)], np.abs(o.a_cos[(o.m_i == 0) & (o.m_j == 0)]))
+
+
+def test_tapers_are_not_broadcast(spark):
+    """Tiles of like masks are a small file, whose bytes tell nothing of the nodes that come out of it."""
+    plan = catalog.QUERIES["taper_field"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
