@@ -16,6 +16,8 @@ from ..session import saved
 PER_BIN, LARGE_BIN = 2, 4096
 #: Rounds that double the radius; later ones take ``STRIDE`` times the last.
 DOUBLINGS, STRIDE = 8, 8.0
+#: Halvings of the first radius for cells that fill a small part of their box; rows that may be broadcast.
+HALVINGS, SMALL_SIDE = 5, 100_000
 
 
 def _binned(rows: DataFrame, axes: list[str], radius: float, around: bool) -> DataFrame:
@@ -47,6 +49,18 @@ def _bin_width(n: int, ends: list[tuple[float, float]]) -> float:
     return (math.prod(filled) * PER_BIN / n) ** (1 / len(filled)) if filled else 1.0
 
 
+def _filled_radius(cells: DataFrame, axes: list[str], radius: float, n: int) -> float:
+    """``radius``, halved while a bin that is not empty holds more than ``PER_BIN`` cells: cells on a surface or on lines leave most bins empty."""
+    tried = [radius / 2**k for k in range(HALVINGS + 1)]
+    filled = cells.agg(*[F.approx_count_distinct(F.xxhash64(*[F.floor(F.col(a) / r) for a in axes])).alias(f"r{k}") for k, r in enumerate(tried)]).head()
+    return next((r for k, r in enumerate(tried) if n <= PER_BIN * filled[f"r{k}"]), tried[-1])
+
+
+def _shuffled(side: DataFrame, rows: int) -> DataFrame:
+    """A side that is not broadcast if it may have more than ``SMALL_SIDE`` rows: a compressed file's bytes tell little of what its rows take in memory."""
+    return side.hint("merge") if rows > SMALL_SIDE else side
+
+
 def nearest(points: DataFrame, cells: DataFrame, axes: list[str], point_id: str, cell_id: str, radius: float | None = None, metric: str = "l1", exact: bool = True) -> DataFrame:
     """(point_id, cell_id, distance) of every point's nearest cell, by a search in boxes that grow.
 
@@ -56,6 +70,7 @@ def nearest(points: DataFrame, cells: DataFrame, axes: list[str], point_id: str,
     radius, so that nothing closer can lie outside; without, when its box holds any cell (the box rule, whose winner may not be the nearest of
     all). Points not yet done go on to the next round, one written table each. The radius doubles, later it grows by ``STRIDE``, and it passes
     over what no point can need: the least gap between a point and the box of all cells. When it covers the extents of both sides every point is done.
+    Equal places are searched for once, and of cells at one place the one with the smallest id stands for all.
 
     Every row of the points comes back: with a null cell and distance where a coordinate is null, NaN or infinite. Such cells are passed
     over. Ties go to the smaller cell id; points may repeat, and null ids are ids like others. Without a finite cell there are no rows.
@@ -66,17 +81,24 @@ def nearest(points: DataFrame, cells: DataFrame, axes: list[str], point_id: str,
     if not n_cells:
         return none.limit(0)
     n_left, ends = _extents(here, axes)
-    lost = here.where(~_finite(axes))
-    done = [lost.select(point_id, F.lit(None).cast(cells.schema[cell_id].dataType).alias(cell_id), F.lit(None).cast("double").alias("distance"))]
+    lost = here.where(~_finite(axes)).select(point_id, F.lit(None).cast(cells.schema[cell_id].dataType).alias(cell_id), F.lit(None).cast("double").alias("distance"))
     if not n_left:
-        return done[0]
+        return lost
+    n_points, done = n_left, []
     wide = [max(a[1], b[1]) - min(a[0], b[0]) for a, b in zip(ends, cell_ends, strict=True)]
     reach = (sum(wide) if metric == "l1" else math.sqrt(sum(w * w for w in wide))) if exact else max(wide)
     reach = max(reach * (1 + 1e-9), 1e-300)
     size = max(abs(x) for e in (*ends, *cell_ends) for x in e)
-    radius = max(_bin_width(n_cells, cell_ends) if radius is None else radius, math.ldexp(max(size, reach), -50))  # bins are whole numbers
-    left = here.where(_finite(axes))
-    there = cells.where(_finite(axes)).select(cell_id, *[F.col(a).alias(f"_c{a}") for a in axes])
+    least = math.ldexp(max(size, reach), -50)  # bins are whole numbers
+    left = saved(here.where(_finite(axes)).select(*axes).distinct(), "places")
+    n_left = left.count()
+    there = saved(cells.where(_finite(axes)).groupBy(*axes).agg(F.min(F.struct(cell_id))[cell_id].alias(cell_id)), "cells")
+    if radius is None:
+        radius = max(_bin_width(n_cells, cell_ends), least)
+        n_cells = there.count()
+        radius = _filled_radius(there, axes, radius, n_cells) if exact else radius
+    radius = max(radius, least)
+    there = there.select(cell_id, *[F.col(a).alias(f"_c{a}") for a in axes])
     names = [f"_b{k}" for k in range(len(axes))]
     beyond = F.greatest(*[F.greatest(lo - F.col(a), F.col(a) - hi, F.lit(0.0)) for a, (lo, hi) in zip(axes, cell_ends, strict=True)], F.lit(0.0))
     step = 0
@@ -91,20 +113,22 @@ def nearest(points: DataFrame, cells: DataFrame, axes: list[str], point_id: str,
             near = near.join(large, names, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))).drop("_parts")
             keys = [*names, "_part"]
         gaps = [F.abs(F.col(f"_c{a}") - F.col(a)) for a in axes]
-        both = near.join(bins, keys).where(reduce(lambda x, y: x & y, [g <= radius for g in gaps]))
+        bins = _shuffled(bins, n_cells if around else n_cells * 3 ** len(axes))
+        both = _shuffled(near, n_left * (3 ** len(axes) if around else 1)).join(bins, keys).where(reduce(lambda x, y: x & y, [g <= radius for g in gaps]))
         d = reduce(lambda x, y: x + y, gaps) if metric == "l1" else F.sqrt(reduce(lambda x, y: x + y, [g * g for g in gaps]))
-        best = both.groupBy(point_id, *axes).agg(F.min(F.struct(d.alias("distance"), F.col(cell_id).alias(cell_id))).alias("_m"))
-        best = best.select(F.col(point_id).alias("_id"), *[F.col(a).alias(f"_p{k}") for k, a in enumerate(axes)], F.col(f"_m.{cell_id}").alias(cell_id), F.col("_m.distance").alias("distance"))
-        same = reduce(lambda x, y: x & y, [F.col(a) == F.col(f"_p{k}") for k, a in enumerate(axes)], F.col(point_id).eqNullSafe(F.col("_id")))
-        met = saved(left.join(best.where(F.col("distance") <= radius) if exact else best, same, "left").select(point_id, *axes, cell_id, "distance"), "nearest")
-        done.append(met.where("distance is not null").select(point_id, cell_id, "distance"))
-        left = met.where("distance is null").select(point_id, *axes)
+        best = both.groupBy(*axes).agg(F.min(F.struct(d.alias("distance"), F.col(cell_id).alias(cell_id))).alias("_m"))
+        best = best.select(*axes, F.col(f"_m.{cell_id}").alias(cell_id), F.col("_m.distance").alias("distance"))
+        best = _shuffled(best.where(F.col("distance") <= radius) if exact else best, n_left)
+        met = saved(left.join(best, axes, "left").select(*axes, cell_id, "distance"), "nearest")
+        done.append(met.where("distance is not null"))
+        left = met.where("distance is null").select(*axes)
         n_left, gap = left.agg(F.count("*"), F.min(beyond)).head()
         if n_left and radius >= reach:
             raise ValueError(f"{n_left} points are left at a radius of {radius}, beyond all extents")
         step += 1
         radius = min(max(radius * (2 if step < DOUBLINGS else STRIDE), gap or 0.0), 2 * reach)
-    return reduce(DataFrame.unionByName, done)
+    found = _shuffled(reduce(DataFrame.unionByName, done), n_points)
+    return lost.unionByName(here.where(_finite(axes)).join(found, axes).select(point_id, cell_id, "distance"))
 
 
 def nearest_great_circle(points: DataFrame, cells: DataFrame, point_id: str, cell_id: str) -> DataFrame:
@@ -118,6 +142,7 @@ def nearest_great_circle(points: DataFrame, cells: DataFrame, point_id: str, cel
 
     found = nearest(chord(points, point_id), chord(cells, cell_id), ["x", "y", "w"], point_id, cell_id, None, "l2").drop("distance")
     a, b = points.select(point_id, "lat", "lon"), cells.select(cell_id, F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    a, b = (x.hint("merge") for x in (a, b))  # by the bytes of their files Spark may broadcast millions of rows
     return found.join(a, point_id, "left").join(b, cell_id, "left").select(point_id, cell_id, great_circle("lat", "lon", "lat2", "lon2").alias("distance"))
 
 

@@ -154,6 +154,18 @@ def test_nearest_equals_brute_force(spark):
         assert sorted(map(repr, map(tuple, got))) == brute_nearest(points, cells)
 
 
+def test_many_points_and_cells_at_one_place(spark, monkeypatch):
+    """Equal places are met once (200,000 points times as many cells there would be 40 billion pairs), large sides are not broadcast, and nothing else changes."""
+    monkeypatch.setattr(joins, "SMALL_SIDE", 0)
+    points = spark.range(200_000).selectExpr("id as point_id", "double(id % 2) * 10 as lat", "double(id % 3) as lon")
+    cells = spark.range(200_001).selectExpr("200000 - id as cell_id", "double(id % 2) * 10.25 as lat", "double(0) as lon")
+    got = joins.nearest_great_circle(points, cells, "point_id", "cell_id")
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    one = got.groupBy(F.col("point_id") % 6).agg(F.count("*"), F.min("cell_id"), F.max("cell_id"), F.min("distance"), F.max("distance")).collect()
+    assert sum(r[1] for r in one) == 200_000 and all(r[2] == r[3] == r[0] % 2 for r in one)
+    assert all(r[4] == pytest.approx(r[5]) for r in one) and {round(np.degrees(r[4]), 9) for r in one if r[0] in (0, 2, 4)} == {0.0, 1.0, 2.0}
+
+
 def test_box_rule_can_differ_from_the_nearest(spark):
     p = spark.createDataFrame([(1, 0.0, 0.0)], "point_id long, lat double, lon double")
     c = spark.createDataFrame([(1, 0.95, 0.95), (2, 1.05, 0.0)], "cell_id long, lat double, lon double")
